@@ -55,7 +55,7 @@ def _apply(df: DataFrame, stats: DataFrame, cols: Sequence[str], fn, suffix: str
     out = joined
     for c in cols:
         out = out.withColumn(c + suffix, fn(F.col(c), F.col(_m(c)), F.col(_s(c))))
-    return out.drop(*[x for c in cols for x in (_m(c), _s(c))])
+    return out.drop(*[c for c in stats.columns if c not in df.columns])
 
 
 def standardize(x: Column, mean: Column, std: Column) -> Column:

@@ -41,7 +41,7 @@ WINDOWS = f"""
          last_value(z_px) OVER {WIN} AS px_last,
          first_value(z_px) OVER {WIN} AS px_first,
          first_value(z_qty) OVER {WIN} AS qty_first,
-         sum(qty) OVER {WIN} AS qty_sum,
+         sum(z_qty) OVER {WIN} AS zqty_sum,
          first_value(px) OVER {WIN} AS raw_px_first,
          last_value(px) OVER {WIN} AS raw_px_last
   FROM ({SCALED})"""
@@ -81,3 +81,152 @@ Q["model_comparison"] = f"""
                {r('avg(abs(actual - yhat))')} AS mae,
                {r('avg((actual - yhat) * (actual - yhat))')} AS mse
         FROM ({SCORED}) WHERE actual IS NOT NULL AND split = 'test' GROUP BY model)"""
+
+
+def rr(cols: list[str], src: str, d: int = 6, keep: list[str] = ()) -> str:
+    """SELECT keep..., round(col) AS col ... FROM (src)"""
+    sel = list(keep) + [f"{r(c, d)} AS {c}" for c in cols]
+    return f"SELECT {', '.join(sel)} FROM ({src})"
+
+
+Q["temporal_split"] = f"SELECT split, ticker, row_id, date FROM ({SPLIT})"
+
+Q["split_report"] = f"""
+  SELECT split, count(*) AS n_rows, min(date) AS min_time, max(date) AS max_time FROM ({SPLIT}) GROUP BY split"""
+
+Q["lookback_windows"] = f"""
+  SELECT split, ticker, row_id, CAST(steps AS INTEGER) AS n_steps, {r('px_first')} AS px_first,
+         {r('px_last')} AS px_last, {r('zqty_sum')} AS qty_sum
+  FROM ({WINDOWS}) WHERE steps = 20"""
+
+Q["batch_score"] = f"""
+  SELECT split, row_id, model, {r('yhat')} AS yhat
+  FROM (SELECT split, row_id, ann, gru, lstm, transformer FROM ({PREDS_WIDE}))
+  UNPIVOT (yhat FOR model IN (ann, gru, lstm, transformer))"""
+
+Q["ensemble_mean"] = f"""
+  SELECT split, row_id, {r('(ann + gru + lstm + transformer) / 4.0')} AS yhat, CAST(4 AS BIGINT) AS n_models
+  FROM ({PREDS_WIDE})"""
+
+Q["align_predictions"] = f"""
+  SELECT s.split, s.row_id, {r('0.5 * s.z_px + (-0.2) * s.z_disc')} AS yhat
+  FROM ({SCALED}) s JOIN (SELECT split, row_id FROM ({WINDOWS}) WHERE steps = 20) w
+    ON s.split = w.split AND s.row_id = w.row_id"""
+
+Q["attach_actuals"] = f"""
+  SELECT w.split, w.row_id, 'gru' AS model, {r('w.px_mean')} AS yhat, {r('p.' + F5)} AS actual
+  FROM ({WINDOWS}) w JOIN ({PANEL}) p ON w.row_id = p.row_id WHERE w.steps = 20"""
+
+Q["eval_metrics_scaled"] = f"""
+  SELECT split, model, count(*) AS n, {r('avg(abs(actual_z - yhat_z))')} AS mae,
+         {r('avg((actual_z - yhat_z) * (actual_z - yhat_z))')} AS mse
+  FROM ({SCORED}) WHERE actual_z IS NOT NULL GROUP BY split, model"""
+
+Q["residual_stats"] = f"""
+  SELECT split, model, count(*) AS n, {r('avg(actual - yhat)')} AS resid_mean,
+         {r('stddev_pop(actual - yhat)')} AS resid_std, {r('min(actual - yhat)')} AS resid_min,
+         {r('max(actual - yhat)')} AS resid_max
+  FROM ({SCORED}) WHERE actual IS NOT NULL GROUP BY split, model"""
+
+Q["scaler_fit"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column, {r('m_' + c)} AS mean, {r('s_' + c)} AS std FROM ({STATS})" for c in FEATS + [F5])
+
+Q["scaler_transform"] = "SELECT split, row_id, " + ", ".join(
+    f"{r('z_' + c)} AS {c}__z" for c in FEATS) + f" FROM ({SCALED})"
+
+Q["scaler_inverse"] = rr(FEATS, SPLIT, keep=["split", "row_id"])
+
+Q["feature_columns"] = ("SELECT CAST(position AS INTEGER) AS position, \"column\" FROM (VALUES "
+                        + ", ".join(f"({i}, '{c}')" for i, c in enumerate(FEATS))
+                        + ") t(position, \"column\")")
+
+# ------------------------------------------------------------------ dataset build
+
+RAW = f"""
+  SELECT ticker, date, row_id, qty, {fx.SPECIALS_SQL_PX} AS px, disc, tax, n, {F5} FROM ({PANEL})"""
+
+JOINED = f"""
+  SELECT r.*, m.macro_px, m.macro_n FROM ({RAW}) r LEFT JOIN ({fx.MACRO_SQL}) m ON r.date = m.date"""
+
+DS_COLS = ["qty", "px", "disc", "n", F5, "macro_px", "macro_n"]
+
+
+def fin(c: str) -> str:
+    return f"CASE WHEN isfinite({c}) THEN {c} END"
+
+
+CLEANED = "SELECT ticker, date, row_id, " + ", ".join(f"{fin(c)} AS {c}" for c in DS_COLS) + f" FROM ({JOINED})"
+
+FW = "(PARTITION BY ticker ORDER BY date, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+FILLED = ("SELECT * FROM (SELECT ticker, date, row_id, "
+          + ", ".join(f"last_value({c} IGNORE NULLS) OVER {FW} AS {c}" for c in DS_COLS)
+          + f" FROM ({CLEANED}) WHERE ticker IS NOT NULL) WHERE "
+          + " AND ".join(f"{c} IS NOT NULL" for c in ["ticker", "date", "row_id"] + DS_COLS))
+
+FINAL = f"""
+  SELECT * FROM ({FILLED}) WHERE {F5} > (SELECT quantile_cont({F5}, 0.01) FROM ({FILLED}))
+                             AND {F5} < (SELECT quantile_cont({F5}, 0.99) FROM ({FILLED}))"""
+
+Q["left_join_macro"] = rr(["macro_px", "macro_n"], JOINED, keep=["ticker", "date", "row_id"])
+Q["drop_columns"] = rr(DS_COLS, JOINED, keep=["ticker", "date", "row_id"])
+Q["inf_to_null"] = f"SELECT row_id, {r(fin('px'))} AS px, {r('qty')} AS qty FROM ({RAW})"
+Q["parse_dates"] = f"""
+  SELECT row_id, CAST(epoch(CAST(CAST(date AS VARCHAR) || 'T00:00:00Z' AS TIMESTAMPTZ)) AS BIGINT) AS epoch_s
+  FROM ({fx.PANEL_SQL})"""
+Q["ffill_dropna"] = rr(DS_COLS, FILLED, keep=["ticker", "date", "row_id"])
+Q["extreme_rows"] = f"""
+  SELECT ticker, date, row_id, {r(F5)} AS {F5}, CASE WHEN {F5} = mn THEN 'min' ELSE 'max' END AS extreme
+  FROM ({FILLED}) f CROSS JOIN (SELECT min({F5}) AS mn, max({F5}) AS mx FROM ({FILLED})) m
+  WHERE {F5} = mn OR {F5} = mx"""
+Q["quantiles"] = f"""
+  SELECT {r(f'quantile_cont({F5}, 0.01)')} AS q01, {r(f'quantile_cont({F5}, 0.99)')} AS q99 FROM ({FILLED})"""
+Q["quantile_trim"] = rr(DS_COLS, FINAL, keep=["ticker", "date", "row_id"])
+Q["write_read_back"] = Q["quantile_trim"]
+Q["scan_panel"] = rr(["qty", "px", "disc", "tax", "n"], fx.PANEL_SQL, keep=["ticker", "date", "row_id"])
+
+JOINED_DBL = ["qty", "px", "disc", "tax", "n", F5, "macro_px", "macro_n"]
+
+
+def miss(c: str, dbl: bool) -> str:
+    return f"({c} IS NULL OR isnan({c}))" if dbl else f"({c} IS NULL)"
+
+
+Q["overview"] = (f"SELECT count(*) AS n_rows, CAST(11 AS INTEGER) AS n_cols, min(date) AS min_time, "
+                 f"max(date) AS max_time, CAST("
+                 + " + ".join(f"sum(CASE WHEN {miss(c, c in JOINED_DBL)} THEN 1 ELSE 0 END)"
+                              for c in ["ticker", "date", "row_id"] + JOINED_DBL)
+                 + f" AS BIGINT) AS n_missing FROM ({JOINED})")
+
+CLEAN_TYPES = [("ticker", "string"), ("date", "date"), ("row_id", "bigint")] + [(c, "double") for c in DS_COLS]
+Q["column_info"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column, '{t}' AS dtype, CAST(sum(CASE WHEN NOT {miss(c, t == 'double')} THEN 1 ELSE 0 END) "
+    f"AS BIGINT) AS non_null FROM ({CLEANED})" for c, t in CLEAN_TYPES)
+Q["null_map"] = " UNION ALL ".join(
+    f"SELECT CAST(date_trunc('month', date) AS DATE) AS bucket, '{c}' AS column, "
+    f"CAST(sum(CASE WHEN {miss(c, t == 'double')} THEN 1 ELSE 0 END) AS BIGINT) AS n_missing "
+    f"FROM ({CLEANED}) GROUP BY 1" for c, t in CLEAN_TYPES if c != "date")
+Q["distinct_entities"] = f"SELECT DISTINCT ticker FROM ({FINAL})"
+Q["describe_target"] = f"""
+  SELECT count(*) AS count, {r(f'avg({F5})')} AS mean, {r(f'stddev_samp({F5})')} AS std, {r(f'min({F5})')} AS min,
+         {r(f'quantile_cont({F5}, 0.25)')} AS q25, {r(f'quantile_cont({F5}, 0.5)')} AS q50,
+         {r(f'quantile_cont({F5}, 0.75)')} AS q75, {r(f'max({F5})')} AS max,
+         {r(f'quantile_cont({F5}, 0.5)')} AS median
+  FROM ({FINAL}) WHERE {F5} IS NOT NULL AND NOT isnan({F5})"""
+Q["value_counts"] = f"SELECT ticker, count(*) AS n FROM ({FINAL}) GROUP BY ticker ORDER BY n DESC, ticker LIMIT 10"
+Q["histogram"] = f"""
+  WITH b AS (SELECT {F5} AS x FROM ({FINAL}) WHERE {F5} IS NOT NULL AND NOT isnan({F5})),
+       rg AS (SELECT min(x) AS lo, max(x) AS hi FROM b),
+       c AS (SELECT CASE WHEN hi - lo = 0 THEN 1
+                         ELSE least(CAST(floor((x - lo) / (hi - lo) * 50) AS INTEGER) + 1, 50) END AS bin,
+                    count(*) AS n FROM b CROSS JOIN rg GROUP BY 1)
+  SELECT CAST(g.bin AS INTEGER) AS bin, {r('lo + (hi - lo) * (g.bin - 1) / 50')} AS lo_edge,
+         {r('lo + (hi - lo) * g.bin / 50')} AS hi_edge, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+  FROM range(1, 51) g(bin) CROSS JOIN rg LEFT JOIN c ON c.bin = g.bin"""
+Q["top_k"] = f"""
+  (SELECT 'smallest' AS kind, ticker, date, row_id, {r(F5)} AS {F5} FROM ({FILLED})
+     WHERE {F5} IS NOT NULL ORDER BY {F5}, row_id LIMIT 3)
+  UNION ALL
+  (SELECT 'largest' AS kind, ticker, date, row_id, {r(F5)} AS {F5} FROM ({FILLED})
+     WHERE {F5} IS NOT NULL ORDER BY {F5} DESC, row_id LIMIT 3)
+  UNION ALL
+  (SELECT 'head' AS kind, ticker, date, row_id, {r(F5)} AS {F5} FROM ({FILLED}) ORDER BY row_id LIMIT 3)"""

@@ -13,8 +13,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.operators.evaluate import eval_metrics, model_comparison
+from tidepool.functions.columns import feature_columns
+from tidepool.operators.clean import drop_columns, extreme_rows, inf_to_null, parse_dates
+from tidepool.operators.evaluate import (align_predictions, attach_actuals, ensemble_mean, eval_metrics,
+                                         model_comparison, residual_stats)
+from tidepool.operators.profile import (column_info, describe, distinct_values, head, histogram, null_map,
+                                        overview, top_k, value_counts)
+from tidepool.operators.quantile import exact_quantiles
+from tidepool.operators.scale import scaler_inverse, scaler_long
+from tidepool.operators.score import batch_score
+from tidepool.operators.split import split_report
+from tidepool.operators.windows import window_feature
+from tidepool.plans import dataset as ds
 from tidepool.plans import ensemble as ens
+from tidepool.plans import fixtures as fx
+from tidepool.session import scratch_path
+from tidepool.sources.files import read_table, scan_csv, write_csv, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +63,207 @@ def q_eval_metrics(spark, sf):
 def q_model_comparison(spark, sf):
     m = eval_metrics(ens.scored(spark, sf).filter(F.col("split") == "test"), ["model"])
     return rounded(model_comparison(m, "mae"))
+
+
+def row_model_expr(scorer, suffix: str):
+    """A row model applied to plain columns ``<feature><suffix>``."""
+    total = F.lit(float(scorer.bias))
+    for feat, w in scorer.weights.items():
+        total = total + F.lit(float(w)) * F.col(feat + suffix)
+    return total
+
+
+@register("temporal_split")
+def q_temporal_split(spark, sf):
+    return ens.split_panel(spark, sf).select("split", "ticker", "row_id", "date")
+
+
+@register("split_report")
+def q_split_report(spark, sf):
+    return split_report(ens.split_panel(spark, sf), "date")
+
+
+@register("lookback_windows")
+def q_lookback_windows(spark, sf):
+    w, _ = ens.panel_windows(spark, sf)
+    i_px, i_qty = fx.PANEL_FEATURES.index("px"), fx.PANEL_FEATURES.index("qty")
+    return rounded(w.select("split", "ticker", "row_id",
+                            F.size("seq").alias("n_steps"),
+                            window_feature("seq", i_px, "first", ens.LOOK_BACK).alias("px_first"),
+                            window_feature("seq", i_px, "last", ens.LOOK_BACK).alias("px_last"),
+                            window_feature("seq", i_qty, "sum", ens.LOOK_BACK).alias("qty_sum")))
+
+
+@register("batch_score")
+def q_batch_score(spark, sf):
+    w, _ = ens.panel_windows(spark, sf)
+    return rounded(batch_score(w, ens.MODELS, fx.PANEL_FEATURES, ens.LOOK_BACK, ["split", "row_id"]))
+
+
+@register("ensemble_mean")
+def q_ensemble_mean(spark, sf):
+    w, _ = ens.panel_windows(spark, sf)
+    long = batch_score(w, ens.MODELS, fx.PANEL_FEATURES, ens.LOOK_BACK, ["split", "row_id"])
+    return rounded(ensemble_mean(long, ["split", "row_id"]).drop("model"))
+
+
+@register("align_predictions")
+def q_align_predictions(spark, sf):
+    z, _ = ens.scaled_panel(spark, sf)
+    ann = ens.MODELS[0]
+    row_preds = z.select("split", "row_id",
+                         row_model_expr(ann, "__z").alias("yhat"))
+    w, _ = ens.panel_windows(spark, sf)
+    return rounded(align_predictions(w.select("split", "row_id"), row_preds, ["split", "row_id"]))
+
+
+@register("attach_actuals")
+def q_attach_actuals(spark, sf):
+    w, stats = ens.panel_windows(spark, sf)
+    preds = batch_score(w, [ens.MODELS[1]], fx.PANEL_FEATURES, ens.LOOK_BACK, ["split", "row_id"])
+    truth = fx.daily_panel(spark, sf, with_label=True)
+    return rounded(attach_actuals(preds, truth, "row_id", fx.TARGET))
+
+
+@register("eval_metrics_scaled")
+def q_eval_metrics_scaled(spark, sf):
+    return rounded(eval_metrics(ens.scored(spark, sf), y="actual_z", yhat="yhat_z"))
+
+
+@register("residual_stats")
+def q_residual_stats(spark, sf):
+    return rounded(residual_stats(ens.scored(spark, sf)))
+
+
+@register("scaler_fit")
+def q_scaler_fit(spark, sf):
+    s = ens.split_panel(spark, sf)
+    return rounded(scaler_long(ens.fitted_scaler(s), fx.PANEL_FEATURES + [fx.TARGET]))
+
+
+@register("scaler_transform")
+def q_scaler_transform(spark, sf):
+    z, _ = ens.scaled_panel(spark, sf)
+    return rounded(z.select("split", "row_id", *ens.SCALED))
+
+
+@register("scaler_inverse")
+def q_scaler_inverse(spark, sf):
+    z, stats = ens.scaled_panel(spark, sf)
+    back = scaler_inverse(z.select("split", "row_id", *[F.col(f"{c}__z").alias(c) for c in fx.PANEL_FEATURES]),
+                          stats, fx.PANEL_FEATURES)
+    return rounded(back)
+
+
+@register("feature_columns")
+def q_feature_columns(spark, sf):
+    panel = fx.daily_panel(spark, sf, with_label=True)
+    feats = feature_columns(panel.columns, targets=[fx.TARGET])
+    return (panel.limit(1)
+                 .select(F.posexplode(F.array(*[F.lit(c) for c in feats])).alias("position", "column"))
+                 .withColumn("position", F.col("position").cast("int")))
+
+
+# ---------------------------------------------------------------- dataset build (plan A)
+
+@register("left_join_macro")
+def q_left_join_macro(spark, sf):
+    return rounded(ds.joined(spark, sf).select("ticker", "date", "row_id", "macro_px", "macro_n"))
+
+
+@register("drop_columns")
+def q_drop_columns(spark, sf):
+    return rounded(drop_columns(ds.joined(spark, sf), ds.DROP))
+
+
+@register("inf_to_null")
+def q_inf_to_null(spark, sf):
+    return rounded(inf_to_null(ds.raw(spark, sf)).select("row_id", "px", "qty"))
+
+
+@register("parse_dates")
+def q_parse_dates(spark, sf):
+    p = fx.daily_panel(spark, sf, with_label=False)
+    iso = p.select("row_id", F.concat(F.col("date").cast("string"), F.lit("T00:00:00Z")).alias("date_text"))
+    out = parse_dates(iso, "date_text", strict=True, out="ts")
+    return out.select("row_id", F.unix_seconds("ts").alias("epoch_s"))
+
+
+@register("ffill_dropna")
+def q_ffill_dropna(spark, sf):
+    return rounded(ds.filled(spark, sf))
+
+
+@register("extreme_rows")
+def q_extreme_rows(spark, sf):
+    return rounded(extreme_rows(ds.filled(spark, sf), fx.TARGET).select("ticker", "date", "row_id", fx.TARGET, "extreme"))
+
+
+@register("quantiles")
+def q_quantiles(spark, sf):
+    return rounded(exact_quantiles(ds.filled(spark, sf), fx.TARGET, [0.01, 0.99]))
+
+
+@register("quantile_trim")
+def q_quantile_trim(spark, sf):
+    return rounded(ds.final(spark, sf))
+
+
+@register("overview")
+def q_overview(spark, sf):
+    return overview(ds.joined(spark, sf), "date")
+
+
+@register("column_info")
+def q_column_info(spark, sf):
+    return column_info(ds.cleaned(spark, sf))
+
+
+@register("null_map")
+def q_null_map(spark, sf):
+    return null_map(ds.cleaned(spark, sf), "date")
+
+
+@register("distinct_entities")
+def q_distinct_entities(spark, sf):
+    return distinct_values(ds.final(spark, sf), "ticker")
+
+
+@register("describe_target")
+def q_describe_target(spark, sf):
+    return rounded(describe(ds.final(spark, sf), fx.TARGET))
+
+
+@register("value_counts")
+def q_value_counts(spark, sf):
+    return value_counts(ds.final(spark, sf), "ticker", 10)
+
+
+@register("histogram")
+def q_histogram(spark, sf):
+    return rounded(histogram(ds.final(spark, sf), fx.TARGET, 50))
+
+
+@register("top_k")
+def q_top_k(spark, sf):
+    f = ds.filled(spark, sf)
+    cols = ["ticker", "date", "row_id", fx.TARGET]
+    lo = top_k(f, fx.TARGET, 3, largest=False).select(F.lit("smallest").alias("kind"), *cols)
+    hi = top_k(f, fx.TARGET, 3, largest=True).select(F.lit("largest").alias("kind"), *cols)
+    hd = head(f, 3).select(F.lit("head").alias("kind"), *cols)
+    return rounded(lo.unionByName(hi).unionByName(hd))
+
+
+@register("write_read_back")
+def q_write_read_back(spark, sf):
+    path = scratch_path(spark, "final")
+    write_table(ds.final(spark, sf), path)
+    return rounded(read_table(spark, path))
+
+
+@register("scan_panel")
+def q_scan_panel(spark, sf):
+    path = scratch_path(spark, "panel-csv")
+    p = fx.daily_panel(spark, sf, with_label=False)
+    write_csv(p, path)
+    return rounded(scan_csv(spark, path, p.schema))
