@@ -230,3 +230,209 @@ Q["top_k"] = f"""
      WHERE {F5} IS NOT NULL ORDER BY {F5} DESC, row_id LIMIT 3)
   UNION ALL
   (SELECT 'head' AS kind, ticker, date, row_id, {r(F5)} AS {F5} FROM ({FILLED}) ORDER BY row_id LIMIT 3)"""
+
+# ------------------------------------------------------------------ serving and monitoring
+
+EV = fx.EVENTS_SQL
+CUT = f"TIMESTAMP '{fx.DRIFT_CUT}'"
+EWIN = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+
+REQ = f"""
+  SELECT event_id, user_id, ts,
+         CASE event_id % 50
+           WHEN 1 THEN seq[1:10]
+           WHEN 2 THEN list_concat(seq[1:19], [['NaN'::DOUBLE, 'NaN'::DOUBLE]])
+           WHEN 3 THEN list_concat(seq[1:19], [['Infinity'::DOUBLE, 1.0::DOUBLE]])
+           WHEN 4 THEN list_transform(seq, lambda r: r[1:1])
+           WHEN 5 THEN list_concat(seq[1:19], [[1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE]])
+           WHEN 6 THEN list_concat(seq[1:19], [[NULL::DOUBLE, 1.0::DOUBLE]])
+           ELSE seq END AS sequence
+  FROM (SELECT event_id, user_id, ts, array_agg([value, k] ORDER BY ts, event_id) OVER {EWIN} AS seq,
+               count(*) OVER {EWIN} AS steps FROM ({EV}))
+  WHERE steps = 20"""
+
+VALIDATED = f"""
+  SELECT *, CASE
+    WHEN sequence IS NULL OR len(list_filter(sequence, lambda r: r IS NULL
+         OR len(list_filter(r, lambda x: x IS NULL)) > 0)) > 0 THEN 'null_value'
+    WHEN len(sequence) = 0 THEN 'bad_length'
+    WHEN len(list_filter(sequence, lambda r: len(r) <> len(sequence[1]))) > 0 THEN 'ragged'
+    WHEN len(sequence) <> 20 THEN 'bad_length'
+    WHEN len(list_filter(sequence, lambda r: len(list_filter(r, lambda x: isnan(x) OR isinf(x))) > 0)) > 0
+         THEN 'non_finite'
+    WHEN len(sequence[1]) <> 2 THEN 'bad_width'
+  END AS error_code
+  FROM ({REQ})"""
+
+VALID = f"SELECT * FROM ({VALIDATED}) WHERE error_code IS NULL"
+INVALID = f"SELECT * FROM ({VALIDATED}) WHERE error_code IS NOT NULL"
+
+EVSTATS = (f"SELECT avg(value) AS m_v, {_std1('value')} AS s_v, avg(k) AS m_k, {_std1('k')} AS s_k "
+           f"FROM ({EV}) WHERE ts < {CUT}")
+
+SREQ_Z = f"""
+  SELECT v.event_id, v.ts,
+         (v.sequence[-1][1] - m_v) / s_v AS zl_v,
+         list_avg(list_transform(v.sequence, lambda r: (r[1] - m_v) / s_v)) AS zm_v,
+         (v.sequence[1][1] - m_v) / s_v AS zf_v,
+         (v.sequence[1][2] - m_k) / s_k AS zf_k, m_v, s_v
+  FROM ({VALID}) v CROSS JOIN ({EVSTATS})"""
+
+SREQ_WIDE = f"""
+  SELECT event_id, ts, m_v, s_v, 0.5 * zl_v AS ann, zm_v AS gru, zl_v AS lstm, 0.5 * zf_v + 0.1 * zf_k AS transformer
+  FROM ({SREQ_Z})"""
+
+SREQ = f"""
+  SELECT event_id, ts, ann * s_v + m_v AS ann, gru * s_v + m_v AS gru, lstm * s_v + m_v AS lstm,
+         transformer * s_v + m_v AS transformer, ((ann + gru + lstm + transformer) / 4.0) * s_v + m_v AS ensemble
+  FROM ({SREQ_WIDE})"""
+
+PLOG = f"""
+  SELECT event_id AS id, ts, model, prediction, (event_id % 5000) / 1000.0::DOUBLE AS latency_s
+  FROM ({SREQ}) UNPIVOT (prediction FOR model IN (ann, gru, lstm, transformer, ensemble))"""
+
+Q["validate_sequences"] = f"SELECT event_id, error_code FROM ({VALIDATED})"
+Q["last_step"] = f"""
+  SELECT event_id, {r('sequence[-1][1]')} AS step_value, {r('sequence[-1][2]')} AS step_k FROM ({VALID})"""
+Q["flatten_named"] = f"""
+  SELECT event_id, CAST(pos AS INTEGER) AS position,
+         CASE WHEN pos < 2 THEN ['value', 'k'][pos + 1] ELSE 'feature_' || CAST(pos AS VARCHAR) END AS name,
+         {r('value')} AS value
+  FROM (SELECT event_id, unnest(flat) AS value, generate_subscripts(flat, 1) - 1 AS pos
+        FROM (SELECT event_id, flatten(sequence) AS flat FROM ({VALID})))"""
+Q["position_encoding"] = f"""
+  SELECT event_id, {r('sum(step[1] + sin(t - 1))')} AS value_pe_sum, {r('sum(step[2] + cos(t - 1))')} AS k_pe_sum
+  FROM (SELECT event_id, unnest(sequence) AS step, generate_subscripts(sequence, 1) AS t FROM ({VALID}))
+  GROUP BY event_id"""
+Q["score_requests"] = rr(["ann", "gru", "lstm", "transformer", "ensemble"], SREQ, keep=["event_id"])
+
+_le = ", ".join(
+    f"CAST(sum(CASE WHEN latency_s <= {b} THEN 1 ELSE 0 END) AS BIGINT) AS le_{str(b).replace('.', '_')}"
+    for b in [0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0])
+Q["request_metrics"] = f"""
+  SELECT model, count(*) AS n_predictions, {r('sum(latency_s)')} AS latency_sum, {_le}, count(*) AS le_inf,
+         {r("arg_max(prediction, {'ts': ts, 'id': id})")} AS last_value,
+         (SELECT count(*) FROM ({INVALID})) AS validation_errors
+  FROM ({PLOG}) GROUP BY model"""
+Q["prediction_log"] = f"""
+  SELECT id, model, {r('prediction')} AS prediction, CAST(40 AS INTEGER) AS n_features FROM ({PLOG})"""
+Q["last_n"] = f"""
+  SELECT event_id, user_id, {r('value')} AS value FROM ({EV}) ORDER BY ts DESC, event_id DESC LIMIT 1000"""
+SAMPLE_ORDER = "(event_id * 2654435761 + 42) % 4294967296, event_id"
+Q["seeded_sample"] = f"SELECT event_id FROM ({EV}) WHERE ts < {CUT} ORDER BY {SAMPLE_ORDER} LIMIT 1000"
+
+# drift ----------------------------------------------------------------
+
+DNUM = {"value": "ks", "k": "wasserstein", "user_id": "ks", "hour": "wasserstein"}
+DFRAME = (f"SELECT event_id, ts, value, k, CAST(user_id AS DOUBLE) AS user_id, CAST(hour(ts) AS DOUBLE) AS hour, "
+          f"event_type FROM ({EV})")
+
+
+def ks_p(d: str, n: str, m: str) -> str:
+    ne = f"sqrt(({n}) * ({m}) / (({n}) + ({m})))"
+    lam = f"(({ne} + 0.12 + 0.11 / {ne}) * ({d}))"
+    series = f"list_sum(list_transform(range(1, 101), lambda kk: pow(-1, kk - 1) * exp(-2 * kk * kk * {lam} * {lam})))"
+    return f"CASE WHEN {lam} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * {series})) END"
+
+
+def drift_columns_sql(ref: str, cur: str) -> str:
+    long = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, '{side}' AS side, CAST({c} AS DOUBLE) AS x FROM ({src})"
+        for c in DNUM for side, src in (("ref", ref), ("cur", cur)))
+    cat = " UNION ALL ".join(f"SELECT 'event_type' AS col, '{side}' AS side, event_type AS v FROM ({src})"
+                             for side, src in (("ref", ref), ("cur", cur)))
+    meth = "CASE tot.col " + " ".join(f"WHEN '{c}' THEN '{m}'" for c, m in DNUM.items()) + " END"
+    return f"""
+  WITH lg AS (SELECT * FROM ({long}) WHERE x IS NOT NULL AND NOT isnan(x)),
+  cnt AS (SELECT col, x, sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS c_ref,
+                 sum(CASE WHEN side = 'cur' THEN 1 ELSE 0 END) AS c_cur FROM lg GROUP BY col, x),
+  tot AS (SELECT col, CAST(sum(c_ref) AS BIGINT) AS n_ref, CAST(sum(c_cur) AS BIGINT) AS n_cur FROM cnt GROUP BY col),
+  cum AS (SELECT col, x, sum(c_ref) OVER (PARTITION BY col ORDER BY x) AS cr,
+                 sum(c_cur) OVER (PARTITION BY col ORDER BY x) AS cc,
+                 lead(x) OVER (PARTITION BY col ORDER BY x) AS nx FROM cnt),
+  g AS (SELECT cum.col, abs(cr / n_ref - cc / n_cur) AS gap, nx - x AS dx FROM cum JOIN tot ON cum.col = tot.col
+        WHERE n_ref > 0 AND n_cur > 0),
+  st AS (SELECT col, max(gap) AS d, sum(coalesce(gap * dx, 0.0)) AS w FROM g GROUP BY col),
+  sd AS (SELECT col, stddev_pop(x) AS sd FROM lg WHERE side = 'ref' GROUP BY col),
+  num AS (SELECT tot.col, {meth} AS method, n_ref, n_cur,
+                 CASE WHEN {meth} = 'ks' THEN d ELSE w / (CASE WHEN sd IS NULL OR sd = 0 THEN 1.0 ELSE sd END) END AS stat,
+                 CASE WHEN {meth} = 'ks' THEN {ks_p('d', 'n_ref', 'n_cur')} END AS p_value,
+                 CASE WHEN {meth} = 'ks' THEN 0.05 ELSE 0.1 END AS threshold
+          FROM tot LEFT JOIN st ON tot.col = st.col LEFT JOIN sd ON tot.col = sd.col),
+  cc AS (SELECT col, v, sum(CASE WHEN side = 'ref' THEN 1 ELSE 0 END) AS c_ref,
+                sum(CASE WHEN side = 'cur' THEN 1 ELSE 0 END) AS c_cur
+         FROM ({cat}) WHERE v IS NOT NULL GROUP BY col, v),
+  ct AS (SELECT col, CAST(sum(c_ref) AS BIGINT) AS n_ref, CAST(sum(c_cur) AS BIGINT) AS n_cur FROM cc GROUP BY col),
+  sh AS (SELECT cc.col, c_ref / n_ref AS p, c_cur / n_cur AS q FROM cc JOIN ct ON cc.col = ct.col
+         WHERE n_ref > 0 AND n_cur > 0),
+  js AS (SELECT col, sqrt(greatest(sum(0.5 * CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0.0 END
+                                     + 0.5 * CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0.0 END), 0.0)) AS js
+         FROM sh GROUP BY col),
+  catr AS (SELECT ct.col, 'js' AS method, n_ref, n_cur, js AS stat, CAST(NULL AS DOUBLE) AS p_value, 0.1 AS threshold
+           FROM ct LEFT JOIN js ON ct.col = js.col),
+  allc AS (SELECT * FROM num UNION ALL SELECT * FROM catr)
+  SELECT col AS "column", method, n_ref, n_cur, stat, p_value, threshold,
+         CASE WHEN n_ref = 0 OR n_cur = 0 OR stat IS NULL THEN 'no_data' ELSE 'ok' END AS status,
+         CASE WHEN n_ref = 0 OR n_cur = 0 OR stat IS NULL THEN false
+              WHEN method = 'ks' THEN p_value < threshold ELSE stat >= threshold END AS drifted
+  FROM allc"""
+
+
+def drift_dataset_sql(ref: str, cur: str) -> str:
+    return f"""
+  SELECT count(*) AS n_columns, CAST(sum(CAST(drifted AS INTEGER)) AS BIGINT) AS n_drifted,
+         avg(CAST(drifted AS DOUBLE)) AS drift_share, 'success' AS status,
+         avg(CAST(drifted AS DOUBLE)) > 0.3 AS dataset_drift,
+         CASE WHEN NOT (avg(CAST(drifted AS DOUBLE)) > 0.3) THEN 'none'
+              WHEN avg(CAST(drifted AS DOUBLE)) > 0.5 THEN 'critical' ELSE 'warning' END AS severity
+  FROM ({drift_columns_sql(ref, cur)})"""
+
+
+DREF = f"SELECT * FROM ({DFRAME}) WHERE ts < {CUT}"
+DCUR = f"SELECT * FROM ({DFRAME}) WHERE ts >= {CUT}"
+DCUR_SHIFT = f"SELECT * REPLACE (value * 1.5 AS value) FROM ({DCUR}) WHERE event_type <> 'view'"
+
+_dc = drift_columns_sql(DREF, DCUR)
+Q["drift_columns"] = f"""
+  SELECT "column", method, n_ref, n_cur, {r('stat')} AS stat, {r('p_value')} AS p_value,
+         {r('threshold')} AS threshold, status, drifted FROM ({_dc})"""
+
+
+def _dd(ref: str, cur: str, scenario: str) -> str:
+    return (f"SELECT n_columns, n_drifted, {r('drift_share')} AS drift_share, status, dataset_drift, severity, "
+            f"'{scenario}' AS scenario FROM ({drift_dataset_sql(ref, cur)})")
+
+
+Q["drift_dataset"] = _dd(DREF, DCUR, "baseline") + " UNION ALL " + _dd(DREF, DCUR_SHIFT, "shifted")
+
+ENS_LOG = f"SELECT * FROM ({PLOG}) WHERE model = 'ensemble'"
+Q["drift_prediction"] = f"""
+  SELECT n_window, {r('mean')} AS mean, {r('std')} AS std, {r('mn')} AS min, {r('mx')} AS max,
+         {r('''CASE WHEN n_window < 50 THEN 0.0 WHEN std IS NULL OR std = 0 THEN 0.0
+              ELSE least(1.0, std / greatest(abs(mean), 0.01)) END''')} AS drift_score
+  FROM (SELECT count(prediction) AS n_window, avg(prediction) AS mean, stddev_pop(prediction) AS std,
+               min(prediction) AS mn, max(prediction) AS mx
+        FROM (SELECT * FROM ({ENS_LOG}) ORDER BY ts DESC, id DESC LIMIT 100))"""
+
+CUR_WIN = f"SELECT * FROM ({DCUR}) ORDER BY ts DESC, event_id DESC LIMIT 1000"
+STATUS = f"""
+  SELECT (SELECT count(*) FROM ({DREF})) AS reference_samples,
+         (SELECT CAST(least(count(*), 1000) AS BIGINT) FROM ({CUR_WIN})) AS current_window_size,
+         (SELECT CAST(least(count(*), 1000) AS BIGINT) FROM ({ENS_LOG})) AS prediction_window_size,
+         (SELECT CAST(epoch(max(ts)) AS BIGINT) FROM ({ENS_LOG})) AS last_drift_check,
+         0.3 AS drift_threshold, CAST(1000 AS INTEGER) AS window_size"""
+Q["drift_status"] = STATUS
+
+REF_SAMPLE = f"SELECT * FROM ({DREF}) ORDER BY {SAMPLE_ORDER} LIMIT 1000"
+Q["drift_report"] = f"""
+  SELECT CASE WHEN s.current_window_size < 10 THEN 'insufficient_data' ELSE 'success' END AS status,
+         s.reference_samples, s.current_window_size, s.prediction_window_size, {r('s.drift_threshold')} AS drift_threshold,
+         s.window_size, v.status AS check_status, v.dataset_drift, {r('v.drift_share')} AS drift_share, v.severity,
+         CASE WHEN v.dataset_drift THEN 'Consider retraining the model' ELSE 'No action required' END AS recommendation
+  FROM ({STATUS}) s CROSS JOIN ({drift_dataset_sql(REF_SAMPLE, CUR_WIN)}) v"""
+
+Q["run_log"] = f"""
+  SELECT model || '_run' AS run_name, model, {r('test_mae')} AS test_mae,
+         CAST(row_number() OVER (ORDER BY test_mae, model || '_run') AS INTEGER) AS rank
+  FROM (SELECT model, avg(abs(actual - yhat)) AS test_mae FROM ({SCORED})
+        WHERE actual IS NOT NULL AND split = 'test' GROUP BY model)"""

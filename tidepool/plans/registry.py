@@ -24,11 +24,18 @@ from tidepool.operators.scale import scaler_inverse, scaler_long
 from tidepool.operators.score import batch_score
 from tidepool.operators.split import split_report
 from tidepool.operators.windows import window_feature
+from tidepool.functions.position import add_position_encoding
+from tidepool.operators.drift import check_drift, drift_columns, drift_prediction, drift_report, drift_status
+from tidepool.operators.profile import seeded_sample
+from tidepool.operators.runs import best_runs, run_records
+from tidepool.operators.validate import flatten_named, last_step, split_valid
+from tidepool.operators.windows import last_n
 from tidepool.plans import dataset as ds
+from tidepool.plans import monitor as mon
 from tidepool.plans import ensemble as ens
 from tidepool.plans import fixtures as fx
 from tidepool.session import scratch_path
-from tidepool.sources.files import read_table, scan_csv, write_csv, write_table
+from tidepool.sources.files import append, read_table, scan_csv, write_csv, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,3 +274,137 @@ def q_scan_panel(spark, sf):
     p = fx.daily_panel(spark, sf, with_label=False)
     write_csv(p, path)
     return rounded(scan_csv(spark, path, p.schema))
+
+
+# ---------------------------------------------------------------- serving and monitoring (plan C)
+
+DRIFT_NUMERIC = ["value", "k", "user_id", "hour"]
+DRIFT_CATEGORICAL = ["event_type"]
+# fixed values: test per numeric column in the registered drift queries
+DRIFT_METHOD = {"value": "ks", "k": "wasserstein", "user_id": "ks", "hour": "wasserstein"}
+
+
+def drift_frame(df: DataFrame) -> DataFrame:
+    return df.select("event_id", "ts", "value", "k", F.col("user_id").cast("double").alias("user_id"),
+                     F.hour("ts").cast("double").alias("hour"), "event_type")
+
+
+@register("validate_sequences")
+def q_validate_sequences(spark, sf):
+    return mon.validated(spark, sf).select("event_id", "error_code")
+
+
+@register("last_step")
+def q_last_step(spark, sf):
+    good, _ = split_valid(mon.validated(spark, sf))
+    ls = last_step(F.col("sequence"))
+    return rounded(good.select("event_id", ls[0].alias("step_value"), ls[1].alias("step_k")))
+
+
+@register("flatten_named")
+def q_flatten_named(spark, sf):
+    good, _ = split_valid(mon.validated(spark, sf))
+    return rounded(flatten_named(good, "sequence", mon.EV_FEATURES, keep=["event_id"]))
+
+
+@register("position_encoding")
+def q_position_encoding(spark, sf):
+    good, _ = split_valid(mon.validated(spark, sf))
+    enc = add_position_encoding(F.col("sequence"), len(mon.EV_FEATURES))
+    return rounded(good.select("event_id", enc.alias("enc"))
+                       .select("event_id",
+                               F.aggregate("enc", F.lit(0.0), lambda a, r: a + r[0]).alias("value_pe_sum"),
+                               F.aggregate("enc", F.lit(0.0), lambda a, r: a + r[1]).alias("k_pe_sum")))
+
+
+@register("score_requests")
+def q_score_requests(spark, sf):
+    return rounded(mon.score_requests(spark, sf).drop("seq_z", "user_id", "ts"))
+
+
+@register("request_metrics")
+def q_request_metrics(spark, sf):
+    _, bad = split_valid(mon.validated(spark, sf))
+    return rounded(mon.request_metrics(mon.prediction_log(spark, sf), bad))
+
+
+@register("prediction_log")
+def q_prediction_log(spark, sf):
+    path = scratch_path(spark, "prediction-log")
+    log = mon.prediction_log(spark, sf)
+    append(log.filter(F.col("model") == "ensemble"), path)
+    append(log.filter(F.col("model") != "ensemble"), path)
+    return read_table(spark, path).select("id", "model", F.round("prediction", 6).alias("prediction"),
+                                          F.size("features").alias("n_features"))
+
+
+@register("last_n")
+def q_last_n(spark, sf):
+    return rounded(last_n(mon.events(spark, sf), mon.WINDOW_SIZE, ["ts", "event_id"])
+                   .select("event_id", "user_id", "value"))
+
+
+@register("seeded_sample")
+def q_seeded_sample(spark, sf):
+    return seeded_sample(mon.reference_period(spark, sf), mon.WINDOW_SIZE, 42, "event_id").select("event_id")
+
+
+@register("drift_columns")
+def q_drift_columns(spark, sf):
+    ref = drift_frame(mon.reference_period(spark, sf))
+    cur = drift_frame(mon.current_period(spark, sf))
+    return rounded(drift_columns(ref, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD))
+
+
+def _shifted(cur: DataFrame) -> DataFrame:
+    return cur.withColumn("value", F.col("value") * 1.5).filter(F.col("event_type") != "view")
+
+
+@register("drift_dataset")
+def q_drift_dataset(spark, sf):
+    ref = drift_frame(mon.reference_period(spark, sf))
+    cur = drift_frame(mon.current_period(spark, sf))
+    base = check_drift(ref, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD)
+    shifted = check_drift(ref, _shifted(cur), DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD)
+    return rounded(base.withColumn("scenario", F.lit("baseline"))
+                   .unionByName(shifted.withColumn("scenario", F.lit("shifted"))))
+
+
+@register("drift_prediction")
+def q_drift_prediction(spark, sf):
+    log = mon.prediction_log(spark, sf).filter(F.col("model") == "ensemble")
+    return rounded(drift_prediction(log, "prediction", ["ts", "id"]))
+
+
+def _monitor_inputs(spark, sf):
+    ref = drift_frame(mon.reference_period(spark, sf))
+    cur = drift_frame(last_n(mon.current_period(spark, sf), mon.WINDOW_SIZE, ["ts", "event_id"]))
+    preds = last_n(mon.prediction_log(spark, sf).filter(F.col("model") == "ensemble"), mon.WINDOW_SIZE,
+                   ["ts", "id"])
+    return ref, cur, preds
+
+
+@register("drift_status")
+def q_drift_status(spark, sf):
+    ref, cur, preds = _monitor_inputs(spark, sf)
+    st = drift_status(ref, cur, preds, mon.WINDOW_SIZE)
+    return st.withColumn("last_drift_check", F.unix_seconds("last_drift_check"))
+
+
+@register("drift_report")
+def q_drift_report(spark, sf):
+    ref, cur, preds = _monitor_inputs(spark, sf)
+    st = drift_status(ref, cur, preds, mon.WINDOW_SIZE).drop("last_drift_check")
+    sample = seeded_sample(ref, mon.WINDOW_SIZE, 42, "event_id")
+    verdict = check_drift(sample, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD)
+    return rounded(drift_report(st, verdict))
+
+
+@register("run_log")
+def q_run_log(spark, sf):
+    m = eval_metrics(ens.scored(spark, sf))
+    runs = run_records(m, params={"look_back": str(ens.LOOK_BACK), "target": fx.TARGET,
+                                  "split_train": fx.SPLIT_TRAIN, "split_val": fx.SPLIT_VAL})
+    path = scratch_path(spark, "run-log")
+    append(runs, path)
+    return rounded(best_runs(read_table(spark, path), "test_mae"))
