@@ -436,3 +436,11 @@ Q["run_log"] = f"""
          CAST(row_number() OVER (ORDER BY test_mae, model || '_run') AS INTEGER) AS rank
   FROM (SELECT model, avg(abs(actual - yhat)) AS test_mae FROM ({SCORED})
         WHERE actual IS NOT NULL AND split = 'test' GROUP BY model)"""
+
+# ------------------------------------------------------------------ streaming twins
+Q["stream_ingest"] = Q["validate_sequences"]
+Q["stream_last_n"] = Q["last_n"]
+Q["stream_metrics"] = f"""
+  SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start, model, count(*) AS n_predictions,
+         {r('sum(latency_s)')} AS latency_sum, {r('sum(prediction)')} AS prediction_sum
+  FROM ({PLOG}) GROUP BY 1, 2"""

@@ -20,7 +20,8 @@ from tidepool.operators.evaluate import (align_predictions, attach_actuals, ense
 from tidepool.operators.profile import (column_info, describe, distinct_values, head, histogram, null_map,
                                         overview, top_k, value_counts)
 from tidepool.operators.quantile import exact_quantiles
-from tidepool.operators.scale import scaler_inverse, scaler_long
+from tidepool.operators import learn
+from tidepool.operators.scale import scaler_inverse, scaler_inverse_as, scaler_long
 from tidepool.operators.score import batch_score
 from tidepool.operators.split import split_report
 from tidepool.operators.windows import window_feature
@@ -32,6 +33,7 @@ from tidepool.operators.validate import flatten_named, last_step, split_valid
 from tidepool.operators.windows import last_n
 from tidepool.plans import dataset as ds
 from tidepool.plans import monitor as mon
+from tidepool.plans import streams
 from tidepool.plans import ensemble as ens
 from tidepool.plans import fixtures as fx
 from tidepool.session import scratch_path
@@ -408,3 +410,43 @@ def q_run_log(spark, sf):
     path = scratch_path(spark, "run-log")
     append(runs, path)
     return rounded(best_runs(read_table(spark, path), "test_mae"))
+
+
+# ---------------------------------------------------------------- streaming (T1-T5)
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf):
+    return streams.stream_ingest(spark, sf)
+
+
+@register("stream_last_n")
+def q_stream_last_n(spark, sf):
+    return rounded(streams.stream_last_n(spark, sf).select("event_id", F.col("user_id").cast("long"), "value"))
+
+
+@register("stream_drift_check")
+def q_stream_drift_check(spark, sf):
+    return rounded(streams.stream_drift_check(spark, sf))
+
+
+@register("stream_metrics")
+def q_stream_metrics(spark, sf):
+    m = streams.stream_metrics(spark, sf)
+    return rounded(m.select(F.unix_seconds("window_start").alias("window_start"), "model", "n_predictions",
+                            "latency_sum", "prediction_sum"))
+
+
+# ---------------------------------------------------------------- model fit (M2)
+
+@register("fit_predict")
+def q_fit_predict(spark, sf):
+    """GBT with absolute loss on the scaled row features; metrics per split
+    in original units (rows-only check: a different learner than the reference)."""
+    z, stats = ens.scaled_panel(spark, sf)
+    tv = z.filter(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
+    model = learn.fit(tv, ens.SCALED, f"{fx.TARGET}__z")
+    pred = learn.predict(model, z.filter(F.col(f"{fx.TARGET}__z").isNotNull()))
+    pred = scaler_inverse_as(pred, stats, fx.TARGET, {"yhat": "yhat_orig"})
+    scored = pred.select("split", F.lit("gbt").alias("model"), F.col(fx.TARGET).alias("actual"),
+                         F.col("yhat_orig").alias("yhat"))
+    return rounded(eval_metrics(scored))
