@@ -104,13 +104,15 @@ def _sides(long: DataFrame, key: str) -> DataFrame:
 
 
 def ks_pvalue(d: Column, n: Column, m: Column, terms: int = KS_TERMS) -> Column:
-    ne = F.sqrt(n * m / (n + m))
+    """NULL when either side is empty (no test)."""
+    ok = (n > 0) & (m > 0) & d.isNotNull()
+    ne = F.sqrt(n * m / F.when(ok, n + m))
     lam = (ne + F.lit(0.12) + F.lit(0.11) / ne) * d
     series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0).cast("double"),
                          lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1)
                          * F.exp(F.lit(-2.0) * k * k * lam * lam))
     p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(2.0) * series))
-    return F.when(lam < 0.2, F.lit(1.0)).otherwise(p)
+    return F.when(~ok, F.lit(None).cast("double")).when(lam < 0.2, F.lit(1.0)).otherwise(p)
 
 
 # ------------------------------------------------------------------ per-column tests
