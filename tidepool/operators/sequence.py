@@ -97,15 +97,17 @@ def block_window(keys: Sequence[str], pos_col: str = "pos") -> Window:
 
 def lead_lag(df: DataFrame, keys: Sequence[str], time_col: str, exprs: dict[str, tuple[str, int]],
              tiebreak: Sequence[str] = (), chunk_width: int | None = None,
-             block: int = DEFAULT_BLOCK) -> DataFrame:
+             block: int = DEFAULT_BLOCK, keep_pos: str | None = None) -> DataFrame:
     """Skew-safe ``lead``/``lag``: ``exprs`` maps output name to
-    ``(column, offset)``; offset > 0 is lead, < 0 is lag."""
+    ``(column, offset)``; offset > 0 is lead, < 0 is lag. ``keep_pos`` names
+    a column to keep the row position in (for later block layouts)."""
     before = max([-o for _, o in exprs.values() if o < 0], default=0)
     after = max([o for _, o in exprs.values() if o > 0], default=0)
     d = with_positions(df, keys, time_col, tiebreak, chunk_width, "_pos")
-    d = blocked(d, "_pos", block, before, after)
+    d = blocked(d, "_pos", max(block, before, after), before, after)
     w = block_window(keys, "_pos")
     for name, (c, off) in exprs.items():
         fn = F.lead(c, off) if off > 0 else F.lag(c, -off)
         d = d.withColumn(name, fn.over(w))
-    return d.filter(~F.col("_halo")).drop("_pos", "_blk", "_halo")
+    d = d.filter(~F.col("_halo")).drop("_blk", "_halo")
+    return d.withColumnRenamed("_pos", keep_pos) if keep_pos else d.drop("_pos")

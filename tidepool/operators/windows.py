@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.operators.sequence import DEFAULT_BLOCK, block_window, blocked, with_positions
@@ -77,3 +77,75 @@ def last_n_per_group(df: DataFrame, n: int, keys: Sequence[str], order_cols: Seq
     the limit below the shuffle so each group ships at most n rows per task)."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order_cols])
     return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
+
+
+def sequence_frame(df: DataFrame, keys: Sequence[str], time_col: str, features: Sequence[str],
+                   look_back: int = 20, id_col: str = "row_id", extra: dict | None = None, after: int = 0,
+                   seq_col: str = "seq", row_col: str = "x_row", block: int = DEFAULT_BLOCK,
+                   chunk_width: int | None = None, pos_col: str | None = None) -> DataFrame:
+    """Every row of ``df`` with its look-back window (``seq``: up to L
+    preceding rows of the entity, oldest first), the time of its oldest
+    window row (``_t0``) and any ``extra`` per-entity window expressions
+    (name -> function(window) -> Column, e.g. a label from ``lead``; rows
+    needed after the current one are given by ``after``).
+
+    One position pass and one block layout per entity (skew-safe); with
+    ``pos_col`` the rows already carry their position and only the block
+    layout (one shuffle) is needed.
+    """
+    keys = list(keys)
+    extra = extra or {}
+    base = df.select(*df.columns, pack_features(features).alias(row_col))
+    if pos_col is None:
+        d = with_positions(base, keys, time_col, [id_col], chunk_width)
+    else:
+        d = base.withColumnRenamed(pos_col, "pos")
+    d = blocked(d, "pos", max(block, look_back, after), before=look_back, after=after)
+    w = block_window(keys)
+    cols = [F.collect_list(row_col).over(w.rowsBetween(-look_back, -1)).alias(seq_col),
+            F.lag(time_col, look_back).over(w).alias("_t0")]
+    cols += [fn(w).alias(name) for name, fn in extra.items()]
+    return d.select(*d.columns, *cols).filter(~F.col("_halo")).drop("_blk", "_halo", "pos")
+
+
+def windows_in_intervals(frame: DataFrame, time_col: str, intervals: dict, look_back: int = 20,
+                         seq_col: str = "seq", split_col: str = "split") -> DataFrame:
+    """Windows per (entity, split) when every split is a time interval.
+
+    ``intervals`` maps split name to (lo, hi) ISO bounds (None = open); a row
+    belongs to every interval holding its time (independent predicates, so
+    overlaps and gaps are kept as given). An interval is contiguous in time
+    order, so "the L preceding rows of the same entity and split" are exactly
+    the L preceding rows of the entity when the oldest of them lies inside
+    the same interval. Output: one row per (row, split) with a full window.
+    """
+    t, t0 = F.col(time_col), F.col("_t0")
+    dtype = frame.schema[time_col].dataType
+
+    def inside(c, lo, hi):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (c >= F.lit(lo).cast(dtype))
+        if hi is not None:
+            cond = cond & (c < F.lit(hi).cast(dtype))
+        return cond
+
+    tags = F.array(*[F.when(inside(t, lo, hi) & inside(t0, lo, hi), F.lit(name))
+                     for name, (lo, hi) in intervals.items()])
+    return (frame.filter(F.size(seq_col) == look_back)
+                 .withColumn(split_col, F.explode(F.filter(tags, lambda x: x.isNotNull())))
+                 .drop("_t0"))
+
+
+def scale_sequences(seq: Column, means: Sequence[Column], stds: Sequence[Column]) -> Column:
+    """Standardise every step of ``array<array<double>>`` with per-feature
+    statistics (JVM higher-order functions)."""
+    m = F.array(*means)
+    s = F.array(*stds)
+    return F.transform(seq, lambda r: F.transform(r, lambda x, j: (x - m[j]) / s[j]))
+
+
+def scale_vector(vec: Column, means: Sequence[Column], stds: Sequence[Column]) -> Column:
+    m = F.array(*means)
+    s = F.array(*stds)
+    return F.transform(vec, lambda x, j: (x - m[j]) / s[j])

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidepool.operators.clean import drop_columns, ffill_dropna, inf_to_null, left_join_macro, quantile_trim
 from tidepool.plans import fixtures as fx
+from tidepool.session import materialize
 
 # fixed values: columns dropped after the join (absent names are ignored)
 DROP = ["tax", "open", "high", "low", "close", "volume"]
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.with_specials(fx.daily_panel(spark, sf_dir, with_label=True))
+    return fx.with_specials(fx.labeled_panel(spark, sf_dir).drop("pos"))
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +33,10 @@ def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ffill_dropna(cleaned(spark, sf_dir), ["ticker"], "date", tiebreak=["row_id"])
 
 
+def filled_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filled panel written once: the exact quantiles read it several times."""
+    return materialize(filled(spark, sf_dir), "filled")
+
+
 def final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quantile_trim(filled(spark, sf_dir), fx.TARGET, 0.01, 0.99)
+    return quantile_trim(filled_table(spark, sf_dir), fx.TARGET, 0.01, 0.99)

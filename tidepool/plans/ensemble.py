@@ -18,7 +18,7 @@ from tidepool.operators.evaluate import eval_metrics, model_comparison, wide_ens
 from tidepool.operators.scale import scaler_fit, scaler_inverse_as, scaler_transform
 from tidepool.operators.score import LinearScorer, linear_scores_wide, to_long
 from tidepool.operators.split import temporal_split
-from tidepool.operators.windows import lookback_windows
+from tidepool.operators.windows import scale_sequences, scale_vector, sequence_frame, windows_in_intervals
 from tidepool.plans import fixtures as fx
 
 LOOK_BACK = 20
@@ -36,7 +36,7 @@ SCALED = [f"{c}__z" for c in fx.PANEL_FEATURES]
 
 
 def split_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = fx.daily_panel(spark, sf_dir, with_label=True)
+    panel = fx.labeled_panel(spark, sf_dir).drop("pos")
     return temporal_split(panel, "date", fx.SPLIT_TRAIN, fx.SPLIT_VAL, fx.SPLIT_TEST)
 
 
@@ -51,11 +51,31 @@ def scaled_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return z, stats
 
 
+INTERVALS = {"train": (None, fx.SPLIT_TRAIN), "val": (fx.SPLIT_TRAIN, fx.SPLIT_VAL), "test": (fx.SPLIT_TEST, None)}
+
+
 def panel_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    z, stats = scaled_panel(spark, sf_dir)
-    w = lookback_windows(z, ["ticker", "split"], "date", SCALED, LOOK_BACK, id_col="row_id",
-                         carry=[fx.TARGET, f"{fx.TARGET}__z"])
-    return w, stats
+    """Scaled windows per (ticker, split) and the scaler fitted on train rows.
+
+    Both read the labelled panel table (written once, positions included):
+    the statistics are a one-row aggregate over its train rows, the windows
+    need one block shuffle; windows are scaled after they are cut, with the
+    broadcast one-row statistics.
+    """
+    labeled = fx.labeled_panel(spark, sf_dir)
+    lo, hi = INTERVALS["train"]
+    stats = scaler_fit(labeled.filter(F.col("date") < F.lit(hi).cast("date")), fx.PANEL_FEATURES + [fx.TARGET])
+    frame = sequence_frame(labeled.select("ticker", "date", "row_id", "pos", fx.TARGET, *fx.PANEL_FEATURES),
+                           ["ticker"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id", pos_col="pos")
+    w = windows_in_intervals(frame, "date", INTERVALS, LOOK_BACK)
+    j = w.crossJoin(F.broadcast(stats))
+    means = [F.col(f"{c}__mean") for c in fx.PANEL_FEATURES]
+    stds = [F.col(f"{c}__std") for c in fx.PANEL_FEATURES]
+    tz = (F.col(fx.TARGET) - F.col(f"{fx.TARGET}__mean")) / F.col(f"{fx.TARGET}__std")
+    out = j.select("ticker", "date", "row_id", "split", fx.TARGET, tz.alias(f"{fx.TARGET}__z"),
+                   scale_sequences(F.col("seq"), means, stds).alias("seq"),
+                   scale_vector(F.col("x_row"), means, stds).alias("x_row"))
+    return out, stats
 
 
 def scored(spark: SparkSession, sf_dir: str, models=MODELS, with_ensemble: bool = True) -> DataFrame:

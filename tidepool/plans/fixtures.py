@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators.sequence import lead_lag
+from tidepool.session import materialize
 
 # fixed values of the stand-in pipeline
 PANEL_FEATURES = ["qty", "px", "disc", "tax", "n"]
@@ -47,11 +48,28 @@ def daily_panel(spark: SparkSession, sf_dir: str, with_label: bool = True) -> Da
                    *PANEL_FEATURES))
     if not with_label:
         return p
-    p = lead_lag(p, ["ticker"], "date", {"_px_fwd": ("px", LABEL_HORIZON)}, tiebreak=["row_id"])
+    return add_label(p)
+
+
+def add_label(p: DataFrame, keep_pos: str | None = None) -> DataFrame:
+    """future_5_pct = (lead(px, 5) / px - 1) * 100 per ticker by (date, row_id)."""
+    p = lead_lag(p, ["ticker"], "date", {"_px_fwd": ("px", LABEL_HORIZON)}, tiebreak=["row_id"],
+                 keep_pos=keep_pos)
     return (p.withColumn(TARGET, (F.col("_px_fwd") / F.col("px") - 1.0) * 100.0)
              .drop("_px_fwd"))
 
 
+def panel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily panel written once to the shared folder (see ``materialize``)."""
+    return materialize(daily_panel(spark, sf_dir, with_label=False), "panel")
+
+
+def labeled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel + label + per-ticker row position ``pos``, written once. Later
+    window layouts reuse ``pos`` and need only their block shuffle."""
+    return materialize(add_label(panel_table(spark, sf_dir), keep_pos="pos"), "labeled-panel")
+
+
 PANEL_SQL = f"""
   SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS ticker,
          CAST(l_shipdate AS DATE) AS date,

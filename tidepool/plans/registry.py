@@ -130,7 +130,7 @@ def q_align_predictions(spark, sf):
 def q_attach_actuals(spark, sf):
     w, stats = ens.panel_windows(spark, sf)
     preds = batch_score(w, [ens.MODELS[1]], fx.PANEL_FEATURES, ens.LOOK_BACK, ["split", "row_id"])
-    truth = fx.daily_panel(spark, sf, with_label=True)
+    truth = fx.labeled_panel(spark, sf)
     return rounded(attach_actuals(preds, truth, "row_id", fx.TARGET))
 
 
@@ -166,8 +166,8 @@ def q_scaler_inverse(spark, sf):
 
 @register("feature_columns")
 def q_feature_columns(spark, sf):
-    panel = fx.daily_panel(spark, sf, with_label=True)
-    feats = feature_columns(panel.columns, targets=[fx.TARGET])
+    panel = fx.labeled_panel(spark, sf)
+    feats = feature_columns(panel.columns, targets=[fx.TARGET], exclude=("row_id", "pos"))
     return (panel.limit(1)
                  .select(F.posexplode(F.array(*[F.lit(c) for c in feats])).alias("position", "column"))
                  .withColumn("position", F.col("position").cast("int")))
@@ -205,12 +205,12 @@ def q_ffill_dropna(spark, sf):
 
 @register("extreme_rows")
 def q_extreme_rows(spark, sf):
-    return rounded(extreme_rows(ds.filled(spark, sf), fx.TARGET).select("ticker", "date", "row_id", fx.TARGET, "extreme"))
+    return rounded(extreme_rows(ds.filled_table(spark, sf), fx.TARGET).select("ticker", "date", "row_id", fx.TARGET, "extreme"))
 
 
 @register("quantiles")
 def q_quantiles(spark, sf):
-    return rounded(exact_quantiles(ds.filled(spark, sf), fx.TARGET, [0.01, 0.99]))
+    return rounded(exact_quantiles(ds.filled_table(spark, sf), fx.TARGET, [0.01, 0.99]))
 
 
 @register("quantile_trim")
@@ -255,7 +255,7 @@ def q_histogram(spark, sf):
 
 @register("top_k")
 def q_top_k(spark, sf):
-    f = ds.filled(spark, sf)
+    f = ds.filled_table(spark, sf)
     cols = ["ticker", "date", "row_id", fx.TARGET]
     lo = top_k(f, fx.TARGET, 3, largest=False).select(F.lit("smallest").alias("kind"), *cols)
     hi = top_k(f, fx.TARGET, 3, largest=True).select(F.lit("largest").alias("kind"), *cols)

@@ -57,3 +57,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: computed once, re-read with column pruning by every later branch,
+    and lineage is cut (a lost executor re-reads the table instead of
+    recomputing the upstream plan)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
