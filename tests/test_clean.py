@@ -34,8 +34,9 @@ def test_inf_to_null(panel):
     assert out[4][0] is None and out[3][1] is None and out[2] == (1.0, None)
 
 
-def test_ffill_leading_inner_nan_inf_and_chunks(panel):
-    f = ffill(inf_to_null(panel), ["ticker"], "date", tiebreak=["row_id"], chunk_width=7)
+@pytest.mark.parametrize("hot_rows", [None, 1000])       # split layout / direct window
+def test_ffill_leading_inner_nan_inf_and_chunks(panel, hot_rows):
+    f = ffill(inf_to_null(panel), ["ticker"], "date", tiebreak=["row_id"], chunk_width=7, hot_rows=hot_rows)
     got = {r["row_id"]: (r["x"], r["y"]) for r in f.collect()}
     assert 8 not in got
     assert got[1] == (None, 10.0)        # leading null stays
@@ -46,8 +47,9 @@ def test_ffill_leading_inner_nan_inf_and_chunks(panel):
     assert got[7] == (7.0, 1.0)          # carried across chunks
 
 
-def test_ffill_dropna_drops_leading(panel):
-    f = ffill_dropna(inf_to_null(panel), ["ticker"], "date", tiebreak=["row_id"], chunk_width=7)
+@pytest.mark.parametrize("hot_rows", [None, 1000])
+def test_ffill_dropna_drops_leading(panel, hot_rows):
+    f = ffill_dropna(inf_to_null(panel), ["ticker"], "date", tiebreak=["row_id"], chunk_width=7, hot_rows=hot_rows)
     assert sorted(r["row_id"] for r in f.collect()) == [2, 3, 4, 5, 6, 7]
 
 
@@ -64,7 +66,7 @@ def test_ffill_matches_plain_window(spark):
     w = Window.partitionBy("ticker").orderBy("date", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     plain = {r["row_id"]: r["v"] for r in df.select("row_id", F.last("v", True).over(w).alias("v")).collect()}
     for width in (3, 17, 64, 10000):
-        ours = {r["row_id"]: r["v"] for r in ffill(df, ["ticker"], "date", ["v"], ["row_id"], width).collect()}
+        ours = {r["row_id"]: r["v"] for r in ffill(df, ["ticker"], "date", ["v"], ["row_id"], width, None).collect()}
         assert ours == plain
 
 

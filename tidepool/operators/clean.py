@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions.columns import NUMERIC_TYPES, non_finite_to_null
-from tidepool.operators.sequence import chunk_column
+from tidepool.operators.sequence import HOT_ROWS, chunk_column, is_hot
 
 
 # ------------------------------------------------------------------ projections
@@ -77,16 +77,17 @@ def has_at_most(df: DataFrame, n: int) -> bool:
 # ------------------------------------------------------------------ forward fill
 
 def ffill(df: DataFrame, keys: Sequence[str], time_col: str, cols: Sequence[str] | None = None,
-          tiebreak: Sequence[str] = (), chunk_width: int | None = None) -> DataFrame:
+          tiebreak: Sequence[str] = (), chunk_width: int | None = None,
+          hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Forward fill per entity in time order, skew-safe.
 
     Level 1: ``last(c, ignorenulls)`` inside (entity, time chunk).
     Level 2: the last non-null value of each chunk (``max_by`` over the time
-    order, one row per chunk) carried into later chunks by a window over the
-    small per-chunk table, joined back on (entity, chunk) -- the big side
-    keeps its (entity, chunk) partitioning, so that join adds no shuffle of it.
-    Rows with a null entity key are dropped (the reference loops over
-    key values with an equality filter, which never matches null).
+    order, a partial aggregate of the input, one row per chunk) is carried
+    into later chunks by a window over that small table and joined in on
+    (entity, chunk); one window over (entity, chunk) does the rest.
+    Rows with a null entity key are dropped (the reference loops over key
+    values with an equality filter, which never matches null).
     """
     keys = list(keys)
     cols = [c for c in (cols or df.columns) if c not in keys + [time_col, *tiebreak]]
@@ -94,26 +95,28 @@ def ffill(df: DataFrame, keys: Sequence[str], time_col: str, cols: Sequence[str]
     d = df
     for k in keys:
         d = d.filter(F.col(k).isNotNull())
+    if not is_hot(d, keys, hot_rows):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return d.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c)
+                          for c in df.columns])
     d = d.withColumn("_ck", chunk_column(df, time_col, chunk_width))
-    w = Window.partitionBy(*keys, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = d.select(*[F.col(c) for c in d.columns if c not in cols],
-                     *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
     ordering = F.struct(*order)
-    last_of_chunk = local.groupBy(*keys, "_ck").agg(
+    last_of_chunk = d.groupBy(*keys, "_ck").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ordering)).alias(c) for c in cols])
     prior = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
     carry = last_of_chunk.select(*keys, "_ck",
                                  *[F.last(c, ignorenulls=True).over(prior).alias(f"_in_{c}") for c in cols])
-    j = local.join(carry, on=[*keys, "_ck"], how="inner")
-    filled = j.select(*[F.coalesce(F.col(c), F.col(f"_in_{c}")).alias(c) if c in cols else F.col(c)
-                        for c in df.columns])
-    return filled
+    j = d.join(carry, on=[*keys, "_ck"], how="inner")
+    w = Window.partitionBy(*keys, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return j.select(*[F.coalesce(F.last(c, ignorenulls=True).over(w), F.col(f"_in_{c}")).alias(c)
+                      if c in cols else F.col(c) for c in df.columns])
 
 
 def ffill_dropna(df: DataFrame, keys: Sequence[str], time_col: str, cols: Sequence[str] | None = None,
-                 tiebreak: Sequence[str] = (), chunk_width: int | None = None) -> DataFrame:
+                 tiebreak: Sequence[str] = (), chunk_width: int | None = None,
+                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Forward fill then drop every row that still has a null (leading gaps)."""
-    return ffill(df, keys, time_col, cols, tiebreak, chunk_width).na.drop("any")
+    return ffill(df, keys, time_col, cols, tiebreak, chunk_width, hot_rows).na.drop("any")
 
 
 # ------------------------------------------------------------------ extremes and trim

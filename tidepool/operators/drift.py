@@ -60,20 +60,19 @@ def ordered_cumsum(df: DataFrame, part: Sequence[str], order: str, vals: Sequenc
     d = (df.join(F.broadcast(cuts), on=part, how="inner")
            .withColumn("_b", F.size(F.filter("_cuts", lambda t: t < F.col(order))))
            .drop("_cuts"))
-    w = Window.partitionBy(*part, "_b").orderBy(order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    local = d.select(*d.columns, *[F.sum(v).over(run).alias(f"_l_{v}") for v in vals],
-                     F.lead(order).over(w).alias("_nx"))
-    tot = local.groupBy(*part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in vals],
-                                         F.min(order).alias("_mn"))
+    # bucket totals straight from the input (partial aggregation), then
+    # offsets = running totals over buckets (a window over <= buckets rows per part)
+    tot = d.groupBy(*part, "_b").agg(*[F.sum(v).alias(f"_t_{v}") for v in vals], F.min(order).alias("_mn"))
     prior = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*part, "_b",
                      *[F.coalesce(F.sum(f"_t_{v}").over(prior), F.lit(0)).alias(f"_o_{v}") for v in vals],
                      F.lead("_mn").over(Window.partitionBy(*part).orderBy("_b")).alias("_nb"))
-    j = local.join(off, on=[*part, "_b"], how="inner")
+    j = d.join(off, on=[*part, "_b"], how="inner")
+    w = Window.partitionBy(*part, "_b").orderBy(order)
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
     return j.select(*df.columns,
-                    *[(F.col(f"_l_{v}") + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in vals],
-                    F.coalesce("_nx", "_nb").alias(f"next_{order}"))
+                    *[(F.sum(v).over(run) + F.col(f"_o_{v}")).alias(f"cum_{v}") for v in vals],
+                    F.coalesce(F.lead(order).over(w), F.col("_nb")).alias(f"next_{order}"))
 
 
 # ------------------------------------------------------------------ inputs

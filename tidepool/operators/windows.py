@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.sequence import DEFAULT_BLOCK, block_window, blocked, with_positions
+from tidepool.operators.sequence import DEFAULT_BLOCK, HOT_ROWS, block_window, blocked, is_hot, with_positions
 
 
 def pack_features(cols: Sequence[str]):
@@ -25,7 +25,8 @@ def pack_features(cols: Sequence[str]):
 def lookback_windows(df: DataFrame, keys: Sequence[str], time_col: str, features: Sequence[str],
                      look_back: int = 20, id_col: str = "row_id", carry: Sequence[str] = (),
                      seq_col: str = "seq", row_col: str = "x_row",
-                     block: int = DEFAULT_BLOCK, chunk_width: int | None = None) -> DataFrame:
+                     block: int = DEFAULT_BLOCK, chunk_width: int | None = None,
+                     hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Windows of ``look_back`` preceding rows per ``keys`` group.
 
     Output: keys, time, id, ``carry`` columns (e.g. the label), ``seq``
@@ -35,6 +36,10 @@ def lookback_windows(df: DataFrame, keys: Sequence[str], time_col: str, features
     """
     keys = list(keys)
     base = df.select(*keys, time_col, id_col, *carry, pack_features(features).alias(row_col))
+    if not is_hot(df, keys, hot_rows):
+        w = Window.partitionBy(*keys).orderBy(time_col, id_col).rowsBetween(-look_back, -1)
+        return (base.withColumn(seq_col, F.collect_list(row_col).over(w))
+                    .filter(F.size(seq_col) == look_back))
     d = with_positions(base, keys, time_col, [id_col], chunk_width)
     d = blocked(d, "pos", max(block, look_back), before=look_back)
     w = block_window(keys).rowsBetween(-look_back, -1)
@@ -82,7 +87,8 @@ def last_n_per_group(df: DataFrame, n: int, keys: Sequence[str], order_cols: Seq
 def sequence_frame(df: DataFrame, keys: Sequence[str], time_col: str, features: Sequence[str],
                    look_back: int = 20, id_col: str = "row_id", extra: dict | None = None, after: int = 0,
                    seq_col: str = "seq", row_col: str = "x_row", block: int = DEFAULT_BLOCK,
-                   chunk_width: int | None = None, pos_col: str | None = None) -> DataFrame:
+                   chunk_width: int | None = None, pos_col: str | None = None,
+                   hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Every row of ``df`` with its look-back window (``seq``: up to L
     preceding rows of the entity, oldest first), the time of its oldest
     window row (``_t0``) and any ``extra`` per-entity window expressions
@@ -96,6 +102,13 @@ def sequence_frame(df: DataFrame, keys: Sequence[str], time_col: str, features:
     keys = list(keys)
     extra = extra or {}
     base = df.select(*df.columns, pack_features(features).alias(row_col))
+    if not is_hot(df, keys, hot_rows):
+        order = [F.col(pos_col)] if pos_col else [F.col(time_col), F.col(id_col)]
+        w = Window.partitionBy(*keys).orderBy(*order)
+        cols = [F.collect_list(row_col).over(w.rowsBetween(-look_back, -1)).alias(seq_col),
+                F.lag(time_col, look_back).over(w).alias("_t0")]
+        cols += [fn(w).alias(name) for name, fn in extra.items()]
+        return base.select(*base.columns, *cols)
     if pos_col is None:
         d = with_positions(base, keys, time_col, [id_col], chunk_width)
     else:
