@@ -42,6 +42,33 @@ class LinearScorer:
         return total
 
 
+    def summaries(self) -> dict:
+        """Window summaries this scorer reads: name -> (feature, how)."""
+        if self.source == "row":
+            return {}
+        return {f"{feat}__win_{self.source}": (feat, self.source) for feat in self.weights}
+
+    def scaled_expr(self, look_back: int, mean, std):
+        """The same model on *raw* window summaries with standardisation
+        applied afterwards: exact because scaling is affine and mean / sum /
+        first / last / min / max commute with it (std > 0). ``mean(f)`` and
+        ``std(f)`` give the fitted statistics of feature f as columns."""
+        total = F.lit(float(self.bias)).cast("double")
+        for feat, w in self.weights.items():
+            x = F.col(feat) if self.source == "row" else F.col(f"{feat}__win_{self.source}")
+            shift = mean(feat) * F.lit(float(look_back)) if self.source == "sum" else mean(feat)
+            total = total + F.lit(float(w)) * ((x - shift) / std(feat))
+        return total
+
+
+def summary_columns(scorers: Sequence) -> dict:
+    out = {}
+    for s in scorers:
+        if isinstance(s, LinearScorer):
+            out.update(s.summaries())
+    return out
+
+
 @dataclass(frozen=True)
 class PandasScorer:
     name: str

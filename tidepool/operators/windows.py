@@ -84,40 +84,60 @@ def last_n_per_group(df: DataFrame, n: int, keys: Sequence[str], order_cols: Seq
     return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
 
 
+SUMMARY_HOW = ("mean", "sum", "min", "max", "first", "last")
+
+
+def _frame_columns(w: Window, row_col: str, seq_col: str, time_col: str, look_back: int,
+                   extra: dict, summaries: dict, collect: bool) -> list[Column]:
+    fr = w.rowsBetween(-look_back, -1)
+    cols = [F.count(F.lit(1)).over(fr).alias("_n"), F.lag(time_col, look_back).over(w).alias("_t0")]
+    if collect:
+        cols.append(F.collect_list(row_col).over(fr).alias(seq_col))
+    for name, (feat, how) in summaries.items():
+        x = F.col(feat)
+        e = {"mean": lambda: F.avg(x).over(fr), "sum": lambda: F.sum(x).over(fr),
+             "min": lambda: F.min(x).over(fr), "max": lambda: F.max(x).over(fr),
+             "first": lambda: F.lag(x, look_back).over(w), "last": lambda: F.lag(x, 1).over(w)}[how]()
+        cols.append(e.alias(name))
+    cols += [fn(w).alias(name) for name, fn in extra.items()]
+    return cols
+
+
 def sequence_frame(df: DataFrame, keys: Sequence[str], time_col: str, features: Sequence[str],
                    look_back: int = 20, id_col: str = "row_id", extra: dict | None = None, after: int = 0,
                    seq_col: str = "seq", row_col: str = "x_row", block: int = DEFAULT_BLOCK,
                    chunk_width: int | None = None, pos_col: str | None = None,
-                   hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Every row of ``df`` with its look-back window (``seq``: up to L
-    preceding rows of the entity, oldest first), the time of its oldest
-    window row (``_t0``) and any ``extra`` per-entity window expressions
+                   hot_rows: int | None = HOT_ROWS, summaries: dict | None = None,
+                   collect: bool = True) -> DataFrame:
+    """Every row of ``df`` with its look-back window: ``seq`` (up to L
+    preceding rows of the entity, oldest first; ``collect=False`` skips it),
+    ``summaries`` (name -> (feature, how) with how in mean / sum / min / max /
+    first / last over the same L rows, plain window aggregates without
+    arrays; nulls are skipped), ``_n`` (rows in the window), ``_t0`` (time of
+    the oldest window row) and any ``extra`` per-entity window expressions
     (name -> function(window) -> Column, e.g. a label from ``lead``; rows
     needed after the current one are given by ``after``).
 
-    One position pass and one block layout per entity (skew-safe); with
-    ``pos_col`` the rows already carry their position and only the block
-    layout (one shuffle) is needed.
+    One plain window per entity when no entity is hot, otherwise one
+    position pass and one block layout (skew-safe); with ``pos_col`` the
+    rows already carry their position and only the block shuffle is needed.
     """
     keys = list(keys)
     extra = extra or {}
-    base = df.select(*df.columns, pack_features(features).alias(row_col))
+    summaries = summaries or {}
+    base = df.select(*df.columns, pack_features(features).alias(row_col)) if collect else df
     if not is_hot(df, keys, hot_rows):
         order = [F.col(pos_col)] if pos_col else [F.col(time_col), F.col(id_col)]
         w = Window.partitionBy(*keys).orderBy(*order)
-        cols = [F.collect_list(row_col).over(w.rowsBetween(-look_back, -1)).alias(seq_col),
-                F.lag(time_col, look_back).over(w).alias("_t0")]
-        cols += [fn(w).alias(name) for name, fn in extra.items()]
-        return base.select(*base.columns, *cols)
+        return base.select(*base.columns,
+                           *_frame_columns(w, row_col, seq_col, time_col, look_back, extra, summaries, collect))
     if pos_col is None:
         d = with_positions(base, keys, time_col, [id_col], chunk_width)
     else:
         d = base.withColumnRenamed(pos_col, "pos")
     d = blocked(d, "pos", max(block, look_back, after), before=look_back, after=after)
     w = block_window(keys)
-    cols = [F.collect_list(row_col).over(w.rowsBetween(-look_back, -1)).alias(seq_col),
-            F.lag(time_col, look_back).over(w).alias("_t0")]
-    cols += [fn(w).alias(name) for name, fn in extra.items()]
+    cols = _frame_columns(w, row_col, seq_col, time_col, look_back, extra, summaries, collect)
     return d.select(*d.columns, *cols).filter(~F.col("_halo")).drop("_blk", "_halo", "pos")
 
 
@@ -145,9 +165,9 @@ def windows_in_intervals(frame: DataFrame, time_col: str, intervals: dict, look_
 
     tags = F.array(*[F.when(inside(t, lo, hi) & inside(t0, lo, hi), F.lit(name))
                      for name, (lo, hi) in intervals.items()])
-    return (frame.filter(F.size(seq_col) == look_back)
+    return (frame.filter(F.col("_n") == look_back)
                  .withColumn(split_col, F.explode(F.filter(tags, lambda x: x.isNotNull())))
-                 .drop("_t0"))
+                 .drop("_t0", "_n"))
 
 
 def scale_sequences(seq: Column, means: Sequence[Column], stds: Sequence[Column]) -> Column:

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from tidepool.operators.evaluate import eval_metrics, model_comparison, wide_ensemble
 from tidepool.operators.scale import scaler_fit, scaler_inverse_as, scaler_transform
-from tidepool.operators.score import LinearScorer, linear_scores_wide, to_long
+from tidepool.operators.score import LinearScorer, summary_columns, to_long
 from tidepool.operators.split import temporal_split
-from tidepool.operators.windows import scale_sequences, scale_vector, sequence_frame, windows_in_intervals
+from tidepool.operators.windows import sequence_frame, windows_in_intervals
 from tidepool.plans import fixtures as fx
 
 LOOK_BACK = 20
@@ -57,41 +57,54 @@ INTERVALS = {"train": (None, fx.SPLIT_TRAIN), "val": (fx.SPLIT_TRAIN, fx.SPLIT_V
 def panel_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Scaled windows per (ticker, split) and the scaler fitted on train rows.
 
-    Both read the labelled panel table (written once, positions included):
-    the statistics are a one-row aggregate over its train rows, the windows
-    need one block shuffle; windows are scaled after they are cut, with the
-    broadcast one-row statistics.
+    Both read the labelled panel table (written once, positions included).
+    The statistics are a one-row aggregate over its train rows, broadcast to
+    standardise each row once; the windows of scaled rows then need one
+    window pass (one block shuffle when an entity is hot).
     """
     labeled = fx.labeled_panel(spark, sf_dir)
     lo, hi = INTERVALS["train"]
     stats = scaler_fit(labeled.filter(F.col("date") < F.lit(hi).cast("date")), fx.PANEL_FEATURES + [fx.TARGET])
-    frame = sequence_frame(labeled.select("ticker", "date", "row_id", "pos", fx.TARGET, *fx.PANEL_FEATURES),
-                           ["ticker"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id", pos_col="pos")
+    z = scaler_transform(labeled.select("ticker", "date", "row_id", "pos", fx.TARGET, *fx.PANEL_FEATURES),
+                         stats, fx.PANEL_FEATURES)
+    z = scaler_transform(z, stats, [fx.TARGET], suffix="__z")
+    frame = sequence_frame(z, ["ticker"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id", pos_col="pos")
     w = windows_in_intervals(frame, "date", INTERVALS, LOOK_BACK)
-    j = w.crossJoin(F.broadcast(stats))
-    means = [F.col(f"{c}__mean") for c in fx.PANEL_FEATURES]
-    stds = [F.col(f"{c}__std") for c in fx.PANEL_FEATURES]
-    tz = (F.col(fx.TARGET) - F.col(f"{fx.TARGET}__mean")) / F.col(f"{fx.TARGET}__std")
-    out = j.select("ticker", "date", "row_id", "split", fx.TARGET, tz.alias(f"{fx.TARGET}__z"),
-                   scale_sequences(F.col("seq"), means, stds).alias("seq"),
-                   scale_vector(F.col("x_row"), means, stds).alias("x_row"))
-    return out, stats
+    return w.select("ticker", "date", "row_id", "split", fx.TARGET, f"{fx.TARGET}__z", "seq", "x_row"), stats
 
 
 def scored(spark: SparkSession, sf_dir: str, models=MODELS, with_ensemble: bool = True) -> DataFrame:
-    """Long (split, ticker, row_id, model, yhat_z, yhat, actual, actual_z)."""
-    w, stats = panel_windows(spark, sf_dir)
-    wide = linear_scores_wide(w, models, fx.PANEL_FEATURES, LOOK_BACK)
+    """Long (split, ticker, row_id, model, yhat_z, yhat, actual, actual_z).
+
+    The stand-in models are linear in window summaries, so they are
+    evaluated from plain window aggregates of the raw features (no arrays)
+    and standardised afterwards with the broadcast statistics -- the same
+    numbers as scoring the scaled windows of ``panel_windows``.
+    """
+    labeled = fx.labeled_panel(spark, sf_dir)
+    lo, hi = INTERVALS["train"]
+    stats = scaler_fit(labeled.filter(F.col("date") < F.lit(hi).cast("date")), fx.PANEL_FEATURES + [fx.TARGET])
+    frame = sequence_frame(labeled.select("ticker", "date", "row_id", "pos", fx.TARGET, *fx.PANEL_FEATURES),
+                           ["ticker"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id", pos_col="pos",
+                           summaries=summary_columns(models), collect=False)
+    w = windows_in_intervals(frame, "date", INTERVALS, LOOK_BACK).crossJoin(F.broadcast(stats))
+    mean = lambda c: F.col(f"{c}__mean")
+    std = lambda c: F.col(f"{c}__std")
+    wide = w
+    for m in models:
+        wide = wide.withColumn(f"yhat__{m.name}", m.scaled_expr(LOOK_BACK, mean, std))
     names = [m.name for m in models]
     if with_ensemble:
         wide = wide_ensemble(wide, [f"yhat__{n}" for n in names], "yhat__ensemble")
         names = names + ["ensemble"]
-    ids = ["split", "ticker", "row_id", fx.TARGET, f"{fx.TARGET}__z"]
+    wide = wide.withColumn(f"{fx.TARGET}__z", (F.col(fx.TARGET) - mean(fx.TARGET)) / std(fx.TARGET))
+    ids = ["split", "ticker", "row_id", fx.TARGET, f"{fx.TARGET}__z", f"{fx.TARGET}__mean", f"{fx.TARGET}__std"]
     long = (to_long(wide, ids, names, "yhat")
             .withColumnRenamed("yhat", "yhat_z")
             .withColumnRenamed(fx.TARGET, "actual")
             .withColumnRenamed(f"{fx.TARGET}__z", "actual_z"))
-    return scaler_inverse_as(long, stats, fx.TARGET, {"yhat_z": "yhat"})
+    return (long.withColumn("yhat", F.col("yhat_z") * std(fx.TARGET) + mean(fx.TARGET))
+                .drop(f"{fx.TARGET}__mean", f"{fx.TARGET}__std"))
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,9 +111,15 @@ MACRO_SQL = f"""
   FROM orders WHERE o_orderdate >= TIMESTAMP '{MACRO_START}' GROUP BY CAST(o_orderdate AS DATE)"""
 
 
-def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events with the integer JSON property ``k`` as a double feature."""
+def event_features(spark: SparkSession, sf_dir: str, before: str | None = None,
+                   since: str | None = None) -> DataFrame:
+    """events with the integer JSON property ``k`` as a double feature.
+    ``before`` / ``since`` filter the raw timestamp, so they reach the scan."""
     e = table(spark, sf_dir, "events")
+    if before is not None:
+        e = e.filter(F.col("ts") < F.lit(before).cast("timestamp_ntz"))
+    if since is not None:
+        e = e.filter(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
     return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",
                     "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
 

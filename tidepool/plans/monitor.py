@@ -73,11 +73,11 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).filter(F.col("ts") < F.lit(fx.DRIFT_CUT).cast("timestamp"))
+    return fx.event_features(spark, sf_dir, before=fx.DRIFT_CUT)
 
 
 def current_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).filter(F.col("ts") >= F.lit(fx.DRIFT_CUT).cast("timestamp"))
+    return fx.event_features(spark, sf_dir, since=fx.DRIFT_CUT)
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:

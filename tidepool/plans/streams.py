@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators.drift import check_drift
 from tidepool.plans import monitor as mon
-from tidepool.session import scratch_path
+from tidepool.session import materialize, scratch_path
 from tidepool.streaming.jobs import (drift_check_stream, ingest_requests, last_n_stream, metrics_stream,
                                      stage_slices)
 
@@ -26,7 +26,8 @@ DRIFT_METHOD = {"value": "ks", "k": "wasserstein", "user_id": "ks", "hour": "was
 
 def _landed(spark: SparkSession, df: DataFrame, name: str, time_col: str = "ts") -> tuple[str, object]:
     src = scratch_path(spark, f"{name}-landing")
-    stage_slices(df, src, time_col, WEEKS)
+    # computed once, then landed slice by slice
+    stage_slices(materialize(df, f"{name}-source"), src, time_col, WEEKS)
     return src, df.schema
 
 
