@@ -121,10 +121,13 @@ def numeric_tests(ref: DataFrame, cur: DataFrame, cols: Sequence[str], buckets:
     long = unpivot_numeric(ref, cur, cols)
     counts = _sides(long, "x")
     cum = ordered_cumsum(counts, ["column"], "x", ["c_ref", "c_cur"], buckets)
-    totals = counts.groupBy("column").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
-    ref_std = long.filter(F.col("side") == "ref").groupBy("column").agg(F.stddev_pop("x").alias("ref_std"))
-    # one row per column on the small side: bounded by the schema
-    t = totals.join(ref_std, on="column", how="left")
+    is_ref = F.col("side") == "ref"
+    # per-column totals and reference spread in one aggregate; one row per
+    # column: bounded by the schema, safe to broadcast
+    t = long.groupBy("column").agg(
+        F.sum(F.when(is_ref, 1).otherwise(0)).cast("long").alias("n_ref"),
+        F.sum(F.when(~is_ref, 1).otherwise(0)).cast("long").alias("n_cur"),
+        F.stddev_pop(F.when(is_ref, F.col("x"))).alias("ref_std"))
     j = cum.join(F.broadcast(t), on="column", how="inner")
     gap = F.abs(F.col("cum_c_ref") / F.col("n_ref") - F.col("cum_c_cur") / F.col("n_cur"))
     stat = (j.filter((F.col("n_ref") > 0) & (F.col("n_cur") > 0))

@@ -103,7 +103,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
              .select("bin",
                      (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("bin") - 1) / F.lit(bins)).alias("lo_edge"),
                      (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / F.lit(bins)).alias("hi_edge")))
-    return (edges.join(counts, on="bin", how="left")
+    # at most ``bins`` rows: a proven bound, broadcast
+    return (edges.join(F.broadcast(counts), on="bin", how="left")
                  .select("bin", "lo_edge", "hi_edge", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 

@@ -18,6 +18,7 @@ from tidepool.operators.score import LinearScorer, linear_scores_wide
 from tidepool.operators.validate import last_step, split_valid, validate_sequences
 from tidepool.operators.windows import lookback_windows
 from tidepool.plans import fixtures as fx
+from tidepool.session import materialize
 
 EV_FEATURES = ["value", "k"]
 LOOK_BACK = 20
@@ -91,10 +92,16 @@ def scale_sequence(seq: Column, stats_cols: list[tuple[Column, Column]]) -> Colu
     return F.transform(seq, lambda r: F.transform(r, lambda x, j: (x - means[j]) / stds[j]))
 
 
-def score_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def validated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The validated request batch written once (scoring and error counts
+    both read it)."""
+    return materialize(validated(spark, sf_dir), "requests")
+
+
+def score_requests(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None) -> DataFrame:
     """Valid requests only: (event_id, user_id, ts, yhat__<model> ..., yhat__ensemble)
     in original units, plus the scaled sequence (what the drift log keeps)."""
-    good, _ = split_valid(validated(spark, sf_dir))
+    good, _ = split_valid(batch if batch is not None else validated(spark, sf_dir))
     stats = fitted(spark, sf_dir)
     j = good.crossJoin(F.broadcast(stats))
     sc = [(F.col(f"{c}__mean"), F.col(f"{c}__std")) for c in EV_FEATURES]
@@ -112,10 +119,10 @@ def latency(event_id: Column) -> Column:
     return (event_id % 5000) / F.lit(1000.0)
 
 
-def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def prediction_log(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None) -> DataFrame:
     """Long log (id, ts, model, prediction, latency_s, features): one record
     per model and request; ``features`` is the flattened scaled sequence."""
-    s = score_requests(spark, sf_dir)
+    s = score_requests(spark, sf_dir, batch)
     parts = ", ".join(f"'{n}', `{n}`" for n in MODEL_NAMES + ["ensemble"])
     return s.selectExpr("event_id AS id", "ts", "flatten(seq_z) AS features",
                         f"stack({len(MODEL_NAMES) + 1}, {parts}) AS (model, prediction)") \

@@ -326,8 +326,9 @@ def q_score_requests(spark, sf):
 
 @register("request_metrics")
 def q_request_metrics(spark, sf):
-    _, bad = split_valid(mon.validated(spark, sf))
-    return rounded(mon.request_metrics(mon.prediction_log(spark, sf), bad))
+    batch = mon.validated_table(spark, sf)
+    _, bad = split_valid(batch)
+    return rounded(mon.request_metrics(mon.prediction_log(spark, sf, batch), bad))
 
 
 @register("prediction_log")
