@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.operators.sequence import HOT_ROWS, is_hot
+
 # fixed values: default tests and thresholds
 KS_P = 0.05
 DISTANCE_THRESHOLD = 0.1
@@ -49,11 +51,19 @@ NO_ACTION = "No action required"
 # ------------------------------------------------------------------ two-level cumulative sum
 
 def ordered_cumsum(df: DataFrame, part: Sequence[str], order: str, vals: Sequence[str],
-                   buckets: int = 64, accuracy: int = 10000) -> DataFrame:
+                   buckets: int = 64, accuracy: int = 10000, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Add ``cum_<v>`` = running sum of ``v`` over ``order`` within ``part``
     (inclusive), and ``next_<order>`` = the next larger ``order`` value.
-    ``order`` must be unique within ``part`` (e.g. after a group-by)."""
+    ``order`` must be unique within ``part`` (e.g. after a group-by).
+
+    When no part holds more than ``hot_rows`` rows one window per part is
+    safe; otherwise the two-level bucketed form below runs."""
     part = list(part)
+    if not is_hot(df, part, hot_rows):
+        w = Window.partitionBy(*part).orderBy(order)
+        run = w.rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*df.columns, *[F.sum(v).over(run).alias(f"cum_{v}") for v in vals],
+                         F.lead(order).over(w).alias(f"next_{order}"))
     grid = [i / buckets for i in range(1, buckets)]
     # one row per part with a bounded sketch result: safe to broadcast
     cuts = df.groupBy(*part).agg(F.percentile_approx(order, grid, accuracy).alias("_cuts"))
@@ -116,11 +126,12 @@ def ks_pvalue(d: Column, n: Column, m: Column, terms: int = KS_TERMS) -> Column:
 
 # ------------------------------------------------------------------ per-column tests
 
-def numeric_tests(ref: DataFrame, cur: DataFrame, cols: Sequence[str], buckets: int = 64) -> DataFrame:
+def numeric_tests(ref: DataFrame, cur: DataFrame, cols: Sequence[str], buckets: int = 64,
+                  hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """(column, n_ref, n_cur, ks_d, ks_p, wasserstein) for every numeric column."""
     long = unpivot_numeric(ref, cur, cols)
     counts = _sides(long, "x")
-    cum = ordered_cumsum(counts, ["column"], "x", ["c_ref", "c_cur"], buckets)
+    cum = ordered_cumsum(counts, ["column"], "x", ["c_ref", "c_cur"], buckets, hot_rows=hot_rows)
     is_ref = F.col("side") == "ref"
     # per-column totals and reference spread in one aggregate; one row per
     # column: bounded by the schema, safe to broadcast
@@ -164,7 +175,7 @@ def categorical_tests(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> Da
 def drift_columns(ref: DataFrame, cur: DataFrame, numeric: Sequence[str] = (),
                   categorical: Sequence[str] = (), method: dict[str, str] | None = None,
                   ks_p: float = KS_P, distance_threshold: float = DISTANCE_THRESHOLD,
-                  buckets: int = 64) -> DataFrame:
+                  buckets: int = 64, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """One row per column: method, stat, p_value, threshold, drifted, status.
 
     ``method`` maps a numeric column to ``ks`` (default) or ``wasserstein``;
@@ -174,7 +185,7 @@ def drift_columns(ref: DataFrame, cur: DataFrame, numeric: Sequence[str] = (),
     method = method or {}
     parts = []
     if numeric:
-        nt = numeric_tests(ref, cur, numeric, buckets)
+        nt = numeric_tests(ref, cur, numeric, buckets, hot_rows)
         mlit = F.create_map(*[x for c in numeric for x in (F.lit(c), F.lit(method.get(c, "ks")))])
         nt = nt.withColumn("method", mlit[F.col("column")])
         is_ks = F.col("method") == "ks"
