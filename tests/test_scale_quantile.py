@@ -58,3 +58,16 @@ def test_position_encoding(spark):
     np.testing.assert_allclose(out, pe, atol=1e-12)
     with pytest.raises(ValueError):
         add_position_encoding(F.col("s"), 5)
+
+
+def test_save_and_load_scaler(spark):
+    from tidepool.operators.scale import load_scaler, save_scaler
+    from tidepool.session import scratch_path
+    df = spark.createDataFrame([(1.0, 10.0), (3.0, 30.0)], "a double, b double")
+    stats = scaler_fit(df, ["a", "b"])
+    path = scratch_path(spark, "scaler")
+    save_scaler(stats, ["a", "b"], path)
+    back = load_scaler(spark, path, ["a", "b"])
+    assert back.first().asDict() == stats.first().asDict()
+    z = scaler_transform(df, back, ["a", "b"]).collect()
+    assert [r["a"] for r in z] == [-1.0, 1.0]

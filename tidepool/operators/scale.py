@@ -87,3 +87,13 @@ def scaler_inverse_as(df: DataFrame, stats: DataFrame, stat_col: str,
     for src, dst in mapping.items():
         joined = joined.withColumn(dst, unstandardize(F.col(src), F.col(_m(stat_col)), F.col(_s(stat_col))))
     return joined.drop(_m(stat_col), _s(stat_col))
+
+
+def save_scaler(stats: DataFrame, cols: Sequence[str], path: str) -> None:
+    """Persist the fitted state as a (column, mean, std) Parquet table."""
+    scaler_long(stats, cols).write.mode("overwrite").parquet(path)
+
+
+def load_scaler(spark, path: str, cols: Sequence[str]) -> DataFrame:
+    """The one-row fitted state back from a saved table."""
+    return scaler_wide(spark.read.parquet(path), cols)
