@@ -84,3 +84,20 @@ def test_last_n_fifo(spark):
     # window 50 after 60 adds keeps records 10..59 (newest by order)
     df = spark.createDataFrame([(i, i) for i in range(60)], "ts long, id long")
     assert sorted(r["id"] for r in last_n(df, 50, ["ts", "id"]).collect()) == list(range(10, 60))
+
+
+def test_hot_entity_spread_over_bounded_groups(spark):
+    """One entity with a third of all rows: every (entity, block) group of the
+    split layout stays within block + halo rows, and the windows are the same."""
+    from tidepool.operators.sequence import blocked
+    sizes = {1: 600, **{e: 60 for e in range(2, 22)}}     # entity 1 = 600 of 1800 rows
+    df = frame(spark, sizes)
+    pos = with_positions(df, ["ticker"], "date", ["row_id"], chunk_width=16)
+    lay = blocked(pos, "pos", block=64, before=5)
+    biggest = lay.groupBy("ticker", "_blk").count().agg(F.max("count")).first()[0]
+    assert biggest <= 64 + 5
+    assert lay.filter("ticker = 1").select("_blk").distinct().count() == 10
+    split = lookback_windows(df, ["ticker"], "date", ["a"], 5, block=64, chunk_width=16, hot_rows=None)
+    plain = lookback_windows(df, ["ticker"], "date", ["a"], 5, hot_rows=10**6)
+    key = lambda d: sorted((r["row_id"], tuple(x[0] for x in r["seq"])) for r in d.collect())
+    assert key(split) == key(plain)

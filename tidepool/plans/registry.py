@@ -44,8 +44,15 @@ QUERIES: dict[str, Query] = {}
 
 
 def register(name: str):
+    """Register a query. The operators treat the driver's zone-less
+    timestamps as UTC wall-clock time, so the query pins the session zone."""
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
         return fn
     return deco
 
