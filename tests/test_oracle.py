@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
-from tools.check_oracle import TABLES, rows_of
+from tools.check_oracle import TABLES, rows_of, type_mismatches
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -29,6 +29,7 @@ def test_query_matches_oracle(spark, duck, key):
     df = E.queries()[key](spark, SF)
     res = duck.sql(E.oracle_sql()[key])
     assert sorted(df.columns) == sorted(res.columns)
+    assert type_mismatches(df.schema, res.columns, res.types) == []
     a = rows_of(df.columns, [tuple(r) for r in df.collect()])
     b = rows_of(res.columns, res.fetchall())
     assert a == b

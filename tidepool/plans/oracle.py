@@ -420,7 +420,7 @@ STATUS = f"""
          (SELECT CAST(least(count(*), 1000) AS BIGINT) FROM ({CUR_WIN})) AS current_window_size,
          (SELECT CAST(least(count(*), 1000) AS BIGINT) FROM ({ENS_LOG})) AS prediction_window_size,
          (SELECT CAST(epoch(max(ts)) AS BIGINT) FROM ({ENS_LOG})) AS last_drift_check,
-         0.3 AS drift_threshold, CAST(1000 AS INTEGER) AS window_size"""
+         CAST(0.3 AS DOUBLE) AS drift_threshold, CAST(1000 AS INTEGER) AS window_size"""
 Q["drift_status"] = STATUS
 
 REF_SAMPLE = f"SELECT * FROM ({DREF}) ORDER BY {SAMPLE_ORDER} LIMIT 1000"
