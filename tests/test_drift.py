@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from tidepool.operators.drift import (check_drift, drift_columns, drift_dataset, drift_prediction, drift_report,
                                       drift_status, ordered_cumsum)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators.evaluate import eval_metrics, model_comparison, wide_ensemble
-from tidepool.operators.scale import scaler_fit, scaler_inverse_as, scaler_transform
+from tidepool.operators.scale import scaler_fit, scaler_transform
 from tidepool.operators.score import LinearScorer, summary_columns, to_long
 from tidepool.operators.split import temporal_split
 from tidepool.operators.windows import sequence_frame, windows_in_intervals

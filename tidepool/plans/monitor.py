@@ -16,7 +16,7 @@ from tidepool.operators.evaluate import wide_ensemble
 from tidepool.operators.scale import scaler_fit
 from tidepool.operators.score import LinearScorer, linear_scores_wide
 from tidepool.operators.validate import last_step, split_valid, validate_sequences
-from tidepool.operators.windows import lookback_windows
+from tidepool.operators.windows import lookback_windows, scale_sequences
 from tidepool.plans import fixtures as fx
 from tidepool.session import materialize
 
@@ -86,12 +86,6 @@ def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scaler_fit(reference_period(spark, sf_dir), EV_FEATURES)
 
 
-def scale_sequence(seq: Column, stats_cols: list[tuple[Column, Column]]) -> Column:
-    means = F.array(*[m for m, _ in stats_cols])
-    stds = F.array(*[s for _, s in stats_cols])
-    return F.transform(seq, lambda r: F.transform(r, lambda x, j: (x - means[j]) / stds[j]))
-
-
 def validated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The validated request batch written once (scoring and error counts
     both read it)."""
@@ -104,8 +98,9 @@ def score_requests(spark: SparkSession, sf_dir: str, batch: DataFrame | None = N
     good, _ = split_valid(batch if batch is not None else validated(spark, sf_dir))
     stats = fitted(spark, sf_dir)
     j = good.crossJoin(F.broadcast(stats))
-    sc = [(F.col(f"{c}__mean"), F.col(f"{c}__std")) for c in EV_FEATURES]
-    z = j.withColumn("seq_z", scale_sequence(F.col("sequence"), sc)) \
+    means = [F.col(f"{c}__mean") for c in EV_FEATURES]
+    stds = [F.col(f"{c}__std") for c in EV_FEATURES]
+    z = j.withColumn("seq_z", scale_sequences(F.col("sequence"), means, stds)) \
          .withColumn("x_last", last_step(F.col("seq_z")))
     wide = linear_scores_wide(z, MODELS, EV_FEATURES, LOOK_BACK, seq_col="seq_z", row_col="x_last")
     wide = wide_ensemble(wide, [f"yhat__{m}" for m in MODEL_NAMES], "yhat__ensemble")
