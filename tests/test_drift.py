@@ -121,3 +121,13 @@ def test_report_insufficient(spark):
     rep = drift_report(drift_status(big, big, preds, 50).drop("last_drift_check"),
                        drift_dataset(_shares(spark, [True] * 4 + [False]))).first()
     assert rep["current_window_size"] == 50 and rep["recommendation"] == "Consider retraining the model"
+
+
+def test_auto_method_by_reference_size(spark):
+    small = spark.createDataFrame([(float(i),) for i in range(500)], "x double")
+    big = spark.createDataFrame([(float(i % 700),) for i in range(1500)], "x double")
+    cur = spark.createDataFrame([(float(i) + 0.5,) for i in range(300)], "x double")
+    m_small = drift_columns(small, cur, ["x"], method={"x": "auto"}).first()
+    m_big = drift_columns(big, cur, ["x"], method={"x": "auto"}).first()
+    assert (m_small["method"], m_small["threshold"]) == ("ks", 0.05) and m_small["p_value"] is not None
+    assert (m_big["method"], m_big["threshold"]) == ("wasserstein", 0.1) and m_big["p_value"] is None

@@ -44,6 +44,7 @@ MIN_CURRENT_ROWS = 10
 MIN_PREDICTIONS = 50
 PREDICTION_WINDOW = 100
 MIN_MEAN = 0.01
+AUTO_KS_MAX_ROWS = 1000
 RETRAIN = "Consider retraining the model"
 NO_ACTION = "No action required"
 
@@ -178,8 +179,9 @@ def drift_columns(ref: DataFrame, cur: DataFrame, numeric: Sequence[str] = (),
                   buckets: int = 64, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """One row per column: method, stat, p_value, threshold, drifted, status.
 
-    ``method`` maps a numeric column to ``ks`` (default) or ``wasserstein``;
-    categorical columns use ``js``. A column empty on either side gets
+    ``method`` maps a numeric column to ``ks`` (default), ``wasserstein`` or
+    ``auto`` (KS when the reference has at most 1000 values, else
+    Wasserstein); categorical columns use ``js``. A column empty on either side gets
     status ``no_data`` and is not counted as drifted.
     """
     method = method or {}
@@ -187,7 +189,10 @@ def drift_columns(ref: DataFrame, cur: DataFrame, numeric: Sequence[str] = (),
     if numeric:
         nt = numeric_tests(ref, cur, numeric, buckets, hot_rows)
         mlit = F.create_map(*[x for c in numeric for x in (F.lit(c), F.lit(method.get(c, "ks")))])
-        nt = nt.withColumn("method", mlit[F.col("column")])
+        # "auto": KS for small reference samples, normalised Wasserstein above
+        auto = F.when(F.col("n_ref") <= F.lit(AUTO_KS_MAX_ROWS), F.lit("ks")).otherwise(F.lit("wasserstein"))
+        chosen = mlit[F.col("column")]
+        nt = nt.withColumn("method", F.when(chosen == "auto", auto).otherwise(chosen))
         is_ks = F.col("method") == "ks"
         parts.append(nt.select(
             "column", "method", "n_ref", "n_cur",
