@@ -58,5 +58,5 @@ def test_run_log(spark):
     runs = run_records(m, {"look_back": "20"})
     r = {x["model"]: x for x in runs.collect()}
     assert r["a"]["metrics"] == {"test_mae": 2.0, "test_mse": 4.0, "val_mae": 3.0, "val_mse": 9.0}
-    assert r["a"]["params"] == {"look_back": "20"}
+    assert r["a"]["params"] == {"look_back": "20"} and r["a"]["scale"] == "original"
     assert [x["model"] for x in best_runs(runs, "test_mae").orderBy("rank").collect()] == ["b", "a"]

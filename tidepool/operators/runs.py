@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 
 def run_records(metrics: DataFrame, params: dict[str, str], model_col: str = "model",
-                split_col: str = "split") -> DataFrame:
+                split_col: str = "split", scale: str = "original") -> DataFrame:
     """From long metrics (split, model, mae, mse) to one run per model with
     metrics ``<split>_mae`` / ``<split>_mse``. Each group holds at most
-    2 x splits entries."""
+    2 x splits entries. ``scale`` records whether the errors are in original
+    units or in standardised space (the same metric name is used for both)."""
     entries = F.array(F.struct(F.concat(F.col(split_col), F.lit("_mae")).alias("k"), F.col("mae").alias("v")),
                       F.struct(F.concat(F.col(split_col), F.lit("_mse")).alias("k"), F.col("mse").alias("v")))
     p = F.create_map(*[x for k, v in params.items() for x in (F.lit(k), F.lit(str(v)))])
@@ -23,7 +24,8 @@ def run_records(metrics: DataFrame, params: dict[str, str], model_col: str = "mo
                    .groupBy(model_col)
                    .agg(F.map_from_entries(F.collect_list(F.struct("e.k", "e.v"))).alias("metrics"))
                    .select(F.concat(F.col(model_col), F.lit("_run")).alias("run_name"), model_col,
-                           p.alias("params"), "metrics", F.current_timestamp().alias("logged_at")))
+                           p.alias("params"), "metrics", F.lit(scale).alias("scale"),
+                           F.current_timestamp().alias("logged_at")))
 
 
 def best_runs(runs: DataFrame, metric: str, model_col: str = "model") -> DataFrame:
