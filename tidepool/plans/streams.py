@@ -72,4 +72,4 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     # any order, so a row may trail the newest row seen by up to a week: the
     # watermark covers the landing granularity and no row counts as late
     return metrics_stream(spark, src, scratch_path(spark, "metrics"), scratch_path(spark, "ckpt"), schema, aggs,
-                          watermark=LANDING_WATERMARK)
+                          watermark=LANDING_WATERMARK, files_per_batch=8)

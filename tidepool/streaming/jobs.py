@@ -151,11 +151,11 @@ def drift_check_stream(spark: SparkSession, source: str, state: str, checkpoint:
 
 def metrics_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
                    aggs: Sequence, keys: Sequence[str] = ("model",), time_col: str = "ts",
-                   every: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
+                   every: str = "1 hour", watermark: str = "1 hour", files_per_batch: int = 1) -> DataFrame:
     """Windowed aggregates in update mode with a watermark; each batch's
     updated rows are appended to an upsert log under ``sink``. Rows later than
     the watermark are dropped (documented bound on state)."""
-    s = (file_stream(spark, source, schema)
+    s = (file_stream(spark, source, schema, files_per_batch)
          .withColumn(time_col, F.col(time_col).cast("timestamp"))
          .withWatermark(time_col, watermark)
          .groupBy(F.window(time_col, every).alias("w"), *keys).agg(*aggs)
