@@ -131,3 +131,11 @@ def test_auto_method_by_reference_size(spark):
     m_big = drift_columns(big, cur, ["x"], method={"x": "auto"}).first()
     assert (m_small["method"], m_small["threshold"]) == ("ks", 0.05) and m_small["p_value"] is not None
     assert (m_big["method"], m_big["threshold"]) == ("wasserstein", 0.1) and m_big["p_value"] is None
+
+
+def test_no_columns_to_compare_is_empty(spark):
+    r = spark.createDataFrame([(1.0,)], "x double")
+    out = drift_columns(r, r, [], [])
+    assert out.count() == 0 and "drifted" in out.columns
+    # the same schema as a real result
+    assert out.schema.simpleString() == drift_columns(r, r, ["x"]).schema.simpleString()

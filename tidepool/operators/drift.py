@@ -204,6 +204,8 @@ def drift_columns(ref: DataFrame, cur: DataFrame, numeric: Sequence[str] = (),
         parts.append(ct.select("column", F.lit("js").alias("method"), "n_ref", "n_cur",
                                F.col("js").alias("stat"), F.lit(None).cast("double").alias("p_value"),
                                F.lit(distance_threshold).alias("threshold")))
+    if not parts:                      # nothing to compare: an empty result, not an error
+        return cur.sparkSession.createDataFrame([], COLUMN_RESULT)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -214,6 +216,15 @@ def drift_columns(ref: DataFrame, cur: DataFrame, numeric: Sequence[str] = (),
                .withColumn("drifted", F.when(no_data, F.lit(False)).otherwise(drifted)))
 
 
+COLUMN_RESULT = T.StructType([
+    T.StructField("column", T.StringType()), T.StructField("method", T.StringType()),
+    T.StructField("n_ref", T.LongType()), T.StructField("n_cur", T.LongType()),
+    T.StructField("stat", T.DoubleType()), T.StructField("p_value", T.DoubleType()),
+    T.StructField("threshold", T.DoubleType()), T.StructField("status", T.StringType()),
+    T.StructField("drifted", T.BooleanType()),
+])
+
+
 # ------------------------------------------------------------------ dataset verdict
 
 def common_columns(ref: DataFrame | None, cur: DataFrame, exclude: Sequence[str] = ()) -> list[str]:

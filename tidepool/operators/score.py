@@ -127,6 +127,8 @@ def batch_score(windows: DataFrame, scorers: Sequence, features: Sequence[str],
     """Score every window with every model; long (ids..., model, yhat)."""
     lin = [s for s in scorers if isinstance(s, LinearScorer)]
     pys = [s for s in scorers if isinstance(s, PandasScorer)]
+    if not lin and not pys:
+        raise ValueError("batch_score needs at least one LinearScorer or PandasScorer")
     parts = []
     if lin:
         wide = linear_scores_wide(windows, lin, features, look_back, seq_col, row_col)
