@@ -48,3 +48,12 @@ def test_append_log(spark):
     append(df, path)
     append(df, path)
     assert read_table(spark, path).count() == 2
+
+
+def test_materialize_lists_written_tables(spark):
+    from tidepool.session import materialize, materialized_paths
+    before = len(materialized_paths())
+    t = materialize(spark.range(5), "listed")
+    assert t.count() == 5
+    paths = materialized_paths()
+    assert len(paths) == before + 1 and "listed-" in paths[-1]

@@ -59,6 +59,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{os.urandom(6).hex()}")
 
 
+_WRITTEN: list[str] = []
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back: computed once, re-read with column pruning by every later branch,
@@ -67,4 +70,12 @@ def materialize(df, name: str):
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
+
+
+def materialized_paths() -> list[str]:
+    """Tables written by ``materialize`` in this process, oldest first. The
+    library never deletes them (lazy DataFrames may still read them); drop
+    them with the cluster's storage tools once the results are saved."""
+    return list(_WRITTEN)
