@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import decontaminate, simhash, substring
+from tidepool.llm import bpe, decontaminate, quality, simhash, substring, toxicity
 from tidepool.llm.common import table, words
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    out = quality.judge(docs)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
@@ -30,9 +38,52 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join(words(F.col("text")), " "), 256).alias("kept_sha256"))
 
 
+def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    @F.pandas_udf("string")
+    def ids_sha256(ids: pd.Series) -> pd.Series:
+        import hashlib
+
+        return ids.map(lambda x: hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = bpe.load_ranks(rank_file())
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"),
+                      F.sha2(bpe.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+
+
+def fold_of(doc_id, n: int):
+    """crc32 of the id as text, modulo n (null: the empty text)."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n))
+
+
+def toxicity_lexicon(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Lexicon:
+    """Learned from the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(fold_of(F.col("doc_id"), 3) != 1)
+    return toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity_lexicon(spark, sf_dir, docs))
+    return out.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
     "op6_substring": op6_substring,
+    "op7_bpe": op7_bpe,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLE: dict[str, str] = {}
