@@ -34,7 +34,7 @@ METRICS = {
     "word_length": ("word_chars", True, 1.5),
     "symbols": ("n_symbols", False, 0.1),
     "dup_lines": ("n_dup_lines", False, 0.05),
-    "repeats": ("n_repeat_words", False, 0.15),
+    "repeats": ("n_repeat_words", False, 0.3),
     "capitals": ("n_upper", False, 0.5),
 }
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper"]

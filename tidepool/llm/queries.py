@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, decontaminate, quality, simhash, substring, toxicity
+from tidepool.llm import bpe, decontaminate, html_extract, quality, simhash, substring, toxicity
 from tidepool.llm.common import table, words
 
 
@@ -78,6 +78,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = html_extract.main_text(pages, html_extract.train(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_decontaminate": op3_decontaminate,
@@ -85,5 +91,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring": op6_substring,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op10_html": op10_html,
 }
 ORACLE: dict[str, str] = {}

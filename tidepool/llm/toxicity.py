@@ -44,7 +44,7 @@ def fold(text: str | None) -> list[str]:
 class Lexicon:
     terms: dict[str, float]
     exceptions: list[str] = field(default_factory=list)
-    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
 
     def automaton(self):
         import ahocorasick
@@ -78,10 +78,11 @@ def matches(ws: list[str], automaton) -> dict[int, float]:
     return best
 
 
-def signals(ws: list[str], automaton) -> tuple[float, float]:
-    """Total weight, and weight against the length of the text."""
-    total = sum(matches(ws, automaton).values())
-    return total / 10, total / math.sqrt(len(ws) + 25)
+def signals(ws: list[str], automaton) -> tuple[float, float, float]:
+    """Total weight, weight against the length of the text, matched words."""
+    found = matches(ws, automaton)
+    total = sum(found.values())
+    return total / 10, total / math.sqrt(len(ws) + 25), math.log1p(len(found))
 
 
 def _terms(ws: list[str]) -> set[str]:
@@ -106,8 +107,8 @@ def learn(labelled: DataFrame, *, rows: int = 12_000, max_terms: int = 2_000, ev
 
     At most ``rows`` rows of each label are used, those whose id has the
     smallest hash. Two thirds of them make the lexicon, the rest fits the
-    curve. A term needs a log likelihood ratio of ``evidence`` and a share of
-    toxic documents of nine in ten; at most ``max_terms`` are kept. With no
+    curve. A term needs a log likelihood ratio of ``evidence`` and must be three
+    times as frequent in toxic documents; at most ``max_terms`` are kept. With no
     label, or one class only, every score is 0.
     """
     pool = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"),
@@ -131,7 +132,7 @@ def learn(labelled: DataFrame, *, rows: int = 12_000, max_terms: int = 2_000, ev
     x = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (all_ * p))).otherwise(0.0)
     ratio = 2 * (x("toxic", n1 / (n0 + n1)) + x("clean", n0 / (n0 + n1)))
     rows_ = (counts.withColumn("weight", odds).withColumn("g", ratio)
-             .filter((F.col("g") >= evidence) & (F.col("toxic") * n0 >= 9 * F.col("clean") * n1) & (F.col("weight") > 0))
+             .filter((F.col("g") >= evidence) & (F.col("toxic") * n0 >= 3 * F.col("clean") * n1) & (F.col("weight") > 0))
              .orderBy(F.desc("g"), "term").limit(max_terms).collect())
     lex = Lexicon({r["term"]: float(r["weight"]) for r in rows_}, list(exceptions))
     lex.exceptions += _harmless(first, lex)
@@ -166,18 +167,18 @@ def _harmless(sample: DataFrame, lex: Lexicon, least: int = 3, most: int = 500)
             .orderBy(F.desc("c"), "phrase").limit(most).collect()]
 
 
-def _curve(sample: DataFrame, lex: Lexicon) -> tuple[float, float, float]:
-    """Logistic curve over the two signals, by Newton steps with a small ridge."""
-    @F.pandas_udf("a double, b double")
-    def both(text: pd.Series) -> pd.DataFrame:
+def _curve(sample: DataFrame, lex: Lexicon) -> tuple[float, ...]:
+    """Logistic curve over the three signals, by Newton steps with a small ridge."""
+    @F.pandas_udf("a double, b double, c double")
+    def three(text: pd.Series) -> pd.DataFrame:
         automaton = lex.automaton()
-        return pd.DataFrame([signals(fold(t), automaton) for t in text], columns=["a", "b"])
+        return pd.DataFrame([signals(fold(t), automaton) for t in text], columns=["a", "b", "c"])
 
-    rows = sample.select(both("text").alias("s"), "label").select("s.a", "s.b", "label").toPandas()
+    rows = sample.select(three("text").alias("s"), "label").select("s.*", "label").toPandas()
     if rows["label"].nunique() < 2:
-        return (-4.0, 1.0, 1.0)
-    x = np.column_stack([np.ones(len(rows)), rows[["a", "b"]].to_numpy()])
-    y, beta, ridge = rows["label"].to_numpy(), np.zeros(3), np.diag([0.01, 0.1, 0.1])
+        return (-4.0, 1.0, 1.0, 0.0)
+    x = np.column_stack([np.ones(len(rows)), rows[["a", "b", "c"]].to_numpy()])
+    y, beta, ridge = rows["label"].to_numpy(), np.zeros(4), np.diag([0.01, 0.1, 0.1, 0.1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ beta)
@@ -192,10 +193,10 @@ def score(docs: DataFrame, lex: Lexicon, *, text_col: str = "text", out: str = "
     as texts without a match. A column of the same name is replaced."""
     @F.pandas_udf("double")
     def udf(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton, (c, a, b) = lex.automaton(), lex.curve
+        automaton, (base, *slopes) = lex.automaton(), lex.curve
         for text in parts:
-            s = [signals(fold(t), automaton) for t in text]
-            yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, c + a * u + b * v)))) if lex.terms else 0.0
-                             for u, v in s], dtype="float64")
+            z = [base + sum(k * x for k, x in zip(slopes, signals(fold(t), automaton))) for t in text]
+            yield pd.Series([1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) if lex.terms else 0.0 for v in z],
+                            dtype="float64")
 
     return docs.withColumn(out, udf(F.col(f"`{text_col}`")))
