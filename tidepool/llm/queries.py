@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, decontaminate, html_extract, quality, sharding, simhash, substring, toxicity, url_filter
+from tidepool.llm import bpe, decontaminate, html_extract, interpolation, quality, sharding, simhash, substring, toxicity, url_filter
 from tidepool.llm.common import table, words
 
 
@@ -94,6 +94,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = fold_of(F.col("doc_id"), 5)
+    out = interpolation.score(docs, fold != 1, fold == 0)
+    return out.select("doc_id", (fold == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = html_extract.main_text(pages, html_extract.train(pages))
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring": op6_substring,
     "op7_bpe": op7_bpe,
     "op8_toxicity": op8_toxicity,
+    "op9_interpolation": op9_interpolation,
     "op10_html": op10_html,
 }
 ORACLE: dict[str, str] = {}

@@ -18,11 +18,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import by_bytes
 from tidepool.session import materialize
 
 LOW = 0xFFFFFFFF
@@ -46,7 +44,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def with_fingerprint(docs: DataFrame, *, text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` without its text, with ``_fp`` (the fingerprint as a signed long)."""
+    """``docs`` with ``_fp`` (the fingerprint as a signed long)."""
 
     @F.pandas_udf("long")
     def fp(text: pd.Series) -> pd.Series:
@@ -138,15 +136,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fingerprint and so a component. Other columns are not read.
     """
     carry = [c for c in (carry or []) if c != id_col]
-    narrow = with_fingerprint(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"),
+    narrow = with_fingerprint(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t"),
                                           *[F.col(f"`{c}`") for c in carry]), text_col="_t", shingle=shingle).drop("_t")
     narrow = materialize(narrow, "simhash-docs")
-    by_fp = materialize(narrow.groupBy("_fp").agg(F.min("_id").alias("_first")), "simhash-fps")
+    out = narrow.join(_members(narrow), "_fp")
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"`{c}`") for c in carry],
+                      F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _members(rows: DataFrame) -> DataFrame:
+    """(_fp, _root, component_id) for the fingerprints of ``rows`` (_fp, _id)."""
+    by_fp = materialize(rows.groupBy("_fp").agg(F.min("_id").alias("_first")), "simhash-fps")
     comp = components(links(by_fp))
     member = by_fp.join(comp, by_fp._fp == comp.v, "left").select(
         "_fp", F.coalesce("root", "_fp").alias("_root"), "_first")
     roots = member.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    member = materialize(member.join(roots, "_root").select("_fp", "component_id"), "simhash-members")
-    out = narrow.join(member, "_fp")
-    return out.select(F.col("_id").alias(id_col), *carry, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
-                      "component_id")
+    return materialize(member.join(roots, "_root").select("_fp", "_root", "component_id"), "simhash-members")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: the one with the
+    smallest id (null ids last). Of rows that agree in it, one stays."""
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    text, key = (f"_c{docs.columns.index(c)}" for c in (text_col, id_col))
+    full = materialize(with_fingerprint(plain.withColumn("_t", F.col(text)), text_col="_t", shingle=shingle)
+                       .drop("_t").withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    rows = full.select("_fp", "_row", F.col(key).alias("_id"))
+    first = rows.join(_members(rows), "_fp").groupBy("_root").agg(
+        F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("m"))
+    kept = full.join(first.select(F.col("m._row").alias("_row")), "_row", "left_semi")
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
