@@ -33,6 +33,14 @@ def order_id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(MAX_ID))
 
 
+def numbered(docs: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns renamed to _c0, _c1, ..., so that they cannot
+    clash with working columns, and the new name of each; columns named in
+    ``without`` (a result will replace them) are left out."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in without}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds about ``limit`` bytes of
     ``column`` (a single longer text stays whole, in a slice of its own)."""

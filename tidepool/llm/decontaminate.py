@@ -20,9 +20,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import ALNUM_SEP, words
+from tidepool.llm.common import ALNUM_SEP, numbered, words
 from tidepool.session import materialize
 
+RESULT = ("n_words", "n_hit", "hit_items", "hit_spans")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -58,11 +59,12 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, text_col: s
     """
     bench = benchmark_windows(benchmark, n, item_col, bench_text_col).persist(StorageLevel.MEMORY_AND_DISK)
     shortest = bench.agg(F.min("_k")).first()[0]
-    keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "hit_items", "hit_spans")]
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], words(F.col(f"`{text_col}`"), ALNUM_SEP).alias("_w"))
+    docs, names = numbered(docs, RESULT)
+    keep, back = list(names.values()), [F.col(n).alias(c) for c, n in names.items()]
+    base = docs.select(*keep, words(F.col(names[text_col]), ALNUM_SEP).alias("_w"))
     empty = {"hit_items": F.array().cast("array<string>"), "hit_spans": F.array().cast("array<int>")}
     if shortest is None:
-        return base.select(*keep, F.size("_w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
+        return base.select(*back, F.size("_w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"),
                            *[v.alias(k) for k, v in empty.items()])
     b = (int(shortest) + 1) // 2
     grams = (bench.withColumn("_q", F.explode(F.sequence(F.lit(1), F.size("_bw") - (b - 1))))
@@ -98,7 +100,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, n: int = 13, text_col: s
         "_win", lambda x: F.sequence(x["_s"], x["_s"] + x["_k"] - 1)))))
     hits = hits.select("_uid", F.col("_items"), spans.alias("_spans"))
     out = scanned.drop("_w", "_c").join(hits, "_uid", "left")
-    return out.select(*keep, "n_words", F.coalesce(F.size("_spans"), F.lit(0)).cast("long").alias("n_hit"),
+    return out.select(*back, "n_words", F.coalesce(F.size("_spans"), F.lit(0)).cast("long").alias("n_hit"),
                       F.coalesce("_items", empty["hit_items"]).alias("hit_items"),
                       F.coalesce("_spans", empty["hit_spans"]).alias("hit_spans"))
 

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import numbered
 from tidepool.session import materialize
 
 ALPHA = 0.01
@@ -78,13 +79,12 @@ def repeated_words(ws: list) -> int:
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with FEATURES in place of its text."""
     @F.pandas_udf(", ".join(f"{c} long" for c in FEATURES))
     def counts(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([text_counts(t) for t in text], columns=FEATURES, dtype="int64")
 
-    keep = [c for c in docs.columns if c not in FEATURES and c != text_col]
-    return docs.select(*[F.col(f"`{c}`") for c in keep], counts(F.col(f"`{text_col}`")).alias("_c")).select(
-        *[F.col(f"`{c}`") for c in keep], "_c.*")
+    return docs.withColumn("_counts", counts(F.col(text_col))).select("*", "_counts.*").drop("_counts", text_col)
 
 
 def _bucket(x: Column) -> Column:
@@ -145,10 +145,10 @@ def judge(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     by one. Other columns pass through, but columns named like a result are
     replaced.
     """
-    drop = {"base_failed", "kept"}
-    counts = materialize(with_counts(docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in drop]), text_col),
-                         "quality-counts")
-    limit = thresholds(sketches(counts)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    docs, names = numbered(docs, (*FEATURES, "base_failed", "kept"))
+    group = {names["lang"]: "lang", names["source"]: "source"}
+    counts = materialize(with_counts(docs, names[text_col]), "quality-counts")
+    limit = thresholds(sketches(counts.withColumnsRenamed(group)))
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     ok = F.lit(True)
     for m, (num, both, _) in METRICS.items():
@@ -156,6 +156,6 @@ def judge(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         ok = ok & (x <= F.col(f"{m}_hi"))
         if both:
             ok = ok & (x >= F.col(f"{m}_lo"))
-    out = counts.join(limit, F.expr("lang <=> _lang and source <=> _source"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in counts.columns], failed.alias("base_failed"),
-                      (~failed & F.coalesce(ok, F.lit(False))).alias("kept"))
+    out = counts.join(limit, F.expr(f"{names['lang']} <=> lang and {names['source']} <=> source"), "left")
+    return out.select(*[F.col(n).alias(c) for c, n in names.items() if c != text_col], *FEATURES,
+                      failed.alias("base_failed"), (~failed & F.coalesce(ok, F.lit(False))).alias("kept"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import bpe, decontaminate, html_extract, interpolation, quality, sharding, simhash, substring, toxicity, url_filter
 from tidepool.llm.common import table, words
+from tidepool.llm.sql import ORACLE
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,4 +120,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_interpolation": op9_interpolation,
     "op10_html": op10_html,
 }
-ORACLE: dict[str, str] = {}

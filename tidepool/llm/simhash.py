@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import numbered
 from tidepool.session import materialize
 
 LOW = 0xFFFFFFFF
@@ -137,10 +138,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     carry = [c for c in (carry or []) if c != id_col]
     narrow = with_fingerprint(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_t"),
-                                          *[F.col(f"`{c}`") for c in carry]), text_col="_t", shingle=shingle).drop("_t")
+                                          *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]), text_col="_t", shingle=shingle).drop("_t")
     narrow = materialize(narrow, "simhash-docs")
     out = narrow.join(_members(narrow), "_fp")
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"`{c}`") for c in carry],
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)],
                       F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -157,12 +158,11 @@ def _members(rows: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` that stand for their component: the one with the
     smallest id (null ids last). Of rows that agree in it, one stays."""
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
-    text, key = (f"_c{docs.columns.index(c)}" for c in (text_col, id_col))
-    full = materialize(with_fingerprint(plain.withColumn("_t", F.col(text)), text_col="_t", shingle=shingle)
-                       .drop("_t").withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    rows = full.select("_fp", "_row", F.col(key).alias("_id"))
+    plain, names = numbered(docs)
+    full = materialize(with_fingerprint(plain, text_col=names[text_col], shingle=shingle)
+                       .withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    rows = full.select("_fp", "_row", F.col(names[id_col]).alias("_id"))
     first = rows.join(_members(rows), "_fp").groupBy("_root").agg(
         F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("m"))
     kept = full.join(first.select(F.col("m._row").alias("_row")), "_row", "left_semi")
-    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
