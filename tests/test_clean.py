@@ -33,9 +33,8 @@ def test_inf_to_null(panel):
     assert out[4][0] is None and out[3][1] is None and out[2] == (1.0, None)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1000])       # split layout / direct window
-def test_ffill_leading_inner_nan_inf_and_chunks(panel, hot_rows):
-    f = ffill(inf_to_null(panel), ["ticker"], "date", tiebreak=["row_id"], chunk_width=7, hot_rows=hot_rows)
+def test_ffill_leading_inner_nan_inf_and_chunks(panel):
+    f = ffill(inf_to_null(panel), ["ticker"], "date", tiebreak=["row_id"], chunk_width=7)
     got = {r["row_id"]: (r["x"], r["y"]) for r in f.collect()}
     assert 8 not in got
     assert got[1] == (None, 10.0)        # leading null stays
@@ -46,9 +45,8 @@ def test_ffill_leading_inner_nan_inf_and_chunks(panel, hot_rows):
     assert got[7] == (7.0, 1.0)          # carried across chunks
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1000])
-def test_ffill_dropna_drops_leading(panel, hot_rows):
-    f = ffill_dropna(inf_to_null(panel), ["ticker"], "date", tiebreak=["row_id"], chunk_width=7, hot_rows=hot_rows)
+def test_ffill_dropna_drops_leading(panel):
+    f = ffill_dropna(inf_to_null(panel), ["ticker"], "date", tiebreak=["row_id"], chunk_width=7)
     assert sorted(r["row_id"] for r in f.collect()) == [2, 3, 4, 5, 6, 7]
 
 
@@ -65,7 +63,7 @@ def test_ffill_matches_plain_window(spark):
     w = Window.partitionBy("ticker").orderBy("date", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     plain = {r["row_id"]: r["v"] for r in df.select("row_id", F.last("v", True).over(w).alias("v")).collect()}
     for width in (3, 17, 64, 10000):
-        ours = {r["row_id"]: r["v"] for r in ffill(df, ["ticker"], "date", ["v"], ["row_id"], width, None).collect()}
+        ours = {r["row_id"]: r["v"] for r in ffill(df, ["ticker"], "date", ["v"], ["row_id"], width).collect()}
         assert ours == plain
 
 
@@ -101,3 +99,20 @@ def test_extremes_and_trim(spark):
     kept = quantile_trim(df, "t", 0.01, 0.99)
     # q01 = 1.99, q99 = 99.01: strict bounds drop 1 and 100
     assert kept.count() == 98
+
+
+def test_ffill_null_keys_null_times_and_ties(spark):
+    """Rows without an entity vanish; rows without a date come last, so they
+    take values but give none; ties go by row id."""
+    rows = [("A", D(2024, 1, 1), 1, None), ("A", None, 2, 7.0), ("A", D(2024, 1, 2), 4, 3.0), ("A", D(2024, 1, 2), 3, 2.0),
+            ("A", D(2024, 1, 9), 5, None), ("A", None, 6, None), (None, D(2024, 1, 1), 7, 1.0), (None, None, 8, None)]
+    df = spark.createDataFrame(rows, "ticker string, date date, row_id long, v double")
+    want = {1: None, 3: 2.0, 4: 3.0, 5: 3.0, 2: 7.0, 6: 7.0}
+    for width in (1, 3, 1000):
+        assert {r["row_id"]: r["v"] for r in ffill(df, ["ticker"], "date", ["v"], ["row_id"], width).collect()} == want
+
+
+def test_extremes_of_a_constant_column(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, 2.0)], "row_id long, t double")
+    assert sorted((r["row_id"], r["extreme"]) for r in extreme_rows(df, "t").collect()) == [
+        (1, "max"), (1, "min"), (2, "max"), (2, "min")]

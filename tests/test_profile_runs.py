@@ -60,3 +60,8 @@ def test_run_log(spark):
     assert r["a"]["metrics"] == {"test_mae": 2.0, "test_mse": 4.0, "val_mae": 3.0, "val_mse": 9.0}
     assert r["a"]["params"] == {"look_back": "20"} and r["a"]["scale"] == "original"
     assert [x["model"] for x in best_runs(runs, "test_mae").orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_seeded_sample_of_large_ids(spark):
+    df = spark.createDataFrame([(10**12 + i,) for i in range(30)] + [(4_500_000_000,), (-5,)], "row_id long")
+    assert seeded_sample(df, 12).count() == 12 and seeded_sample(df, 100).count() == 32

@@ -58,3 +58,22 @@ def test_last_n_stream_restarts_from_checkpoint(spark):
     spark.createDataFrame([(i, i) for i in range(30, 35)], schema).write.mode("append").parquet(src)
     more = sorted(r["id"] for r in last_n_stream(spark, src, state, ckpt, schema, 10).collect())
     assert more == list(range(25, 35))
+
+
+def test_rows_without_a_time_and_late_rows_count(spark):
+    import datetime as dt
+
+    from tidepool.session import scratch_path
+    from tidepool.streaming.jobs import metrics_stream, stage_slices
+    at = lambda d, h: dt.datetime(2024, 1, d, h)
+    df = spark.createDataFrame([("m", at(20, 1), 1.0), ("m", at(2, 1), 2.0), ("m", None, 4.0), ("m", at(9, 5), 8.0)],
+                               "model string, ts timestamp, v double")
+    src, sink, ckpt = (scratch_path(spark, n) for n in ("src", "sink", "ckpt"))
+    stage_slices(df, src, "ts", ["2024-01-08"])
+    assert spark.read.parquet(src).count() == 4
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum("v").alias("v")]
+    first = metrics_stream(spark, src, sink, ckpt, df.schema, aggs)
+    assert sorted((r["n"], r["v"]) for r in first.collect()) == [(1, 1.0), (1, 2.0), (1, 4.0), (1, 8.0)]
+    spark.createDataFrame([("m", at(2, 1), 16.0)], df.schema).write.mode("append").parquet(src)      # very late
+    more = metrics_stream(spark, src, sink, ckpt, df.schema, aggs)
+    assert sorted((r["n"], r["v"]) for r in more.collect()) == [(1, 1.0), (1, 4.0), (1, 8.0), (2, 18.0)]

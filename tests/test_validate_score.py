@@ -11,7 +11,7 @@ SEQ = "sequence array<array<double>>"
 
 
 def seq(n=20, w=68):
-    return [[i + 0.1 * j for j in range(w)] for i in range(n)]
+    return [[float((3 * step * step + 5 * col) % 17) for col in range(w)] for step in range(n)]
 
 
 def test_validation_codes(spark):
@@ -70,3 +70,23 @@ def test_ensemble_align_and_metrics(spark):
     assert rs["m1"]["resid_mean"] == -1.0 and rs["m1"]["resid_std"] == 2.0     # population std of (1, -3)
     cmp = {r["model"]: r["mae_rank"] for r in model_comparison(eval_metrics(scored, ["model"])).collect()}
     assert cmp == {"m2": 1, "m1": 2}
+
+
+def test_missing_actual_is_an_error(spark):
+    preds = spark.createDataFrame([(1, 0.5), (2, 0.7)], "row_id long, yhat double")
+    truth = spark.createDataFrame([(1, None)], "row_id long, y double")
+    with pytest.raises(Exception, match="no actual for id 2"):
+        attach_actuals(preds, truth).collect()
+    known = attach_actuals(preds.filter("row_id = 1"), truth).first()
+    assert known["actual"] is None and known["yhat"] == 0.5
+
+
+def test_python_models_share_one_pass(spark):
+    rows = [(i, [[float(i + s), 1.0] for s in range(3)], [float(i), 2.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "row_id long, seq array<array<double>>, x_row array<double>")
+    w = np.array([1.0, 0.5])
+    models = [PandasScorer("a", lambda: linear_predict(w, 0.0, "last")), PandasScorer("b", lambda: linear_predict(w, 1.0), "row")]
+    out = batch_score(df, models, ["p", "q"], 3)
+    got = {(r["row_id"], r["model"]): r["yhat"] for r in out.collect()}
+    assert got == {**{(i, "a"): i + 2.5 for i in range(5)}, **{(i, "b"): i + 2.0 for i in range(5)}}
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1

@@ -19,11 +19,9 @@ def frame(spark, sizes):
     return spark.createDataFrame(data, "ticker long, date date, row_id long, a double, b double")
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1000])       # split layout / direct window
-def test_window_counts_19_20_21_25(spark, hot_rows):
+def test_window_counts_19_20_21_25(spark):
     df = frame(spark, {19: 19, 20: 20, 21: 21, 25: 25})
-    w = lookback_windows(df, ["ticker"], "date", ["a", "b"], 20, carry=["a"], block=32, chunk_width=3,
-                         hot_rows=hot_rows)
+    w = lookback_windows(df, ["ticker"], "date", ["a", "b"], 20, carry=["a"], block=32, chunk_width=3)
     counts = {r["ticker"]: r["n"] for r in w.groupBy("ticker").agg(F.count("*").alias("n")).collect()}
     assert counts.get(19, 0) == 0 and counts.get(20, 0) == 0 and counts[21] == 1 and counts[25] == 5
     first = w.filter("ticker = 21").first()
@@ -41,7 +39,7 @@ def test_blocks_and_chunks_match_plain_window(spark):
         "row_id", F.sum("a").over(w.rowsBetween(-5, -1)).alias("s"),
         F.count("a").over(w.rowsBetween(-5, -1)).alias("c")).collect() if r["c"] == 5}
     for block, chunk in ((5, 1), (7, 3), (64, 64)):
-        lw = lookback_windows(df, ["ticker"], "date", ["a"], 5, block=block, chunk_width=chunk, hot_rows=None)
+        lw = lookback_windows(df, ["ticker"], "date", ["a"], 5, block=block, chunk_width=chunk)
         ours = {r["row_id"]: (sum(x[0] for x in r["seq"]), 5) for r in lw.collect()}
         assert ours == plain
 
@@ -50,20 +48,17 @@ def test_positions_and_lead(spark):
     df = frame(spark, {1: 50})
     p = {r["row_id"]: r["pos"] for r in with_positions(df, ["ticker"], "date", ["row_id"], 4).collect()}
     assert p == {1000 + i: i for i in range(50)}
-    for hot_rows in (None, 1000):
-        ll = lead_lag(df, ["ticker"], "date", {"fwd": ("a", 5), "back": ("a", -2)}, ["row_id"], 3, block=6,
-                      keep_pos="p", hot_rows=hot_rows)
+    for block in (6, 1000):
+        ll = lead_lag(df, ["ticker"], "date", {"fwd": ("a", 5), "back": ("a", -2)}, ["row_id"], 3, block=block,
+                      keep_pos="p")
         got = {r["row_id"]: (r["fwd"], r["back"], r["p"]) for r in ll.collect()}
         assert got[1000] == (5.0, None, 0) and got[1044] == (49.0, 42.0, 44) and got[1045] == (None, 43.0, 45)
 
 
 def test_hot_entity_is_split(spark):
-    from tidepool.operators.sequence import is_hot, max_rows_per_group
     df = frame(spark, {1: 300, 2: 10, 3: 10})            # entity 1 holds most rows
-    assert max_rows_per_group(df, ["ticker"]) == 300
-    assert is_hot(df, ["ticker"], 100) and not is_hot(df, ["ticker"], 1000)
-    split = lookback_windows(df, ["ticker"], "date", ["a"], 20, block=32, chunk_width=5, hot_rows=100)
-    plain = lookback_windows(df, ["ticker"], "date", ["a"], 20, hot_rows=1000)
+    split = lookback_windows(df, ["ticker"], "date", ["a"], 20, block=32, chunk_width=5)
+    plain = lookback_windows(df, ["ticker"], "date", ["a"], 20, block=10**6, chunk_width=10**6)
     key = lambda d: sorted((r["row_id"], tuple(x[0] for x in r["seq"])) for r in d.collect())
     assert key(split) == key(plain) and len(key(split)) == 280
 
@@ -97,7 +92,22 @@ def test_hot_entity_spread_over_bounded_groups(spark):
     biggest = lay.groupBy("ticker", "_blk").count().agg(F.max("count")).first()[0]
     assert biggest <= 64 + 5
     assert lay.filter("ticker = 1").select("_blk").distinct().count() == 10
-    split = lookback_windows(df, ["ticker"], "date", ["a"], 5, block=64, chunk_width=16, hot_rows=None)
-    plain = lookback_windows(df, ["ticker"], "date", ["a"], 5, hot_rows=10**6)
+    split = lookback_windows(df, ["ticker"], "date", ["a"], 5, block=64, chunk_width=16)
+    plain = lookback_windows(df, ["ticker"], "date", ["a"], 5, block=10**6, chunk_width=10**6)
     key = lambda d: sorted((r["row_id"], tuple(x[0] for x in r["seq"])) for r in d.collect())
     assert key(split) == key(plain)
+
+
+def test_windows_with_null_keys_and_times(spark):
+    """Rows without an entity give no window; rows without a date come last."""
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    rows = [(1, day(i), i, float(i)) for i in range(6)] + [(1, None, 90, 90.0), (1, None, 91, 91.0)]
+    rows += [(None, day(i), 200 + i, 0.0) for i in range(9)]
+    df = spark.createDataFrame(rows, "ticker long, date date, row_id long, a double")
+    for block, chunk in ((3, 1), (64, 64)):
+        got = {r["row_id"]: [x[0] for x in r["seq"]]
+               for r in lookback_windows(df, ["ticker"], "date", ["a"], 3, block=block, chunk_width=chunk).collect()}
+        assert got == {3: [0, 1, 2], 4: [1, 2, 3], 5: [2, 3, 4], 90: [3, 4, 5], 91: [4, 5, 90]}
+        lag = {r["row_id"]: r["b"] for r in
+               lead_lag(df, ["ticker"], "date", {"b": ("a", -1)}, ["row_id"], chunk, block).collect()}
+        assert lag == {0: None, 1: 0, 2: 1, 3: 2, 4: 3, 5: 4, 90: 5, 91: 90}

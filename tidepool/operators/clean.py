@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.functions.columns import NUMERIC_TYPES, non_finite_to_null
-from tidepool.operators.sequence import HOT_ROWS, chunk_column, is_hot
+from tidepool.functions.columns import non_finite_to_null
+from tidepool.operators.sequence import chunk_column, in_order, with_keys
 
 
 # ------------------------------------------------------------------ projections
@@ -77,8 +77,7 @@ def has_at_most(df: DataFrame, n: int) -> bool:
 # ------------------------------------------------------------------ forward fill
 
 def ffill(df: DataFrame, keys: Sequence[str], time_col: str, cols: Sequence[str] | None = None,
-          tiebreak: Sequence[str] = (), chunk_width: int | None = None,
-          hot_rows: int | None = HOT_ROWS) -> DataFrame:
+          tiebreak: Sequence[str] = (), chunk_width: int | None = None) -> DataFrame:
     """Forward fill per entity in time order, skew-safe.
 
     Level 1: ``last(c, ignorenulls)`` inside (entity, time chunk).
@@ -87,20 +86,15 @@ def ffill(df: DataFrame, keys: Sequence[str], time_col: str, cols: Sequence[str]
     into later chunks by a window over that small table and joined in on
     (entity, chunk); one window over (entity, chunk) does the rest.
     Rows with a null entity key are dropped (the reference loops over key
-    values with an equality filter, which never matches null).
+    values with an equality filter, which never matches null); rows with a
+    null time sort last in their entity, so nothing is filled from them.
     """
     keys = list(keys)
     cols = [c for c in (cols or df.columns) if c not in keys + [time_col, *tiebreak]]
-    order = [F.col(time_col), *[F.col(c) for c in tiebreak]]
-    d = df
-    for k in keys:
-        d = d.filter(F.col(k).isNotNull())
-    if not is_hot(d, keys, hot_rows):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return d.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in cols else F.col(c)
-                          for c in df.columns])
-    d = d.withColumn("_ck", chunk_column(df, time_col, chunk_width))
-    ordering = F.struct(*order)
+    order = in_order([time_col, *tiebreak])
+    d = with_keys(df, keys).withColumn("_ck", chunk_column(df, time_col, chunk_width))
+    # nulls last in a struct: a marker before each value
+    ordering = F.struct(*[x for c in [time_col, *tiebreak] for x in (F.col(c).isNull(), F.col(c))])
     last_of_chunk = d.groupBy(*keys, "_ck").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), ordering)).alias(c) for c in cols])
     prior = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,23 +107,24 @@ def ffill(df: DataFrame, keys: Sequence[str], time_col: str, cols: Sequence[str]
 
 
 def ffill_dropna(df: DataFrame, keys: Sequence[str], time_col: str, cols: Sequence[str] | None = None,
-                 tiebreak: Sequence[str] = (), chunk_width: int | None = None,
-                 hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                 tiebreak: Sequence[str] = (), chunk_width: int | None = None) -> DataFrame:
     """Forward fill then drop every row that still has a null (leading gaps)."""
-    return ffill(df, keys, time_col, cols, tiebreak, chunk_width, hot_rows).na.drop("any")
+    return ffill(df, keys, time_col, cols, tiebreak, chunk_width).na.drop("any")
 
 
 # ------------------------------------------------------------------ extremes and trim
 
 def extreme_rows(df: DataFrame, col: str) -> DataFrame:
-    """Rows whose ``col`` equals the global min or max, tagged ``extreme``.
+    """Rows whose ``col`` equals the global min or max, tagged ``extreme``; of
+    a constant column every row is both, and comes once for each.
 
     The min/max is a one-row aggregate, joined by broadcast (size 1 by
     construction)."""
     mm = df.agg(F.min(col).alias("_mn"), F.max(col).alias("_mx"))
     j = df.crossJoin(F.broadcast(mm))
     return (j.filter((F.col(col) == F.col("_mn")) | (F.col(col) == F.col("_mx")))
-             .withColumn("extreme", F.when(F.col(col) == F.col("_mn"), "min").otherwise("max"))
+             .withColumn("extreme", F.explode(F.array_compact(F.array(
+                 F.when(F.col(col) == F.col("_mn"), "min"), F.when(F.col(col) == F.col("_mx"), "max")))))
              .drop("_mn", "_mx"))
 
 
@@ -149,6 +144,3 @@ def quantile_trim(df: DataFrame, col: str, lower: float = 0.01, upper: float = 0
     return (j.filter((F.col(col) > F.col("_q_lo")) & (F.col(col) < F.col("_q_hi")))
              .drop("_q_lo", "_q_hi"))
 
-
-def numeric_cols(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]

@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.operators.sequence import HOT_ROWS, is_hot
 
 # fixed values: default tests and thresholds
 KS_P = 0.05
@@ -44,7 +43,6 @@ MIN_CURRENT_ROWS = 10
 MIN_PREDICTIONS = 50
 PREDICTION_WINDOW = 100
 MIN_MEAN = 0.01
-AUTO_KS_MAX_ROWS = 1000
 RETRAIN = "Consider retraining the model"
 NO_ACTION = "No action required"
 
@@ -52,19 +50,14 @@ NO_ACTION = "No action required"
 # ------------------------------------------------------------------ two-level cumulative sum
 
 def ordered_cumsum(df: DataFrame, part: Sequence[str], order: str, vals: Sequence[str],
-                   buckets: int = 64, accuracy: int = 10000, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                   buckets: int = 256, accuracy: int = 10000) -> DataFrame:
     """Add ``cum_<v>`` = running sum of ``v`` over ``order`` within ``part``
     (inclusive), and ``next_<order>`` = the next larger ``order`` value.
     ``order`` must be unique within ``part`` (e.g. after a group-by).
 
-    When no part holds more than ``hot_rows`` rows one window per part is
-    safe; otherwise the two-level bucketed form below runs."""
+    Two levels at every size: ``buckets`` ranges per part, a running sum inside
+    each, and the ranges' totals as offsets."""
     part = list(part)
-    if not is_hot(df, part, hot_rows):
-        w = Window.partitionBy(*part).orderBy(order)
-        run = w.rowsBetween(Window.unboundedPreceding, 0)
-        return df.select(*df.columns, *[F.sum(v).over(run).alias(f"cum_{v}") for v in vals],
-                         F.lead(order).over(w).alias(f"next_{order}"))
     grid = [i / buckets for i in range(1, buckets)]
     # one row per part with a bounded sketch result: safe to broadcast
     cuts = df.groupBy(*part).agg(F.percentile_approx(order, grid, accuracy).alias("_cuts"))
@@ -127,12 +120,11 @@ def ks_pvalue(d: Column, n: Column, m: Column, terms: int = KS_TERMS) -> Column:
 
 # ------------------------------------------------------------------ per-column tests
 
-def numeric_tests(ref: DataFrame, cur: DataFrame, cols: Sequence[str], buckets: int = 64,
-                  hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def numeric_tests(ref: DataFrame, cur: DataFrame, cols: Sequence[str], buckets: int = 256) -> DataFrame:
     """(column, n_ref, n_cur, ks_d, ks_p, wasserstein) for every numeric column."""
     long = unpivot_numeric(ref, cur, cols)
     counts = _sides(long, "x")
-    cum = ordered_cumsum(counts, ["column"], "x", ["c_ref", "c_cur"], buckets, hot_rows=hot_rows)
+    cum = ordered_cumsum(counts, ["column"], "x", ["c_ref", "c_cur"], buckets)
     is_ref = F.col("side") == "ref"
     # per-column totals and reference spread in one aggregate; one row per
     # column: bounded by the schema, safe to broadcast
@@ -176,23 +168,18 @@ def categorical_tests(ref: DataFrame, cur: DataFrame, cols: Sequence[str]) -> Da
 def drift_columns(ref: DataFrame, cur: DataFrame, numeric: Sequence[str] = (),
                   categorical: Sequence[str] = (), method: dict[str, str] | None = None,
                   ks_p: float = KS_P, distance_threshold: float = DISTANCE_THRESHOLD,
-                  buckets: int = 64, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                  buckets: int = 256) -> DataFrame:
     """One row per column: method, stat, p_value, threshold, drifted, status.
 
-    ``method`` maps a numeric column to ``ks`` (default), ``wasserstein`` or
-    ``auto`` (KS when the reference has at most 1000 values, else
-    Wasserstein); categorical columns use ``js``. A column empty on either side gets
-    status ``no_data`` and is not counted as drifted.
+    ``method`` maps a numeric column to ``ks`` (default) or ``wasserstein``;
+    categorical columns use ``js``. A column empty on either side gets status ``no_data`` and is not counted as drifted.
     """
     method = method or {}
     parts = []
     if numeric:
-        nt = numeric_tests(ref, cur, numeric, buckets, hot_rows)
+        nt = numeric_tests(ref, cur, numeric, buckets)
         mlit = F.create_map(*[x for c in numeric for x in (F.lit(c), F.lit(method.get(c, "ks")))])
-        # "auto": KS for small reference samples, normalised Wasserstein above
-        auto = F.when(F.col("n_ref") <= F.lit(AUTO_KS_MAX_ROWS), F.lit("ks")).otherwise(F.lit("wasserstein"))
-        chosen = mlit[F.col("column")]
-        nt = nt.withColumn("method", F.when(chosen == "auto", auto).otherwise(chosen))
+        nt = nt.withColumn("method", mlit[F.col("column")])
         is_ks = F.col("method") == "ks"
         parts.append(nt.select(
             "column", "method", "n_ref", "n_cur",
@@ -265,20 +252,29 @@ def guard_status(ref: DataFrame | None, cur: DataFrame, cols: Sequence[str],
 def status_row(spark, status: str) -> DataFrame:
     schema = T.StructType([T.StructField("n_columns", T.LongType()), T.StructField("n_drifted", T.LongType()),
                            T.StructField("drift_share", T.DoubleType()), T.StructField("status", T.StringType()),
-                           T.StructField("dataset_drift", T.BooleanType()), T.StructField("severity", T.StringType())])
-    return spark.createDataFrame([(None, None, None, status, None, None)], schema)
+                           T.StructField("dataset_drift", T.BooleanType()), T.StructField("severity", T.StringType()),
+                           T.StructField("samples_analyzed", T.LongType()),
+                           T.StructField("prediction_drift_score", T.DoubleType())])
+    return spark.createDataFrame([(None, None, None, status, None, None, None, None)], schema)
 
 
 def check_drift(ref: DataFrame | None, cur: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                method: dict[str, str] | None = None, threshold: float = DATASET_THRESHOLD) -> DataFrame:
-    """Guards, then per-column tests over the common columns, then the verdict."""
+                method: dict[str, str] | None = None, threshold: float = DATASET_THRESHOLD,
+                preds: DataFrame | None = None) -> DataFrame:
+    """Guards, then per-column tests over the common columns, then the verdict
+    with the number of current rows and the drift score of ``preds``
+    (``prediction``, ``ts``, ``id``; none: 0)."""
     common = common_columns(ref, cur)
     num = [c for c in numeric if c in common]
     cat = [c for c in categorical if c in common]
     g = guard_status(ref, cur, num + cat)
     if g is not None:
         return status_row(cur.sparkSession, g)
-    return drift_dataset(drift_columns(ref, cur, num, cat, method), threshold)
+    verdict = drift_dataset(drift_columns(ref, cur, num, cat, method), threshold)
+    size = cur.agg(F.count(F.lit(1)).alias("samples_analyzed"))
+    score = (drift_prediction(preds).select(F.col("drift_score").alias("prediction_drift_score")) if preds is not None
+             else cur.sparkSession.range(1).select(F.lit(0.0).cast("double").alias("prediction_drift_score")))
+    return verdict.crossJoin(size).crossJoin(score)          # one row each
 
 
 # ------------------------------------------------------------------ predictions
@@ -306,16 +302,18 @@ def drift_prediction(preds: DataFrame, value: str = "prediction", order: Sequenc
 
 
 def drift_status(ref: DataFrame | None, cur: DataFrame, preds: DataFrame, window_size: int,
-                 threshold: float = DATASET_THRESHOLD, last_check: Column | None = None) -> DataFrame:
+                 threshold: float = DATASET_THRESHOLD, checks: DataFrame | None = None) -> DataFrame:
     """Monitor status: reference rows, current and prediction window sizes
-    (capped at ``window_size``), last check time, threshold, window size."""
+    (the windows hold ``window_size`` rows at most), time of the last check in
+    the log ``checks`` (check_ts; null without one), threshold, window size."""
     spark = cur.sparkSession
     n_ref = ref.agg(F.count(F.lit(1)).alias("reference_samples")) if ref is not None else \
         spark.range(1).select(F.lit(0).cast("long").alias("reference_samples"))
     n_cur = cur.agg(F.least(F.count(F.lit(1)), F.lit(window_size)).cast("long").alias("current_window_size"))
-    n_pred = preds.agg(F.least(F.count(F.lit(1)), F.lit(window_size)).cast("long").alias("prediction_window_size"),
-                       F.max("ts").alias("last_drift_check") if last_check is None else last_check)
-    return (n_ref.crossJoin(n_cur).crossJoin(n_pred)
+    n_pred = preds.agg(F.least(F.count(F.lit(1)), F.lit(window_size)).cast("long").alias("prediction_window_size"))
+    last = (checks.agg(F.max("check_ts").alias("last_drift_check")) if checks is not None
+            else spark.range(1).select(F.lit(None).cast("timestamp").alias("last_drift_check")))
+    return (n_ref.crossJoin(n_cur).crossJoin(n_pred).crossJoin(last)
                  .withColumn("drift_threshold", F.lit(float(threshold)))
                  .withColumn("window_size", F.lit(int(window_size))))
 
@@ -324,7 +322,7 @@ def drift_report(status: DataFrame, verdict: DataFrame, min_rows: int = MIN_CURR
     """Status + verdict + advice; a window under ``min_rows`` gives
     ``insufficient_data`` and no analysis."""
     j = status.crossJoin(verdict.select(F.col("status").alias("check_status"), "dataset_drift", "drift_share",
-                                        "severity"))
+                                        "severity", "samples_analyzed", "prediction_drift_score"))
     few = F.col("current_window_size") < F.lit(min_rows)
     return j.select(
         F.when(few, F.lit("insufficient_data")).otherwise(F.lit("success")).alias("status"),
@@ -333,5 +331,7 @@ def drift_report(status: DataFrame, verdict: DataFrame, min_rows: int = MIN_CURR
         F.when(few, F.lit(None)).otherwise(F.col("dataset_drift")).alias("dataset_drift"),
         F.when(few, F.lit(None)).otherwise(F.col("drift_share")).alias("drift_share"),
         F.when(few, F.lit(None)).otherwise(F.col("severity")).alias("severity"),
+        F.when(few, F.lit(None)).otherwise(F.col("samples_analyzed")).alias("samples_analyzed"),
+        F.when(few, F.lit(None)).otherwise(F.col("prediction_drift_score")).alias("prediction_drift_score"),
         F.when(few, F.lit(None)).when(F.coalesce(F.col("dataset_drift"), F.lit(False)), F.lit(RETRAIN))
          .otherwise(F.lit(NO_ACTION)).alias("recommendation"))

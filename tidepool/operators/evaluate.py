@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 def attach_actuals(preds: DataFrame, truth: DataFrame, id_col: str = "row_id",
                    target: str = "y", actual_col: str = "actual",
                    on: Sequence[str] | None = None) -> DataFrame:
-    """Look up the actual value of each predicted row by id (inner join).
-
-    The reference raises when an id is missing; ``check_actuals`` gives the
-    count of unmatched ids so callers can assert it is zero.
+    """Look up the actual value of each predicted row by id. A predicted id
+    that ``truth`` does not have is an error when the result is computed
+    (``check_actuals`` counts them beforehand); a known id may have a null
+    actual.
     """
     keys = list(on or [id_col])
-    t = truth.select(*keys, F.col(target).alias(actual_col))
-    return preds.join(t, on=keys, how="inner")
+    t = truth.select(*keys, F.struct(F.col(target).alias("v")).alias("_hit"))
+    missing = F.concat(F.lit("no actual for id "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    known = F.when(F.col("_hit").isNull(), F.raise_error(missing).cast(truth.schema[target].dataType))
+    return (preds.join(t, on=keys, how="left").withColumn(actual_col, known.otherwise(F.col("_hit.v"))).drop("_hit"))
 
 
 def check_actuals(preds: DataFrame, truth: DataFrame, id_col: str = "row_id") -> DataFrame:
@@ -35,9 +37,8 @@ def check_actuals(preds: DataFrame, truth: DataFrame, id_col: str = "row_id") ->
 def align_predictions(window_preds: DataFrame, row_preds: DataFrame,
                       on: Sequence[str] = ("row_id",)) -> DataFrame:
     """Keep the row model's predictions for exactly the ids the window models
-    scored (inner join on the id; unmatched ids are skipped)."""
-    ids = window_preds.select(*on).distinct()
-    return row_preds.join(ids, on=list(on), how="inner")
+    scored (semi join on the id; unmatched ids are skipped)."""
+    return row_preds.join(window_preds.select(*on), on=list(on), how="left_semi")
 
 
 def ensemble_mean(long_preds: DataFrame, id_cols: Sequence[str] = ("row_id",),

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 def fit(train_val: DataFrame, features: Sequence[str], label: str, is_val: str = "is_val",
         max_iter: int = 30, max_depth: int = 4, step: float = 0.1, seed: int = 42) -> PipelineModel:
-    """``train_val`` holds train and validation rows; ``is_val`` marks the latter."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
+    """``train_val`` holds train and validation rows; ``is_val`` marks the latter.
+    Rows without a label are not trained on; a null feature is an error."""
+    asm = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="error")
     gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="yhat", lossType="absolute",
                        validationIndicatorCol=is_val, maxIter=max_iter, maxDepth=max_depth, stepSize=step,
                        seed=seed)

@@ -123,10 +123,12 @@ def head(df: DataFrame, k: int = 3, id_col: str = "row_id") -> DataFrame:
 # ids that does not depend on partitioning (fixed values)
 HASH_MULT = 2654435761
 HASH_MOD = 4294967296
+HASH_IDS = 1 << 30
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int = 42, id_col: str = "row_id") -> DataFrame:
     """Exactly min(n, rows) rows without replacement, the same rows under any
     partitioning and in SQL: the n smallest of a seeded hash of the id."""
-    key = (F.col(id_col) * F.lit(HASH_MULT) + F.lit(seed)) % F.lit(HASH_MOD)
+    # the id is reduced first, so that the product fits a BIGINT for any id
+    key = (F.pmod(F.col(id_col), F.lit(HASH_IDS)) * F.lit(HASH_MULT) + F.lit(seed)) % F.lit(HASH_MOD)
     return df.withColumn("_h", key).orderBy("_h", id_col).limit(n).drop("_h")

@@ -84,7 +84,7 @@ def _locate(counts: DataFrame, rank: int, max_exact: int, buckets: int, accuracy
     return _values_at_ranks(counts, [rank], offset, lo, hi)[rank]
 
 
-def exact_quantile_values(df: DataFrame, col: str, probs: Sequence[float], max_exact: int = 1 << 20,
+def exact_quantile_values(df: DataFrame, col: str, probs: Sequence[float], max_exact: int = 1 << 15,
                           buckets: int = 1024, accuracy: int = 100000) -> list[float | None]:
     counts = _value_counts(df, col).persist(StorageLevel.MEMORY_AND_DISK)
     try:

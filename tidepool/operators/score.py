@@ -74,7 +74,6 @@ class PandasScorer:
     name: str
     load: Callable[[], Callable[[np.ndarray], np.ndarray]]   # returns predict()
     source: str = "window"                                   # window | row
-    batch_size: int = 4096
 
 
 def linear_scores_wide(windows: DataFrame, scorers: Sequence[LinearScorer], features: Sequence[str],
@@ -93,32 +92,34 @@ def to_long(wide: DataFrame, id_cols: Sequence[str], models: Sequence[str],
                            f"stack({len(models)}, {parts}) AS (model, {value})")
 
 
-def pandas_scores(windows: DataFrame, scorer: PandasScorer, id_cols: Sequence[str],
+def pandas_scores(windows: DataFrame, scorers: Sequence[PandasScorer], id_cols: Sequence[str], look_back: int,
                   seq_col: str = "seq", row_col: str = "x_row") -> DataFrame:
-    """Long output (ids..., model, yhat) from an arbitrary predict function."""
-    src = seq_col if scorer.source == "window" else row_col
-    schema = T.StructType([windows.schema[c] for c in id_cols]
-                          + [T.StructField("model", T.StringType()), T.StructField("yhat", T.DoubleType())])
-    name = scorer.name
-    load = scorer.load
+    """Wide output (ids..., yhat__<model>...) of any predict functions: one pass
+    over the windows for all models, which are loaded once per task."""
+    scorers = list(scorers)
+    ids = [f"_id{i}" for i in range(len(id_cols))]
+    src = windows.select(*[F.col(c).alias(i) for c, i in zip(id_cols, ids)],
+                         *([F.flatten(seq_col).alias("_seq")] if any(s.source == "window" for s in scorers) else []),
+                         *([F.col(row_col).alias("_row")] if any(s.source == "row" for s in scorers) else []))
+    schema = T.StructType([src.schema[i] for i in ids]
+                          + [T.StructField(f"yhat__{s.name}", T.DoubleType()) for s in scorers])
 
     def run(batches):
-        predict = load()       # once per task
+        models = [(s.name, s.source, s.load()) for s in scorers]
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            if src == seq_col:
-                x = np.stack([np.stack(list(s)) for s in pdf[src]]).astype(np.float64)
-            else:
-                x = np.stack(list(pdf[src])).astype(np.float64)
-            y = np.asarray(predict(x), dtype=np.float64).reshape(-1)
-            out = pdf[list(id_cols)].copy()
-            out["model"] = name
-            out["yhat"] = y
+            x = {}
+            if "_seq" in pdf:
+                x["window"] = np.concatenate(pdf["_seq"].to_list()).astype(np.float64).reshape(len(pdf), look_back, -1)
+            if "_row" in pdf:
+                x["row"] = np.concatenate(pdf["_row"].to_list()).astype(np.float64).reshape(len(pdf), -1)
+            out = pdf[ids].copy()
+            for name, source, predict in models:
+                out[f"yhat__{name}"] = np.asarray(predict(x[source]), dtype=np.float64).reshape(-1)
             yield out
 
-    return (windows.select(*id_cols, src)
-                   .mapInPandas(run, schema))
+    return src.mapInPandas(run, schema).withColumnsRenamed(dict(zip(ids, id_cols)))
 
 
 def batch_score(windows: DataFrame, scorers: Sequence, features: Sequence[str], look_back: int,
@@ -133,12 +134,10 @@ def batch_score(windows: DataFrame, scorers: Sequence, features: Sequence[str],
     if lin:
         wide = linear_scores_wide(windows, lin, features, look_back, seq_col, row_col)
         parts.append(to_long(wide, id_cols, [s.name for s in lin]))
-    for s in pys:
-        parts.append(pandas_scores(windows, s, id_cols, seq_col, row_col))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if pys:
+        parts.append(to_long(pandas_scores(windows, pys, id_cols, look_back, seq_col, row_col), id_cols,
+                             [s.name for s in pys]))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def linear_predict(weights: np.ndarray, bias: float = 0.0, how: str = "last") -> Callable:

@@ -16,11 +16,9 @@ data. The helpers here split each entity into independent groups:
 Both cost one shuffle of the big side each; every group is bounded by the
 chunk width (positions) or the block size (windows), never by entity size.
 
-The split layout is only needed when an entity is hot. ``is_hot`` runs one
-cheap aggregate (rows per entity, partial aggregation over the key columns)
-and the operators take the plain ``partitionBy(entity)`` window -- one
-shuffle -- when no entity exceeds ``hot_rows``; otherwise the split layout.
-``hot_rows=None`` always splits.
+The layout is the same at every size. Rows with a null key belong to no entity
+and are dropped; rows with a null time come last in their entity, as a chunk of
+their own.
 """
 
 from __future__ import annotations
@@ -33,29 +31,27 @@ from pyspark.sql import functions as F
 from tidepool.functions.columns import time_chunk
 
 DEFAULT_BLOCK = 8192
-# rows per entity above which one task would hold too much: such entities are
-# split (a tuning value; ~2 M rows of a wide panel still sort within a task)
-HOT_ROWS = 2_000_000
+NULL_CHUNK = (1 << 62)       # after every chunk of a real time
 
 
-def max_rows_per_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Largest group size: a partial aggregate over the key columns only."""
-    r = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("m")).first()
-    return int(r["m"] or 0)
+def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose entity keys are all present."""
+    for k in keys:
+        df = df.filter(F.col(k).isNotNull())
+    return df
 
 
-def is_hot(df: DataFrame, keys: Sequence[str], hot_rows: int | None) -> bool:
-    return hot_rows is None or max_rows_per_group(df, keys) > hot_rows
-
-
-def _cols(xs: Sequence[str | Column]) -> list[Column]:
-    return [F.col(x) if isinstance(x, str) else x for x in xs]
+def in_order(xs: Sequence[str | Column]) -> list[Column]:
+    """Ascending sort keys, nulls last."""
+    return [(F.col(x) if isinstance(x, str) else x).asc_nulls_last() for x in xs]
 
 
 def chunk_column(df: DataFrame, time_col: str, width: int | None) -> Column:
+    """Time chunk of a row, never null."""
     if width is None:
         width = default_chunk_width(df, time_col)
-    return time_chunk(F.col(time_col), df.schema[time_col].dataType, width)
+    chunk = time_chunk(F.col(time_col), df.schema[time_col].dataType, width)
+    return F.coalesce(chunk.cast("long"), F.lit(NULL_CHUNK))
 
 
 def default_chunk_width(df: DataFrame, time_col: str) -> int:
@@ -78,11 +74,11 @@ def with_positions(df: DataFrame, keys: Sequence[str], time_col: str,
     input; their running sum over chunks (a window over that small table)
     is each chunk's offset, joined back (AQE broadcasts it when it is
     measured small); one window over (entity, chunk) adds the row number.
-    Rows with a null key are dropped.
+    Rows with a null key are dropped; null times come last.
     """
     keys = list(keys)
-    order = [F.col(time_col)] + _cols(tiebreak)
-    d = df.withColumn("_ck", chunk_column(df, time_col, chunk_width))
+    order = in_order([time_col, *tiebreak])
+    d = with_keys(df, keys).withColumn("_ck", chunk_column(df, time_col, chunk_width))
     counts = d.groupBy(*keys, "_ck").agg(F.count(F.lit(1)).alias("_cnt"))
     prior = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_ck", F.coalesce(F.sum("_cnt").over(prior), F.lit(0)).alias("_off"))
@@ -122,17 +118,10 @@ def block_window(keys: Sequence[str], pos_col: str = "pos") -> Window:
 
 def lead_lag(df: DataFrame, keys: Sequence[str], time_col: str, exprs: dict[str, tuple[str, int]],
              tiebreak: Sequence[str] = (), chunk_width: int | None = None,
-             block: int = DEFAULT_BLOCK, keep_pos: str | None = None,
-             hot_rows: int | None = HOT_ROWS) -> DataFrame:
+             block: int = DEFAULT_BLOCK, keep_pos: str | None = None) -> DataFrame:
     """Skew-safe ``lead``/``lag``: ``exprs`` maps output name to
     ``(column, offset)``; offset > 0 is lead, < 0 is lag. ``keep_pos`` names
     a column to keep the row position in (for later block layouts)."""
-    if not is_hot(df, keys, hot_rows):
-        w = Window.partitionBy(*keys).orderBy(F.col(time_col), *_cols(tiebreak))
-        d = df
-        for name, (c, off) in exprs.items():
-            d = d.withColumn(name, (F.lead(c, off) if off > 0 else F.lag(c, -off)).over(w))
-        return d.withColumn(keep_pos, (F.row_number().over(w) - 1).cast("long")) if keep_pos else d
     before = max([-o for _, o in exprs.values() if o < 0], default=0)
     after = max([o for _, o in exprs.values() if o > 0], default=0)
     d = with_positions(df, keys, time_col, tiebreak, chunk_width, "_pos")

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.sequence import DEFAULT_BLOCK, HOT_ROWS, block_window, blocked, is_hot, with_positions
+from tidepool.operators.sequence import DEFAULT_BLOCK, block_window, blocked, with_keys, with_positions
 
 
 def pack_features(cols: Sequence[str]):
@@ -25,21 +25,17 @@ def pack_features(cols: Sequence[str]):
 def lookback_windows(df: DataFrame, keys: Sequence[str], time_col: str, features: Sequence[str],
                      look_back: int = 20, id_col: str = "row_id", carry: Sequence[str] = (),
                      seq_col: str = "seq", row_col: str = "x_row",
-                     block: int = DEFAULT_BLOCK, chunk_width: int | None = None,
-                     hot_rows: int | None = HOT_ROWS) -> DataFrame:
+                     block: int = DEFAULT_BLOCK, chunk_width: int | None = None) -> DataFrame:
     """Windows of ``look_back`` preceding rows per ``keys`` group.
 
     Output: keys, time, id, ``carry`` columns (e.g. the label), ``seq``
     (array of ``look_back`` feature arrays, oldest first) and ``x_row`` (the
     target row's own features). Groups with <= L rows give no window.
-    Ties in time are ordered by ``id_col``.
+    Ties in time are ordered by ``id_col``; rows with a null key are dropped,
+    rows with a null time come last in their entity.
     """
     keys = list(keys)
     base = df.select(*keys, time_col, id_col, *carry, pack_features(features).alias(row_col))
-    if not is_hot(df, keys, hot_rows):
-        w = Window.partitionBy(*keys).orderBy(time_col, id_col).rowsBetween(-look_back, -1)
-        return (base.withColumn(seq_col, F.collect_list(row_col).over(w))
-                    .filter(F.size(seq_col) == look_back))
     d = with_positions(base, keys, time_col, [id_col], chunk_width)
     d = blocked(d, "pos", max(block, look_back), before=look_back)
     w = block_window(keys).rowsBetween(-look_back, -1)
@@ -77,13 +73,6 @@ def last_n(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
     return df.orderBy(*[F.col(c).desc() for c in order_cols]).limit(n)
 
 
-def last_n_per_group(df: DataFrame, n: int, keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
-    """Newest ``n`` rows per group (row_number <= n; WindowGroupLimit pushes
-    the limit below the shuffle so each group ships at most n rows per task)."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order_cols])
-    return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
-
-
 SUMMARY_HOW = ("mean", "sum", "min", "max", "first", "last")
 
 
@@ -107,8 +96,7 @@ def sequence_frame(df: DataFrame, keys: Sequence[str], time_col: str, features:
                    look_back: int = 20, id_col: str = "row_id", extra: dict | None = None, after: int = 0,
                    seq_col: str = "seq", row_col: str = "x_row", block: int = DEFAULT_BLOCK,
                    chunk_width: int | None = None, pos_col: str | None = None,
-                   hot_rows: int | None = HOT_ROWS, summaries: dict | None = None,
-                   collect: bool = True) -> DataFrame:
+                   summaries: dict | None = None, collect: bool = True) -> DataFrame:
     """Every row of ``df`` with its look-back window: ``seq`` (up to L
     preceding rows of the entity, oldest first; ``collect=False`` skips it),
     ``summaries`` (name -> (feature, how) with how in mean / sum / min / max /
@@ -118,23 +106,17 @@ def sequence_frame(df: DataFrame, keys: Sequence[str], time_col: str, features:
     (name -> function(window) -> Column, e.g. a label from ``lead``; rows
     needed after the current one are given by ``after``).
 
-    One plain window per entity when no entity is hot, otherwise one
-    position pass and one block layout (skew-safe); with ``pos_col`` the
+    One position pass and one block layout (skew-safe); with ``pos_col`` the
     rows already carry their position and only the block shuffle is needed.
     """
     keys = list(keys)
     extra = extra or {}
     summaries = summaries or {}
     base = df.select(*df.columns, pack_features(features).alias(row_col)) if collect else df
-    if not is_hot(df, keys, hot_rows):
-        order = [F.col(pos_col)] if pos_col else [F.col(time_col), F.col(id_col)]
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return base.select(*base.columns,
-                           *_frame_columns(w, row_col, seq_col, time_col, look_back, extra, summaries, collect))
     if pos_col is None:
         d = with_positions(base, keys, time_col, [id_col], chunk_width)
     else:
-        d = base.withColumnRenamed(pos_col, "pos")
+        d = with_keys(base, keys).withColumnRenamed(pos_col, "pos")
     d = blocked(d, "pos", max(block, look_back, after), before=look_back, after=after)
     w = block_window(keys)
     cols = _frame_columns(w, row_col, seq_col, time_col, look_back, extra, summaries, collect)
@@ -177,8 +159,3 @@ def scale_sequences(seq: Column, means: Sequence[Column], stds: Sequence[Column]
     s = F.array(*stds)
     return F.transform(seq, lambda r: F.transform(r, lambda x, j: (x - m[j]) / s[j]))
 
-
-def scale_vector(vec: Column, means: Sequence[Column], stds: Sequence[Column]) -> Column:
-    m = F.array(*means)
-    s = F.array(*stds)
-    return F.transform(vec, lambda x, j: (x - m[j]) / s[j])

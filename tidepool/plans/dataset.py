@@ -14,6 +14,7 @@ from tidepool.plans import fixtures as fx
 from tidepool.session import materialize
 
 # fixed values: columns dropped after the join (absent names are ignored)
+MACRO_ROWS = 100_000        # days; beyond it the join is a shuffle
 DROP = ["tax", "open", "high", "low", "close", "volume"]
 
 
@@ -22,7 +23,8 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return left_join_macro(raw(spark, sf_dir), fx.macro_table(spark, sf_dir), on="date")
+    return left_join_macro(raw(spark, sf_dir), fx.macro_table(spark, sf_dir), on="date",
+                           broadcast_max_rows=MACRO_ROWS)
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Stand-in inputs built from the driver's tables (see FIXTURES.md).
 
 * daily panel: ``lineitem`` by (supplier, ship day) -> one row per (ticker, date)
-* macro table: ``orders`` from 1996-01-01 on, by order day
+* macro table: all ``orders`` by order day; its values are missing before
+  1996-01-01, so the panel has leading gaps
 * event features: ``events`` with the JSON ``k`` property as a second feature
 
 Every table is derived by Spark from the given parquet files, so its size
@@ -99,16 +100,18 @@ SPECIALS_SQL_PX = ("CASE WHEN row_id % 97 = 0 THEN 'Infinity'::DOUBLE "
 
 def macro_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return (o.filter(F.col("o_orderdate") >= F.lit(MACRO_START).cast("timestamp_ntz"))
-             .groupBy(F.to_date("o_orderdate").alias("date"))
+    known = F.col("date") >= F.lit(MACRO_START).cast("date")
+    return (o.groupBy(F.to_date("o_orderdate").alias("date"))
              .agg(F.avg("o_totalprice").alias("macro_px"),
-                  F.count(F.lit(1)).cast("double").alias("macro_n")))
+                  F.count(F.lit(1)).cast("double").alias("macro_n"))
+             .withColumn("macro_px", F.when(known, F.col("macro_px"))))
 
 
 MACRO_SQL = f"""
-  SELECT CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS macro_px,
+  SELECT CAST(o_orderdate AS DATE) AS date,
+         CASE WHEN CAST(o_orderdate AS DATE) >= DATE '{MACRO_START}' THEN avg(o_totalprice) END AS macro_px,
          CAST(count(*) AS DOUBLE) AS macro_n
-  FROM orders WHERE o_orderdate >= TIMESTAMP '{MACRO_START}' GROUP BY CAST(o_orderdate AS DATE)"""
+  FROM orders GROUP BY CAST(o_orderdate AS DATE)"""
 
 
 def event_features(spark: SparkSession, sf_dir: str, before: str | None = None,

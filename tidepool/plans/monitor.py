@@ -114,25 +114,31 @@ def latency(event_id: Column) -> Column:
     return (event_id % 5000) / F.lit(1000.0)
 
 
+def request_log(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None) -> DataFrame:
+    """One record for each request: (id, ts, features, prediction), the
+    flattened scaled sequence and the ensemble's prediction."""
+    return score_requests(spark, sf_dir, batch).selectExpr(
+        "event_id AS id", "ts", "flatten(seq_z) AS features", "ensemble AS prediction")
+
+
 def prediction_log(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None) -> DataFrame:
-    """Long log (id, ts, model, prediction, latency_s, features): one record
-    per model and request; ``features`` is the flattened scaled sequence."""
+    """Long log (id, ts, model, prediction, latency_s): one record per model
+    and request. The ensemble has no latency of its own (null)."""
     s = score_requests(spark, sf_dir, batch)
     parts = ", ".join(f"'{n}', `{n}`" for n in MODEL_NAMES + ["ensemble"])
-    return s.selectExpr("event_id AS id", "ts", "flatten(seq_z) AS features",
-                        f"stack({len(MODEL_NAMES) + 1}, {parts}) AS (model, prediction)") \
-            .withColumn("latency_s", latency(F.col("id")))
+    return s.selectExpr("event_id AS id", "ts", f"stack({len(MODEL_NAMES) + 1}, {parts}) AS (model, prediction)") \
+            .withColumn("latency_s", F.when(F.col("model") != "ensemble", latency(F.col("id"))))
 
 
 def request_metrics(log: DataFrame, invalid: DataFrame | None = None) -> DataFrame:
-    """Per model: count, latency sum, cumulative latency buckets (<= bound,
+    """Per model: count, latency sum (null for a model without latencies), cumulative latency buckets (<= bound,
     then +Inf), last prediction by (ts, id); plus the validation error count."""
     lat = F.col("latency_s")
     aggs = [F.count(F.lit(1)).alias("n_predictions"), F.sum(lat).alias("latency_sum")]
     for b in LATENCY_BOUNDS:
-        aggs.append(F.sum(F.when(lat <= F.lit(b), 1).otherwise(0)).cast("long")
+        aggs.append(F.sum(F.when(lat.isNotNull(), (lat <= F.lit(b)).cast("int"))).cast("long")
                     .alias("le_" + str(b).replace(".", "_")))
-    aggs.append(F.count(F.lit(1)).alias("le_inf"))
+    aggs.append(F.nullif(F.count(lat), F.lit(0)).cast("long").alias("le_inf"))
     aggs.append(F.max_by("prediction", F.struct("ts", "id")).alias("last_value"))
     m = log.groupBy("model").agg(*aggs)
     if invalid is not None:

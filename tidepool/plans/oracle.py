@@ -104,6 +104,8 @@ Q["batch_score"] = f"""
   FROM (SELECT split, row_id, ann, gru, lstm, transformer FROM ({PREDS_WIDE}))
   UNPIVOT (yhat FOR model IN (ann, gru, lstm, transformer))"""
 
+Q["batch_score_python"] = Q["batch_score"]
+
 Q["ensemble_mean"] = f"""
   SELECT split, row_id, {r('(ann + gru + lstm + transformer) / 4.0')} AS yhat, CAST(4 AS BIGINT) AS n_models
   FROM ({PREDS_WIDE})"""
@@ -136,9 +138,9 @@ Q["scaler_transform"] = "SELECT split, row_id, " + ", ".join(
 
 Q["scaler_inverse"] = rr(FEATS, SPLIT, keep=["split", "row_id"])
 
-Q["feature_columns"] = ("SELECT CAST(position AS INTEGER) AS position, \"column\" FROM (VALUES "
-                        + ", ".join(f"({i}, '{c}')" for i, c in enumerate(FEATS))
-                        + ") t(position, \"column\")")
+Q["feature_columns"] = " UNION ALL ".join(
+    f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS \"column\", count({c}) AS n_values FROM ({fx.PANEL_SQL})"
+    for i, c in enumerate(fx.PANEL_FEATURES))
 
 # ------------------------------------------------------------------ dataset build
 
@@ -169,6 +171,7 @@ FINAL = f"""
 
 Q["left_join_macro"] = rr(["macro_px", "macro_n"], JOINED, keep=["ticker", "date", "row_id"])
 Q["drop_columns"] = rr(DS_COLS, JOINED, keep=["ticker", "date", "row_id"])
+Q["drop_columns_strict"] = rr([c for c in ["qty", "px", "disc", "n", F5, "macro_px"]], JOINED, keep=["ticker", "date", "row_id"])
 Q["inf_to_null"] = f"SELECT row_id, {r(fin('px'))} AS px, {r('qty')} AS qty FROM ({RAW})"
 Q["parse_dates"] = f"""
   SELECT row_id, CAST(epoch(CAST(CAST(date AS VARCHAR) || 'T00:00:00Z' AS TIMESTAMPTZ)) AS BIGINT) AS epoch_s
@@ -213,15 +216,24 @@ Q["describe_target"] = f"""
          {r(f'quantile_cont({F5}, 0.5)')} AS median
   FROM ({FINAL}) WHERE {F5} IS NOT NULL AND NOT isnan({F5})"""
 Q["value_counts"] = f"SELECT ticker, count(*) AS n FROM ({FINAL}) GROUP BY ticker ORDER BY n DESC, ticker LIMIT 10"
-Q["histogram"] = f"""
-  WITH b AS (SELECT {F5} AS x FROM ({FINAL}) WHERE {F5} IS NOT NULL AND NOT isnan({F5})),
+
+
+def histogram_sql(x: str, src: str, bins: int) -> str:
+    return f"""
+  WITH b AS (SELECT {x} AS x FROM ({src}) WHERE {x} IS NOT NULL AND NOT isnan({x})),
        rg AS (SELECT min(x) AS lo, max(x) AS hi FROM b),
        c AS (SELECT CASE WHEN hi - lo = 0 THEN 1
-                         ELSE least(CAST(floor((x - lo) / (hi - lo) * 50) AS INTEGER) + 1, 50) END AS bin,
+                         ELSE least(CAST(floor((x - lo) / (hi - lo) * {bins}) AS INTEGER) + 1, {bins}) END AS bin,
                     count(*) AS n FROM b CROSS JOIN rg GROUP BY 1)
-  SELECT CAST(g.bin AS INTEGER) AS bin, {r('lo + (hi - lo) * (g.bin - 1) / 50')} AS lo_edge,
-         {r('lo + (hi - lo) * g.bin / 50')} AS hi_edge, CAST(coalesce(c.n, 0) AS BIGINT) AS n
-  FROM range(1, 51) g(bin) CROSS JOIN rg LEFT JOIN c ON c.bin = g.bin"""
+  SELECT CAST(g.bin AS INTEGER) AS bin, {r(f'lo + (hi - lo) * (g.bin - 1) / {bins}')} AS lo_edge,
+         {r(f'lo + (hi - lo) * g.bin / {bins}')} AS hi_edge, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+  FROM range(1, {bins + 1}) g(bin) CROSS JOIN rg LEFT JOIN c ON c.bin = g.bin"""
+
+
+Q["histogram"] = histogram_sql(F5, FINAL, 50)
+Q["residual_histogram"] = histogram_sql(
+    "resid", f"SELECT actual - yhat AS resid FROM ({SCORED}) WHERE split = 'test' AND model = 'ensemble'", 50)
+Q["count_distinct"] = f"SELECT count(DISTINCT ticker) AS n_unique FROM ({FINAL})"
 Q["top_k"] = f"""
   (SELECT 'smallest' AS kind, ticker, date, row_id, {r(F5)} AS {F5} FROM ({FILLED})
      WHERE {F5} IS NOT NULL ORDER BY {F5}, row_id LIMIT 3)
@@ -288,7 +300,7 @@ SREQ = f"""
   FROM ({SREQ_WIDE})"""
 
 PLOG = f"""
-  SELECT event_id AS id, ts, model, prediction, (event_id % 5000) / 1000.0::DOUBLE AS latency_s
+  SELECT event_id AS id, ts, model, prediction, CASE WHEN model <> 'ensemble' THEN (event_id % 5000) / 1000.0::DOUBLE END AS latency_s
   FROM ({SREQ}) UNPIVOT (prediction FOR model IN (ann, gru, lstm, transformer, ensemble))"""
 
 Q["validate_sequences"] = f"SELECT event_id, error_code FROM ({VALIDATED})"
@@ -307,18 +319,19 @@ Q["position_encoding"] = f"""
 Q["score_requests"] = rr(["ann", "gru", "lstm", "transformer", "ensemble"], SREQ, keep=["event_id"])
 
 _le = ", ".join(
-    f"CAST(sum(CASE WHEN latency_s <= {b} THEN 1 ELSE 0 END) AS BIGINT) AS le_{str(b).replace('.', '_')}"
+    f"CAST(sum(CASE WHEN latency_s IS NULL THEN NULL WHEN latency_s <= {b} THEN 1 ELSE 0 END) AS BIGINT) AS le_{str(b).replace('.', '_')}"
+    # fixed values: latency histogram upper bounds in seconds
     for b in [0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0])
 Q["request_metrics"] = f"""
-  SELECT model, count(*) AS n_predictions, {r('sum(latency_s)')} AS latency_sum, {_le}, count(*) AS le_inf,
+  SELECT model, count(*) AS n_predictions, {r('sum(latency_s)')} AS latency_sum, {_le}, nullif(count(latency_s), 0) AS le_inf,
          {r("arg_max(prediction, {'ts': ts, 'id': id})")} AS last_value,
          (SELECT count(*) FROM ({INVALID})) AS validation_errors
   FROM ({PLOG}) GROUP BY model"""
 Q["prediction_log"] = f"""
-  SELECT id, model, {r('prediction')} AS prediction, CAST(40 AS INTEGER) AS n_features FROM ({PLOG})"""
+  SELECT id, {r('prediction')} AS prediction, CAST(40 AS INTEGER) AS n_features FROM ({PLOG}) WHERE model = 'ensemble'"""
 Q["last_n"] = f"""
   SELECT event_id, user_id, {r('value')} AS value FROM ({EV}) ORDER BY ts DESC, event_id DESC LIMIT 1000"""
-SAMPLE_ORDER = "(event_id * 2654435761 + 42) % 4294967296, event_id"
+SAMPLE_ORDER = "((event_id % 1073741824) * 2654435761 + 42) % 4294967296, event_id"
 Q["seeded_sample"] = f"SELECT event_id FROM ({EV}) WHERE ts < {CUT} ORDER BY {SAMPLE_ORDER} LIMIT 1000"
 
 # drift ----------------------------------------------------------------
@@ -398,13 +411,6 @@ Q["drift_columns"] = f"""
          {r('threshold')} AS threshold, status, drifted FROM ({_dc})"""
 
 
-def _dd(ref: str, cur: str, scenario: str) -> str:
-    return (f"SELECT n_columns, n_drifted, {r('drift_share')} AS drift_share, status, dataset_drift, severity, "
-            f"'{scenario}' AS scenario FROM ({drift_dataset_sql(ref, cur)})")
-
-
-Q["drift_dataset"] = _dd(DREF, DCUR, "baseline") + " UNION ALL " + _dd(DREF, DCUR_SHIFT, "shifted")
-
 ENS_LOG = f"SELECT * FROM ({PLOG}) WHERE model = 'ensemble'"
 Q["drift_prediction"] = f"""
   SELECT n_window, {r('mean')} AS mean, {r('std')} AS std, {r('mn')} AS min, {r('mx')} AS max,
@@ -414,22 +420,33 @@ Q["drift_prediction"] = f"""
                min(prediction) AS mn, max(prediction) AS mx
         FROM (SELECT * FROM ({ENS_LOG}) ORDER BY ts DESC, id DESC LIMIT 100))"""
 
+PRED_SCORE = f"(SELECT drift_score FROM ({Q['drift_prediction']}))"
+
+
+def _dd(ref: str, cur: str, scenario: str) -> str:
+    return (f"SELECT n_columns, n_drifted, {r('drift_share')} AS drift_share, status, dataset_drift, severity, "
+            f"(SELECT count(*) FROM ({cur})) AS samples_analyzed, {PRED_SCORE} AS prediction_drift_score, "
+            f"'{scenario}' AS scenario FROM ({drift_dataset_sql(ref, cur)})")
+
+
+Q["drift_dataset"] = _dd(DREF, DCUR, "baseline") + " UNION ALL " + _dd(DREF, DCUR_SHIFT, "shifted")
+
 CUR_WIN = f"SELECT * FROM ({DCUR}) ORDER BY ts DESC, event_id DESC LIMIT 1000"
 STATUS = f"""
   SELECT (SELECT count(*) FROM ({DREF})) AS reference_samples,
          (SELECT CAST(least(count(*), 1000) AS BIGINT) FROM ({CUR_WIN})) AS current_window_size,
          (SELECT CAST(least(count(*), 1000) AS BIGINT) FROM ({ENS_LOG})) AS prediction_window_size,
-         (SELECT CAST(epoch(max(ts)) AS BIGINT) FROM ({ENS_LOG})) AS last_drift_check,
+         (SELECT CAST(epoch(max(ts)) AS BIGINT) FROM ({CUR_WIN})) AS last_drift_check,
          CAST(0.3 AS DOUBLE) AS drift_threshold, CAST(1000 AS INTEGER) AS window_size"""
 Q["drift_status"] = STATUS
 
-REF_SAMPLE = f"SELECT * FROM ({DREF}) ORDER BY {SAMPLE_ORDER} LIMIT 1000"
 Q["drift_report"] = f"""
   SELECT CASE WHEN s.current_window_size < 10 THEN 'insufficient_data' ELSE 'success' END AS status,
          s.reference_samples, s.current_window_size, s.prediction_window_size, {r('s.drift_threshold')} AS drift_threshold,
          s.window_size, v.status AS check_status, v.dataset_drift, {r('v.drift_share')} AS drift_share, v.severity,
+         (SELECT count(*) FROM ({CUR_WIN})) AS samples_analyzed, {PRED_SCORE} AS prediction_drift_score,
          CASE WHEN v.dataset_drift THEN 'Consider retraining the model' ELSE 'No action required' END AS recommendation
-  FROM ({STATUS}) s CROSS JOIN ({drift_dataset_sql(REF_SAMPLE, CUR_WIN)}) v"""
+  FROM ({STATUS}) s CROSS JOIN ({drift_dataset_sql(DREF, CUR_WIN)}) v"""
 
 Q["run_log"] = f"""
   SELECT model || '_run' AS run_name, model, {r('test_mae')} AS test_mae,

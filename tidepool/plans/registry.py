@@ -9,20 +9,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions.columns import feature_columns
 from tidepool.operators.clean import drop_columns, extreme_rows, inf_to_null, parse_dates
-from tidepool.operators.evaluate import (align_predictions, attach_actuals, ensemble_mean, eval_metrics,
-                                         model_comparison, residual_stats)
-from tidepool.operators.profile import (column_info, describe, distinct_values, head, histogram, null_map,
+from tidepool.operators.evaluate import (align_predictions, attach_actuals, eval_metrics, model_comparison,
+                                         residual_stats, wide_ensemble)
+from tidepool.operators.profile import (column_info, count_distinct, describe, distinct_values, head, histogram, null_map,
                                         overview, top_k, value_counts)
 from tidepool.operators.quantile import exact_quantiles
 from tidepool.operators import learn
 from tidepool.operators.scale import scaler_inverse, scaler_inverse_as, scaler_long
-from tidepool.operators.score import batch_score
+from tidepool.operators.score import PandasScorer, batch_score, linear_predict, linear_scores_wide
 from tidepool.operators.split import split_report
 from tidepool.operators.windows import window_feature
 from tidepool.functions.position import add_position_encoding
@@ -116,11 +117,29 @@ def q_batch_score(spark, sf):
     return rounded(batch_score(w, ens.MODELS, fx.PANEL_FEATURES, ens.LOOK_BACK, ["split", "row_id"]))
 
 
+def python_scorer(m):
+    """A stand-in model as a Python function of arrays, the way a user's own model comes."""
+    weights = np.array([m.weights.get(c, 0.0) for c in fx.PANEL_FEATURES])
+    return PandasScorer(m.name, lambda: linear_predict(weights, m.bias, m.source), "row" if m.source == "row" else "window")
+
+
+@register("batch_score_python")
+def q_batch_score_python(spark, sf):
+    """The same models through Arrow batches, all of them in one pass."""
+    w, _ = ens.panel_windows(spark, sf)
+    return rounded(batch_score(w, [python_scorer(m) for m in ens.MODELS], fx.PANEL_FEATURES, ens.LOOK_BACK,
+                               ["split", "row_id"]))
+
+
 @register("ensemble_mean")
 def q_ensemble_mean(spark, sf):
+    """All scores of a window lie on one row, so the mean needs no shuffle."""
     w, _ = ens.panel_windows(spark, sf)
-    long = batch_score(w, ens.MODELS, fx.PANEL_FEATURES, ens.LOOK_BACK, ["split", "row_id"])
-    return rounded(ensemble_mean(long, ["split", "row_id"]).drop("model"))
+    wide = linear_scores_wide(w, ens.MODELS, fx.PANEL_FEATURES, ens.LOOK_BACK)
+    names = [f"yhat__{m}" for m in ens.MODEL_NAMES]
+    wide = wide_ensemble(wide, names, "yhat")
+    n = sum((F.col(c).isNotNull().cast("long") for c in names), F.lit(0).cast("long"))
+    return rounded(wide.select("split", "row_id", "yhat", n.alias("n_models")))
 
 
 @register("align_predictions")
@@ -173,11 +192,13 @@ def q_scaler_inverse(spark, sf):
 
 @register("feature_columns")
 def q_feature_columns(spark, sf):
-    panel = fx.labeled_panel(spark, sf)
-    feats = feature_columns(panel.columns, targets=[fx.TARGET], exclude=("row_id", "pos"))
-    return (panel.limit(1)
-                 .select(F.posexplode(F.array(*[F.lit(c) for c in feats])).alias("position", "column"))
-                 .withColumn("position", F.col("position").cast("int")))
+    """Features by exclusion, each with the number of values that the panel has for it."""
+    panel = fx.add_label(fx.daily_panel(spark, sf, with_label=False))
+    feats = feature_columns(panel.columns, targets=[fx.TARGET], exclude=("row_id",))
+    n = panel.agg(*[F.count(c).alias(c) for c in feats])
+    return (n.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n")) for c in feats]))
+                     .alias("position", "x"))
+             .select(F.col("position").cast("int").alias("position"), "x.column", F.col("x.n").alias("n_values")))
 
 
 # ---------------------------------------------------------------- dataset build (plan A)
@@ -245,6 +266,24 @@ def q_distinct_entities(spark, sf):
     return distinct_values(ds.final(spark, sf), "ticker")
 
 
+@register("count_distinct")
+def q_count_distinct(spark, sf):
+    return count_distinct(ds.final(spark, sf), "ticker")
+
+
+@register("residual_histogram")
+def q_residual_histogram(spark, sf):
+    """50 equal-width bins of the ensemble's residuals on the test split."""
+    s = ens.scored(spark, sf).filter("split = 'test' and model = 'ensemble'")
+    return rounded(histogram(s.select((F.col("actual") - F.col("yhat")).alias("residual")), "residual", 50))
+
+
+@register("drop_columns_strict")
+def q_drop_columns_strict(spark, sf):
+    """Names that must exist (a missing one raises)."""
+    return rounded(drop_columns(ds.joined(spark, sf), ["tax", "macro_n"], strict=True))
+
+
 @register("describe_target")
 def q_describe_target(spark, sf):
     return rounded(describe(ds.final(spark, sf), fx.TARGET))
@@ -341,10 +380,8 @@ def q_request_metrics(spark, sf):
 @register("prediction_log")
 def q_prediction_log(spark, sf):
     path = scratch_path(spark, "prediction-log")
-    log = mon.prediction_log(spark, sf)
-    append(log.filter(F.col("model") == "ensemble"), path)
-    append(log.filter(F.col("model") != "ensemble"), path)
-    return read_table(spark, path).select("id", "model", F.round("prediction", 6).alias("prediction"),
+    append(mon.request_log(spark, sf), path)
+    return read_table(spark, path).select("id", F.round("prediction", 6).alias("prediction"),
                                           F.size("features").alias("n_features"))
 
 
@@ -374,8 +411,9 @@ def _shifted(cur: DataFrame) -> DataFrame:
 def q_drift_dataset(spark, sf):
     ref = drift_frame(mon.reference_period(spark, sf))
     cur = drift_frame(mon.current_period(spark, sf))
-    base = check_drift(ref, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD)
-    shifted = check_drift(ref, _shifted(cur), DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD)
+    preds = mon.prediction_log(spark, sf).filter(F.col("model") == "ensemble")
+    base = check_drift(ref, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD, preds=preds)
+    shifted = check_drift(ref, _shifted(cur), DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD, preds=preds)
     return rounded(base.withColumn("scenario", F.lit("baseline"))
                    .unionByName(shifted.withColumn("scenario", F.lit("shifted"))))
 
@@ -396,8 +434,12 @@ def _monitor_inputs(spark, sf):
 
 @register("drift_status")
 def q_drift_status(spark, sf):
+    """Status after one check, whose record goes to the check log first."""
     ref, cur, preds = _monitor_inputs(spark, sf)
-    st = drift_status(ref, cur, preds, mon.WINDOW_SIZE)
+    path = scratch_path(spark, "check-log")
+    verdict = check_drift(ref, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD, preds=preds)
+    append(verdict.crossJoin(cur.agg(F.max("ts").alias("check_ts"))), path)
+    st = drift_status(ref, cur, preds, mon.WINDOW_SIZE, checks=read_table(spark, path))
     return st.withColumn("last_drift_check", F.unix_seconds("last_drift_check"))
 
 
@@ -405,8 +447,7 @@ def q_drift_status(spark, sf):
 def q_drift_report(spark, sf):
     ref, cur, preds = _monitor_inputs(spark, sf)
     st = drift_status(ref, cur, preds, mon.WINDOW_SIZE).drop("last_drift_check")
-    sample = seeded_sample(ref, mon.WINDOW_SIZE, 42, "event_id")
-    verdict = check_drift(sample, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD)
+    verdict = check_drift(ref, cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD, preds=preds)
     return rounded(drift_report(st, verdict))
 
 

@@ -1,8 +1,8 @@
 """Streaming plans over data derived from the events table.
 
 Inputs are landed as weekly slices (one file set per week, appended in time
-order) under the shared checkpoint folder and read back as file streams with
-one file per micro-batch, so each job runs several micro-batches.
+order) under the shared checkpoint folder and read back as file streams, a few
+files per micro-batch.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from tidepool.streaming.jobs import (drift_check_stream, ingest_requests, last_n
 
 # fixed values: weekly slice edges of the January 2024 events
 WEEKS = ["2024-01-08", "2024-01-15", "2024-01-22"]
-LANDING_WATERMARK = "8 days"
 
 DRIFT_NUMERIC = ["value", "k", "user_id", "hour"]
 DRIFT_CATEGORICAL = ["event_type"]
@@ -64,12 +63,8 @@ def stream_drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = mon.prediction_log(spark, sf_dir).drop("features")
+    log = mon.prediction_log(spark, sf_dir)
     src, schema = _landed(spark, log, "prediction-log")
     aggs = [F.count(F.lit(1)).alias("n_predictions"), F.sum("latency_s").alias("latency_sum"),
             F.sum("prediction").alias("prediction_sum")]
-    # records land in weekly slices and one slice spans several files read in
-    # any order, so a row may trail the newest row seen by up to a week: the
-    # watermark covers the landing granularity and no row counts as late
-    return metrics_stream(spark, src, scratch_path(spark, "metrics"), scratch_path(spark, "ckpt"), schema, aggs,
-                          watermark=LANDING_WATERMARK, files_per_batch=8)
+    return metrics_stream(spark, src, scratch_path(spark, "metrics"), scratch_path(spark, "ckpt"), schema, aggs)

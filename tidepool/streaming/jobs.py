@@ -7,9 +7,8 @@
 * ``drift_check_stream``: the same window plus a periodic drift check when
   the window holds at least min(100, N // 2) records and more than the check
   interval (event time) has passed since the last check.
-* ``metrics_stream``: hourly request metrics per model with a watermark
-  (bounded state) in update mode, written as an upsert log; the view keeps
-  the newest version of each (window, model).
+* ``metrics_stream``: hourly request metrics per model; every batch writes
+  partial aggregates, and the view adds them up.
 
 Every job takes its checkpoint and state folders under the shared checkpoint
 directory, is idempotent per batch id (state versions are written by batch
@@ -22,7 +21,7 @@ from collections.abc import Callable, Sequence
 from datetime import timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,13 +39,14 @@ def _run(query_builder, name: str, checkpoint: str) -> None:
         raise RuntimeError(str(q.exception()))
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def stage_slices(df: DataFrame, path: str, time_col: str, bounds: Sequence[str]) -> None:
     """Land ``df`` as consecutive time slices (one append each), the way
-    records arrive over time. ``bounds`` are the slice edges (ISO text)."""
+    records arrive over time. ``bounds`` are the slice edges (ISO text); rows
+    without a time arrive last."""
     edges = [None, *bounds, None]
     t = F.col(time_col)
     for lo, hi in zip(edges[:-1], edges[1:]):
@@ -55,6 +55,8 @@ def stage_slices(df: DataFrame, path: str, time_col: str, bounds: Sequence[str])
             cond = cond & (t >= F.lit(lo).cast("timestamp"))
         if hi is not None:
             cond = cond & (t < F.lit(hi).cast("timestamp"))
+        else:
+            cond = cond | t.isNull()
         df.filter(cond).write.mode("append").parquet(path)
 
 
@@ -82,16 +84,18 @@ def _previous_version(spark: SparkSession, state: str, batch_id: int, schema: T.
     replayed batch overwrites its own version, so v=(id-1) is the input."""
     if batch_id == 0:
         return spark.createDataFrame([], schema)
-    return _read_or_empty(spark, f"{state}/v={batch_id - 1}", schema)
+    # a lost version is an error: going on without it would forget n records
+    return spark.read.schema(schema).parquet(f"{state}/v={batch_id - 1}")
 
 
 def _final_version(spark: SparkSession, state: str, schema: T.StructType) -> DataFrame:
     try:
-        all_v = spark.read.parquet(state)
+        top = spark.read.parquet(state).agg(F.max("v")).first()[0]      # from the folder names
     except AnalysisException:
         return spark.createDataFrame([], schema)
-    top = all_v.agg(F.max("v").alias("_top"))
-    return all_v.join(F.broadcast(top), F.col("v") == F.col("_top")).select(*schema.fieldNames())
+    if top is None:                                                     # only empty windows were written
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{state}/v={top}")
 
 
 def _keep_newest(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -136,8 +140,9 @@ def drift_check_stream(spark: SparkSession, source: str, state: str, checkpoint:
         if now is None or size < min_size:
             return
         prev = _read_or_empty(spark, checks, CHECK_SCHEMA).filter(F.col("batch_id") < batch_id)
-        last = prev.agg(F.max("check_ts")).first()[0]
-        if last is not None and now - last <= interval:
+        # before the first check the clock runs from the oldest record seen
+        last = prev.agg(F.max("check_ts")).first()[0] or window.agg(F.min(order[0])).first()[0]
+        if now - last <= interval:
             return
         v = check(window).first()
         row = (batch_id, now, size, v["status"], v["drift_share"], v["dataset_drift"], v["severity"])
@@ -151,20 +156,23 @@ def drift_check_stream(spark: SparkSession, source: str, state: str, checkpoint:
 
 def metrics_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
                    aggs: Sequence, keys: Sequence[str] = ("model",), time_col: str = "ts",
-                   every: str = "1 hour", watermark: str = "1 hour", files_per_batch: int = 1) -> DataFrame:
-    """Windowed aggregates in update mode with a watermark; each batch's
-    updated rows are appended to an upsert log under ``sink``. Rows later than
-    the watermark are dropped (documented bound on state)."""
-    s = (file_stream(spark, source, schema, files_per_batch)
-         .withColumn(time_col, F.col(time_col).cast("timestamp"))
-         .withWatermark(time_col, watermark)
-         .groupBy(F.window(time_col, every).alias("w"), *keys).agg(*aggs)
-         .withColumn("window_start", F.col("w.start")).drop("w"))
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
-
-    _run(s.writeStream.outputMode("update").foreachBatch(upsert), "metrics", checkpoint)
+                   every: str = "1 hour", files_per_batch: int = 8) -> DataFrame:
+    """Counts and sums by time window. Each batch writes its own partial
+    aggregates under ``sink`` and the view adds them up, so a row counts
+    however late it comes and no state is kept between batches. Aggregates
+    must be additive. Rows without a time have a null window."""
+    names: list[str] = []
+
+    def partial(batch: DataFrame, batch_id: int) -> None:
+        t = F.col(time_col).cast("timestamp")
+        # a plain truncation to the window: F.window() would drop null times
+        start = F.window(F.coalesce(t, F.timestamp_seconds(F.lit(0))), every).getField("start")
+        part = (batch.withColumn("_t", t).withColumn("window_start", F.when(F.col("_t").isNotNull(), start))
+                     .groupBy("window_start", *keys).agg(*aggs))
+        names[:] = [c for c in part.columns if c not in ("window_start", *keys)]
+        part.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    _run(file_stream(spark, source, schema, files_per_batch).writeStream.foreachBatch(partial), "metrics", checkpoint)
     log = spark.read.parquet(sink)
-    w = Window.partitionBy("window_start", *keys).orderBy(F.col("batch").desc())
-    return log.withColumn("_rk", F.row_number().over(w)).filter("_rk = 1").drop("_rk", "batch")
+    cols = names or [c for c in log.columns if c not in ("window_start", "batch", *keys)]
+    return log.groupBy("window_start", *keys).agg(*[F.sum(c).alias(c) for c in cols])
