@@ -72,13 +72,13 @@ def unigrams(corpus: DataFrame, text_col: str = "text") -> DataFrame:
 
 def viterbi(name: str, counts: dict[tuple[int, int], int], total: int) -> list[str]:
     """Best split of a name; counts are by (start, length) of a piece. A piece
-    that is no word has probability 10 / (total * 10 ** length)."""
+    that is no word has probability 10 / (total * 10 ** length), total 10 at least."""
     best: list[tuple[float, int]] = [(0.0, 0)]
     for end in range(1, len(name) + 1):
         options = []
         for size in range(1, min(end, LONGEST) + 1):
             n = counts.get((end - size, size))
-            p = math.log10(n / total) if n else 1 - math.log10(max(total, 1)) - size
+            p = math.log10(n / total) if n else 1 - math.log10(max(total, 10)) - size
             options.append((best[end - size][0] + p, size))
         best.append(max(options))
     out, end = [], len(name)
