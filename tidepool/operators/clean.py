@@ -56,7 +56,7 @@ def left_join_macro(panel: DataFrame, macro: DataFrame, on: str = "date",
     """Left equi-join of the entity panel to a shared daily table.
 
     Clashing non-key names get the pandas suffixes. Duplicate macro dates fan
-    out. The join strategy is Spark's: AQE turns it into a broadcast hash
+    out, and a missing date matches a missing date (pandas' rule). The join strategy is Spark's: AQE turns it into a broadcast hash
     join when the shuffled macro side is measured below the broadcast
     threshold, otherwise it stays a sort-merge join. ``broadcast_max_rows``
     forces a broadcast only after a bounded count confirms the size.
@@ -66,7 +66,9 @@ def left_join_macro(panel: DataFrame, macro: DataFrame, on: str = "date",
     m = macro.select(*[F.col(c).alias(c + suffixes[1]) if c in clash else F.col(c) for c in macro.columns])
     if broadcast_max_rows is not None and has_at_most(m, broadcast_max_rows):
         m = F.broadcast(m)
-    return p.join(m, on=on, how="left")
+    m = m.withColumnRenamed(on, "_on")
+    return p.join(m, p[on].eqNullSafe(m["_on"]), "left").drop("_on").select(
+        on, *[c for c in p.columns if c != on], *[c for c in m.columns if c != "_on"])
 
 
 def has_at_most(df: DataFrame, n: int) -> bool:

@@ -5,16 +5,15 @@ column in one task. Here:
 
 1. rows collapse to (value, count) with partial aggregation -- a value held
    by a third of all rows becomes one row;
-2. if the distinct values in the search range are few (<= ``max_exact``),
-   one cumulative-count window over them finds the values at the needed ranks;
-3. otherwise ``percentile_approx`` cuts the range into ``buckets`` buckets of
-   distinct values, bucket totals (<= ``buckets`` rows) locate the bucket that
-   holds each needed rank, and the search repeats inside that bucket only.
-
-Only bucket statistics and the final values reach the driver (bounded by
-``buckets``). Position h = (n - 1) * p, result x[floor h] + (h - floor h) *
-(x[ceil h] - x[floor h]), the rule of pandas, NumPy, Spark ``percentile``
-and DuckDB ``quantile_cont``. NULL and NaN are skipped.
+2. a two-level running count over the distinct values (``ordered_cumsum``:
+   ranges cut by a bounded sketch, running sums inside each, range totals as
+   offsets) gives every value its ranks;
+3. the values at all needed ranks are found in that one pass.
+
+Only those values reach the driver. Position h = (n - 1) * p, result
+x[floor h] + (h - floor h) * (x[ceil h] - x[floor h]), the rule of pandas,
+NumPy, Spark ``percentile`` and DuckDB ``quantile_cont``. NULL and NaN are
+skipped.
 """
 
 from __future__ import annotations
@@ -23,10 +22,12 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.operators.drift import ordered_cumsum
+
 
 def _value_counts(df: DataFrame, col: str) -> DataFrame:
     x = F.col(col).cast("double")
@@ -34,78 +35,31 @@ def _value_counts(df: DataFrame, col: str) -> DataFrame:
               .groupBy("x").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _values_at_ranks(counts: DataFrame, ranks: Sequence[int], offset: int, lo, hi) -> dict[int, float]:
-    """Exact step: cumulative counts over the (few) distinct values in (lo, hi]."""
-    sub = _in_range(counts, lo, hi)
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    cum = sub.withColumn("_cum", F.sum("c").over(w) + F.lit(offset)).withColumn("_prev", F.col("_cum") - F.col("c"))
+def _values_at_ranks(counts: DataFrame, ranks: Sequence[int], buckets: int) -> dict[int, float]:
+    """Value at each 0-based rank: at most one row for each rank is collected."""
+    one = counts.withColumn("_part", F.lit(0))
+    cum = ordered_cumsum(one, ["_part"], "x", ["c"], buckets)
     rk = F.array(*[F.lit(int(r)) for r in ranks])
-    hit = cum.filter(F.exists(rk, lambda r: (F.col("_prev") <= r) & (r < F.col("_cum"))))
-    out = {}
-    for row in hit.select("x", "_prev", "_cum").collect():      # <= len(ranks) rows
-        for r in ranks:
-            if row["_prev"] <= r < row["_cum"]:
-                out[r] = row["x"]
-    return out
-
-
-def _in_range(counts: DataFrame, lo, hi) -> DataFrame:
-    sub = counts
-    if lo is not None:
-        sub = sub.filter(F.col("x") > F.lit(lo))
-    if hi is not None:
-        sub = sub.filter(F.col("x") <= F.lit(hi))
-    return sub
-
-
-def _locate(counts: DataFrame, rank: int, max_exact: int, buckets: int, accuracy: int,
-            n_distinct: int) -> float:
-    lo, hi, offset, nd = None, None, 0, n_distinct
-    while nd > max_exact:
-        sub = _in_range(counts, lo, hi)
-        grid = [i / buckets for i in range(1, buckets)]
-        cuts = sub.agg(F.percentile_approx("x", grid, accuracy).alias("b"))
-        stats = (sub.crossJoin(F.broadcast(cuts))          # one row of <= buckets cut points
-                    .withColumn("bkt", F.size(F.filter("b", lambda t: t < F.col("x"))))
-                    .groupBy("bkt").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"),
-                                        F.max("x").alias("mx"))
-                    .orderBy("bkt").collect())             # <= buckets rows
-        run = offset
-        prev_mx = lo
-        for s in stats:
-            if run <= rank < run + s["n"]:
-                lo, hi, offset, nd = prev_mx, s["mx"], run, s["d"]
-                break
-            run += s["n"]
-            prev_mx = s["mx"]
-        if nd == n_distinct:           # no progress (all in one bucket): finish exactly
-            break
-        n_distinct = nd
-    return _values_at_ranks(counts, [rank], offset, lo, hi)[rank]
+    hit = cum.filter(F.exists(rk, lambda r: (F.col("cum_c") - F.col("c") <= r) & (r < F.col("cum_c"))))
+    rows = hit.select("x", "c", "cum_c").collect()
+    return {r: row["x"] for row in rows for r in ranks if row["cum_c"] - row["c"] <= r < row["cum_c"]}
 
 
-def exact_quantile_values(df: DataFrame, col: str, probs: Sequence[float], max_exact: int = 1 << 15,
-                          buckets: int = 1024, accuracy: int = 100000) -> list[float | None]:
+def exact_quantile_values(df: DataFrame, col: str, probs: Sequence[float], buckets: int = 256) -> list[float | None]:
     counts = _value_counts(df, col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        tot = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")).first()
-        n, d = (tot["n"] or 0), tot["d"]
+        n = counts.agg(F.sum("c")).first()[0] or 0
         if n == 0:
             return [None for _ in probs]
         need = {}
         for p in probs:
             h = (n - 1) * float(p)
             need[p] = (h, int(math.floor(h)), int(math.ceil(h)))
-        ranks = sorted({r for _, a, b in need.values() for r in (a, b)})
-        if d <= max_exact:
-            vals = _values_at_ranks(counts, ranks, 0, None, None)
-        else:
-            vals = {r: _locate(counts, r, max_exact, buckets, accuracy, d) for r in ranks}
+        vals = _values_at_ranks(counts, sorted({r for _, a, b in need.values() for r in (a, b)}), buckets)
         out = []
         for p in probs:
             h, a, b = need[p]
-            xa, xb = vals[a], vals[b]
-            out.append(xa + (h - a) * (xb - xa))
+            out.append(vals[a] + (h - a) * (vals[b] - vals[a]))
         return out
     finally:
         counts.unpersist()

@@ -28,9 +28,11 @@ def run_records(metrics: DataFrame, params: dict[str, str], model_col: str = "mo
                            F.current_timestamp().alias("logged_at")))
 
 
-def best_runs(runs: DataFrame, metric: str, model_col: str = "model") -> DataFrame:
-    """(run_name, model, <metric>, rank): runs ranked by a metric, 1 = best."""
+def best_runs(runs: DataFrame, metric: str, model_col: str = "model", top: int = 1000) -> DataFrame:
+    """(run_name, model, <metric>, rank): the ``top`` runs ranked by a metric,
+    1 = best. An ordered limit first, so the ranking sees ``top`` rows however
+    long the log is."""
     v = F.element_at("metrics", F.lit(metric))
-    w = Window.orderBy(F.col(metric).asc_nulls_last(), F.col("run_name"))
-    return (runs.select("run_name", model_col, v.alias(metric))
-                .withColumn("rank", F.row_number().over(w)))
+    order = [F.col(metric).asc_nulls_last(), F.col("run_name")]
+    return (runs.select("run_name", model_col, v.alias(metric)).orderBy(*order).limit(top)
+                .withColumn("rank", F.row_number().over(Window.orderBy(*order))))

@@ -431,6 +431,12 @@ def _dd(ref: str, cur: str, scenario: str) -> str:
 
 Q["drift_dataset"] = _dd(DREF, DCUR, "baseline") + " UNION ALL " + _dd(DREF, DCUR_SHIFT, "shifted")
 
+Q["drift_reference_file"] = (
+    f"SELECT 'file' AS scenario, status, n_columns, n_drifted, drift_share, dataset_drift, severity "
+    f"FROM ({_dd(DREF, DCUR, 'file')}) UNION ALL "
+    "SELECT 'missing', 'insufficient_data', NULL, NULL, NULL, NULL, NULL")
+Q["requests_json"] = f"SELECT CAST(event_id AS VARCHAR) AS request_id, error_code FROM ({VALIDATED})"
+
 CUR_WIN = f"SELECT * FROM ({DCUR}) ORDER BY ts DESC, event_id DESC LIMIT 1000"
 STATUS = f"""
   SELECT (SELECT count(*) FROM ({DREF})) AS reference_samples,

@@ -30,7 +30,7 @@ from tidepool.functions.position import add_position_encoding
 from tidepool.operators.drift import check_drift, drift_columns, drift_prediction, drift_report, drift_status
 from tidepool.operators.profile import seeded_sample
 from tidepool.operators.runs import best_runs, run_records
-from tidepool.operators.validate import flatten_named, last_step, split_valid
+from tidepool.operators.validate import flatten_named, last_step, split_valid, validate_sequences
 from tidepool.operators.windows import last_n
 from tidepool.plans import dataset as ds
 from tidepool.plans import monitor as mon
@@ -38,7 +38,7 @@ from tidepool.plans import streams
 from tidepool.plans import ensemble as ens
 from tidepool.plans import fixtures as fx
 from tidepool.session import scratch_path
-from tidepool.sources.files import append, read_table, scan_csv, write_csv, write_table
+from tidepool.sources.files import append, read_reference, read_requests, read_table, scan_csv, write_csv, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -418,6 +418,32 @@ def q_drift_dataset(spark, sf):
                    .unionByName(shifted.withColumn("scenario", F.lit("shifted"))))
 
 
+@register("drift_reference_file")
+def q_drift_reference_file(spark, sf):
+    """The reference from a CSV file, and the verdict when the file is missing."""
+    path = scratch_path(spark, "reference-csv")
+    ref = drift_frame(mon.reference_period(spark, sf))
+    write_csv(ref, path)
+    cur = drift_frame(mon.current_period(spark, sf))
+    cols = ["status", "n_columns", "n_drifted", "drift_share", "dataset_drift", "severity"]
+    out = None
+    for scenario, p in (("file", path), ("missing", path + "-missing")):
+        got = check_drift(read_reference(spark, p, "csv", ref.schema), cur, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD)
+        got = got.select(F.lit(scenario).alias("scenario"), *cols)
+        out = got if out is None else out.unionByName(got)
+    return rounded(out)
+
+
+@register("requests_json")
+def q_requests_json(spark, sf):
+    """Requests read from JSON lines, then validated."""
+    path = scratch_path(spark, "requests-json")
+    r = mon.requests(spark, sf)
+    r.select(F.col("event_id").cast("string").alias("request_id"), "ts", "sequence").write.json(path)
+    got = validate_sequences(read_requests(spark, path), "sequence", mon.LOOK_BACK, len(mon.EV_FEATURES))
+    return got.select("request_id", "error_code")
+
+
 @register("drift_prediction")
 def q_drift_prediction(spark, sf):
     log = mon.prediction_log(spark, sf).filter(F.col("model") == "ensemble")
