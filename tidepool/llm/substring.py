@@ -30,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import by_bytes, mix, order_id, window_hashes, word_hashes
+from tidepool.llm.common import by_bytes, mix, numbered, order_id, window_hashes, word_hashes
 from tidepool.session import materialize
 
-ROWS = "h long, _id long, _th int, start int, known boolean"
+# A window's row: its hash, its document, and packed the start (31 bits), whether
+# it is decided already, and a 15-bit hash of the text that tells rows with the
+# same id apart. Narrow rows, because the first level writes one for every few words.
+ROWS = "h long, _id long, at long"
 
 
 def levels(min_words: int) -> list[int]:
@@ -96,8 +99,9 @@ def _resolve(doc: np.ndarray, ids: np.ndarray, th: np.ndarray, start: np.ndarray
         known = several & ~(sent | other)
     spread = mix(mix(rid.view(np.uint64), start.astype(np.uint64)), h)
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.where(known, spread, h).view(np.int64)), pa.array(rid), pa.array(th[doc]),
-         pa.array(start.astype(np.int32)), pa.array(known)], names=["h", "_id", "_th", "start", "known"])
+        [pa.array(np.where(known, spread, h).view(np.int64)), pa.array(rid),
+         pa.array(start.astype(np.int64) | known.astype(np.int64) << 31 | th[doc].astype(np.int64) << 32)],
+        names=["h", "_id", "at"])
 
 
 def _scan(k: int, ladder: list[int], level: int):
@@ -119,11 +123,12 @@ def _repeated(rows: DataFrame, last: bool) -> DataFrame:
     """Windows that occur in another document too; on the last level those
     that start in a document with a smaller id."""
     w = Window.partitionBy("h").orderBy("_id")
+    known = F.getbit("at", F.lit(31)) == 1
     if last:
         rows = rows.withColumn("_f", F.first("_id").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return rows.filter("known or _id > _f")
+        return rows.filter(known | (F.col("_id") > F.col("_f")))
     return rows.withColumn("_n", F.lead("h").over(w)).withColumn("_l", F.lag("h").over(w)).filter(
-        "known or _n is not null or _l is not null")
+        known | F.col("_n").isNotNull() | F.col("_l").isNotNull())
 
 
 def remove_repeats(docs: DataFrame, *, min_words: int = 13, id_col: str = "doc_id",
@@ -134,22 +139,25 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 13, id_col: str = "doc_i
     space after it; a text that loses nothing is left as it is, and texts
     shorter than ``min_words`` (null and empty ones too) never lose a word. A
     null text stays null. Rows with a null id count as the largest id. Rows
-    that repeat an id are judged separately (by id and a hash of the text), and
+    that repeat an id are judged separately (by id and a 15-bit hash of the text), and
     none of them is the smaller document of the other. Other columns pass
     through; n_words and n_removed replace columns of the same name.
     """
-    keep = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     ladder = levels(min_words)
-    base = docs.select(*[F.col(f"`{c}`") for c in keep], order_id(F.col(f"`{id_col}`")).alias("_id"),
-                       F.coalesce(F.hash(F.col(f"`{text_col}`")), F.lit(0)).alias("_th"))
-    texts = base.select("_id", "_th", F.col(f"`{text_col}`").alias("_t"))
+    docs, names = numbered(docs, ("n_words", "n_removed"))
+    text = F.col(names[text_col])
+    base = docs.select("*", order_id(F.col(names[id_col])).alias("_id"),
+                       F.pmod(F.hash(text), F.lit(1 << 15)).alias("_th"))
+    texts = base.select("_id", "_th", text.alias("_t"))
     found = None
     for level in range(len(ladder)):
         at = texts
         if level:
             at = texts.join(found, ["_id", "_th"])
         rows = at.mapInArrow(_scan(min_words, ladder, level), ROWS)
-        found = _repeated(rows, level == len(ladder) - 1).groupBy("_id", "_th").agg(F.collect_set("start").alias("_s"))
+        found = _repeated(rows, level == len(ladder) - 1).groupBy(
+            "_id", F.shiftright("at", 32).cast("int").alias("_th")).agg(
+            F.collect_set(F.col("at").bitwiseAND(0x7FFFFFFF).cast("int")).alias("_s"))
         if level < len(ladder) - 1:
             found = materialize(found, "substring-level")
             if found.isEmpty():
@@ -160,8 +168,8 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 13, id_col: str = "doc_i
         return pd.DataFrame([_cut(t, s, min_words) for t, s in zip(text, starts)],
                             columns=["text", "n_words", "n_removed"])
 
-    out = base.join(found, ["_id", "_th"], "left").withColumn("_c", cut(F.col(f"`{text_col}`"), F.col("_s")))
-    return out.select(*[F.col("_c.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in keep],
+    out = base.join(found, ["_id", "_th"], "left").withColumn("_c", cut(text, F.col("_s")))
+    return out.select(*[F.col("_c.text" if c == text_col else n).alias(c) for c, n in names.items()],
                       "_c.n_words", "_c.n_removed")
 
 
