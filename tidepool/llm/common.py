@@ -41,6 +41,29 @@ def numbered(docs: DataFrame, without: tuple[str, ...] = ()) -> tuple[DataFrame,
     return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
 
 
+def most_frequent(counts: DataFrame, n: int, col: str) -> DataFrame:
+    """The rows with the largest counts, n at most: whole frequency classes (a
+    sixteenth of a doubling each) from the top, as many as fit. Sizes of the
+    classes are all that is gathered; there is no ordering in one task."""
+    cls = F.floor(F.log2(F.greatest(F.col(col), F.lit(1))) * 16).cast("int")
+    sizes = counts.groupBy(cls.alias("cls")).agg(F.count("*").alias("n")).collect()     # 1,024 at most
+    lowest, held = 1 << 20, 0
+    for r in sorted(sizes, key=lambda r: -r["cls"]):
+        held += r["n"]
+        if held > n:
+            break
+        lowest = r["cls"]
+    return counts.filter(cls >= lowest)
+
+
+def hash_sample(rows: DataFrame, n: int, key: Column) -> DataFrame:
+    """About n rows (all, if there are no more), the same ones whatever the
+    partitioning: those whose hash falls into the share n / count."""
+    total = rows.count()
+    share = 1 << 30 if total <= n else max(1, (n << 30) // total)
+    return rows.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < share)
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds about ``limit`` bytes of
     ``column`` (a single longer text stays whole, in a slice of its own)."""

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidepool.llm.common import hash_sample
+
 # Kinds of tags and what class or id words mean.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s "
@@ -264,10 +266,10 @@ PLAIN = np.array([-3.0, 0.4, 0.4, -4.0, 2.0, 1.0, -0.5, 0.0, -0.5])     # where
 
 
 def train(pages: DataFrame, *, sample: int = 2_000, id_col: str = "page_id", html_col: str = "html") -> np.ndarray:
-    """Weights of the text classifier from at most ``sample`` pages, those whose
-    id has the smallest hash. Blocks with a cue are the labelled ones."""
-    rows = (pages.select(F.col(html_col).alias("h"), F.xxhash64(F.col(id_col).cast("string"), F.lit("html")).alias("k"))
-            .filter("h is not null").orderBy("k", F.crc32("h")).limit(sample).repartition(12, "k"))
+    """Weights of the text classifier from about ``sample`` pages, chosen by a
+    hash of the id. Blocks with a cue are the labelled ones."""
+    rows = pages.select(F.col(f"`{html_col}`").alias("h"), F.col(f"`{id_col}`").cast("string").alias("k")).filter("h is not null")
+    rows = hash_sample(rows, sample, F.coalesce("k", F.col("h"))).repartition(12, "k")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import by_bytes
+from tidepool.llm.common import by_bytes, hash_sample
 
 # Look-alikes and letter substitutions: fixed values.
 HOMOGLYPHS = dict(zip("асеорхуіјѕһԁԛԝαβεικνορτυχ", "aceopxyijshdqwabeiknoptux"))
@@ -105,8 +105,8 @@ def learn(labelled: DataFrame, *, rows: int = 12_000, max_terms: int = 2_000, ev
           label_col: str = "toxic") -> Lexicon:
     """Lexicon and curve from labelled rows (label 0 or 1; others are left out).
 
-    At most ``rows`` rows of each label are used, those whose id has the
-    smallest hash. Two thirds of them make the lexicon, the rest fits the
+    About ``rows`` rows of each label are used (all, if there are fewer),
+    chosen by a hash of the id. Two thirds of them make the lexicon, the rest fits the
     curve. A term needs a log likelihood ratio of ``evidence`` and must be three
     times as frequent in toxic documents; at most ``max_terms`` are kept. With no
     label, or one class only, every score is 0.
@@ -115,7 +115,7 @@ def learn(labelled: DataFrame, *, rows: int = 12_000, max_terms: int = 2_000, ev
                            F.xxhash64(F.col(id_col).cast("string"), F.lit("toxicity")).alias("h"))
     sample = None
     for label in (0, 1):
-        some = pool.filter(F.col("label") == label).orderBy("h", F.crc32(F.coalesce("text", F.lit("")))).limit(rows)
+        some = hash_sample(pool.filter(F.col("label") == label), rows, F.col("h"))
         sample = some if sample is None else sample.unionAll(some)
     sample = sample.repartition(16, "h").persist()
     part = F.pmod("h", F.lit(3))
