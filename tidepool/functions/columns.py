@@ -28,11 +28,6 @@ def feature_columns(columns: Iterable[str], targets: Iterable[str] = (),
     return [c for c in columns if c not in drop]
 
 
-def numeric_columns(df: DataFrame, floating_only: bool = False) -> list[str]:
-    kinds = FLOATING_TYPES if floating_only else NUMERIC_TYPES
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds)]
-
-
 def is_finite(c: Column) -> Column:
     """True for ordinary numbers; false for NaN and +-Inf; null stays null."""
     return ~F.isnan(c) & (c != F.lit(POS_INF)) & (c != F.lit(NEG_INF))
@@ -43,16 +38,6 @@ def non_finite_to_null(c: Column) -> Column:
     return F.when(is_finite(c), c)
 
 
-def dbl(x: float) -> Column:
-    """A DOUBLE literal (a bare Python float may become DECIMAL in SQL text)."""
-    return F.lit(float(x)).cast("double")
-
-
-def rnd(c: Column | str, digits: int = 6) -> Column:
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c.cast("double"), digits)
-
-
 def time_chunk(c: Column, dtype: T.DataType, width: int) -> Column:
     """Integer bucket of a time column: ``width`` days for dates, seconds otherwise.
 

@@ -24,12 +24,6 @@ def split_predicates(df: DataFrame, time_col: str, train_end: str, val_end: str,
     return {"train": t < a, "val": (t >= a) & (t < b), "test": t >= c}
 
 
-def split_frames(df: DataFrame, time_col: str, train_end: str, val_end: str,
-                 test_start: str) -> dict[str, DataFrame]:
-    """Three filtered DataFrames; each filter is pushed to the scan."""
-    return {k: df.filter(p) for k, p in split_predicates(df, time_col, train_end, val_end, test_start).items()}
-
-
 def temporal_split(df: DataFrame, time_col: str, train_end: str, val_end: str,
                    test_start: str, split_col: str = "split") -> DataFrame:
     """Long form: one row per (row, split it belongs to). A row in two splits

@@ -61,9 +61,3 @@ def flatten_named(df: DataFrame, seq_col: str, names: Sequence[str], keep: Seque
     name = F.when(F.col("position") < F.lit(len(names)), F.element_at(names_arr, F.col("position") + 1)) \
             .otherwise(F.concat(F.lit("feature_"), F.col("position").cast("string")))
     return flat.select(*keep, F.col("position").cast("int").alias("position"), name.alias("name"), "value")
-
-
-def flatten_wide(seq: Column, names: Sequence[str], total: int) -> list[Column]:
-    """Wide form of the same naming: one column per flat position."""
-    flat = F.flatten(seq)
-    return [F.element_at(flat, i + 1).alias(names[i] if i < len(names) else f"feature_{i}") for i in range(total)]

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.operators.evaluate import eval_metrics, model_comparison, wide_ensemble
+from tidepool.operators.evaluate import wide_ensemble
 from tidepool.operators.scale import scaler_fit, scaler_transform
 from tidepool.operators.score import LinearScorer, summary_columns, to_long
 from tidepool.operators.split import temporal_split
@@ -35,8 +35,8 @@ MODEL_NAMES = [m.name for m in MODELS]
 SCALED = [f"{c}__z" for c in fx.PANEL_FEATURES]
 
 
-def split_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = fx.labeled_panel(spark, sf_dir).drop("pos")
+def split_panel(spark: SparkSession, sf_dir: str, labeled: DataFrame | None = None) -> DataFrame:
+    panel = (labeled if labeled is not None else fx.labeled_panel(spark, sf_dir)).drop("pos")
     return temporal_split(panel, "date", fx.SPLIT_TRAIN, fx.SPLIT_VAL, fx.SPLIT_TEST)
 
 
@@ -44,8 +44,8 @@ def fitted_scaler(split_df: DataFrame) -> DataFrame:
     return scaler_fit(split_df.filter(F.col("split") == "train"), fx.PANEL_FEATURES + [fx.TARGET])
 
 
-def scaled_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    s = split_panel(spark, sf_dir)
+def scaled_panel(spark: SparkSession, sf_dir: str, labeled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    s = split_panel(spark, sf_dir, labeled)
     stats = fitted_scaler(s)
     z = scaler_transform(s, stats, fx.PANEL_FEATURES + [fx.TARGET], suffix="__z")
     return z, stats
@@ -54,20 +54,22 @@ def scaled_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 INTERVALS = {"train": (None, fx.SPLIT_TRAIN), "val": (fx.SPLIT_TRAIN, fx.SPLIT_VAL), "test": (fx.SPLIT_TEST, None)}
 
 
-def panel_windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def panel_windows(spark: SparkSession, sf_dir: str, labeled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scaled windows per (ticker, split) and the scaler fitted on train rows.
 
-    Both read the labelled panel table (written once, positions included).
+    Both read the labelled panel table (written once, positions included;
+    pass it as ``labeled`` when the caller has it already).
     The statistics are a one-row aggregate over its train rows, broadcast to
     standardise each row once; the windows of scaled rows then need one
     window pass (one block shuffle when an entity is hot).
     """
-    labeled = fx.labeled_panel(spark, sf_dir)
+    labeled = labeled if labeled is not None else fx.labeled_panel(spark, sf_dir)
     lo, hi = INTERVALS["train"]
     stats = scaler_fit(labeled.filter(F.col("date") < F.lit(hi).cast("date")), fx.PANEL_FEATURES + [fx.TARGET])
     z = scaler_transform(labeled.select("ticker", "date", "row_id", "pos", fx.TARGET, *fx.PANEL_FEATURES),
-                         stats, fx.PANEL_FEATURES)
-    z = scaler_transform(z, stats, [fx.TARGET], suffix="__z")
+                         stats, fx.PANEL_FEATURES + [fx.TARGET], suffix="__z")
+    z = z.select("ticker", "date", "row_id", "pos", fx.TARGET, f"{fx.TARGET}__z",
+                 *[F.col(f"{c}__z").alias(c) for c in fx.PANEL_FEATURES])
     frame = sequence_frame(z, ["ticker"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id", pos_col="pos")
     w = windows_in_intervals(frame, "date", INTERVALS, LOOK_BACK)
     return w.select("ticker", "date", "row_id", "split", fx.TARGET, f"{fx.TARGET}__z", "seq", "x_row"), stats
@@ -105,12 +107,3 @@ def scored(spark: SparkSession, sf_dir: str, models=MODELS, with_ensemble: bool
             .withColumnRenamed(f"{fx.TARGET}__z", "actual_z"))
     return (long.withColumn("yhat", F.col("yhat_z") * std(fx.TARGET) + mean(fx.TARGET))
                 .drop(f"{fx.TARGET}__mean", f"{fx.TARGET}__std"))
-
-
-def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eval_metrics(scored(spark, sf_dir))
-
-
-def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = eval_metrics(scored(spark, sf_dir).filter(F.col("split") == "test"), ["model"])
-    return model_comparison(m, "mae")

@@ -60,15 +60,11 @@ def add_label(p: DataFrame, keep_pos: str | None = None) -> DataFrame:
              .drop("_px_fwd"))
 
 
-def panel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The daily panel written once to the shared folder (see ``materialize``)."""
-    return materialize(daily_panel(spark, sf_dir, with_label=False), "panel")
-
-
 def labeled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panel + label + per-ticker row position ``pos``, written once. Later
-    window layouts reuse ``pos`` and need only their block shuffle."""
-    return materialize(add_label(panel_table(spark, sf_dir), keep_pos="pos"), "labeled-panel")
+    """Panel + label + per-ticker row position ``pos``, written once (the one
+    write of a query over the panel). Later window layouts reuse ``pos`` and
+    need only their block shuffle."""
+    return materialize(add_label(daily_panel(spark, sf_dir, with_label=False), keep_pos="pos"), "labeled-panel")
 
 
 PANEL_SQL = f"""

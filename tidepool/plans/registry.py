@@ -144,20 +144,21 @@ def q_ensemble_mean(spark, sf):
 
 @register("align_predictions")
 def q_align_predictions(spark, sf):
-    z, _ = ens.scaled_panel(spark, sf)
+    labeled = fx.labeled_panel(spark, sf)
+    z, _ = ens.scaled_panel(spark, sf, labeled)
     ann = ens.MODELS[0]
     row_preds = z.select("split", "row_id",
                          row_model_expr(ann, "__z").alias("yhat"))
-    w, _ = ens.panel_windows(spark, sf)
+    w, _ = ens.panel_windows(spark, sf, labeled)
     return rounded(align_predictions(w.select("split", "row_id"), row_preds, ["split", "row_id"]))
 
 
 @register("attach_actuals")
 def q_attach_actuals(spark, sf):
-    w, stats = ens.panel_windows(spark, sf)
+    labeled = fx.labeled_panel(spark, sf)
+    w, _ = ens.panel_windows(spark, sf, labeled)
     preds = batch_score(w, [ens.MODELS[1]], fx.PANEL_FEATURES, ens.LOOK_BACK, ["split", "row_id"])
-    truth = fx.labeled_panel(spark, sf)
-    return rounded(attach_actuals(preds, truth, "row_id", fx.TARGET))
+    return rounded(attach_actuals(preds, labeled, "row_id", fx.TARGET))
 
 
 @register("eval_metrics_scaled")
