@@ -121,14 +121,27 @@ def test_report_insufficient(spark):
     assert rep["current_window_size"] == 50 and rep["recommendation"] == "Consider retraining the model"
 
 
-def test_auto_method_by_reference_size(spark):
-    small = spark.createDataFrame([(float(i),) for i in range(500)], "x double")
-    big = spark.createDataFrame([(float(i % 700),) for i in range(1500)], "x double")
+def test_method_is_explicit_at_every_size(spark):
     cur = spark.createDataFrame([(float(i) + 0.5,) for i in range(300)], "x double")
-    m_small = drift_columns(small, cur, ["x"], method={"x": "auto"}).first()
-    m_big = drift_columns(big, cur, ["x"], method={"x": "auto"}).first()
-    assert (m_small["method"], m_small["threshold"]) == ("ks", 0.05) and m_small["p_value"] is not None
-    assert (m_big["method"], m_big["threshold"]) == ("wasserstein", 0.1) and m_big["p_value"] is None
+    for n in (500, 1500):
+        ref = spark.createDataFrame([(float(i % 700),) for i in range(n)], "x double")
+        ks = drift_columns(ref, cur, ["x"]).first()
+        ws = drift_columns(ref, cur, ["x"], method={"x": "wasserstein"}).first()
+        assert (ks["method"], ks["threshold"]) == ("ks", 0.05) and ks["p_value"] is not None
+        assert (ws["method"], ws["threshold"]) == ("wasserstein", 0.1) and ws["p_value"] is None
+        with pytest.raises(ValueError, match="auto"):
+            drift_columns(ref, cur, ["x"], method={"x": "auto"})
+
+
+def test_check_result_fields(spark):
+    """The verdict carries the rows looked at and the drift of the predictions."""
+    ref = spark.createDataFrame([(float(i),) * 5 for i in range(40)], "a double, b double, c double, d double, e double")
+    preds = spark.createDataFrame([(i, i, float(i % 2)) for i in range(60)], "ts long, id long, prediction double")
+    got = check_drift(ref, ref, list("abcde"), [], preds=preds).first()
+    assert got["samples_analyzed"] == 40 and got["prediction_drift_score"] == pytest.approx(1.0)
+    assert check_drift(ref, ref, list("abcde"), []).first()["prediction_drift_score"] == 0.0
+    assert check_drift(ref, ref, list("abc"), []).first()["status"] == "schema_mismatch"
+    assert check_drift(None, ref, list("abcde"), []).first()["status"] == "insufficient_data"
 
 
 def test_no_columns_to_compare_is_empty(spark):

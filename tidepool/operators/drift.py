@@ -175,6 +175,9 @@ def drift_columns(ref: DataFrame, cur: DataFrame, numeric: Sequence[str] = (),
     categorical columns use ``js``. A column empty on either side gets status ``no_data`` and is not counted as drifted.
     """
     method = method or {}
+    unknown = set(method.values()) - {"ks", "wasserstein"}
+    if unknown:
+        raise ValueError(f"unknown drift method: {sorted(unknown)}")
     parts = []
     if numeric:
         nt = numeric_tests(ref, cur, numeric, buckets)
@@ -321,8 +324,10 @@ def drift_status(ref: DataFrame | None, cur: DataFrame, preds: DataFrame, window
 def drift_report(status: DataFrame, verdict: DataFrame, min_rows: int = MIN_CURRENT_ROWS) -> DataFrame:
     """Status + verdict + advice; a window under ``min_rows`` gives
     ``insufficient_data`` and no analysis."""
-    j = status.crossJoin(verdict.select(F.col("status").alias("check_status"), "dataset_drift", "drift_share",
-                                        "severity", "samples_analyzed", "prediction_drift_score"))
+    extra = {"samples_analyzed": "long", "prediction_drift_score": "double"}      # what check_drift adds
+    j = status.crossJoin(verdict.select(
+        F.col("status").alias("check_status"), "dataset_drift", "drift_share", "severity",
+        *[F.col(c) if c in verdict.columns else F.lit(None).cast(t).alias(c) for c, t in extra.items()]))
     few = F.col("current_window_size") < F.lit(min_rows)
     return j.select(
         F.when(few, F.lit("insufficient_data")).otherwise(F.lit("success")).alias("status"),
