@@ -2,19 +2,19 @@
 odd frames, against plain versions."""
 
 import hashlib
-import math
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
-from tests.llm.helpers import WORD, collect, lower, odd_documents, table
+from tests.llm.helpers import SF, WORD, collect, lower, odd_documents, table
 from tidepool.llm import decontaminate, quality, sharding, simhash, substring, toxicity
 from tidepool.llm import queries as Q
 
-ALNUM = __import__("re").compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 # --- benchmark decontamination ---------------------------------------------------
@@ -73,7 +73,7 @@ def test_op3_tables(spark):
     bench = [(r.item_id, r.text) for r in table(spark, "benchmark").collect()]
     want = [(d, n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0 and 20 * h >= n)
             for d, n, h, i in plain_hits(docs, bench)]
-    assert collect(Q.op3_decontaminate(spark, __import__("tests.llm.helpers", fromlist=["SF"]).SF)) == sorted(want, key=repr)
+    assert collect(Q.op3_decontaminate(spark, SF)) == sorted(want, key=repr)
 
 
 # --- SimHash ---------------------------------------------------------------------
@@ -296,7 +296,6 @@ def test_shards_are_even(spark, heavy):
     size, texts = check_shards(got, 8)
     mean = sum(size.values()) / 8
     assert max(size.values()) < 1.03 * mean and min(size.values()) > 0.97 * mean
-    import zlib
     copies = {zlib.crc32(f"copy {i}".encode()) for i in range(10)}
     assert all(len(texts[c]) == 1 for c in copies)
 
@@ -305,7 +304,7 @@ def test_shard_odd_rows(spark):
     docs = odd_documents(spark, "size int, slot string, _k1 int, _r string, shard int")
     got = sharding.shard(docs, 5).collect()
     check_shards(got, 5)
-    want = sorted([(r.doc_id, len((r.text or "").encode()) + 16, __import__("zlib").crc32((r.text or "").encode()))
+    want = sorted([(r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode()))
                    for r in docs.collect()], key=repr)
     assert sorted([(r["doc_id"], r["size"], r["text_crc32"]) for r in got], key=repr) == want
     assert sharding.shard(docs.limit(0), 5).count() == 0
