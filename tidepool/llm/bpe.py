@@ -22,12 +22,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import by_bytes
+from tidepool.llm.common import by_bytes, most_frequent
+from tidepool.session import materialize
 
 SLOTS = 8192          # small maps of the literal, about six ranks each
 NONE = 2147483647     # rank of a pair that is no token
@@ -106,39 +106,41 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
 
 # --- inside tasks -------------------------------------------------------------
 
-def _splitter(pattern: str):
-    """Function of a text: its words in order. A space between two characters
-    that are not white space always starts a new word, so such a text is cut
-    there first and a repeated unit is matched once."""
-    import regex
+class _Splitter:
+    """Words of a text, in order. A space between two characters that are not
+    white space always starts a new word, so most texts are cut there first and
+    a repeated part is matched once."""
 
-    find = regex.compile(pattern).findall
-    edge = regex.compile(r"\s")
+    def __init__(self, pattern: str):
+        import re
 
-    def units(text: str) -> list[str] | None:
-        parts = text.split(" ")
-        for p in parts:
-            if not p or edge.match(p) or edge.match(p[-1]):
-                return None
-        return [parts[0], *[" " + p for p in parts[1:]]]
-    return find, units
+        import regex
+
+        self.find = regex.compile(pattern).findall
+        self.risky = re.compile(r" \s|\s |^\s|\s\Z").search
+
+    def parts(self, text: str) -> list[str] | None:
+        """The text cut at its spaces, if that is safe."""
+        return None if self.risky(text) else text.split(" ")
 
 
 def _count(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, units = _splitter(pattern)
+        split = _Splitter(pattern)
         for part in by_bytes(batches, "_t"):
             seen: Counter = Counter()
             total: Counter = Counter()
             for text in part.column("_t").to_pylist():
                 if text:
-                    cut = units(text)
+                    cut = split.parts(text)
                     if cut is None:
-                        total.update(find(text))
+                        total.update(split.find(text))
                     else:
+                        total.update(split.find(cut[0]))
+                        del cut[0]
                         seen.update(cut)
-            for unit, n in seen.items():
-                for w in find(unit):
+            for piece, n in seen.items():
+                for w in split.find(" " + piece):
                     total[w] += n
             yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())],
                                              names=["w", "n"])
@@ -146,66 +148,102 @@ def _count(pattern: str):
 
 
 def frequent_words(docs: DataFrame, text_col: str, pattern: str, n: int) -> DataFrame:
-    """(w, n): the n most frequent words, ties by the word."""
-    counts = docs.select(F.col(text_col).alias("_t")).mapInArrow(_count(pattern), "w string, n long")
-    return counts.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(n)
+    """(w, n): at most n words, the most frequent ones."""
+    counts = docs.select(F.col(f"`{text_col}`").alias("_t")).mapInArrow(_count(pattern), "w string, n long")
+    counts = materialize(counts.groupBy("w").agg(F.sum("n").alias("n")), "bpe-words")
+    return most_frequent(counts, n, "n")
+
+
+class _Memo(dict):
+    """Ids (bytes) of the text parts that follow a space. A part with words
+    beyond the dictionary is a tuple of ids and those words."""
+
+    def __init__(self, split: _Splitter, known: dict[str, bytes], most: int = 200_000):
+        super().__init__()
+        self.split, self.known, self.most = split, known, most
+
+    def __missing__(self, part: str):
+        if len(self) >= self.most:
+            self.clear()
+        got = self[part] = self.coded(" " + part)
+        return got
+
+    def coded(self, text: str):
+        out: list = []
+        for w in self.split.find(text):
+            ids = self.known.get(w)
+            if ids is None:
+                out.append(w)
+            elif out and type(out[-1]) is bytes:
+                out[-1] += ids
+            else:
+                out.append(ids)
+        return b"".join(out) if all(type(x) is bytes for x in out) else tuple(out)
+
+
+def _packed(words: pa.Table) -> bytes:
+    """The dictionary as it travels: compact, so the driver holds no Python objects."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, words.schema) as out:
+        out.write_table(words)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> dict[str, bytes]:
+    known: dict[str, bytes] = {}
+    for part in pa.ipc.open_stream(data):
+        lists = part.column("ids")
+        flat, at = lists.values.to_numpy().astype("<i4").tobytes(), (lists.offsets.to_numpy() * 4).tolist()
+        known.update(zip(part.column("w").to_pylist(), map(lambda lo, hi: flat[lo:hi], at, at[1:])))
+    return known
 
 
 def _lookup(pattern: str, shared):
     """Replace known words by ids: segments of ids around the words left over."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, units = _splitter(pattern)
-        offsets, values, index = shared.value
-        known = {w: i for i, w in enumerate(index)}
-        memo: dict = {}
+        split = _Splitter(pattern)
+        memo = _Memo(split, _unpacked(shared.value))
+        cuts = lambda sizes: pa.array(np.r_[0, np.cumsum(sizes, dtype=np.int64)].astype(np.int32))
         for batch in by_bytes(batches, "_t"):
             at = batch.schema.get_field_index("_t")
-            seg_len, ids, rest, n_seg, n_rest = [], [], [], [], []
+            segs: list[bytes] = []
+            rest: list[str] = []
+            n_rest: list[int] = []
             for text in batch.column(at).to_pylist():
-                segs, left = 0, 0
-                run_len = 0
-                for unit in (units(text) if text else None) or ([text] if text else []):
-                    got = memo.get(unit)
-                    if got is None:
-                        got = memo[unit] = _pieces(find(unit), known, offsets, values)
-                        if len(memo) > 200_000:
-                            memo.clear()
-                    for piece in got:
-                        if isinstance(piece, str):
-                            seg_len.append(run_len)
-                            rest.append(piece)
-                            run_len = 0
-                            segs, left = segs + 1, left + 1
+                cut = split.parts(text) if text else []
+                if cut is None:
+                    got = [memo.coded(text)]
+                elif cut:
+                    got = [memo.coded(cut[0])]
+                    got += [memo[p] for p in cut[1:]]
+                else:
+                    got = []
+                left, last, open_ = 0, 0, []
+                for i in [i for i, x in enumerate(got) if type(x) is tuple]:
+                    open_ += got[last:i]
+                    for x in got[i]:
+                        if type(x) is bytes:
+                            open_.append(x)
                         else:
-                            ids.append(piece)
-                            run_len += len(piece)
-                seg_len.append(run_len)
-                n_seg.append(segs + 1)
+                            segs.append(b"".join(open_))
+                            rest.append(x)
+                            open_ = []
+                            left += 1
+                    last = i + 1
+                segs.append(b"".join(open_ + got[last:]))
                 n_rest.append(left)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            cuts = lambda sizes: pa.array(np.r_[0, np.cumsum(sizes, dtype=np.int64)].astype(np.int32))
-            inner = pa.ListArray.from_arrays(cuts(seg_len), pa.array(flat.astype(np.int32)))
+            ids = pa.array(np.frombuffer(b"".join(segs), "<i4"))
+            inner = pa.ListArray.from_arrays(cuts([len(s) // 4 for s in segs]), ids)
             yield pa.RecordBatch.from_arrays(
                 [c for i, c in enumerate(batch.columns) if i != at]
-                + [pa.ListArray.from_arrays(cuts(n_seg), inner),
+                + [pa.ListArray.from_arrays(cuts([n + 1 for n in n_rest]), inner),
                    pa.ListArray.from_arrays(cuts(n_rest), pa.array(rest, pa.string()))],
                 names=[n for i, n in enumerate(batch.schema.names) if i != at] + ["_segs", "_rest"])
     return run
 
 
-def _pieces(ws: list[str], known: dict, offsets: np.ndarray, values: np.ndarray) -> list:
-    out: list = []
-    for w in ws:
-        i = known.get(w)
-        got = w if i is None else values[offsets[i]:offsets[i + 1]]
-        if out and i is not None and not isinstance(out[-1], str):
-            got = np.concatenate([out.pop(), got])
-        out.append(got)
-    return out
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text",
-           dictionary: int = 600_000) -> DataFrame:
+           dictionary: int = 500_000) -> DataFrame:
     """``docs`` with ids (array<int>) in place of its text column.
 
     Null and empty texts have no ids. Texts must be valid Unicode. The columns
@@ -216,14 +254,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     spark: SparkSession = docs.sparkSession
     table = rank_table(ranks)
     top = frequent_words(docs, text_col, pattern, dictionary)
-    # folded in many tasks; the ordered limit above ends in one
     top = top.select(F.encode("w", "utf-8").alias("b"), "w").repartition(48, "w")
     folded = top.select("w", F.element_at(encode_words(F.array("b"), table), 1).alias("ids")).toArrow()
-    index = folded.column("w").to_pylist()
-    lists = folded.column("ids").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    shared = spark.sparkContext.broadcast((lists.offsets.to_numpy() - lists.offsets[0].as_py(),
-                                           lists.flatten().to_numpy().astype(np.int32), index))
+    shared = spark.sparkContext.broadcast(_packed(folded))
+    del folded
     keep = [c for c in docs.columns if c not in (text_col, "ids")]
     src = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_t"))
     schema = ", ".join([f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)])
