@@ -7,13 +7,14 @@ are learned by expectation-maximisation: a fold of the training documents is
 deleted from the counts and its own bigrams, under the counts that remain, are
 the held-out events. Final scores use the counts of all training documents.
 
-How the counts meet the texts: every token is the predicted word of one bigram,
-so all bigrams are dealt once to buckets, by the pair if the word is among the
-``known`` most frequent (their counts are shipped, a bounded table), else by the
-word. A bucket then sees every occurrence of its pairs and of its rare words and
-can count both. Only bigrams whose context is rare go on to meet that context's
-count in a join. Buckets travel as packed columns: sorted codes in byte planes,
-a few bytes for each bigram.
+How the counts meet the texts: the counts of the ``known`` most frequent words
+are shipped (a bounded table), and all bigrams are dealt once to buckets: by
+their rare word if one of the two is rare, else by the pair. A bucket then sees
+every occurrence of its pairs and of its rare words and can count both. Bigrams
+of two rare words go to the bucket of the second, with a copy to that of the
+first for its count, and meet the first word's count in a join; they are few.
+Buckets travel as packed columns: sorted codes in byte planes, a few bytes for
+each bigram.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import MAX_ID, by_bytes, word_hashes
+from tidepool.llm.common import by_bytes, most_frequent, word_hashes
 from tidepool.session import materialize
 
 END, START = np.uint64(1), np.uint64(2)     # codes of the end token and of the first context
@@ -38,8 +39,8 @@ STEP = 20                                   # histogram bins for each factor of
 TRAIN, DELETED = 1, 2                       # flags of a document
 
 UNIGRAM = "w long, c long, e long"
-EVENT = "kind int, " + ", ".join(f"x{i} long" for i in range(9))
-SUMS = "_id long, _th int, n_tokens long, n_known long, ends long, base double, score double"
+EVENT = "kind int, " + ", ".join(f"x{i} long" for i in range(8))
+SUMS = "key long, id long, n_tokens long, n_known long, base double, score double"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -95,109 +96,125 @@ def _spread(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
-def _deal(buckets: int, shared):
-    """Bigrams of each slice, packed by bucket. Codes below the size of the
-    known table are ranks in it, codes beyond it point to the rare words that
-    the pack carries."""
+def _base(c, total: int, types: int):
+    return np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
+
+
+def _deal(buckets: int, shared, total: int, types: int):
+    """Bigrams of each slice, packed by bucket, and one row of the slice's own
+    (negative bucket) with the ids and what known words alone say. Codes below
+    the size of the known table are ranks in it, codes beyond it point to the
+    rare words that the pack carries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value[0]
-        size = len(known)
-        for part in slices(batches):
+        from pyspark import TaskContext
+
+        known, counts, _ = shared.value
+        size, task = len(known), TaskContext.get().partitionId()
+        start = np.uint64(np.searchsorted(known, START))         # both are always known
+        for number, part in enumerate(slices(batches)):
+            name = np.array([task << 40 | number << DOC_BITS], np.uint64)
             w, doc = tokens(part)
-            at = np.minimum(np.searchsorted(known, w), max(size - 1, 0))
-            rare = known[at] != w if size else np.ones(len(w), bool)
+            at = np.minimum(np.searchsorted(known, w), size - 1)
+            rare = known[at] != w
             names, local = np.unique(w[rare], return_inverse=True)
             code = at.astype(np.uint64)
             code[rare] = np.uint64(size) + local.astype(np.uint64)
-            start = np.searchsorted(known, START)      # always known: see known_words
-            h = np.r_[np.uint64(start), code[:-1]]
+            h = np.r_[start, code[:-1]]
             h[np.r_[True, doc[1:] != doc[:-1]]] = start
             key = (code << np.uint64(CODE_BITS) | h) << np.uint64(DOC_BITS) | doc.astype(np.uint64)
             key, n = np.unique(key, return_counts=True)
+            flag = part.column("_f").to_numpy().astype(np.uint64)
+            d = key & np.uint64((1 << DOC_BITS) - 1)
+            d |= flag[d.astype(np.int64)] << np.uint64(DOC_BITS)
             pair = key >> np.uint64(DOC_BITS)
-            word = pair >> np.uint64(CODE_BITS)
-            is_rare = word >= size
-            route = pair.copy()
-            route[is_rare] = names[(word[is_rare] - np.uint64(size)).astype(np.int64)]
-            # a known word's pair with a rare context needs the context's hash, not its local number
-            ctx = pair & np.uint64((1 << CODE_BITS) - 1)
-            far = ~is_rare & (ctx >= size)
-            route[far] = names[(ctx[far] - np.uint64(size)).astype(np.int64)] ^ _spread(word[far])
+            word, ctx = pair >> np.uint64(CODE_BITS), pair & np.uint64((1 << CODE_BITS) - 1)
+            hashed = lambda c: names[(c - np.uint64(size)).astype(np.int64)]
+            route, copy = pair.copy(), np.zeros(len(pair), np.uint8)
+            far_h, far_w = ctx >= size, word >= size
+            route[far_h] = hashed(ctx[far_h])
+            route[far_w] = hashed(word[far_w])
+            twice = np.flatnonzero(far_h & far_w)
+            word, ctx, d, n, route, copy = (np.r_[x, x[twice]] for x in (word, ctx, d, n, route, copy))
+            if len(twice):
+                copy[-len(twice):] = 1
+                route[-len(twice):] = hashed(ctx[-len(twice):])
             bucket = (_spread(route) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            ids = part.column("_id").to_numpy()
-            th = part.column("_th").to_numpy()
-            flag = part.column("_f").to_numpy().astype(np.uint8)
             used = np.flatnonzero(np.diff(cuts))
             blobs = []
             for b in used:
                 o = order[cuts[b]:cuts[b + 1]]
-                d, di = np.unique(key[o] & np.uint64((1 << DOC_BITS) - 1), return_inverse=True)
-                d = d.astype(np.int64)
                 ww, hh = word[o], ctx[o]
                 mine, both = np.unique(np.r_[ww[ww >= size], hh[hh >= size]], return_inverse=True)
                 k = int((ww >= size).sum())
                 ww[ww >= size] = np.uint64(size) + both[:k].astype(np.uint64)
                 hh[hh >= size] = np.uint64(size) + both[k:].astype(np.uint64)
-                blobs.append(pack(ids[d], th[d], flag[d], names[(mine - np.uint64(size)).astype(np.int64)],
-                                  ww.astype(np.uint32), hh.astype(np.uint32), di.astype(np.uint16),
-                                  n[o].astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())],
+                blobs.append(pack(name, hashed(mine), ww.astype(np.uint32), hh.astype(np.uint32), d[o].astype(np.uint16),
+                                  n[o].astype(np.uint32), copy[o]))
+            docs = part.num_rows
+            c = np.where(rare, 0, counts[at])
+            base = np.bincount(doc, np.where(rare, 0.0, _base(c, total, types)), docs)
+            ids = part.column("_id")
+            blobs.append(pack(name, pa.compute.fill_null(ids, 0).to_numpy(zero_copy_only=False),
+                              pa.compute.is_null(ids).to_numpy(zero_copy_only=False).astype(np.uint8),
+                              np.bincount(doc, minlength=docs).astype(np.uint32),
+                              np.bincount(doc, (c > 0).astype(float), docs).astype(np.uint32), base))
+            own = -1 - int(_spread(name)[0] % np.uint64(buckets))
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[used, own].astype(np.int32)), pa.array(blobs, pa.binary())],
                                              names=["bucket", "blob"])
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """Packs of one bucket at a time (the rows come sorted by bucket)."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[bytes]]]:
+    """Packs of one bucket at a time (the rows come sorted by bucket), and
+    whether they are the slices' own."""
     now, blobs = None, []
     for batch in batches:
         for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
             if b != now and blobs:
-                yield blobs
+                yield now < 0, blobs
                 blobs = []
             now = b
             blobs.append(blob)
     if blobs:
-        yield blobs
+        yield now < 0, blobs
 
 
 def _counted(blobs: list[bytes], shared) -> dict[str, np.ndarray]:
     """All bigrams of a bucket with the counts that a bucket can know."""
     known, kc, ke = shared.value
     size = len(known)
-    cols: list[list[np.ndarray]] = [[] for _ in range(8)]
-    names_at = docs_at = 0
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+    names_at = 0
     for blob in blobs:
-        ids, th, flag, names, w, h, d, n = unpack(blob)
-        w, h = w.astype(np.int64), h.astype(np.int64)
+        name, names, w, h, d, n, copy = unpack(blob)
+        w, h, d = w.astype(np.int64), h.astype(np.int64), d.astype(np.int64)
         w[w >= size] += names_at
         h[h >= size] += names_at
-        for c, x in zip(cols, (ids, th, flag, names, w, h, d.astype(np.int64) + docs_at, n.astype(np.int64))):
+        key = int(name[0]) | d & (1 << DOC_BITS) - 1
+        for c, x in zip(cols, (names, w, h, key | d >> DOC_BITS << 62, n.astype(np.int64), copy)):
             c.append(x)
         names_at += len(names)
-        docs_at += len(ids)
-    ids, th, flag, names, w, h, d, n = (np.concatenate(c) for c in cols)
+    names, w, h, key, n, copy = (np.concatenate(c) for c in cols)
+    flag, key = key >> 62 & 3, key & (1 << 62) - 1
     rare, same = np.unique(names, return_inverse=True)
     for x in (w, h):
         far = x >= size
         x[far] = size + same[x[far] - size]
-    train = n * (flag[d] & TRAIN > 0)
-    deleted = n * (flag[d] & DELETED > 0)
+    far_w, far_h, own = w >= size, h >= size, copy == 0
+    train, deleted = n * (flag & TRAIN > 0), n * (flag & DELETED > 0)
     total = lambda at, v, m: np.bincount(at, v, m).astype(np.int64)
     _, pair = np.unique(w << 32 | h, return_inverse=True)
-    out = {"id": ids[d].view(np.int64), "th": th[d].astype(np.int64), "flag": flag[d].astype(np.int64), "n": n,
-           "chw": total(pair, train, 0)[pair], "ehw": total(pair, deleted, 0)[pair],
-           "doc": d, "ids": ids.view(np.int64), "ths": th.view(np.int32), "ends": (w == np.searchsorted(known, END)) * n}
-    far = w >= size
+    out = {"key": key, "flag": flag, "n": n, "tail": far_w & far_h, "rare_w": far_w,
+           "chw": total(pair, train * own, 0)[pair], "ehw": total(pair, deleted * own, 0)[pair],
+           "h": np.concatenate([known, rare])[h].view(np.int64)}
+    of_w, of_h = far_w & own, far_h & (~far_w | ~own)
     for k, table, v in (("cw", kc, train), ("ew", ke, deleted)):
-        rare_n = total(w[far] - size, v[far], len(rare))
-        out[k] = np.concatenate([table, rare_n])[w]
-    out["tail"] = h >= size
-    near = np.minimum(h, max(size - 1, 0))
-    out["ch"], out["eh"] = kc[near], ke[near]
-    out["h"] = np.concatenate([known, rare])[h].view(np.int64)
-    return out
+        out[k] = np.concatenate([table, total(w[of_w] - size, v[of_w], len(rare))])[w]
+    for k, table, v in (("ch", kc, train), ("eh", ke, deleted)):
+        out[k] = np.concatenate([table, total(h[of_h] - size, v[of_h], len(rare))])[h]
+    return {k: v[own] for k, v in out.items()}
 
 
 def frequency(c: np.ndarray) -> np.ndarray:
@@ -265,39 +282,49 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
 
 
 def _events(shared, retained: int):
-    """Histogram rows (kind 0) of the held-out events whose context is known,
-    and the bigrams of rare contexts (kind 1) with their counts."""
+    """Histogram rows (kind 0) of the held-out events, and the bigrams of two
+    rare words (kind 1) with the counts they have so far."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _gathered(batches):
+        for own, blobs in _gathered(batches):
+            if own:
+                continue
             x = _counted(blobs, shared)
             held = ~x["tail"] & (x["flag"] & DELETED > 0)
-            cells = histogram({k: v[held] for k, v in x.items() if k in ("chw", "ehw", "ch", "eh", "cw", "ew", "n")}, retained)
+            cells = histogram({k: v[held] for k, v in x.items()}, retained)
             zero = np.zeros(len(cells[0]), np.int64)
-            yield _batch(EVENT, [zero, *cells, *[zero] * 5])
+            yield _batch(EVENT, [zero, *cells, *[zero] * 4])
             t = x["tail"]
-            yield _batch(EVENT, [np.ones(int(t.sum()), np.int64), *[x[k][t] for k in
-                                 ("h", "id", "th", "flag", "n", "chw", "ehw", "cw", "ew")]])
+            yield _batch(EVENT, [np.ones(int(t.sum()), np.int64), *[x[k][t] for k in RARE[:8]]])
     return run
 
 
 def _scores(shared, weights: np.ndarray, total: int, types: int):
+    """Sums by document: of known words from the slices' own rows, of rare
+    words and of the model from the buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _gathered(batches):
+        for own, blobs in _gathered(batches):
+            if own:
+                for blob in blobs:
+                    name, ids, null, n, seen, base = unpack(blob)
+                    yield _batch(SUMS, [int(name[0]) + np.arange(len(ids)), pa.array(ids.view(np.int64), mask=null > 0), n, seen,
+                                        base.view(np.float64), np.zeros(len(ids))])
+                continue
             x = _counted(blobs, shared)
-            doc, size = x["doc"], len(x["ids"])
+            keys, doc = np.unique(x["key"], return_inverse=True)
+            size = len(keys)
             p = np.where(x["tail"], 0.0, log_probability(x, weights, total, types))
-            base = x["n"] * np.log10((x["cw"] + 0.5) / (total + 0.5 * (types + 1)))
-            count = lambda v: np.bincount(doc, v, size).astype(np.int64)
-            yield _batch(SUMS, [x["ids"], x["ths"], count(x["n"]), count(x["n"] * (x["cw"] > 0)), count(x["ends"]),
+            base = np.where(x["rare_w"], x["n"] * _base(x["cw"], total, types), 0.0)
+            seen = np.bincount(doc, x["n"] * (x["rare_w"] & (x["cw"] > 0)), size).astype(np.int64)
+            yield _batch(SUMS, [keys, pa.nulls(size, pa.int64()), np.zeros(size, np.int64), seen,
                                 np.bincount(doc, base, size), np.bincount(doc, p, size)])
     return run
 
 
-RARE = ["h", "id", "th", "flag", "n", "chw", "ehw", "cw", "ew", "ch", "eh"]
+RARE = ["h", "key", "flag", "n", "chw", "ehw", "cw", "ew", "ch", "eh"]
 
 
 def _rare(mode: str, *args):
-    """The same for bigrams of rare contexts, after the join with their counts."""
+    """The same for bigrams of two rare words, after the join with the first one's count."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = {k: batch.column(k).to_numpy() for k in RARE}
@@ -306,14 +333,14 @@ def _rare(mode: str, *args):
             else:
                 p = log_probability(x, *args)
                 zero = np.zeros(len(p), np.int64)
-                yield _batch(SUMS, [x["id"], x["th"].astype(np.int32), zero, zero, zero, zero.astype(float), p])
+                yield _batch(SUMS, [x["key"], pa.nulls(len(p), pa.int64()), zero, zero, zero.astype(float), p])
     return run
 
 
 def known_words(counts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The n most frequent words (sorted hashes) with their counts. The start
-    context and the end token are always among them."""
-    top = counts.orderBy(F.desc("c"), "w").limit(n).toArrow()
+    """At most n words, the most frequent ones (sorted hashes), with their
+    counts. The start context and the end token are always added."""
+    top = most_frequent(counts, n, "c").toArrow()
     w, c, e = (top.column(k).to_numpy() for k in ("w", "c", "e"))
     w = w.view(np.uint64)
     ends = counts.filter(F.col("w") == int(END)).first()
@@ -332,17 +359,14 @@ def score(docs: DataFrame, train: Column, deleted: Column, *, id_col: str = "doc
 
     ``train`` says which rows are learned from, ``deleted`` which of them are
     the held-out fold of the weights (null: no). Null and empty texts have one
-    token, the end. Rows that agree in id and text have equal results. Without
-    training rows every word has the uniform probability of the floor. Other
+    token, the end. Ids only pass through, so null and repeated ones do no harm.
+    Without training rows every word has the uniform probability of the floor. Other
     columns are not read.
     """
     flag = (F.when(F.coalesce(train, F.lit(False)), F.when(F.coalesce(deleted, F.lit(False)), TRAIN | DELETED)
                    .otherwise(TRAIN)).otherwise(0))
-    idc = F.col(f"`{id_col}`")
-    # the lowest bit of the text's hash tells a null id from the largest one
-    th = F.hash(F.col(f"`{text_col}`")).bitwiseAND(-2).bitwiseOR(F.when(idc.isNull(), 1).otherwise(0))
-    rows = docs.select(F.coalesce(idc.cast("long"), F.lit(MAX_ID)).alias("_id"), th.cast("int").alias("_th"),
-                       flag.cast("int").alias("_f"), F.col(f"`{text_col}`").alias("_t"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), flag.cast("int").alias("_f"),
+                       F.col(f"`{text_col}`").alias("_t"))
     spark = docs.sparkSession
     counts = rows.mapInArrow(_count_words, UNIGRAM).groupBy("w").agg(F.sum("c").alias("c"), F.sum("e").alias("e"))
     counts = materialize(counts, "lm-unigrams")
@@ -350,10 +374,10 @@ def score(docs: DataFrame, train: Column, deleted: Column, *, id_col: str = "doc
     total, gone, types = int(s[0]), int(s[1]), int(s[2])
     shared = spark.sparkContext.broadcast(known_words(counts, known))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, 1 + total // BUCKET_ROWS)
-    dealt = (rows.mapInArrow(_deal(buckets, shared), "bucket int, blob binary")
+    dealt = (rows.mapInArrow(_deal(buckets, shared, total, types), "bucket int, blob binary")
              .repartition(F.col("bucket")).sortWithinPartitions("bucket").persist(StorageLevel.DISK_ONLY))
     events = materialize(dealt.mapInArrow(_events(shared, total - gone), EVENT), "lm-events")
-    rare = events.filter("kind = 1").select(*[F.col(f"x{i}").alias(k) for i, k in enumerate(RARE[:9])])
+    rare = events.filter("kind = 1").select(*[F.col(f"x{i}").alias(k) for i, k in enumerate(RARE[:8])])
     rare = rare.join(counts.select(F.col("w").alias("h"), F.col("c").alias("ch"), F.col("e").alias("eh")), "h", "left")
     rare = rare.fillna(0, ["ch", "eh"]).select(*RARE)
     held = rare.filter(F.col("flag").bitwiseAND(DELETED) > 0).mapInArrow(
@@ -363,13 +387,8 @@ def score(docs: DataFrame, train: Column, deleted: Column, *, id_col: str = "doc
     weights = learn_weights(hist.to_numpy(np.int64).reshape(-1, 4), types)
     sums = dealt.mapInArrow(_scores(shared, weights, total, types), SUMS).unionAll(
         rare.mapInArrow(_rare("scores", weights, total, types), SUMS))
-    agg = sums.groupBy("_id", "_th").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "ends", "base", "score")])
-    # a row that is there several times was summed several times
-    agg = materialize(agg, "lm-scores")
+    out = materialize(sums.groupBy("key").agg(F.max("id").alias("id"), *[
+        F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]), "lm-scores")
     dealt.unpersist()
-    out = agg.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("ends"))))
-    per = lambda c, kind: (F.col(c) / F.col("ends")).cast(kind)
-    return out.select(F.when(F.col("_th").bitwiseAND(1) == 0, F.col("_id")).alias(id_col),
-                      per("n_tokens", "long").alias("n_tokens"), per("n_known", "long").alias("n_known"),
-                      F.lit(total).cast("long").alias("train_tokens"), per("base", "double").alias("base_score"),
-                      per("score", "double").alias("score"))
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+                      F.col("base").alias("base_score"), "score")
