@@ -22,6 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,12 +97,17 @@ def _encode_word(word: Column, table: Column) -> Column:
 
 
 def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """Bytes of an array of ids (null: null). Ids must be of the vocabulary."""
+    """Bytes of an array of ids, its pieces one after the other (null: null).
+    Ids must be of the vocabulary."""
     pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    literal = F.split(F.lit(",".join(p.hex() for p in pieces)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(literal, i + 1)), ""))
+
+    @F.pandas_udf("binary")
+    def joined(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda x: b"".join(map(pieces.__getitem__, x.tolist())), na_action="ignore")
+
+    return joined(ids)
 
 
 # --- inside tasks -------------------------------------------------------------
@@ -158,7 +164,7 @@ class _Memo(dict):
     """Ids (bytes) of the text parts that follow a space. A part with words
     beyond the dictionary is a tuple of ids and those words."""
 
-    def __init__(self, split: _Splitter, known: dict[str, bytes], most: int = 200_000):
+    def __init__(self, split: _Splitter, known: dict[str, bytes], most: int = 100_000):
         super().__init__()
         self.split, self.known, self.most = split, known, most
 
@@ -232,18 +238,31 @@ def _lookup(pattern: str, shared):
                     last = i + 1
                 segs.append(b"".join(open_ + got[last:]))
                 n_rest.append(left)
-            ids = pa.array(np.frombuffer(b"".join(segs), "<i4"))
-            inner = pa.ListArray.from_arrays(cuts([len(s) // 4 for s in segs]), ids)
             yield pa.RecordBatch.from_arrays(
                 [c for i, c in enumerate(batch.columns) if i != at]
-                + [pa.ListArray.from_arrays(cuts([n + 1 for n in n_rest]), inner),
+                + [pa.ListArray.from_arrays(cuts([n + 1 for n in n_rest]), pa.array(segs, pa.binary())),
                    pa.ListArray.from_arrays(cuts(n_rest), pa.array(rest, pa.string()))],
                 names=[n for i, n in enumerate(batch.schema.names) if i != at] + ["_segs", "_rest"])
     return run
 
 
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put the ids of the words left over (last column) between the segments
+    of ids (the column before)."""
+    for batch in batches:
+        out: list[bytes] = []
+        for known, words in zip(batch.column("_segs").to_pylist(), batch.column("_coded").to_pylist()):
+            parts = [known[0]]
+            for ids, segment in zip(words, known[1:]):
+                parts += [np.array(ids, "<i4").tobytes(), segment]
+            out.append(b"".join(parts))
+        cuts = np.r_[0, np.cumsum([len(x) // 4 for x in out], dtype=np.int64)].astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.frombuffer(b"".join(out), "<i4")))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], ids], names=[*batch.schema.names[:-2], "ids"])
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col: str = "text",
-           dictionary: int = 500_000) -> DataFrame:
+           dictionary: int = 400_000) -> DataFrame:
     """``docs`` with ids (array<int>) in place of its text column.
 
     Null and empty texts have no ids. Texts must be valid Unicode. The columns
@@ -261,8 +280,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     keep = [c for c in docs.columns if c not in (text_col, "ids")]
     src = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_t"))
     schema = ", ".join([f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)])
-    looked = src.mapInArrow(_lookup(pattern, shared), ", ".join(filter(None, [schema, "_segs array<array<int>>, _rest array<string>"])))
+    looked = src.mapInArrow(_lookup(pattern, shared), ", ".join(filter(None, [schema, "_segs array<binary>, _rest array<string>"])))
     rest = encode_words(F.transform("_rest", lambda w: F.encode(w, "utf-8")), table)
-    ids = F.when(F.size("_rest") == 0, F.element_at("_segs", 1)).otherwise(F.flatten(F.zip_with(
-        "_segs", rest, lambda a, b: F.concat(a, F.coalesce(b, F.array().cast("array<int>"))))))
-    return looked.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], ids.alias("ids"))
+    coded = looked.select(*[f"_{i}" for i in range(len(keep))], "_segs", rest.alias("_coded"))
+    out = coded.mapInArrow(_assemble, ", ".join(filter(None, [schema, "ids array<int>"])))
+    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "ids")

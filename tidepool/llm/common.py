@@ -23,6 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Fewer rows in an Arrow batch, for queries that pass whole texts through
+    several Python stages: each stage of each task holds a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def words(text: Column, separators: str = SPACE) -> Column:
     """Words of a text as an array (null text: empty array)."""
     return F.coalesce(F.array_remove(F.split(text, separators), ""), F.array().cast("array<string>"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import bpe, decontaminate, html_extract, interpolation, quality, sharding, simhash, substring, toxicity, url_filter
-from tidepool.llm.common import table, words
+from tidepool.llm.common import small_batches, table, words
 from tidepool.llm.sql import ORACLE
 
 
@@ -70,6 +70,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return ids.map(lambda x: hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
 
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = bpe.load_ranks(rank_file())
     ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
