@@ -40,7 +40,8 @@ TRAIN, DELETED = 1, 2                       # flags of a document
 
 UNIGRAM = "w long, c long, e long"
 EVENT = "kind int, " + ", ".join(f"x{i} long" for i in range(8))
-SUMS = "key long, id long, n_tokens long, n_known long, base double, score double"
+PART = "slice long, own boolean, blob binary"
+SUMS = "id long, n_tokens long, n_known long, base double, score double"
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -298,28 +299,61 @@ def _events(shared, retained: int):
     return run
 
 
+def _parts(key: np.ndarray, seen: np.ndarray, base: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """Sums by document, packed by slice: they travel back the way they came."""
+    keys, doc = np.unique(key, return_inverse=True)
+    size = len(keys)
+    sums = [np.bincount(doc, x, size) for x in (seen, base, score)]
+    cuts = np.flatnonzero(np.r_[True, np.diff(keys >> DOC_BITS) > 0]).tolist() if size else []
+    blobs = [pack((keys[lo:hi] & (1 << DOC_BITS) - 1).astype(np.uint16), sums[0][lo:hi].astype(np.uint32),
+                  sums[1][lo:hi], sums[2][lo:hi]) for lo, hi in zip(cuts, [*cuts[1:], size])]
+    return pa.RecordBatch.from_arrays([pa.array([int(keys[c] >> DOC_BITS) for c in cuts], pa.int64()),
+                                       pa.array([False] * len(cuts), pa.bool_()), pa.array(blobs, pa.binary())],
+                                      names=["slice", "own", "blob"])
+
+
 def _scores(shared, weights: np.ndarray, total: int, types: int):
-    """Sums by document: of known words from the slices' own rows, of rare
-    words and of the model from the buckets."""
+    """Sums by document of rare words and of the model, from the buckets; the
+    slices' own rows pass on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, blobs in _gathered(batches):
             if own:
-                for blob in blobs:
-                    name, ids, null, n, seen, base = unpack(blob)
-                    yield _batch(SUMS, [int(name[0]) + np.arange(len(ids)), pa.array(ids.view(np.int64), mask=null > 0), n, seen,
-                                        base.view(np.float64), np.zeros(len(ids))])
+                at = [int(unpack(blob)[0][0]) >> DOC_BITS for blob in blobs]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([True] * len(at)),
+                                                  pa.array(blobs, pa.binary())], names=["slice", "own", "blob"])
                 continue
             x = _counted(blobs, shared)
-            keys, doc = np.unique(x["key"], return_inverse=True)
-            size = len(keys)
             p = np.where(x["tail"], 0.0, log_probability(x, weights, total, types))
             base = np.where(x["rare_w"], x["n"] * _base(x["cw"], total, types), 0.0)
-            seen = np.bincount(doc, x["n"] * (x["rare_w"] & (x["cw"] > 0)), size).astype(np.int64)
-            yield _batch(SUMS, [keys, pa.nulls(size, pa.int64()), np.zeros(size, np.int64), seen,
-                                np.bincount(doc, base, size), np.bincount(doc, p, size)])
+            yield _parts(x["key"], x["n"] * (x["rare_w"] & (x["cw"] > 0)), base, p)
     return run
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of a slice (the rows come sorted by slice,
+    its own row first)."""
+    ids, sums = None, None
+
+    def rows():
+        name, value, null, n, seen, base = ids
+        return _batch(SUMS, [pa.array(value.view(np.int64), mask=null > 0), n, seen + sums[0].astype(np.int64),
+                             base.view(np.float64) + sums[1], sums[2]])
+
+    for batch in batches:
+        for own, blob in zip(batch.column("own").to_pylist(), batch.column("blob").to_pylist()):
+            if own:
+                if ids is not None:
+                    yield rows()
+                ids = unpack(blob)
+                sums = [np.zeros(len(ids[1])) for _ in range(3)]
+            else:
+                d, seen, base, score = unpack(blob)
+                for total, x in zip(sums, (seen, base.view(np.float64), score.view(np.float64))):
+                    total[d] += x
+    if ids is not None:
+        yield rows()
+
+
 RARE = ["h", "key", "flag", "n", "chw", "ehw", "cw", "ew", "ch", "eh"]
 
 
@@ -332,8 +366,7 @@ def _rare(mode: str, *args):
                 yield _batch(", ".join(f"x{i} long" for i in range(4)), histogram(x, *args))
             else:
                 p = log_probability(x, *args)
-                zero = np.zeros(len(p), np.int64)
-                yield _batch(SUMS, [x["key"], pa.nulls(len(p), pa.int64()), zero, zero, zero.astype(float), p])
+                yield _parts(x["key"], np.zeros(len(p)), np.zeros(len(p)), p)
     return run
 
 
@@ -385,10 +418,10 @@ def score(docs: DataFrame, train: Column, deleted: Column, *, id_col: str = "doc
     hist = (events.filter("kind = 0").select("x0", "x1", "x2", "x3").unionAll(held)
             .groupBy("x0", "x1", "x2").agg(F.sum("x3").alias("x3")).toPandas())       # bounded by the bins
     weights = learn_weights(hist.to_numpy(np.int64).reshape(-1, 4), types)
-    sums = dealt.mapInArrow(_scores(shared, weights, total, types), SUMS).unionAll(
-        rare.mapInArrow(_rare("scores", weights, total, types), SUMS))
-    out = materialize(sums.groupBy("key").agg(F.max("id").alias("id"), *[
-        F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")]), "lm-scores")
+    sums = dealt.mapInArrow(_scores(shared, weights, total, types), PART).unionAll(
+        rare.mapInArrow(_rare("scores", weights, total, types), PART))
+    sums = sums.repartition(F.col("slice")).sortWithinPartitions("slice", F.desc("own"))
+    out = materialize(sums.mapInArrow(_summed, SUMS), "lm-scores")
     dealt.unpersist()
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                       F.col("base").alias("base_score"), "score")
