@@ -77,3 +77,27 @@ def test_rows_without_a_time_and_late_rows_count(spark):
     spark.createDataFrame([("m", at(2, 1), 16.0)], df.schema).write.mode("append").parquet(src)      # very late
     more = metrics_stream(spark, src, sink, ckpt, df.schema, aggs)
     assert sorted((r["n"], r["v"]) for r in more.collect()) == [(1, 1.0), (1, 4.0), (1, 8.0), (2, 18.0)]
+
+
+def test_drift_check_runs_when_the_window_spans_minutes(spark):
+    """A record a second for six hours: the newest 1000 span 17 minutes, less
+    than the interval. The clock runs from the stream's start, over a restart too."""
+    import datetime as dt
+
+    from tidepool.session import scratch_path
+    from tidepool.streaming.jobs import drift_check_stream
+    src, state, ckpt = (scratch_path(spark, n) for n in ("src", "state", "ckpt"))
+    begin = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    df = spark.range(6 * 3600).select(F.timestamp_seconds(F.col("id") + begin).alias("ts"), "id")
+    verdict = spark.createDataFrame([("success", 0.0, False, "none")],
+                                    "status string, drift_share double, dataset_drift boolean, severity string")
+    def land(hours):        # eight files, one batch, an hour
+        for h in hours:
+            df.filter(F.floor(F.col("id") / 3600) == h).repartition(8).write.mode("append").parquet(src)
+    run = lambda: drift_check_stream(spark, src, state, ckpt, df.schema, 1000, lambda w: verdict, ("ts", "id"))
+    land([0])
+    assert run().count() == 0
+    land(range(1, 6))
+    log = run().orderBy("batch_id").collect()
+    assert [(r["batch_id"], r["window_size"]) for r in log] == [(1, 1000), (3, 1000), (5, 1000)]
+    assert all((b["check_ts"] - a["check_ts"]).total_seconds() == 7200 for a, b in zip(log, log[1:]))

@@ -123,6 +123,7 @@ CHECK_SCHEMA = T.StructType([
     T.StructField("drift_share", T.DoubleType()), T.StructField("dataset_drift", T.BooleanType()),
     T.StructField("severity", T.StringType()),
 ])
+START_SCHEMA = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("start_ts", T.TimestampType())])
 
 
 def drift_check_stream(spark: SparkSession, source: str, state: str, checkpoint: str, schema: T.StructType,
@@ -130,18 +131,26 @@ def drift_check_stream(spark: SparkSession, source: str, state: str, checkpoint:
                        interval: timedelta = CHECK_INTERVAL) -> DataFrame:
     """Window state as in ``last_n_stream``; after each batch a drift check
     runs when due. ``check(window)`` returns the one-row verdict of
-    ``tidepool.operators.drift.check_drift``. Returns the check log."""
-    checks = f"{state}-checks"
+    ``tidepool.operators.drift.check_drift``. Returns the check log. Until a
+    first check is logged the clock runs from the stream's start, the oldest
+    time of the first batch that has one, which is written beside the log."""
+    checks, starts = f"{state}-checks", f"{state}-start"
     min_size = min(100, n // 2)
 
     def on_window(window: DataFrame, batch_id: int, batch: DataFrame) -> None:
+        oldest, now = batch.agg(F.min(order[0]), F.max(order[0])).first()
+        if now is None:
+            return
+        before = F.col("batch_id") < batch_id
+        # not from the window, which holds the newest n records only
+        start = _read_or_empty(spark, starts, START_SCHEMA).filter(before).agg(F.min("start_ts")).first()[0]
+        if start is None:
+            start = oldest
+            spark.createDataFrame([(batch_id, start)], START_SCHEMA).write.mode("overwrite").parquet(f"{starts}/batch={batch_id}")
         size = window.count()                                   # <= n
-        now = batch.agg(F.max(order[0])).first()[0]
-        if now is None or size < min_size:
+        if size < min_size:
             return
-        prev = _read_or_empty(spark, checks, CHECK_SCHEMA).filter(F.col("batch_id") < batch_id)
-        # before the first check the clock runs from the oldest record seen
-        last = prev.agg(F.max("check_ts")).first()[0] or window.agg(F.min(order[0])).first()[0]
+        last = _read_or_empty(spark, checks, CHECK_SCHEMA).filter(before).agg(F.max("check_ts")).first()[0] or start
         if now - last <= interval:
             return
         v = check(window).first()
