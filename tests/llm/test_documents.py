@@ -188,6 +188,23 @@ def test_substring_keeps_clean_texts(spark):
     assert substring.levels(13) == [7, 13] and substring.levels(50) == [25, 50] and substring.levels(1) == [1]
 
 
+def test_substring_many_texts_of_one_id(spark):
+    """Thousands of different texts without an id, and of one id: each is cut at its own words only."""
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    make = lambda n: " ".join(rng.choices(vocab, k=n))
+    shared = [make(15) for _ in range(40)]
+    rows = [(i, s) for i, s in enumerate(shared)]
+    for i in range(6000):
+        cut = f"{make(rng.randrange(20))} {rng.choice(shared)} " if i % 2 else ""
+        rows.append((None if i % 3 else 7777, cut + make(40)))
+    rows += rows[-50:] + [(None, None), (7777, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = substring.remove_repeats(docs)
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, " ".join(WORD.findall(r.text or ""))) for r in got.collect()],
+                  key=repr) == plain_repeats(rows)
+
+
 # --- quality -------------------------------------------------------------------------
 
 def plain_counts(text):

@@ -27,15 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import by_bytes, mix, numbered, order_id, window_hashes, word_hashes
 from tidepool.session import materialize
 
 # A window's row: its hash, its document, and packed the start (31 bits), whether
-# it is decided already, and a 15-bit hash of the text that tells rows with the
-# same id apart. Narrow rows, because the first level writes one for every few words.
+# it is decided already, and a number that tells the texts of one id apart (31
+# bits). Narrow rows, because the first level writes one for every few words.
 ROWS = "h long, _id long, at long"
 
 
@@ -77,7 +77,7 @@ def _windows(texts, survivors, k: int, ladder: list[int], level: int):
         yield d, start, window_hashes(h, ladder[level])[start]
 
 
-def _resolve(doc: np.ndarray, ids: np.ndarray, th: np.ndarray, start: np.ndarray, h: np.ndarray, last: bool):
+def _resolve(doc: np.ndarray, ids: np.ndarray, nth: np.ndarray, start: np.ndarray, h: np.ndarray, last: bool):
     """Decide what this slice knows. Rows to send under their hash, and rows
     known to be repeated (below the last level) or to be removed (on it)."""
     o = np.lexsort((ids[doc], h))
@@ -97,10 +97,13 @@ def _resolve(doc: np.ndarray, ids: np.ndarray, th: np.ndarray, start: np.ndarray
         sent = np.zeros(len(h), bool)
         sent[np.flatnonzero(first)] = True
         known = several & ~(sent | other)
-    spread = mix(mix(rid.view(np.uint64), start.astype(np.uint64)), h)
+    at = start.astype(np.int64) | nth[doc].astype(np.int64) << 32
+    spread = mix(mix(rid.view(np.uint64), at.view(np.uint64)), h)
+    back = np.empty_like(o)                 # in the documents' order: neighbours share an id, so less is shuffled
+    back[o] = np.arange(len(o))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.where(known, spread, h).view(np.int64)), pa.array(rid),
-         pa.array(start.astype(np.int64) | known.astype(np.int64) << 31 | th[doc].astype(np.int64) << 32)],
+        [pa.array(np.where(known, spread, h)[back].view(np.int64)), pa.array(rid[back]),
+         pa.array((at | known.astype(np.int64) << 31)[back])],
         names=["h", "_id", "at"])
 
 
@@ -108,13 +111,13 @@ def _scan(k: int, ladder: list[int], level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_bytes(batches, "_t"):
             ids = part.column("_id").to_numpy()
-            th = part.column("_th").to_numpy()
+            nth = part.column("_nth").to_numpy()
             survivors = part.column("_s").to_pylist() if level else None
             found = list(_windows(part.column("_t").to_pylist(), survivors, k, ladder, level))
             if found:
                 doc = np.concatenate([np.full(len(s), d) for d, s, _ in found])
                 if len(doc):
-                    yield _resolve(doc, ids, th, np.concatenate([s for _, s, _ in found]),
+                    yield _resolve(doc, ids, nth, np.concatenate([s for _, s, _ in found]),
                                    np.concatenate([x for _, _, x in found]), level == len(ladder) - 1)
     return run
 
@@ -131,6 +134,30 @@ def _repeated(rows: DataFrame, last: bool) -> DataFrame:
         known | F.col("_n").isNotNull() | F.col("_l").isNotNull())
 
 
+def _told_apart(base: DataFrame, text: Column) -> DataFrame:
+    """``base`` with _nth (int): 0 where the id has one row, else a number from
+    1 that each different text of the id has for itself. It follows from the
+    rows alone, so ``base`` may be read again and again."""
+    several = materialize(base.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id"), "substring-ids")
+    if several.isEmpty():
+        return base.withColumn("_nth", F.lit(0))
+    base = base.withColumn("_sha", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
+    rows = materialize(base.select("_id", "_sha").join(several, "_id", "left_semi")
+                       .withColumn("_n", F.monotonically_increasing_id()), "substring-rows")
+    part, offsets, total = F.shiftright("_n", 33), [], 1
+    for p, n in sorted(map(tuple, rows.groupBy(part).agg(F.count("*")).collect())):     # one row for each partition
+        offsets.append((p, total))
+        total += n
+    if total > 1 << 31:
+        raise ValueError(f"{total - 1} rows share their ids with others; more than 31 bits can number")
+    offsets = rows.sparkSession.createDataFrame(offsets, "_p long, _o long")
+    number = F.col("_o") + F.col("_n").bitwiseAND((1 << 33) - 1)
+    keys = rows.join(F.broadcast(offsets), part == F.col("_p")).groupBy("_id", "_sha").agg(
+        F.min(number).cast("int").alias("_nth"))
+    return base.join(materialize(keys, "substring-keys"), ["_id", "_sha"], "left").drop("_sha").withColumn(
+        "_nth", F.coalesce("_nth", F.lit(0)))
+
+
 def remove_repeats(docs: DataFrame, *, min_words: int = 13, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """``docs`` with its text cut, and n_words, n_removed (long).
@@ -139,24 +166,23 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 13, id_col: str = "doc_i
     space after it; a text that loses nothing is left as it is, and texts
     shorter than ``min_words`` (null and empty ones too) never lose a word. A
     null text stays null. Rows with a null id count as the largest id. Rows
-    that repeat an id are judged separately (by id and a 15-bit hash of the text), and
-    none of them is the smaller document of the other. Other columns pass
+    that repeat an id are judged separately, each text by itself, and none of
+    them is the smaller document of the other. Other columns pass
     through; n_words and n_removed replace columns of the same name.
     """
     ladder = levels(min_words)
     docs, names = numbered(docs, ("n_words", "n_removed"))
     text = F.col(names[text_col])
-    base = docs.select("*", order_id(F.col(names[id_col])).alias("_id"),
-                       F.pmod(F.hash(text), F.lit(1 << 15)).alias("_th"))
-    texts = base.select("_id", "_th", text.alias("_t"))
+    base = _told_apart(docs.withColumn("_id", order_id(F.col(names[id_col]))), text)
+    texts = base.select("_id", "_nth", text.alias("_t"))
     found = None
     for level in range(len(ladder)):
         at = texts
         if level:
-            at = texts.join(found, ["_id", "_th"])
+            at = texts.join(found, ["_id", "_nth"])
         rows = at.mapInArrow(_scan(min_words, ladder, level), ROWS)
         found = _repeated(rows, level == len(ladder) - 1).groupBy(
-            "_id", F.shiftright("at", 32).cast("int").alias("_th")).agg(
+            "_id", F.shiftright("at", 32).cast("int").alias("_nth")).agg(
             F.collect_set(F.col("at").bitwiseAND(0x7FFFFFFF).cast("int")).alias("_s"))
         if level < len(ladder) - 1:
             found = materialize(found, "substring-level")
@@ -168,7 +194,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 13, id_col: str = "doc_i
         return pd.DataFrame([_cut(t, s, min_words) for t, s in zip(text, starts)],
                             columns=["text", "n_words", "n_removed"])
 
-    out = base.join(found, ["_id", "_th"], "left").withColumn("_c", cut(text, F.col("_s")))
+    out = base.join(found, ["_id", "_nth"], "left").withColumn("_c", cut(text, F.col("_s")))
     return out.select(*[F.col("_c.text" if c == text_col else n).alias(c) for c, n in names.items()],
                       "_c.n_words", "_c.n_removed")
 
