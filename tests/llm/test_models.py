@@ -263,3 +263,20 @@ def test_pipeline_odd_and_empty(spark):
         for name, stage in C.STAGES:
             at = stage(spark, at, SF)
         at.collect()
+
+
+def test_interpolation_counts_codes_beyond_23_bits():
+    """A slice with so many different words that a (word, context) pair does not fit one packed number."""
+    import numpy as np
+
+    from tidepool.llm.interpolation import CODE_BITS, _distinct
+    top = 1 << CODE_BITS
+    rows = [(5, top + 2, 0), (4, 2, 0), (5, 2, 0), (top + 9, top + 1, 3), (5, top + 2, 0), (top + 9, 1, 3), (9, 1, 3)]
+    code, h, doc = (np.array(x, np.uint64) for x in zip(*rows))
+    got = list(zip(*(x.tolist() for x in _distinct(code, h, doc, top + 10))))
+    assert got == [(*r, rows.count(r)) for r in sorted(set(rows))]
+    small = [(c % 8, x % 8, d) for c, x, d in rows]
+    code, h, doc = (np.array(x, np.uint64) for x in zip(*small))
+    for codes in (8, top + 1):      # packed, and as for a large slice
+        got = list(zip(*(x.tolist() for x in _distinct(code, h, doc, codes))))
+        assert got == [(*r, small.count(r)) for r in sorted(set(small))]

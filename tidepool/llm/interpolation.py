@@ -101,6 +101,21 @@ def _base(c, total: int, types: int):
     return np.log10((c + 0.5) / (total + 0.5 * (types + 1)))
 
 
+def _distinct(code: np.ndarray, h: np.ndarray, doc: np.ndarray, codes: int):
+    """Different (word, context, document) rows in order, and how often each
+    occurs. They are packed in one number, unless a slice has too many codes."""
+    if codes <= 1 << CODE_BITS:
+        key = (code << np.uint64(CODE_BITS) | h) << np.uint64(DOC_BITS) | doc
+        key, n = np.unique(key, return_counts=True)
+        pair = key >> np.uint64(DOC_BITS)
+        low = lambda x, bits: x & np.uint64((1 << bits) - 1)
+        return pair >> np.uint64(CODE_BITS), low(pair, CODE_BITS), low(key, DOC_BITS), n
+    o = np.lexsort((doc, h, code))
+    rows = code[o], h[o], doc[o]
+    first = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in rows], axis=0)])
+    return *(x[first] for x in rows), np.diff(np.r_[first, len(o)])
+
+
 def _deal(buckets: int, shared, total: int, types: int):
     """Bigrams of each slice, packed by bucket, and one row of the slice's own
     (negative bucket) with the ids and what known words alone say. Codes below
@@ -122,15 +137,11 @@ def _deal(buckets: int, shared, total: int, types: int):
             code[rare] = np.uint64(size) + local.astype(np.uint64)
             h = np.r_[start, code[:-1]]
             h[np.r_[True, doc[1:] != doc[:-1]]] = start
-            key = (code << np.uint64(CODE_BITS) | h) << np.uint64(DOC_BITS) | doc.astype(np.uint64)
-            key, n = np.unique(key, return_counts=True)
+            word, ctx, d, n = _distinct(code, h, doc.astype(np.uint64), size + len(names))
             flag = part.column("_f").to_numpy().astype(np.uint64)
-            d = key & np.uint64((1 << DOC_BITS) - 1)
             d |= flag[d.astype(np.int64)] << np.uint64(DOC_BITS)
-            pair = key >> np.uint64(DOC_BITS)
-            word, ctx = pair >> np.uint64(CODE_BITS), pair & np.uint64((1 << CODE_BITS) - 1)
             hashed = lambda c: names[(c - np.uint64(size)).astype(np.int64)]
-            route, copy = pair.copy(), np.zeros(len(pair), np.uint8)
+            route, copy = word << np.uint64(CODE_BITS) | ctx, np.zeros(len(word), np.uint8)    # kept where both are known
             far_h, far_w = ctx >= size, word >= size
             route[far_h] = hashed(ctx[far_h])
             route[far_w] = hashed(word[far_w])
