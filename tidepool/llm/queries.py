@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import bpe, decontaminate, html_extract, interpolation, quality, sharding, simhash, substring, toxicity, url_filter
+from tidepool.llm import (bpe, decontaminate, html_extract, interpolation, quality, sharding, simhash, substring, token_counts,
+                          toxicity, url_filter)
 from tidepool.llm.common import small_batches, table, words
 from tidepool.llm.sql import ORACLE
 
@@ -109,6 +110,16 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    out = token_counts.prefix_counts(docs, token_counts.load(rank_file("word_bpe_49k.json")), keep_text=False)
+    counts = F.col("prefix_tokens")
+    return out.select("doc_id", "n_bytes", token_counts.n_tokens(counts).alias("n_tokens"),
+                      (~token_counts.fits(counts, F.lit(2048))).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_urls": op2_urls,
@@ -120,4 +131,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_interpolation": op9_interpolation,
     "op10_html": op10_html,
+    "op13_tokens": op13_tokens,
 }
