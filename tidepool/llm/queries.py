@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import (bpe, decontaminate, html_extract, interpolation, quality, sharding, simhash, substring, token_counts,
+from tidepool.llm import (bpe, decontaminate, html_extract, interpolation, periodic_runs, quality, sharding, simhash, substring, token_counts,
                           toxicity, url_filter)
 from tidepool.llm.common import small_batches, table, words
 from tidepool.llm.sql import ORACLE
@@ -110,6 +111,35 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def planted_order(doc_id, n: int) -> np.ndarray:
+    """The indices of the words that op12 reads: of a tenth of the documents
+    the words from some place on repeat with some period."""
+    import zlib
+
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    i, g = np.arange(n), h // 10
+    if h % 10 or not n:
+        return i
+    a = g % n
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = periodic_runs.collapse_runs(docs, order=planted_order, order_col="doc_id")
+    runs = F.col("runs")
+    # the first of the runs with the greatest exact length / period; they lie by start, then period
+    best = F.aggregate(F.slice(runs, 2, F.greatest(F.size(runs), F.lit(1))), F.try_element_at(runs, F.lit(1)),
+                       lambda a, r: F.when(r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    lines = F.transform(runs, lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    return out.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("best"),
+                      F.sha2(F.concat_ws("", F.transform(lines, lambda x: F.concat(x, F.lit("\n")))), 256).alias("runs_sha256"),
+                      F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select(
@@ -131,5 +161,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_interpolation": op9_interpolation,
     "op10_html": op10_html,
+    "op12_runs": op12_runs,
     "op13_tokens": op13_tokens,
 }

@@ -80,4 +80,47 @@ FROM c LEFT JOIN ok USING (rid)
 """
 
 
-ORACLE = {"op1_quality": _op1(), "op3_decontaminate": OP3, "op6_substring": OP6}
+# CRC-32 of the decimal digits of a number, bit by bit
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"""
+
+# Runs by doubling: windows of 2^k words are named by pairs of names. Inside a
+# run of period q, windows of q to 2q - 1 words recur after exactly q words, so
+# a stretch of places whose next equal window lies q further on is a run.
+LEVELS = 20     # periods up to 2^20 words
+
+
+def _op12() -> str:
+    names = ["n0 AS (SELECT rid, i, hash(word) AS v FROM t)"]
+    for k in range(LEVELS):
+        names.append(f"m{k} AS (SELECT rid, i, v, lead(v, {1 << k}) OVER (PARTITION BY rid ORDER BY i) AS u FROM n{k})")
+        names.append(f"n{k + 1} AS (SELECT rid, i, hash(v, u) AS v FROM m{k} WHERE u IS NOT NULL)")
+    steps = " UNION ALL ".join(
+        f"SELECT rid, {1 << k} AS l, i, lead(i) OVER (PARTITION BY rid, v ORDER BY i) - i AS q FROM n{k}" for k in range(LEVELS + 1))
+    return f"""
+WITH d0 AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS.format('text')} AS w,
+                   coalesce({CRC32.format('doc_id')}, 0) AS h FROM documents),
+d AS (SELECT rid, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS periodic, h // 10 AS g FROM d0),
+e AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+t AS (SELECT rid, i, w[CASE WHEN periodic AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS word
+      FROM (SELECT *, unnest(range(n)) AS i FROM f)),
+{', '.join(names)},
+steps AS (SELECT * FROM ({steps}) WHERE q <= l AND 2 * q > l),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM steps),
+runs AS (SELECT * FROM (SELECT rid, q, min(i) AS s, max(i) - min(i) + q + min(l) AS n FROM islands GROUP BY rid, q, island)
+         WHERE n >= greatest(6, 4 * q)),
+best AS (SELECT rid, count(*) AS n_runs, first(s ORDER BY n / q DESC, s, q) AS s, first(n ORDER BY n / q DESC, s, q) AS n,
+                first(q ORDER BY n / q DESC, s, q) AS q, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS all_runs
+         FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(s + q, s + n)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS txt FROM t ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, best.n AS length, q AS period, 1000 * best.n // q AS exponent_milli,
+       sha256(coalesce(all_runs, '')) AS runs_sha256, sha256(coalesce(txt, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
+OP12 = _op12()
+
+ORACLE = {"op1_quality": _op1(), "op3_decontaminate": OP3, "op6_substring": OP6, "op12_runs": OP12}
