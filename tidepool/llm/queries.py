@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import (bpe, decontaminate, html_extract, interpolation, periodic_runs, quality, sharding, simhash, substring, token_counts,
+from tidepool.llm import (bpe, decontaminate, html_extract, interpolation, periodic_runs, prefix_trie, quality, sharding, simhash, substring, token_counts,
                           toxicity, url_filter)
 from tidepool.llm.common import small_batches, table, words
 from tidepool.llm.sql import ORACLE
+from tidepool.session import materialize
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +112,12 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = materialize(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "trie-turns")
+    rebuilt, convs = prefix_trie.share_heads(turns, lambda c: fold_of(c, 6), lambda c: c - c % 100, 5)
+    return prefix_trie.trie(rebuilt, convs)
+
+
 def planted_order(doc_id, n: int) -> np.ndarray:
     """The indices of the words that op12 reads: of a tenth of the documents
     the words from some place on repeat with some period."""
@@ -161,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_interpolation": op9_interpolation,
     "op10_html": op10_html,
+    "op11_trie": op11_trie,
     "op12_runs": op12_runs,
     "op13_tokens": op13_tokens,
 }

@@ -123,4 +123,27 @@ FROM d LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
 
 OP12 = _op12()
 
-ORACLE = {"op1_quality": _op1(), "op3_decontaminate": OP3, "op6_substring": OP6, "op12_runs": OP12}
+OP11 = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {CRC32.format('conv_id')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (SELECT c.conv_id, 0 AS own, i, role, txt FROM c JOIN t ON t.conv_id = c.base AND i < h
+            UNION ALL SELECT c.conv_id, 1, i, role, txt FROM c JOIN t ON t.conv_id = c.conv_id AND i >= h),
+paths AS (SELECT c.conv_id, coalesce(list({{'role': role, 'txt': txt}} ORDER BY own, i) FILTER (i IS NOT NULL), []) AS path
+          FROM c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+rows_ AS (SELECT *, path[1:depth] AS prefix FROM (SELECT *, unnest(range(len(path) + 1)) AS depth FROM paths)),
+nodes AS (SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 string_agg(conv_id, ',' ORDER BY conv_id) FILTER (len(path) = depth) AS ends FROM rows_ GROUP BY prefix, depth),
+kids AS (SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_ AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.depth > 0 THEN (n_convs - 1) * length(n.prefix[n.depth].txt) ELSE 0 END AS own
+          FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.prefix = n.prefix),
+totals AS (SELECT prefix[1:above] AS prefix, above AS depth, sum((n_children = 0)::INT) AS n_leaves, sum(own) AS saved_tokens
+           FROM (SELECT *, unnest(range(depth + 1)) AS above FROM full_) GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_ n JOIN totals t ON t.depth = n.depth AND t.prefix = n.prefix
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
+
+ORACLE = {"op1_quality": _op1(), "op3_decontaminate": OP3, "op6_substring": OP6, "op11_trie": OP11, "op12_runs": OP12}
