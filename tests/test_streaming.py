@@ -1,5 +1,6 @@
 """Streaming jobs against their batch twins on the smallest driver tables."""
 
+import datetime as dt
 import os
 
 import pytest
@@ -34,11 +35,15 @@ def test_stream_metrics_equals_batch(spark):
 
 
 def test_stream_drift_checks(spark):
-    checks = streams.stream_drift_check(spark, SF).orderBy("batch_id").collect()
-    assert len(checks) >= 1
-    assert all(c["status"] in ("success", "insufficient_data", "schema_mismatch") for c in checks)
+    """One check for each hour with events, but for the first few and the last."""
+    ev = streams.monitored_events(spark, SF)
+    hours = sorted(r[0] for r in ev.select(F.date_trunc("hour", "ts")).distinct().collect())
+    checks = streams.stream_drift_check(spark, SF).orderBy("check_ts").collect()
     ts = [c["check_ts"] for c in checks]
-    assert all((b - a).total_seconds() > 3600 for a, b in zip(ts, ts[1:]))
+    assert len(ts) > 100 and ts == [h + dt.timedelta(hours=1) for h in hours[:-1]][-len(ts):]
+    sizes = [c["window_size"] for c in checks]
+    assert sizes == sorted(sizes) and sizes[0] >= 100 and sizes[-1] <= 1000
+    assert all(c["n_columns"] == 5 and c["drift_share"] == c["n_drifted"] / 5 for c in checks)
 
 
 def test_last_n_stream_restarts_from_checkpoint(spark):

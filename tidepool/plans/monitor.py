@@ -92,11 +92,13 @@ def validated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(validated(spark, sf_dir), "requests")
 
 
-def score_requests(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None) -> DataFrame:
+def score_requests(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None,
+                   stats: DataFrame | None = None) -> DataFrame:
     """Valid requests only: (event_id, user_id, ts, yhat__<model> ..., yhat__ensemble)
-    in original units, plus the scaled sequence (what the drift log keeps)."""
+    in original units, plus the scaled sequence (what the drift log keeps).
+    ``stats``: a stored scaler (none: fitted here)."""
     good, _ = split_valid(batch if batch is not None else validated(spark, sf_dir))
-    stats = fitted(spark, sf_dir)
+    stats = stats if stats is not None else fitted(spark, sf_dir)
     j = good.crossJoin(F.broadcast(stats))
     means = [F.col(f"{c}__mean") for c in EV_FEATURES]
     stds = [F.col(f"{c}__std") for c in EV_FEATURES]
@@ -114,17 +116,19 @@ def latency(event_id: Column) -> Column:
     return (event_id % 5000) / F.lit(1000.0)
 
 
-def request_log(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None) -> DataFrame:
+def request_log(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None,
+                stats: DataFrame | None = None) -> DataFrame:
     """One record for each request: (id, ts, features, prediction), the
     flattened scaled sequence and the ensemble's prediction."""
-    return score_requests(spark, sf_dir, batch).selectExpr(
+    return score_requests(spark, sf_dir, batch, stats).selectExpr(
         "event_id AS id", "ts", "flatten(seq_z) AS features", "ensemble AS prediction")
 
 
-def prediction_log(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None) -> DataFrame:
+def prediction_log(spark: SparkSession, sf_dir: str, batch: DataFrame | None = None,
+                   stats: DataFrame | None = None) -> DataFrame:
     """Long log (id, ts, model, prediction, latency_s): one record per model
     and request. The ensemble has no latency of its own (null)."""
-    s = score_requests(spark, sf_dir, batch)
+    s = score_requests(spark, sf_dir, batch, stats)
     parts = ", ".join(f"'{n}', `{n}`" for n in MODEL_NAMES + ["ensemble"])
     return s.selectExpr("event_id AS id", "ts", f"stack({len(MODEL_NAMES) + 1}, {parts}) AS (model, prediction)") \
             .withColumn("latency_s", F.when(F.col("model") != "ensemble", latency(F.col("id"))))

@@ -467,3 +467,53 @@ Q["stream_metrics"] = f"""
   SELECT CAST(epoch(time_bucket(INTERVAL 1 HOUR, ts)) AS BIGINT) AS window_start, model, count(*) AS n_predictions,
          {r('sum(latency_s)')} AS latency_sum, {r('sum(prediction)')} AS prediction_sum
   FROM ({PLOG}) GROUP BY 1, 2"""
+
+Q["stream_prediction_log"] = Q["prediction_log"]
+Q["stream_request_metrics"] = Q["request_metrics"]
+Q["stream_last_n_by_model"] = f"""
+  SELECT model, CAST(rank AS INTEGER) AS rank, id, {r('prediction')} AS prediction
+  FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY ts DESC, id DESC) AS rank FROM ({PLOG})) WHERE rank <= 100"""
+
+# hourly cuts: the newest 1000 events before each, against the reference period.
+# KS is read off at the values of a window (ASOF join for the reference), the
+# other distances on the union of the values of both sides.
+_num = " UNION ALL ".join(f"SELECT {{0}} '{c}' AS col, CAST({c} AS DOUBLE) AS x FROM {{1}}" for c in DNUM)
+_ks = ", ".join(f"'{c}'" for c, m in DNUM.items() if m == "ks")
+Q["stream_drift_check"] = f"""
+  WITH ev AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos, date_trunc('hour', ts) AS hr FROM ({DFRAME}) WHERE ts IS NOT NULL),
+  cuts AS (SELECT hr + INTERVAL 1 HOUR AS cut, max(pos) AS last FROM ev WHERE hr < (SELECT max(hr) FROM ev) GROUP BY hr),
+  due AS (SELECT *, least(last, 1000) AS n FROM cuts WHERE least(last, 1000) >= 100),
+  win AS (SELECT cut, ev.* FROM due JOIN ev ON pos <= last AND pos > last - n),
+  ref AS ({DREF}),
+  wl AS (SELECT * FROM ({_num.format('cut,', 'win')}) WHERE x IS NOT NULL AND NOT isnan(x)),
+  rl AS (SELECT * FROM ({_num.format('', 'ref')}) WHERE x IS NOT NULL AND NOT isnan(x)),
+  rc AS (SELECT col, x, c, sum(c) OVER (PARTITION BY col ORDER BY x) AS le FROM (SELECT col, x, count(*) AS c FROM rl GROUP BY col, x)),
+  rt AS (SELECT col, count(*) AS n_ref, stddev_pop(x) AS sd FROM rl GROUP BY col),
+  wc AS (SELECT *, sum(c) OVER (PARTITION BY cut, col ORDER BY x) AS le, sum(c) OVER (PARTITION BY cut, col) AS m
+         FROM (SELECT cut, col, x, count(*) AS c FROM wl GROUP BY cut, col, x)),
+  pt AS (SELECT wc.*, coalesce(rc.le, 0) AS rle, coalesce(CASE WHEN rc.x = wc.x THEN rc.le - rc.c ELSE rc.le END, 0) AS rlt, n_ref
+         FROM wc ASOF LEFT JOIN rc ON wc.col = rc.col AND wc.x >= rc.x JOIN rt ON rt.col = wc.col WHERE wc.col IN ({_ks})),
+  ks AS (SELECT cut, col, max(greatest(abs(rle / n_ref - le / m), abs(rlt / n_ref - (le - c) / m))) AS d, any_value(n_ref) AS n, any_value(m) AS m
+         FROM pt GROUP BY cut, col),
+  grid AS (SELECT cut, col, x, sum(cr) AS cr, sum(cc) AS cc FROM (
+             SELECT cut, col, x, 0 AS cr, c AS cc FROM wc WHERE col NOT IN ({_ks})
+             UNION ALL SELECT k.cut, rc.col, rc.x, rc.c, 0 FROM (SELECT DISTINCT cut, col FROM wc) k JOIN rc ON rc.col = k.col
+             WHERE rc.col NOT IN ({_ks})) GROUP BY cut, col, x),
+  gap AS (SELECT cut, col, abs(sum(cr) OVER p / sum(cr) OVER q - sum(cc) OVER p / sum(cc) OVER q) * (lead(x) OVER p - x) AS g
+          FROM grid WINDOW p AS (PARTITION BY cut, col ORDER BY x), q AS (PARTITION BY cut, col)),
+  ws AS (SELECT cut, gap.col, sum(coalesce(g, 0)) / any_value(CASE WHEN sd IS NULL OR sd = 0 THEN 1.0 ELSE sd END) AS w
+         FROM gap JOIN rt ON rt.col = gap.col GROUP BY cut, gap.col),
+  cat AS (SELECT cut, v, sum(cr) AS cr, sum(cc) AS cc FROM (
+            SELECT cut, event_type AS v, 0 AS cr, count(*) AS cc FROM win WHERE event_type IS NOT NULL GROUP BY cut, event_type
+            UNION ALL SELECT cut, v, c, 0 FROM due, (SELECT event_type AS v, count(*) AS c FROM ref WHERE event_type IS NOT NULL GROUP BY 1))
+          GROUP BY cut, v),
+  sh AS (SELECT cut, cr / sum(cr) OVER (PARTITION BY cut) AS p, cc / sum(cc) OVER (PARTITION BY cut) AS q FROM cat),
+  js AS (SELECT cut, sqrt(greatest(sum(0.5 * CASE WHEN p > 0 THEN p * ln(p / ((p + q) / 2)) ELSE 0.0 END
+                                     + 0.5 * CASE WHEN q > 0 THEN q * ln(q / ((p + q) / 2)) ELSE 0.0 END), 0.0)) AS js FROM sh GROUP BY cut),
+  tests AS (SELECT cut, {ks_p('d', 'n', 'm')} < 0.05 AS drifted FROM ks
+            UNION ALL SELECT cut, w >= 0.1 FROM ws UNION ALL SELECT cut, js >= 0.1 FROM js),
+  per AS (SELECT cut, count(*) AS n_columns, CAST(sum(CAST(drifted AS INTEGER)) AS BIGINT) AS n_drifted, avg(CAST(drifted AS DOUBLE)) AS share
+          FROM tests GROUP BY cut)
+  SELECT CAST(epoch(cut) AS BIGINT) AS check_ts, n AS window_size, n_columns, n_drifted, {r('share')} AS drift_share,
+         share > 0.3 AS dataset_drift, CASE WHEN NOT (share > 0.3) THEN 'none' WHEN share > 0.5 THEN 'critical' ELSE 'warning' END AS severity
+  FROM per JOIN due USING (cut)"""

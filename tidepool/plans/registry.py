@@ -500,9 +500,16 @@ def q_stream_last_n(spark, sf):
     return rounded(streams.stream_last_n(spark, sf).select("event_id", F.col("user_id").cast("long"), "value"))
 
 
+@register("stream_last_n_by_model")
+def q_stream_last_n_by_model(spark, sf):
+    return rounded(streams.stream_last_n_by_model(spark, sf).select("model", "rank", "id", "prediction"))
+
+
 @register("stream_drift_check")
 def q_stream_drift_check(spark, sf):
-    return rounded(streams.stream_drift_check(spark, sf))
+    return rounded(streams.stream_drift_check(spark, sf).select(
+        F.unix_seconds("check_ts").alias("check_ts"), "window_size", "n_columns", "n_drifted", "drift_share", "dataset_drift",
+        "severity"))
 
 
 @register("stream_metrics")
@@ -512,6 +519,17 @@ def q_stream_metrics(spark, sf):
                             "latency_sum", "prediction_sum"))
 
 
+@register("stream_prediction_log")
+def q_stream_prediction_log(spark, sf):
+    return streams.stream_prediction_log(spark, sf).select("id", F.round("prediction", 6).alias("prediction"),
+                                                           F.size("features").alias("n_features"))
+
+
+@register("stream_request_metrics")
+def q_stream_request_metrics(spark, sf):
+    return rounded(streams.stream_request_metrics(spark, sf))
+
+
 # ---------------------------------------------------------------- model fit (M2)
 
 @register("fit_predict")

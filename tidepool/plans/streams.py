@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.operators.drift import check_drift
+from tidepool.operators.drift_summary import reference_summary, windows_drift, windows_verdict
+from tidepool.operators.validate import validate_sequences
 from tidepool.plans import monitor as mon
 from tidepool.session import materialize, scratch_path
-from tidepool.streaming.jobs import (drift_check_stream, ingest_requests, last_n_stream, metrics_stream,
+from tidepool.streaming.jobs import (drift_cuts_stream, ingest_requests, last_n_stream, metrics_stream,
                                      stage_slices)
+from tidepool.streaming.keyed import newest_per_key_stream
+from tidepool.streaming.serving import counter, gauge, histogram, metrics_stream_by, score_stream, total
 
 # fixed values: weekly slice edges of the January 2024 events
 WEEKS = ["2024-01-08", "2024-01-15", "2024-01-22"]
@@ -51,15 +54,25 @@ def stream_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly checks of the newest records against the stored summary of the reference period."""
     ev = monitored_events(spark, sf_dir)
     src, schema = _landed(spark, ev, "events")
     ref = ev.filter(F.col("ts") < F.lit(mon.fx.DRIFT_CUT).cast("timestamp"))
+    summary = materialize(reference_summary(ref, DRIFT_NUMERIC, DRIFT_CATEGORICAL), "reference-summary")
 
-    def check(window: DataFrame) -> DataFrame:
-        return check_drift(ref, window, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD)
+    def check(windows: DataFrame) -> DataFrame:
+        columns = windows_drift(summary, windows, "check_ts", DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD)
+        return windows_verdict(columns, "check_ts")
 
-    return drift_check_stream(spark, src, scratch_path(spark, "window"), scratch_path(spark, "ckpt"), schema,
-                              mon.WINDOW_SIZE, check, ("ts", "event_id"))
+    return drift_cuts_stream(spark, src, scratch_path(spark, "window"), scratch_path(spark, "ckpt"), schema,
+                             mon.WINDOW_SIZE, check, ("ts", "event_id"))
+
+
+def stream_last_n_by_model(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
+    """The newest n predictions of every model, from the state store."""
+    log = mon.prediction_log(spark, sf_dir)
+    src, schema = _landed(spark, log, "prediction-log")
+    return newest_per_key_stream(spark, src, scratch_path(spark, "ckpt"), schema, "model", n, ("ts", "id"))
 
 
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,3 +81,47 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("n_predictions"), F.sum("latency_s").alias("latency_sum"),
             F.sum("prediction").alias("prediction_sum")]
     return metrics_stream(spark, src, scratch_path(spark, "metrics"), scratch_path(spark, "ckpt"), schema, aggs)
+
+
+def stored_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model state that serving reads: the scaler as a table, one row."""
+    return materialize(mon.fitted(spark, sf_dir), "scaler")
+
+
+def checked(batch: DataFrame) -> DataFrame:
+    return validate_sequences(batch, "sequence", mon.LOOK_BACK, len(mon.EV_FEATURES))
+
+
+def stream_prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests validated, scaled, scored and logged by one streaming query."""
+    src, schema = _landed(spark, mon.requests(spark, sf_dir), "requests")
+    stats = stored_scaler(spark, sf_dir)
+    return score_stream(spark, src, scratch_path(spark, "prediction-log"), scratch_path(spark, "ckpt"), schema,
+                        lambda requests: mon.request_log(spark, sf_dir, checked(requests), stats))
+
+
+def stream_request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Request counter, latency histogram, last prediction by model and the
+    counter of invalid requests, from the stream of requests."""
+    src, schema = _landed(spark, mon.requests(spark, sf_dir), "requests")
+    stats = stored_scaler(spark, sf_dir)
+
+    def served(batch: DataFrame) -> DataFrame:
+        batch = checked(batch)
+        invalid = batch.filter("error_code IS NOT NULL").selectExpr(
+            "event_id AS id", "ts", "CAST(NULL AS STRING) AS model", "CAST(NULL AS DOUBLE) AS prediction",
+            "CAST(NULL AS DOUBLE) AS latency_s")
+        return mon.prediction_log(spark, sf_dir, batch, stats).unionByName(invalid)
+
+    latency, model = F.col("latency_s"), F.col("model")
+    metrics = [counter("n_predictions", model.isNotNull()), total("latency_sum", latency),
+               *histogram("le", latency, mon.LATENCY_BOUNDS), gauge("last", F.col("prediction"), ("ts", "id")),
+               counter("validation_errors", model.isNull())]
+    out = metrics_stream_by(spark, src, scratch_path(spark, "metrics"), scratch_path(spark, "ckpt"), schema, ["model"],
+                            metrics, served, files_per_batch=2, compact_every=4)
+    buckets = [m.name for m in metrics if m.name.startswith("le_")]
+    no_latency = F.col("le_inf") == 0                    # a model without latencies has no histogram
+    errors = out.agg(F.coalesce(F.sum("validation_errors"), F.lit(0)).alias("validation_errors"))     # one row
+    return out.filter("model IS NOT NULL").select(
+        "model", "n_predictions", "latency_sum", *[F.when(~no_latency, F.col(c)).alias(c) for c in buckets],
+        F.col("last.value").alias("last_value")).crossJoin(F.broadcast(errors))

@@ -4,6 +4,8 @@
 * ``last_n_stream``: the newest N records (FIFO window) kept across
   micro-batches in ``foreachBatch``; order is by (ts, id), never by arrival,
   so the result does not depend on how records are split into batches.
+* ``drift_cuts_stream``: drift checks at multiples of the interval in event
+  time, whatever the micro-batches.
 * ``drift_check_stream``: the same window plus a periodic drift check when
   the window holds at least min(100, N // 2) records and more than the check
   interval (event time) has passed since the last check.
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.operators.sequence import with_positions
 from tidepool.operators.validate import sequence_error
 
 # fixed values
@@ -123,6 +126,7 @@ CHECK_SCHEMA = T.StructType([
     T.StructField("drift_share", T.DoubleType()), T.StructField("dataset_drift", T.BooleanType()),
     T.StructField("severity", T.StringType()),
 ])
+BOUNDARY_SCHEMA = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("check_ts", T.TimestampType())])
 START_SCHEMA = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("start_ts", T.TimestampType())])
 
 
@@ -161,6 +165,62 @@ def drift_check_stream(spark: SparkSession, source: str, state: str, checkpoint:
     return _read_or_empty(spark, checks, CHECK_SCHEMA)
 
 
+def drift_cuts_stream(spark: SparkSession, source: str, state: str, checkpoint: str, schema: T.StructType, n: int,
+                      check: Callable[[DataFrame], DataFrame], order: Sequence[str] = ("ts", "id"),
+                      interval: timedelta = CHECK_INTERVAL, files_per_batch: int = 8) -> DataFrame:
+    """A drift check at every cut of event time (a multiple of ``interval``)
+    that follows an interval with records, over the newest ``n`` records before
+    the cut, if these are min(100, n // 2) at least. A cut is due when a record
+    at or after it has come, so the checks do not depend on how the records
+    are split into batches; a record that comes after its cuts were checked counts
+    for later cuts only. Records without a time take no part.
+
+    All due cuts of a batch are checked together: ``check(windows)`` gets the
+    records of all their windows, with the cut as ``check_ts``, and returns rows
+    with a ``check_ts``. Returns the log: these rows and ``window_size``.
+
+    Kept between batches: the newest n records before the last cut, and those after it.
+    """
+    checks, cuts = f"{state}-cuts", f"{state}-boundary"
+    seconds = int(interval.total_seconds())
+    ts, min_size = F.col(order[0]), min(100, n // 2)
+    whole = lambda t: F.timestamp_seconds(F.floor(F.unix_micros(t) / (seconds * 1_000_000)) * seconds)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        prev = _previous_version(spark, state, batch_id, schema)
+        rows = prev.unionByName(batch.select(*schema.fieldNames())).filter(ts.isNotNull())
+        numbered = with_positions(rows.withColumn("_one", F.lit(0)), ["_one"], order[0], list(order[1:]), seconds, "_pos").drop("_one")
+        path = f"{state}-numbered/v={batch_id}"
+        numbered.write.mode("overwrite").parquet(path)
+        numbered = spark.read.parquet(path)
+        done = _read_or_empty(spark, cuts, BOUNDARY_SCHEMA).filter(F.col("batch_id") < batch_id).agg(F.max("check_ts")).first()[0]
+        last = numbered.agg(F.max(whole(ts))).first()[0]
+        kept = numbered
+        if last is not None and (done is None or last > done):
+            ends = numbered.filter(ts < F.lit(last)).groupBy((whole(ts) + F.lit(interval)).alias("check_ts")).agg(
+                (F.max("_pos") + 1).alias("_end"))
+            due = (ends if done is None else ends.filter(F.col("check_ts") > F.lit(done))).withColumn(
+                "window_size", F.least("_end", F.lit(n))).filter(F.col("window_size") >= min_size)
+            # a window covers two blocks of n positions at most
+            blocks = due.withColumn("_block", F.explode(F.sequence(
+                F.floor((F.col("_end") - F.col("window_size")) / n), F.floor((F.col("_end") - 1) / n))))
+            windows = numbered.withColumn("_block", F.floor(F.col("_pos") / n)).join(blocks, "_block").filter(
+                (F.col("_pos") < F.col("_end")) & (F.col("_pos") >= F.col("_end") - F.col("window_size")))
+            out = check(windows.drop("_block", "_pos", "_end", "window_size")).join(due.select("check_ts", "window_size"), "check_ts")
+            out.write.mode("overwrite").parquet(f"{checks}/batch={batch_id}")
+            spark.createDataFrame([(batch_id, last)], BOUNDARY_SCHEMA).write.mode("overwrite").parquet(f"{cuts}/batch={batch_id}")
+            before = numbered.filter(ts < F.lit(last)).agg(F.coalesce(F.max("_pos") + 1, F.lit(0))).first()[0]
+            kept = numbered.filter(F.col("_pos") >= before - n)
+        kept.drop("_pos").write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+
+    _run(file_stream(spark, source, schema, files_per_batch).writeStream.foreachBatch(step), "drift_cuts", checkpoint)
+    try:
+        return spark.read.parquet(checks).drop("batch")
+    except AnalysisException:                   # no cut was due
+        return check(spark.createDataFrame([], schema).withColumn("check_ts", ts.cast("timestamp"))).withColumn(
+            "window_size", F.lit(0).cast("long"))
+
+
 # ------------------------------------------------------------------ T5 metrics
 
 def metrics_stream(spark: SparkSession, source: str, sink: str, checkpoint: str, schema: T.StructType,
