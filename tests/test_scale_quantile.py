@@ -33,16 +33,61 @@ def test_fit_on_train_only(spark):
     assert (st["x__mean"], st["x__std"]) == (2.0, 1.0)
 
 
-@pytest.mark.parametrize("buckets", [256, 8, 2])
-def test_exact_quantiles_match_numpy(spark, buckets):
+PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+
+
+@pytest.mark.parametrize("few", [100_000, 50, 1])
+def test_exact_quantiles_match_numpy(spark, few):
+    """Also when hardly any value may be gathered, so that intervals are narrowed
+    again and again; a third of the rows hold one value."""
     rng = np.random.default_rng(1)
-    xs = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), rng.exponential(size=500)])
+    xs = np.concatenate([rng.normal(size=3000), np.full(1500, 0.25), rng.exponential(size=500), [-0.0, 0.0, np.inf, -np.inf]])
     df = spark.createDataFrame([(float(x),) for x in xs] + [(None,), (float("nan"),)], "x double")
-    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = exact_quantile_values(df, "x", probs, buckets=buckets)
+    probs = PROBS[1:-1]
+    got = exact_quantile_values(df, "x", probs, few=few)
     np.testing.assert_allclose(got, np.quantile(xs, probs), rtol=1e-12, atol=1e-12)
 
 
+def test_exact_quantiles_of_constant_and_empty_columns(spark):
+    df = spark.createDataFrame([(2.5,)] * 300, "x double")
+    assert exact_quantile_values(df, "x", PROBS, few=10) == [2.5] * len(PROBS)
+    assert exact_quantile_values(df.limit(0), "x", PROBS) == [None] * len(PROBS)
+    two = spark.createDataFrame([(1.0,)] * 200 + [(4.0,)] * 201, "x double")
+    assert exact_quantile_values(two, "x", [0.0, 0.4, 0.5, 1.0], few=10) == [1.0, 1.0, 4.0, 4.0]
+
+
+def test_a_misleading_sketch_changes_nothing(spark, monkeypatch):
+    from tidepool.operators import quantile
+    xs = [float(i * i % 1009) for i in range(900)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    monkeypatch.setattr(quantile, "_propose", lambda values, wanted: [[700.0] * len(s) for _, s in wanted])
+    np.testing.assert_allclose(exact_quantile_values(df, "x", [0.1, 0.9], few=100), np.quantile(xs, [0.1, 0.9]))
+
+
+def test_selection_shuffles_partial_aggregates_only(spark):
+    """No sort and no window in any plan of the selection."""
+    from tidepool.operators.quantile import _values
+    plan = _values(spark.range(10).selectExpr("CAST(id AS DOUBLE) AS v"), "v").groupBy("x").count()._jdf.queryExecution().toString()
+    assert "Window" not in plan and "RangePartitioning" not in plan
+
+
+def test_sketches_merge_and_keep_their_rank_error(spark):
+    from tidepool.operators.quantile import merge_sketches, quantile_sketches, sketch_quantiles
+    rng = np.random.default_rng(3)
+    xs, day = rng.lognormal(size=20_000), rng.integers(0, 5, 20_000)
+    df = spark.createDataFrame([(int(d), float(x), None) for d, x in zip(day, xs)] + [(9, None, float("nan"))], "day int, x double, y double")
+    by_day = quantile_sketches(df, ["x", "y"], ["day"])
+    whole = {r["column"]: r for r in sketch_quantiles(merge_sketches(by_day), [0.1, 0.5, 0.9]).collect()}
+    assert set(whole) == {"x"} and whole["x"]["n"] == len(xs)
+    for p, q in zip([0.1, 0.5, 0.9], whole["x"]["quantiles"]):
+        assert abs((xs <= q).mean() - p) < 0.01
+    rows = {(r["day"], r["column"]): r for r in sketch_quantiles(by_day, [0.5]).collect()}
+    assert rows[9, "x"]["n"] == 0 and rows[9, "x"]["quantiles"] is None
+    for d in range(5):
+        own = xs[day == d]
+        assert rows[d, "x"]["n"] == len(own) and abs((own <= rows[d, "x"]["quantiles"][0]).mean() - 0.5) < 0.01
+
+
 def test_position_encoding(spark):
     n, L = 64, 20
     pe = np.zeros((L, n))
