@@ -140,7 +140,11 @@ def test_check_result_fields(spark):
     got = check_drift(ref, ref, list("abcde"), [], preds=preds).first()
     assert got["samples_analyzed"] == 40 and got["prediction_drift_score"] == pytest.approx(1.0)
     assert check_drift(ref, ref, list("abcde"), []).first()["prediction_drift_score"] == 0.0
-    assert check_drift(ref, ref, list("abc"), []).first()["status"] == "schema_mismatch"
+    # the guard counts the columns that both sides have, tested or not
+    assert check_drift(ref, ref, list("abc"), []).first()["n_columns"] == 3
+    assert check_drift(ref, ref.select("a", "b", "c"), list("abc"), []).first()["status"] == "schema_mismatch"
+    none = check_drift(ref, ref, ["z"], []).first()
+    assert none["status"] == "schema_mismatch" and none["samples_analyzed"] is None and none["drift_share"] is None
     assert check_drift(None, ref, list("abcde"), []).first()["status"] == "insufficient_data"
 
 

@@ -3,6 +3,8 @@ import datetime as dt
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidepool.operators.profile import (column_info, count_distinct, describe, distinct_values, histogram, overview,
                                         seeded_sample, top_k, value_counts)
 from tidepool.operators.runs import best_runs, run_records
@@ -62,6 +64,28 @@ def test_run_log(spark):
     assert [x["model"] for x in best_runs(runs, "test_mae").orderBy("rank").collect()] == ["b", "a"]
 
 
+def test_all_runs_are_ranked(spark):
+    """1,500 runs, a third of them with one error, some without the metric."""
+    import random
+    rng = random.Random(1)
+    errors = [(f"run{i:04d}", 0.5 if i % 3 == 0 else None if i % 50 == 1 else rng.random()) for i in range(1500)]
+    runs = spark.createDataFrame([(n, "m", {"other": 1.0} if e is None else {"test_mae": e}) for n, e in errors],
+                                 "run_name string, model string, metrics map<string,double>").repartition(7)
+    want = sorted(errors, key=lambda r: (r[1] is None, r[1] or 0.0, r[0]))
+    got = best_runs(runs, "test_mae").orderBy("rank").collect()
+    assert [(r["run_name"], r["test_mae"]) for r in got] == want and [r["rank"] for r in got] == list(range(1, 1501))
+    assert [r["run_name"] for r in best_runs(runs, "test_mae", top=20).orderBy("rank").collect()] == [n for n, _ in want[:20]]
+    assert best_runs(runs.limit(0), "test_mae").count() == 0
+
+
+def test_global_rank_has_no_single_task_window(spark):
+    from tidepool.operators.runs import global_rank
+    ranked = global_rank(spark.range(100).withColumn("x", F.col("id") % 7), [F.col("x"), F.col("id").desc()])
+    assert "Window" not in ranked._jdf.queryExecution().toString()
+    got = [r["id"] for r in ranked.orderBy("rank").collect()]
+    assert got == sorted(range(100), key=lambda i: (i % 7, -i))
+
+
 def test_seeded_sample_of_large_ids(spark):
     df = spark.createDataFrame([(10**12 + i,) for i in range(30)] + [(4_500_000_000,), (-5,)], "row_id long")
     assert seeded_sample(df, 12).count() == 12 and seeded_sample(df, 100).count() == 32

@@ -239,45 +239,44 @@ def drift_dataset(columns: DataFrame, threshold: float = DATASET_THRESHOLD,
                            .when(F.col("drift_share") > F.lit(critical), "critical").otherwise("warning")))
 
 
-def guard_status(ref: DataFrame | None, cur: DataFrame, cols: Sequence[str],
-                 min_rows: int = MIN_CURRENT_ROWS, min_cols: int = MIN_COMMON_COLUMNS) -> str | None:
-    """``insufficient_data`` (no reference, or < min_rows current rows --
-    a bounded count), ``schema_mismatch`` (< min_cols common columns), or None."""
-    if ref is None:
-        return "insufficient_data"
-    if cur.limit(min_rows).count() < min_rows:
-        return "insufficient_data"
-    if len(cols) < min_cols:
-        return "schema_mismatch"
-    return None
+VERDICT = {"n_columns": "long", "n_drifted": "long", "drift_share": "double", "status": "string", "dataset_drift": "boolean",
+           "severity": "string", "samples_analyzed": "long", "prediction_drift_score": "double"}
 
 
 def status_row(spark, status: str) -> DataFrame:
-    schema = T.StructType([T.StructField("n_columns", T.LongType()), T.StructField("n_drifted", T.LongType()),
-                           T.StructField("drift_share", T.DoubleType()), T.StructField("status", T.StringType()),
-                           T.StructField("dataset_drift", T.BooleanType()), T.StructField("severity", T.StringType()),
-                           T.StructField("samples_analyzed", T.LongType()),
-                           T.StructField("prediction_drift_score", T.DoubleType())])
-    return spark.createDataFrame([(None, None, None, status, None, None, None, None)], schema)
+    """A verdict that says only why there is none."""
+    return spark.range(1).select(*[F.lit(status if c == "status" else None).cast(t).alias(c) for c, t in VERDICT.items()])
 
 
 def check_drift(ref: DataFrame | None, cur: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                 method: dict[str, str] | None = None, threshold: float = DATASET_THRESHOLD,
-                preds: DataFrame | None = None) -> DataFrame:
-    """Guards, then per-column tests over the common columns, then the verdict
-    with the number of current rows and the drift score of ``preds``
-    (``prediction``, ``ts``, ``id``; none: 0)."""
+                preds: DataFrame | None = None, min_rows: int = MIN_CURRENT_ROWS,
+                min_cols: int = MIN_COMMON_COLUMNS) -> DataFrame:
+    """Guards, then per-column tests over the listed columns that both sides
+    have, then the verdict with the number of current rows and the drift score
+    of ``preds`` (``prediction``, ``ts``, ``id``; none: 0).
+
+    ``insufficient_data``: no reference, or fewer than ``min_rows`` current
+    rows. ``schema_mismatch``: the two sides share fewer than ``min_cols``
+    columns, listed or not, or none that is listed. Rows are counted by the
+    verdict's own plan; nothing runs while it is built."""
+    spark = cur.sparkSession
+    if ref is None:
+        return status_row(spark, "insufficient_data")
     common = common_columns(ref, cur)
     num = [c for c in numeric if c in common]
     cat = [c for c in categorical if c in common]
-    g = guard_status(ref, cur, num + cat)
-    if g is not None:
-        return status_row(cur.sparkSession, g)
-    verdict = drift_dataset(drift_columns(ref, cur, num, cat, method), threshold)
-    size = cur.agg(F.count(F.lit(1)).alias("samples_analyzed"))
-    score = (drift_prediction(preds).select(F.col("drift_score").alias("prediction_drift_score")) if preds is not None
-             else cur.sparkSession.range(1).select(F.lit(0.0).cast("double").alias("prediction_drift_score")))
-    return verdict.crossJoin(size).crossJoin(score)          # one row each
+    size = cur.agg(F.count(F.lit(1)).alias("_size"))
+    if len(common) < min_cols or not num + cat:
+        verdict = status_row(spark, "schema_mismatch").crossJoin(size)
+    else:
+        verdict = drift_dataset(drift_columns(ref, cur, num, cat, method), threshold).crossJoin(size)
+        score = (drift_prediction(preds).select(F.col("drift_score").alias("prediction_drift_score")) if preds is not None
+                 else spark.range(1).select(F.lit(0.0).cast("double").alias("prediction_drift_score")))
+        verdict = verdict.withColumn("samples_analyzed", F.col("_size")).crossJoin(score)          # one row each
+    few = F.col("_size") < F.lit(min_rows)
+    return verdict.select(*[F.when(few, F.lit("insufficient_data" if c == "status" else None).cast(t)).otherwise(F.col(c)).alias(c)
+                            for c, t in VERDICT.items()])
 
 
 # ------------------------------------------------------------------ predictions

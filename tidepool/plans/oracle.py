@@ -431,6 +431,18 @@ def _dd(ref: str, cur: str, scenario: str) -> str:
 
 Q["drift_dataset"] = _dd(DREF, DCUR, "baseline") + " UNION ALL " + _dd(DREF, DCUR_SHIFT, "shifted")
 
+_null = "CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)"
+_why = "CAST(NULL AS BOOLEAN), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE)"
+_share = "avg(CAST(drifted AS DOUBLE))"
+Q["drift_schema_guard"] = f"""
+  SELECT 'five common' AS scenario, count(*) AS n_columns, CAST(sum(CAST(drifted AS INTEGER)) AS BIGINT) AS n_drifted, {r(_share)} AS drift_share,
+         'success' AS status, {_share} > 0.3 AS dataset_drift,
+         CASE WHEN NOT ({_share} > 0.3) THEN 'none' WHEN {_share} > 0.5 THEN 'critical' ELSE 'warning' END AS severity,
+         (SELECT count(*) FROM ({DCUR})) AS samples_analyzed, CAST(0 AS DOUBLE) AS prediction_drift_score
+  FROM ({_dc}) WHERE "column" IN ('value', 'k', 'event_type')
+  UNION ALL SELECT 'four common', {_null}, 'schema_mismatch', {_why}
+  UNION ALL SELECT 'nine rows', {_null}, 'insufficient_data', {_why}"""
+
 Q["drift_reference_file"] = (
     f"SELECT 'file' AS scenario, status, n_columns, n_drifted, drift_share, dataset_drift, severity "
     f"FROM ({_dd(DREF, DCUR, 'file')}) UNION ALL "

@@ -419,6 +419,21 @@ def q_drift_dataset(spark, sf):
                    .unionByName(shifted.withColumn("scenario", F.lit("shifted"))))
 
 
+@register("drift_schema_guard")
+def q_drift_schema_guard(spark, sf):
+    """The guard over the columns that both sides have: three tested columns
+    among five common ones pass it, four common ones do not, nor do nine rows."""
+    ref = drift_frame(mon.reference_period(spark, sf))
+    cur = drift_frame(mon.current_period(spark, sf))
+    tested = ["event_id", "ts", "value", "k", "event_type"]
+    few = last_n(cur, 9, ["ts", "event_id"])
+    out = None
+    for scenario, frame in (("five common", cur.select(*tested)), ("four common", cur.select(*tested[1:])), ("nine rows", few)):
+        got = check_drift(ref, frame, DRIFT_NUMERIC, DRIFT_CATEGORICAL, DRIFT_METHOD).withColumn("scenario", F.lit(scenario))
+        out = got if out is None else out.unionByName(got)
+    return rounded(out)
+
+
 @register("drift_reference_file")
 def q_drift_reference_file(spark, sf):
     """The reference from a CSV file, and the verdict when the file is missing."""
@@ -485,7 +500,7 @@ def q_run_log(spark, sf):
                                   "split_train": fx.SPLIT_TRAIN, "split_val": fx.SPLIT_VAL})
     path = scratch_path(spark, "run-log")
     append(runs, path)
-    return rounded(best_runs(read_table(spark, path), "test_mae"))
+    return rounded(best_runs(read_table(spark, path), "test_mae").withColumn("rank", F.col("rank").cast("int")))
 
 
 # ---------------------------------------------------------------- streaming (T1-T5)
