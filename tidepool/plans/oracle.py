@@ -529,3 +529,17 @@ Q["stream_drift_check"] = f"""
   SELECT CAST(epoch(cut) AS BIGINT) AS check_ts, n AS window_size, n_columns, n_drifted, {r('share')} AS drift_share,
          share > 0.3 AS dataset_drift, CASE WHEN NOT (share > 0.3) THEN 'none' WHEN share > 0.5 THEN 'critical' ELSE 'warning' END AS severity
   FROM per JOIN due USING (cut)"""
+
+# least absolute error by reweighted least squares, one feature in closed form
+Q["fit_absolute"] = f"""
+  WITH RECURSIVE d AS (SELECT z_px AS x, z_{F5} AS y, split = 'val' AS is_val FROM ({SCALED})
+                       WHERE split IN ('train', 'val') AND z_px IS NOT NULL AND z_{F5} IS NOT NULL),
+  it AS (SELECT 0 AS t, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM d WHERE NOT is_val
+         UNION ALL
+         SELECT t + 1, (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw, (sw * sxy - sx * sy) / (sw * sxx - sx * sx)
+         FROM (SELECT t, sum(w) AS sw, sum(w * x) AS sx, sum(w * y) AS sy, sum(w * x * x) AS sxx, sum(w * x * y) AS sxy
+               FROM (SELECT t, x, y, 1 / greatest(abs(y - a - b * x), 0.01) AS w FROM it, d WHERE NOT is_val AND t < 12) GROUP BY t)),
+  err AS (SELECT t, any_value(a) AS a, any_value(b) AS b, avg(abs(y - a - b * x)) FILTER (NOT is_val) AS tr,
+                 avg(abs(y - a - b * x)) FILTER (is_val) AS va FROM it, d GROUP BY t)
+  SELECT t AS iteration, {r('a')} AS intercept, {r('b')} AS slope, {r('tr')} AS train_mae, {r('va')} AS val_mae,
+         t = (SELECT arg_min(t, va) FROM err) AS kept FROM err"""

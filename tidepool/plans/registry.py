@@ -37,7 +37,7 @@ from tidepool.plans import monitor as mon
 from tidepool.plans import streams
 from tidepool.plans import ensemble as ens
 from tidepool.plans import fixtures as fx
-from tidepool.session import scratch_path
+from tidepool.session import materialize, scratch_path
 from tidepool.sources.files import append, read_reference, read_requests, read_table, scan_csv, write_csv, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -559,3 +559,15 @@ def q_fit_predict(spark, sf):
     scored = pred.select("split", F.lit("gbt").alias("model"), F.col(fx.TARGET).alias("actual"),
                          F.col("yhat_orig").alias("yhat"))
     return rounded(eval_metrics(scored))
+
+
+@register("fit_absolute")
+def q_fit_absolute(spark, sf):
+    """Line of least absolute error of the scaled label on the scaled price:
+    every iteration with its errors, and which one is kept."""
+    z, _ = ens.scaled_panel(spark, sf)
+    rows = z.filter(F.col("split").isin("train", "val")).select(
+        F.col("px__z").alias("x"), F.col(f"{fx.TARGET}__z").alias("y"), (F.col("split") == "val").alias("is_val"))
+    model = learn.fit_absolute(materialize(rows, "fit-rows"), ["x"], "y", max_iter=12, patience=12, delta=0.01)
+    out = [(t, *b, train, val, t == model.best) for t, b, train, val in model.history]
+    return rounded(spark.createDataFrame(out, "iteration int, intercept double, slope double, train_mae double, val_mae double, kept boolean"))
