@@ -63,6 +63,22 @@ def test_hot_entity_is_split(spark):
     assert key(split) == key(plain) and len(key(split)) == 280
 
 
+def test_entity_without_times_is_spread(spark):
+    """All rows of an entity lack a time: they are numbered by the tiebreak, in
+    many groups, a row without a tiebreak last; forward fill follows the same order."""
+    from tidepool.operators.clean import ffill
+    from tidepool.operators.sequence import chunk_column
+    rows = [(1, None, i * 1000, float(i) if i % 7 == 0 else None) for i in range(-40, 200)] + [(1, None, None, None)]
+    rows += [(1, dt.date(2024, 1, 1), 10**6, -1.0), (2, None, 5, 3.0)]
+    df = spark.createDataFrame(rows, "ticker long, date date, row_id long, a double").repartition(5)
+    assert df.filter("ticker = 1").select(chunk_column(df, "date", None, ["row_id"])).distinct().count() > 40
+    want = {10**6: 0, **{i * 1000: i + 41 for i in range(-40, 200)}, None: 241}
+    got = with_positions(df, ["ticker"], "date", ["row_id"]).filter("ticker = 1").collect()
+    assert {r["row_id"]: r["pos"] for r in got} == want
+    filled = {r["row_id"]: r["a"] for r in ffill(df, ["ticker"], "date", ["a"], ["row_id"]).filter("ticker = 1").collect()}
+    assert filled[-40000] == -1.0 and filled[None] == 196.0 and all(filled[i * 1000] == i // 7 * 7 for i in range(-35, 200))
+
+
 def test_split_overlap_and_gap(spark):
     df = frame(spark, {1: 40})
     # test start before val end: rows in both

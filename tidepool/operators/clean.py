@@ -94,7 +94,7 @@ def ffill(df: DataFrame, keys: Sequence[str], time_col: str, cols: Sequence[str]
     keys = list(keys)
     cols = [c for c in (cols or df.columns) if c not in keys + [time_col, *tiebreak]]
     order = in_order([time_col, *tiebreak])
-    d = with_keys(df, keys).withColumn("_ck", chunk_column(df, time_col, chunk_width))
+    d = with_keys(df, keys).withColumn("_ck", chunk_column(df, time_col, chunk_width, tiebreak))
     # nulls last in a struct: a marker before each value
     ordering = F.struct(*[x for c in [time_col, *tiebreak] for x in (F.col(c).isNull(), F.col(c))])
     last_of_chunk = d.groupBy(*keys, "_ck").agg(

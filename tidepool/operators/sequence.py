@@ -17,8 +17,8 @@ Both cost one shuffle of the big side each; every group is bounded by the
 chunk width (positions) or the block size (windows), never by entity size.
 
 The layout is the same at every size. Rows with a null key belong to no entity
-and are dropped; rows with a null time come last in their entity, as a chunk of
-their own.
+and are dropped; rows with a null time come last in their entity, in chunks of the
+first tiebreak, so an entity without any time is spread too.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from tidepool.functions.columns import time_chunk
 
 DEFAULT_BLOCK = 8192
 NULL_CHUNK = (1 << 62)       # after every chunk of a real time
+TIEBREAK_BITS = 12           # rows without a time: 4096 values of the tiebreak to a chunk
+LAST_CHUNK = (1 << 63) - 1
 
 
 def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,12 +48,20 @@ def in_order(xs: Sequence[str | Column]) -> list[Column]:
     return [(F.col(x) if isinstance(x, str) else x).asc_nulls_last() for x in xs]
 
 
-def chunk_column(df: DataFrame, time_col: str, width: int | None) -> Column:
-    """Time chunk of a row, never null."""
+def chunk_column(df: DataFrame, time_col: str, width: int | None, tiebreak: Sequence[str] = ()) -> Column:
+    """Time chunk of a row, never null. Rows without a time come after all
+    others, in chunks of their first tiebreak if that is a number (one without
+    it comes last), else in one chunk."""
+    from pyspark.sql import types as T
+
     if width is None:
         width = default_chunk_width(df, time_col)
     chunk = time_chunk(F.col(time_col), df.schema[time_col].dataType, width)
-    return F.coalesce(chunk.cast("long"), F.lit(NULL_CHUNK))
+    after = F.lit(NULL_CHUNK)
+    if tiebreak and isinstance(df.schema[tiebreak[0]].dataType, T.IntegralType):
+        t = F.col(tiebreak[0]).cast("long")
+        after = F.coalesce(F.lit(NULL_CHUNK) + F.shiftright(t, TIEBREAK_BITS), F.lit(LAST_CHUNK))
+    return F.coalesce(chunk.cast("long"), after)
 
 
 def default_chunk_width(df: DataFrame, time_col: str) -> int:
@@ -78,7 +88,7 @@ def with_positions(df: DataFrame, keys: Sequence[str], time_col: str,
     """
     keys = list(keys)
     order = in_order([time_col, *tiebreak])
-    d = with_keys(df, keys).withColumn("_ck", chunk_column(df, time_col, chunk_width))
+    d = with_keys(df, keys).withColumn("_ck", chunk_column(df, time_col, chunk_width, tiebreak))
     counts = d.groupBy(*keys, "_ck").agg(F.count(F.lit(1)).alias("_cnt"))
     prior = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_ck", F.coalesce(F.sum("_cnt").over(prior), F.lit(0)).alias("_off"))
