@@ -334,3 +334,16 @@ def test_boundaries_cut_heavy_keys():
     assert cuts[0] == (1, sharding.FIRST) and len(cuts) >= 8 and cuts == sorted(set(cuts))
     got = sharding.range_of(np.array([0, 1, 1, 2]), np.array([5, 0, 50, 3]), np.array(cuts))
     assert got[0] == 0 and got[1] == 1 and 1 < got[2] <= len(cuts) and got[3] >= got[2]
+
+
+def test_toxicity_labels_chosen_alone_give_the_same_lexicon(spark):
+    """Choosing from the labels before the join changes nothing, also when only some are used."""
+    docs = [(i, f"awful{i % 3} word{i} thing" if i % 4 == 0 else f"kind word{i} thing") for i in range(400)]
+    labels = [(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (9999, 0)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    l = spark.createDataFrame(labels, "doc_id long, toxic int")
+    chosen = toxicity.choose(l, rows=120)
+    assert chosen.count() < 260 and chosen.exceptAll(l).count() == 0
+    one = toxicity.learn(d.join(l, "doc_id"), evidence=2.0)
+    two = toxicity.learn(d.join(toxicity.choose(l), "doc_id"), evidence=2.0)
+    assert one.terms == two.terms and one.curve == two.curve and one.terms

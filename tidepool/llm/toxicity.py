@@ -100,6 +100,16 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["term", "clean", "toxic"])
 
 
+def choose(labels: DataFrame, *, rows: int = 12_000, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """The labels that ``learn`` would use, chosen from the narrow table of
+    labels alone: about ``rows`` of each label, so they may be broadcast and the
+    texts of the others need not be read. Null ids match no document; labels
+    that repeat an id count as often as they are there."""
+    h = F.xxhash64(F.col(id_col).cast("string"), F.lit("toxicity"))
+    some = [hash_sample(labels.filter(F.col(label_col).cast("int") == label), rows, h) for label in (0, 1)]
+    return some[0].unionAll(some[1])
+
+
 def learn(labelled: DataFrame, *, rows: int = 12_000, max_terms: int = 2_000, evidence: float = 18.0,
           exceptions: list[str] = (), id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic") -> Lexicon:
