@@ -33,7 +33,7 @@ from tidepool.session import materialize
 END, START = np.uint64(1), np.uint64(2)     # codes of the end token and of the first context
 KNOWN = 1 << 20
 DOC_BITS, CODE_BITS = 14, 23
-BUCKET_ROWS = 700_000
+BUCKET_ROWS = 300_000
 MOST = 24                                   # largest frequency bucket
 STEP = 20                                   # histogram bins for each factor of ten
 TRAIN, DELETED = 1, 2                       # flags of a document
@@ -193,6 +193,14 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, list[by
         yield now < 0, blobs
 
 
+def _either(table: np.ndarray, rest: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Entries of a table, and of what follows it, without putting the two together."""
+    out, far = np.empty(len(code), table.dtype), code >= len(table)
+    out[~far] = table[code[~far]]
+    out[far] = rest[code[far] - len(table)]
+    return out
+
+
 def _counted(blobs: list[bytes], shared) -> dict[str, np.ndarray]:
     """All bigrams of a bucket with the counts that a bucket can know."""
     known, kc, ke = shared.value
@@ -220,12 +228,12 @@ def _counted(blobs: list[bytes], shared) -> dict[str, np.ndarray]:
     _, pair = np.unique(w << 32 | h, return_inverse=True)
     out = {"key": key, "flag": flag, "n": n, "tail": far_w & far_h, "rare_w": far_w,
            "chw": total(pair, train * own, 0)[pair], "ehw": total(pair, deleted * own, 0)[pair],
-           "h": np.concatenate([known, rare])[h].view(np.int64)}
+           "h": _either(known, rare, h).view(np.int64)}
     of_w, of_h = far_w & own, far_h & (~far_w | ~own)
     for k, table, v in (("cw", kc, train), ("ew", ke, deleted)):
-        out[k] = np.concatenate([table, total(w[of_w] - size, v[of_w], len(rare))])[w]
+        out[k] = _either(table, total(w[of_w] - size, v[of_w], len(rare)), w)
     for k, table, v in (("ch", kc, train), ("eh", ke, deleted)):
-        out[k] = np.concatenate([table, total(h[of_h] - size, v[of_h], len(rare))])[h]
+        out[k] = _either(table, total(h[of_h] - size, v[of_h], len(rare)), h)
     return {k: v[own] for k, v in out.items()}
 
 
