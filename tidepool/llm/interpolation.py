@@ -33,7 +33,7 @@ from tidepool.session import materialize
 END, START = np.uint64(1), np.uint64(2)     # codes of the end token and of the first context
 KNOWN = 1 << 20
 DOC_BITS, CODE_BITS = 14, 23
-BUCKET_ROWS = 300_000
+BUCKET_ROWS = 500_000
 MOST = 24                                   # largest frequency bucket
 STEP = 20                                   # histogram bins for each factor of ten
 TRAIN, DELETED = 1, 2                       # flags of a document

@@ -101,7 +101,6 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 4_000)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = fold_of(F.col("doc_id"), 5)
     out = interpolation.score(docs, fold != 1, fold == 0)
