@@ -245,6 +245,27 @@ def test_quality_adapts(spark):
     assert not kept.pop(5000) and all(kept.values())
 
 
+def test_quality_bounds_differ_in_every_metric(spark):
+    """No threshold is the same in both groups, and the one of repeats rejects
+    a text that the base rules let pass."""
+    def text(i, rough):
+        ws = [f"word{(i * 7 + j * 3) % 97}" for j in range(60)]
+        if not rough:
+            return " ".join(ws)
+        ws = [w.upper() + "xyzxyz" + " #" * (j % 4 == 0) for j, w in enumerate(ws)]
+        return " ".join(ws + ws[:9]) + "\nend of it\nend of it" + "\nand so on" * (1 + i % 3)
+
+    docs = [(i, text(i, False), "en", "s1") for i in range(400)] + [(1000 + i, text(i, True), "de", "s2") for i in range(400)]
+    ws = text(1, False).split()
+    docs.append((5000, " ".join(ws + ws[:8]), "en", "s1"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    a, b = quality.thresholds(quality.sketches(quality.with_counts(df))).collect()
+    assert all(a[f"{m}_hi"] != b[f"{m}_hi"] for m in quality.METRICS)
+    got = {r.doc_id: r for r in quality.judge(df).collect()}
+    assert got[5000].n_repeat_words == 16 and not got[5000].base_failed and not got[5000].kept
+    assert all(r.kept for i, r in got.items() if i != 5000)
+
+
 # --- toxicity ---------------------------------------------------------------------------
 
 def labelled(spark):

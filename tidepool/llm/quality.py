@@ -2,12 +2,18 @@
 
 Every text gets a few counts and from them metrics. The distribution of each
 metric is sketched per language and source, and thresholds come from the
-sketches' quartiles instead of fixed cutoffs; then the thresholds are joined to
-the documents and decide.
+sketches' quartiles and tails instead of fixed cutoffs; then the thresholds are
+joined to the documents and decide. Only documents that pass the base rules are
+sketched: a group full of junk does not raise its own thresholds.
+
+A value is an outlier if it lies beyond the quartile by REACH quartile distances
+and beyond the outer twentieth of its group too. Most metrics are zero for most
+documents, so there the twentieth decides; it also bounds what one metric can
+reject by a twentieth of a group.
 
 The sketch is a histogram over logarithmic buckets (relative error ``ALPHA``):
 counts per bucket, so merging is addition, which the shuffle's partial
-aggregation does. A group's quartiles are read from its own buckets plus
+aggregation does. A group's quantiles are read from its own buckets plus
 ``PRIOR`` documents' worth of its language's buckets, so a small source leans
 on its language without a size switch. All weights are integers, so results do
 not depend on the order of the sums.
@@ -27,16 +33,17 @@ from tidepool.session import materialize
 
 ALPHA = 0.01
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
-PRIOR = 50
-# metric: (numerator, lower side too, least slack). A value is an outlier beyond
-# the quartile by REACH quartile distances, and by the slack at least.
-REACH = 3
+PRIOR = 10
+REACH = 3           # quartile distances
+TAIL = 20           # the outer 1 / TAIL of the documents
+GUARD = 0.01        # width that a threshold has beyond its quantiles, for rounded and zero ones
+# metric: (numerator, lower side too)
 METRICS = {
-    "word_length": ("word_chars", True, 1.5),
-    "symbols": ("n_symbols", False, 0.1),
-    "dup_lines": ("n_dup_lines", False, 0.05),
-    "repeats": ("n_repeat_words", False, 0.3),
-    "capitals": ("n_upper", False, 0.5),
+    "word_length": ("word_chars", True),
+    "symbols": ("n_symbols", False),
+    "dup_lines": ("n_dup_lines", False),
+    "repeats": ("n_repeat_words", False),
+    "capitals": ("n_upper", False),
 }
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper"]
 WINDOW = 8
@@ -96,11 +103,15 @@ def _value(bucket: Column) -> Column:
     return F.when(bucket == -100000, 0.0).otherwise(F.lit(2.0) * F.pow(F.lit(GAMMA), bucket) / F.lit(GAMMA + 1))
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+
+
 def sketches(counts: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n): the sketch of every group."""
     cols = [F.struct(F.lit(m).alias("metric"), _bucket(F.col(num) / F.col("n_words")).alias("bucket"))
-            for m, (num, _, _) in METRICS.items()]
-    return (counts.filter("n_words > 0").select("lang", "source", F.explode(F.array(*cols)).alias("m"))
+            for m, (num, _) in METRICS.items()]
+    return (counts.filter(~_base_failed()).select("lang", "source", F.explode(F.array(*cols)).alias("m"))
             .groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n")))
 
 
@@ -123,16 +134,17 @@ def thresholds(sketch: DataFrame) -> DataFrame:
                           .rowsBetween(Window.unboundedPreceding, 0)).cast("decimal(38,0)")
     whole = big(F.col("lt")) * big(F.col("gt") + PRIOR)
     grid = grid.withColumn("cum", cum).withColumn("whole", whole.cast("decimal(38,0)"))
+    quantile = lambda num, den: _value(F.min(F.when(F.col("cum") * den >= F.col("whole") * num, F.col("bucket"))))
     q = grid.groupBy("lang", "source", "metric").agg(
-        _value(F.min(F.when(F.col("cum") * 4 >= F.col("whole"), F.col("bucket")))).alias("q1"),
-        _value(F.min(F.when(F.col("cum") * 4 >= F.col("whole") * 3, F.col("bucket")))).alias("q3"))
+        quantile(1, TAIL).alias("low"), quantile(1, 4).alias("q1"), quantile(3, 4).alias("q3"),
+        quantile(TAIL - 1, TAIL).alias("high"))
+    reach = (F.col("q3") - F.col("q1")) * REACH
     out = []
-    for m, (_, both, slack) in METRICS.items():
-        reach = F.greatest((F.col("q3") - F.col("q1")) * REACH, F.lit(slack))
+    for m, (_, both) in METRICS.items():
         here = F.col("metric") == m
-        out.append(F.max(F.when(here, F.col("q3") + reach)).alias(f"{m}_hi"))
+        out.append(F.max(F.when(here, F.greatest(F.col("q3") + reach, F.col("high")) + GUARD)).alias(f"{m}_hi"))
         if both:
-            out.append(F.max(F.when(here, F.col("q1") - reach)).alias(f"{m}_lo"))
+            out.append(F.max(F.when(here, F.least(F.col("q1") - reach, F.col("low")) - GUARD)).alias(f"{m}_lo"))
     return q.groupBy("lang", "source").agg(*out)
 
 
@@ -149,9 +161,9 @@ def judge(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     group = {names["lang"]: "lang", names["source"]: "source"}
     counts = materialize(with_counts(docs, names[text_col]), "quality-counts")
     limit = thresholds(sketches(counts.withColumnsRenamed(group)))
-    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
+    failed = _base_failed()
     ok = F.lit(True)
-    for m, (num, both, _) in METRICS.items():
+    for m, (num, both) in METRICS.items():
         x = F.col(num) / F.nullif(F.col("n_words"), F.lit(0))
         ok = ok & (x <= F.col(f"{m}_hi"))
         if both:

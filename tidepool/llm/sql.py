@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from tidepool.llm.quality import GAMMA, METRICS, PRIOR, REACH
-
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
 ALNUM = r"coalesce(regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
@@ -39,11 +37,13 @@ SELECT doc_id, len(w) AS n_words, len(ps) AS n_removed, sha256(array_to_string(k
 
 
 def _op1() -> str:
+    metrics = {"word_length": "word_chars", "symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words",
+               "capitals": "n_upper"}
+    gamma = "(1.01::DOUBLE / 0.99::DOUBLE)"
     buckets = " UNION ALL ".join(
-        f"SELECT rid, lang, source, '{m}' AS metric, {num} / n_words AS x FROM c WHERE n_words > 0"
-        for m, (num, _, _) in METRICS.items())
-    slack = "CASE metric " + " ".join(f"WHEN '{m}' THEN {s}" for m, (_, _, s) in METRICS.items()) + " END"
-    both = ", ".join(f"'{m}'" for m, (_, two, _) in METRICS.items() if two)
+        f"SELECT rid, lang, source, '{m}' AS metric, {num} / n_words AS x FROM c WHERE n_words >= 20 AND 100 * n_repeat_words <= 30 * n_words"
+        for m, num in metrics.items())
+    value = lambda b: f"CASE WHEN {b} = -100000 THEN 0 ELSE 2.0::DOUBLE * pow({gamma}, {b}) / ({gamma} + 1) END"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t, {WORDS.format('text')} AS w,
            [x FOR x IN string_split(coalesce(text, ''), chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM documents),
@@ -54,24 +54,23 @@ c AS (SELECT rid, doc_id, lang, source, len(w) AS n_words, CAST(list_sum([length
       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
       coalesce(n, 0) AS n_repeat_words, length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS n_upper FROM d LEFT JOIN rep USING (rid)),
 v AS ({buckets}),
-b AS (SELECT *, CASE WHEN x <= 0 THEN -100000 ELSE CAST(ceil(ln(x) / ln({GAMMA!r}::DOUBLE)) AS INT) END AS bucket FROM v),
+b AS (SELECT *, CASE WHEN x <= 0 THEN -100000 ELSE CAST(ceil(ln(x) / ln({gamma})) AS INT) END AS bucket FROM v),
 g AS (SELECT lang, source, metric, bucket, count(*) AS gn FROM b GROUP BY ALL),
 gt AS (SELECT lang, source, metric, sum(gn) AS gt FROM g GROUP BY ALL),
 l AS (SELECT lang, metric, bucket, sum(gn) AS ln_ FROM g GROUP BY ALL),
 lt AS (SELECT lang, metric, sum(ln_) AS lt FROM l GROUP BY ALL),
 grid AS (SELECT gt.lang, gt.source, gt.metric, l.bucket, CAST(gt AS HUGEINT) AS gt, CAST(lt AS HUGEINT) AS lt,
-         CAST(coalesce(gn, 0) AS HUGEINT) * lt + CAST(ln_ AS HUGEINT) * {PRIOR} AS wt
+         CAST(coalesce(gn, 0) AS HUGEINT) * lt + CAST(ln_ AS HUGEINT) * 10 AS wt
          FROM gt JOIN l ON gt.lang IS NOT DISTINCT FROM l.lang AND gt.metric = l.metric
          JOIN lt ON gt.lang IS NOT DISTINCT FROM lt.lang AND gt.metric = lt.metric
          LEFT JOIN g ON g.lang IS NOT DISTINCT FROM gt.lang AND g.source IS NOT DISTINCT FROM gt.source AND g.metric = gt.metric
                         AND g.bucket = l.bucket),
-cum AS (SELECT *, sum(wt) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS cw, lt * (gt + {PRIOR}) AS whole FROM grid),
-q AS (SELECT lang, source, metric, min(bucket) FILTER (cw * 4 >= whole) AS b1, min(bucket) FILTER (cw * 4 >= whole * 3) AS b3
-      FROM cum GROUP BY ALL),
-e AS (SELECT lang, source, metric, CASE WHEN b1 = -100000 THEN 0 ELSE 2.0::DOUBLE * pow({GAMMA!r}::DOUBLE, b1) / ({GAMMA!r}::DOUBLE + 1) END AS q1,
-      CASE WHEN b3 = -100000 THEN 0 ELSE 2.0::DOUBLE * pow({GAMMA!r}::DOUBLE, b3) / ({GAMMA!r}::DOUBLE + 1) END AS q3 FROM q),
-ok AS (SELECT rid, bool_and(x <= q3 + greatest((q3 - q1) * {REACH}, {slack})
-                            AND (metric NOT IN ({both}) OR x >= q1 - greatest((q3 - q1) * {REACH}, {slack}))) AS ok
+cum AS (SELECT *, sum(wt) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS cw, lt * (gt + 10) AS whole FROM grid),
+q AS (SELECT lang, source, metric, min(bucket) FILTER (cw * 4 >= whole) AS b1, min(bucket) FILTER (cw * 4 >= whole * 3) AS b3,
+             min(bucket) FILTER (cw * 20 >= whole) AS b0, min(bucket) FILTER (cw * 20 >= whole * 19) AS b4 FROM cum GROUP BY ALL),
+e AS (SELECT lang, source, metric, {value('b0')} AS low, {value('b1')} AS q1, {value('b3')} AS q3, {value('b4')} AS high FROM q),
+ok AS (SELECT rid, bool_and(x <= greatest(q3 + (q3 - q1) * 3, high) + 0.01
+                            AND (metric <> 'word_length' OR x >= least(q1 - (q3 - q1) * 3, low) - 0.01)) AS ok
        FROM v JOIN e USING (metric) WHERE v.lang IS NOT DISTINCT FROM e.lang AND v.source IS NOT DISTINCT FROM e.source GROUP BY rid)
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
