@@ -185,7 +185,26 @@ def test_substring_keeps_clean_texts(spark):
     docs = spark.createDataFrame([(1, "a  b\n\nc " * 2), (2, None), (3, "")], "doc_id long, text string")
     assert collect(substring.remove_repeats(docs).select("doc_id", "text")) == collect(docs)
     assert substring.remove_repeats(docs.limit(0)).count() == 0
-    assert substring.levels(13) == [7, 13] and substring.levels(50) == [25, 50] and substring.levels(1) == [1]
+    assert substring.levels(13) == [7, 13] and substring.levels(50) == [7, 13, 25, 50] and substring.levels(1) == [1]
+
+
+@pytest.mark.parametrize("k,bits", [(13, 3), (60, 64), (60, 4), (200, 64)])
+def test_substring_levels_and_collisions(spark, k, bits):
+    """Passages that are repeated for some lengths only; and a first hash of a
+    few bits, under which nearly all windows look repeated, removes nothing more."""
+    rng = random.Random(k)
+    vocab = [f"w{i}" for i in range(400)]
+    make = lambda n: rng.choices(vocab, k=n)
+    shared = make(260)
+    rows = []
+    for i in range(60):
+        n = rng.choice([5, 8, 14, 30, 59, 60, 61, 120, 199, 200, 230])
+        at = rng.randrange(260 - n)
+        rows.append((i, " ".join(make(rng.randrange(40)) + shared[at:at + n] + make(rng.randrange(40)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = substring.remove_repeats(docs, min_words=k, bits=bits)
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, " ".join(WORD.findall(r.text))) for r in got.collect()],
+                  key=repr) == plain_repeats(rows, k)
 
 
 def test_substring_many_texts_of_one_id(spark):
