@@ -5,7 +5,7 @@ the same window also starts in a document with a smaller id. The search climbs
 levels of doubled length (k = 200: 7, 13, 25, 50, 100, 200 words): only windows
 that are repeated across documents at one length are extended to the next, and it
 ends at k or when no candidate is left. Levels find candidates by a hash of 64
-bits; a word is removed only where a second hash, of other word hashes, is equal too.
+bits; a word is removed only where a second hash of 32 bits, of other word hashes, is equal too.
 
 The first level need not test every position. Each k-window is represented by
 one of its short windows, the one with the smallest hash (its minimizer), which
@@ -94,7 +94,7 @@ def _windows(texts, survivors, k: int, ladder: list[int], level: int, bits: int)
         if not len(start):
             continue
         got = window_hashes(h, ladder[level])[start] & np.uint64((1 << bits) - 1)
-        second = None
+        second = None       # 32 bits: with the first hash 96
         if last:
             cover = np.zeros(len(words) + 1, np.int64)
             np.add.at(cover, start, 1)
@@ -102,7 +102,7 @@ def _windows(texts, survivors, k: int, ladder: list[int], level: int, bits: int)
             used = np.flatnonzero(np.cumsum(cover)[:-1])
             v = np.zeros(len(words), np.uint64)
             v[used] = hashed([words[i] for i in used], xxh3_64_digest)
-            second = window_hashes(v, k)[start]
+            second = window_hashes(v, k)[start] >> np.uint64(32)
         yield d, start, got, second
 
 
@@ -137,6 +137,7 @@ def _resolve(doc: np.ndarray, ids: np.ndarray, nth: np.ndarray, start: np.ndarra
     out = [pa.array(np.where(known, spread, h)[back].view(np.int64)), pa.array(rid[back]),
            pa.array((at | known.astype(np.int64) << 31)[back])]
     if last:
+        v = np.where(known[back], np.uint64(0), v)      # decided rows are not compared any more
         return pa.RecordBatch.from_arrays([*out, pa.array(v.view(np.int64))], names=["h", "_id", "at", "v"])
     return pa.RecordBatch.from_arrays(out, names=["h", "_id", "at"])
 
