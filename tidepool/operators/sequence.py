@@ -16,8 +16,11 @@ data. The helpers here split each entity into independent groups:
 Both cost one shuffle of the big side each; every group is bounded by the
 chunk width (positions) or the block size (windows), never by entity size.
 
-The layout is the same at every size. Rows with a null key belong to no entity
-and are dropped; rows with a null time come last in their entity, in chunks of the
+The layout is the same at every size. An entity that is bounded by the way its
+rows are made (a panel aggregated to days has one row for each day) may be one
+group instead (``whole``): one shuffle, no counts, no halo rows.
+
+Rows with a null key belong to no entity and are dropped; rows with a null time come last in their entity, in chunks of the
 first tiebreak, so an entity without any time is spread too.
 """
 
@@ -128,10 +131,17 @@ def block_window(keys: Sequence[str], pos_col: str = "pos") -> Window:
 
 def lead_lag(df: DataFrame, keys: Sequence[str], time_col: str, exprs: dict[str, tuple[str, int]],
              tiebreak: Sequence[str] = (), chunk_width: int | None = None,
-             block: int = DEFAULT_BLOCK, keep_pos: str | None = None) -> DataFrame:
+             block: int = DEFAULT_BLOCK, keep_pos: str | None = None, whole: bool = False) -> DataFrame:
     """Skew-safe ``lead``/``lag``: ``exprs`` maps output name to
     ``(column, offset)``; offset > 0 is lead, < 0 is lag. ``keep_pos`` names
-    a column to keep the row position in (for later block layouts)."""
+    a column to keep the row position in (for later block layouts). ``whole``:
+    an entity is one group, for entities that are bounded by construction."""
+    if whole:
+        w = Window.partitionBy(*keys).orderBy(*in_order([time_col, *tiebreak]))
+        cols = [(F.lead(c, off) if off > 0 else F.lag(c, -off)).over(w).alias(name) for name, (c, off) in exprs.items()]
+        if keep_pos:
+            cols.insert(0, (F.row_number().over(w) - 1).cast("long").alias(keep_pos))
+        return with_keys(df, keys).select("*", *cols)
     before = max([-o for _, o in exprs.values() if o < 0], default=0)
     after = max([o for _, o in exprs.values() if o > 0], default=0)
     d = with_positions(df, keys, time_col, tiebreak, chunk_width, "_pos")

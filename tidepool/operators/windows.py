@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.sequence import DEFAULT_BLOCK, block_window, blocked, with_keys, with_positions
+from tidepool.operators.sequence import DEFAULT_BLOCK, block_window, blocked, in_order, with_keys, with_positions
 
 
 def pack_features(cols: Sequence[str]):
@@ -96,7 +96,7 @@ def sequence_frame(df: DataFrame, keys: Sequence[str], time_col: str, features:
                    look_back: int = 20, id_col: str = "row_id", extra: dict | None = None, after: int = 0,
                    seq_col: str = "seq", row_col: str = "x_row", block: int = DEFAULT_BLOCK,
                    chunk_width: int | None = None, pos_col: str | None = None,
-                   summaries: dict | None = None, collect: bool = True) -> DataFrame:
+                   summaries: dict | None = None, collect: bool = True, whole: bool = False) -> DataFrame:
     """Every row of ``df`` with its look-back window: ``seq`` (up to L
     preceding rows of the entity, oldest first; ``collect=False`` skips it),
     ``summaries`` (name -> (feature, how) with how in mean / sum / min / max /
@@ -108,11 +108,17 @@ def sequence_frame(df: DataFrame, keys: Sequence[str], time_col: str, features:
 
     One position pass and one block layout (skew-safe); with ``pos_col`` the
     rows already carry their position and only the block shuffle is needed.
+    ``whole``: an entity is one group, for entities that are bounded by
+    construction; positions and blocks are not needed then.
     """
     keys = list(keys)
     extra = extra or {}
     summaries = summaries or {}
     base = df.select(*df.columns, pack_features(features).alias(row_col)) if collect else df
+    if whole:
+        d = with_keys(base, keys)
+        w = Window.partitionBy(*keys).orderBy(*in_order([time_col, id_col]))
+        return d.select("*", *_frame_columns(w, row_col, seq_col, time_col, look_back, extra, summaries, collect))
     if pos_col is None:
         d = with_positions(base, keys, time_col, [id_col], chunk_width)
     else:

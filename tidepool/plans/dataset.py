@@ -19,7 +19,7 @@ DROP = ["tax", "open", "high", "low", "close", "volume"]
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.with_specials(fx.labeled_panel(spark, sf_dir).drop("pos"))
+    return fx.with_specials(fx.labeled_panel(spark, sf_dir))
 
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ panel -> temporal split -> scaler fit on train -> standardise -> look-back
 windows per (ticker, split) -> score four models -> ensemble mean ->
 inverse transform -> metrics per (split, model) -> model comparison.
 
-Shuffles of the big side: the panel aggregate, the label's lead (skew-safe,
-two), the window layout (two). Scaler statistics are a one-row aggregate
-joined by broadcast; metrics are partial aggregates into a few groups.
+Shuffles of the big side: the panel aggregate, the label's lead by supplier, the
+windows by ticker. Scaler statistics are a one-row table joined by broadcast;
+metrics are partial aggregates into a few groups.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from tidepool.operators.score import LinearScorer, summary_columns, to_long
 from tidepool.operators.split import temporal_split
 from tidepool.operators.windows import sequence_frame, windows_in_intervals
 from tidepool.plans import fixtures as fx
+from tidepool.session import materialize
 
 LOOK_BACK = 20
 
@@ -36,7 +37,7 @@ SCALED = [f"{c}__z" for c in fx.PANEL_FEATURES]
 
 
 def split_panel(spark: SparkSession, sf_dir: str, labeled: DataFrame | None = None) -> DataFrame:
-    panel = (labeled if labeled is not None else fx.labeled_panel(spark, sf_dir)).drop("pos")
+    panel = labeled if labeled is not None else fx.labeled_panel(spark, sf_dir)
     return temporal_split(panel, "date", fx.SPLIT_TRAIN, fx.SPLIT_VAL, fx.SPLIT_TEST)
 
 
@@ -44,33 +45,40 @@ def fitted_scaler(split_df: DataFrame) -> DataFrame:
     return scaler_fit(split_df.filter(F.col("split") == "train"), fx.PANEL_FEATURES + [fx.TARGET])
 
 
-def scaled_panel(spark: SparkSession, sf_dir: str, labeled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    s = split_panel(spark, sf_dir, labeled)
-    stats = fitted_scaler(s)
-    z = scaler_transform(s, stats, fx.PANEL_FEATURES + [fx.TARGET], suffix="__z")
-    return z, stats
+INTERVALS = {"train": (None, fx.SPLIT_TRAIN), "val": (fx.SPLIT_TRAIN, fx.SPLIT_VAL), "test": (fx.SPLIT_TEST, None)}
 
 
-INTERVALS = {"train": (None, fx.SPLIT_TRAIN), "val": (fx.SPLIT_TRAIN, fx.SPLIT_VAL), "test": (fx.SPLIT_TEST, None)}
+def train_stats(labeled: DataFrame) -> DataFrame:
+    """The scaler fitted on the train rows, written once: one row that every
+    later step reads instead of fitting it again."""
+    train = labeled.filter(F.col("date") < F.lit(INTERVALS["train"][1]).cast("date"))
+    return materialize(scaler_fit(train, fx.PANEL_FEATURES + [fx.TARGET]), "scaler")
+
+
+def scaled_panel(spark: SparkSession, sf_dir: str, labeled: DataFrame | None = None,
+                 stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    labeled = labeled if labeled is not None else fx.labeled_panel(spark, sf_dir)
+    stats = stats if stats is not None else train_stats(labeled)
+    z = scaler_transform(split_panel(spark, sf_dir, labeled), stats, fx.PANEL_FEATURES + [fx.TARGET], suffix="__z")
+    return z, stats
 
 
-def panel_windows(spark: SparkSession, sf_dir: str, labeled: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def panel_windows(spark: SparkSession, sf_dir: str, labeled: DataFrame | None = None,
+                  stats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scaled windows per (ticker, split) and the scaler fitted on train rows.
 
-    Both read the labelled panel table (written once, positions included;
-    pass it as ``labeled`` when the caller has it already).
-    The statistics are a one-row aggregate over its train rows, broadcast to
-    standardise each row once; the windows of scaled rows then need one
-    window pass (one block shuffle when an entity is hot).
+    Both read the labelled panel table (written once; pass it as ``labeled``,
+    and its scaler as ``stats``, when the caller has them already).
+    The statistics are a one-row table, broadcast to standardise each row
+    once; the windows of scaled rows then need one shuffle by ticker.
     """
     labeled = labeled if labeled is not None else fx.labeled_panel(spark, sf_dir)
-    lo, hi = INTERVALS["train"]
-    stats = scaler_fit(labeled.filter(F.col("date") < F.lit(hi).cast("date")), fx.PANEL_FEATURES + [fx.TARGET])
-    z = scaler_transform(labeled.select("ticker", "date", "row_id", "pos", fx.TARGET, *fx.PANEL_FEATURES),
+    stats = stats if stats is not None else train_stats(labeled)
+    z = scaler_transform(labeled.select("ticker", "date", "row_id", fx.TARGET, *fx.PANEL_FEATURES),
                          stats, fx.PANEL_FEATURES + [fx.TARGET], suffix="__z")
-    z = z.select("ticker", "date", "row_id", "pos", fx.TARGET, f"{fx.TARGET}__z",
+    z = z.select("ticker", "date", "row_id", fx.TARGET, f"{fx.TARGET}__z",
                  *[F.col(f"{c}__z").alias(c) for c in fx.PANEL_FEATURES])
-    frame = sequence_frame(z, ["ticker"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id", pos_col="pos")
+    frame = sequence_frame(z, ["ticker"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id", whole=True)
     w = windows_in_intervals(frame, "date", INTERVALS, LOOK_BACK)
     return w.select("ticker", "date", "row_id", "split", fx.TARGET, f"{fx.TARGET}__z", "seq", "x_row"), stats
 
@@ -84,12 +92,10 @@ def scored(spark: SparkSession, sf_dir: str, models=MODELS, with_ensemble: bool
     numbers as scoring the scaled windows of ``panel_windows``.
     """
     labeled = fx.labeled_panel(spark, sf_dir)
-    lo, hi = INTERVALS["train"]
-    stats = scaler_fit(labeled.filter(F.col("date") < F.lit(hi).cast("date")), fx.PANEL_FEATURES + [fx.TARGET])
-    frame = sequence_frame(labeled.select("ticker", "date", "row_id", "pos", fx.TARGET, *fx.PANEL_FEATURES),
-                           ["ticker"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id", pos_col="pos",
-                           summaries=summary_columns(models), collect=False)
-    w = windows_in_intervals(frame, "date", INTERVALS, LOOK_BACK).crossJoin(F.broadcast(stats))
+    frame = sequence_frame(labeled.select("ticker", "date", "row_id", fx.TARGET, *fx.PANEL_FEATURES),
+                           ["ticker"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id",
+                           summaries=summary_columns(models), collect=False, whole=True)
+    w = windows_in_intervals(frame, "date", INTERVALS, LOOK_BACK).crossJoin(F.broadcast(train_stats(labeled)))
     mean = lambda c: F.col(f"{c}__mean")
     std = lambda c: F.col(f"{c}__std")
     wide = w

@@ -11,7 +11,7 @@ grows with them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.operators.sequence import lead_lag
@@ -33,38 +33,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_suppkey, date, row_id, qty, px, disc, tax, n): one row for each
+    supplier and day, so a supplier has no more rows than the calendar has days."""
+    li = table(spark, sf_dir, "lineitem")
+    return (li.groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
+              .agg(F.sum("l_quantity").alias("qty"),
+                   F.avg("l_extendedprice").alias("px"),
+                   F.avg("l_discount").alias("disc"),
+                   F.avg("l_tax").alias("tax"),
+                   F.count(F.lit(1)).cast("double").alias("n"))
+              .select("l_suppkey", "date",
+                      (F.col("l_suppkey") * 100000
+                       + F.datediff("date", F.lit(ROW_ID_EPOCH).cast("date"))).cast("long").alias("row_id"),
+                      *PANEL_FEATURES))
+
+
+def with_ticker(p: DataFrame) -> DataFrame:
+    """The supplier key as the panel's ``ticker``, first column."""
+    rest = [c for c in p.columns if c != "l_suppkey"]
+    return p.select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), *rest)
+
+
 def daily_panel(spark: SparkSession, sf_dir: str, with_label: bool = True) -> DataFrame:
     """(ticker, date, row_id, qty, px, disc, tax, n[, future_5_pct])."""
-    li = table(spark, sf_dir, "lineitem")
-    p = (li.groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
-           .agg(F.sum("l_quantity").alias("qty"),
-                F.avg("l_extendedprice").alias("px"),
-                F.avg("l_discount").alias("disc"),
-                F.avg("l_tax").alias("tax"),
-                F.count(F.lit(1)).cast("double").alias("n"))
-           .select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"),
-                   "date",
-                   (F.col("l_suppkey") * 100000
-                    + F.datediff("date", F.lit(ROW_ID_EPOCH).cast("date"))).cast("long").alias("row_id"),
-                   *PANEL_FEATURES))
-    if not with_label:
-        return p
-    return add_label(p)
-
-
-def add_label(p: DataFrame, keep_pos: str | None = None) -> DataFrame:
-    """future_5_pct = (lead(px, 5) / px - 1) * 100 per ticker by (date, row_id)."""
-    p = lead_lag(p, ["ticker"], "date", {"_px_fwd": ("px", LABEL_HORIZON)}, tiebreak=["row_id"],
-                 keep_pos=keep_pos)
-    return (p.withColumn(TARGET, (F.col("_px_fwd") / F.col("px") - 1.0) * 100.0)
-             .drop("_px_fwd"))
+    p = supplier_days(spark, sf_dir)
+    return with_ticker(add_label(p, "l_suppkey") if with_label else p)
+
+
+def label(px_fwd: Column) -> Column:
+    """Change of the price to that of ``LABEL_HORIZON`` rows later, in percent."""
+    return (px_fwd / F.col("px") - 1.0) * 100.0
+
+
+def add_label(p: DataFrame, key: str = "ticker") -> DataFrame:
+    """future_5_pct = (lead(px, 5) / px - 1) * 100 per entity by (date, row_id)."""
+    p = lead_lag(p, [key], "date", {"_px_fwd": ("px", LABEL_HORIZON)}, tiebreak=["row_id"], whole=True)
+    return p.withColumn(TARGET, label(F.col("_px_fwd"))).drop("_px_fwd")
 
 
 def labeled_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Panel + label + per-ticker row position ``pos``, written once (the one
-    write of a query over the panel). Later window layouts reuse ``pos`` and
-    need only their block shuffle."""
-    return materialize(add_label(daily_panel(spark, sf_dir, with_label=False), keep_pos="pos"), "labeled-panel")
+    """Panel + label, written once (the one write of a query over the panel)."""
+    return materialize(daily_panel(spark, sf_dir), "labeled-panel")
 
 
 PANEL_SQL = f"""

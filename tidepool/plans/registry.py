@@ -552,7 +552,8 @@ def q_fit_predict(spark, sf):
     """GBT with absolute loss on the scaled row features; metrics per split
     in original units (rows-only check: a different learner than the reference)."""
     z, stats = ens.scaled_panel(spark, sf)
-    tv = z.filter(F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
+    before_test = F.col("date") < F.lit(fx.SPLIT_VAL).cast("date")         # reaches the scan
+    tv = z.filter(before_test & F.col("split").isin("train", "val")).withColumn("is_val", F.col("split") == "val")
     model = learn.fit(tv, ens.SCALED, f"{fx.TARGET}__z")
     pred = learn.predict(model, z.filter(F.col(f"{fx.TARGET}__z").isNotNull()))
     pred = scaler_inverse_as(pred, stats, fx.TARGET, {"yhat": "yhat_orig"})
