@@ -52,3 +52,11 @@ def test_scaler_is_fitted_once(spark):
     z, stats = ens.scaled_panel(spark, SF, labeled)
     for df in (stats, z):
         assert "Aggregate" not in plan(df)[0]
+
+
+@needs_tables
+def test_window_ids_are_aligned_with_one_fitted_scaler(spark):
+    from tidepool.plans.registry import QUERIES
+    logical, physical = plan(QUERIES["align_predictions"](spark, SF))
+    assert "Aggregate" not in logical
+    assert physical.count("Exchange hashpartitioning(ticker") <= 1 and "_halo" not in logical

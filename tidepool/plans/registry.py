@@ -145,11 +145,11 @@ def q_ensemble_mean(spark, sf):
 @register("align_predictions")
 def q_align_predictions(spark, sf):
     labeled = fx.labeled_panel(spark, sf)
-    z, _ = ens.scaled_panel(spark, sf, labeled)
+    z, stats = ens.scaled_panel(spark, sf, labeled)
     ann = ens.MODELS[0]
     row_preds = z.select("split", "row_id",
                          row_model_expr(ann, "__z").alias("yhat"))
-    w, _ = ens.panel_windows(spark, sf, labeled)
+    w, _ = ens.panel_windows(spark, sf, labeled, stats)
     return rounded(align_predictions(w.select("split", "row_id"), row_preds, ["split", "row_id"]))
 
 
