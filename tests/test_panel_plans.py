@@ -60,3 +60,12 @@ def test_window_ids_are_aligned_with_one_fitted_scaler(spark):
     logical, physical = plan(QUERIES["align_predictions"](spark, SF))
     assert "Aggregate" not in logical
     assert physical.count("Exchange hashpartitioning(ticker") <= 1 and "_halo" not in logical
+
+
+@needs_tables
+def test_scored_windows_are_read_not_computed_again(spark):
+    s = ens.scored(spark, SF)
+    logical, physical = plan(s)
+    assert "Window" not in logical and "Exchange hashpartitioning" not in physical
+    w, _ = ens.panel_windows(spark, SF)
+    assert s.count() == w.count() * (len(ens.MODELS) + 1)

@@ -5,8 +5,9 @@ windows per (ticker, split) -> score four models -> ensemble mean ->
 inverse transform -> metrics per (split, model) -> model comparison.
 
 Shuffles of the big side: the panel aggregate, the label's lead by supplier, the
-windows by ticker. Scaler statistics are a one-row table joined by broadcast;
-metrics are partial aggregates into a few groups.
+windows by ticker (``scored`` takes label and windows from one shuffle). Scaler
+statistics are a one-row table joined by broadcast; metrics are partial
+aggregates into a few groups.
 """
 
 from __future__ import annotations
@@ -91,11 +92,13 @@ def scored(spark: SparkSession, sf_dir: str, models=MODELS, with_ensemble: bool
     and standardised afterwards with the broadcast statistics -- the same
     numbers as scoring the scaled windows of ``panel_windows``.
     """
-    labeled = fx.labeled_panel(spark, sf_dir)
-    frame = sequence_frame(labeled.select("ticker", "date", "row_id", fx.TARGET, *fx.PANEL_FEATURES),
-                           ["ticker"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id",
-                           summaries=summary_columns(models), collect=False, whole=True)
-    w = windows_in_intervals(frame, "date", INTERVALS, LOOK_BACK).crossJoin(F.broadcast(train_stats(labeled)))
+    # label and window summaries come from one window pass over the supplier's days
+    ahead = {"_px_fwd": lambda w: F.lead("px", fx.LABEL_HORIZON).over(w)}
+    frame = sequence_frame(fx.supplier_days(spark, sf_dir), ["l_suppkey"], "date", fx.PANEL_FEATURES, LOOK_BACK, "row_id",
+                           extra=ahead, after=fx.LABEL_HORIZON, summaries=summary_columns(models), collect=False, whole=True)
+    frame = frame.withColumn(fx.TARGET, fx.label(F.col("_px_fwd"))).drop("_px_fwd")
+    frame = materialize(fx.with_ticker(frame), "windowed-panel")
+    w = windows_in_intervals(frame, "date", INTERVALS, LOOK_BACK).crossJoin(F.broadcast(train_stats(frame)))
     mean = lambda c: F.col(f"{c}__mean")
     std = lambda c: F.col(f"{c}__std")
     wide = w
