@@ -129,3 +129,19 @@ def test_metrics_merge_over_batches_folds_and_restarts(spark):
         assert (r.n, r.le_0_1, r.le_2_5, r.le_inf) == (len(own), sum(x <= 0.1 for x in lat), sum(x <= 2.5 for x in lat), len(lat))
         assert abs(r.lat_sum - sum(lat)) < 1e-9
         assert r["last"]["value"] == max(own, key=lambda r: (r[1] is not None, r[1] or 0, r[2]))[4]
+
+
+def test_state_has_no_more_partitions_than_salts_or_cores(spark):
+    schema = spark.createDataFrame([], "model string, ts timestamp, id long").schema
+    src, ckpt = paths(spark, "src", "ckpt")
+    land(spark, [("a", START, i) for i in range(30)], schema, src)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    try:
+        out = newest_per_key_stream(spark, src, ckpt, schema, "model", 3, salts=2)
+        assert [r.id for r in out.orderBy("rank").collect()] == [29, 28, 27]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r.numPartitions for r in spark.read.format("state-metadata").load(f"{ckpt}/newest").collect()}
+    assert got == {max(2, spark.sparkContext.defaultParallelism)}

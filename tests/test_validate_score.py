@@ -90,3 +90,25 @@ def test_python_models_share_one_pass(spark):
     got = {(r["row_id"], r["model"]): r["yhat"] for r in out.collect()}
     assert got == {**{(i, "a"): i + 2.5 for i in range(5)}, **{(i, "b"): i + 2.0 for i in range(5)}}
     assert out._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+
+
+def test_scaled_steps_are_written_out_and_odd_widths_kept(spark):
+    from tidepool.operators.windows import scale_sequences
+    seqs = [[[1.0, 2.0], [3.0, None]], [[4.0]], [[], None], None, [[float("nan"), 1.0]]]
+    df = spark.createDataFrame([(i, q, 1.0, 2.0) for i, q in enumerate(seqs)], "i int, q array<array<double>>, m double, s double")
+    z = df.select("i", scale_sequences(F.col("q"), [F.col("m"), F.lit(0.0)], [F.col("s"), F.lit(4.0)]).alias("z"))
+    got = [r.z for r in z.orderBy("i").collect()]
+    assert got[:4] == [[[0.0, 0.5], [1.0, None]], [[1.5]], [[], None], None] and got[4][0][1] == 0.25
+    assert "array(" in z._jdf.queryExecution().optimizedPlan().toString().split("CASE")[1].split("ELSE")[0]
+
+
+def test_valid_sequences_are_asked_first(spark):
+    ok = [[1.0, 2.0]] * 2
+    cases = {None: ok, "null_value": [[1.0, None], [1.0, 2.0]], "ragged": [[1.0, 2.0, 3.0], [4.0]], "bad_length": ok[:1],
+             "non_finite": [[1.0, 2.0], [float("-inf"), 0.0]], "bad_width": [[1.0], [2.0]]}
+    rows = [(c, q) for c, q in cases.items()] + [("non_finite", [[float("nan"), 1.0], [1.0, 1.0]]), ("null_value", [[float("nan"), None], [1.0, 1.0]]),
+                                                ("null_value", None), ("null_value", [None, [1.0, 2.0]]), ("bad_length", [])]
+    df = spark.createDataFrame(rows, "want string, q array<array<double>>")
+    got = validate_sequences(df, "q", 2, 2)
+    assert all(r.want == r.error_code for r in got.collect())
+    assert "flatten" in got._jdf.queryExecution().optimizedPlan().toString()

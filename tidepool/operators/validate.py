@@ -24,12 +24,20 @@ def _non_finite(x: Column) -> Column:
 
 
 def sequence_error(seq: Column, look_back: int, width: int) -> Column:
-    """First failing check as an error code, NULL for a valid sequence."""
+    """First failing check as an error code, NULL for a valid sequence. Most
+    sequences are valid, so that is asked first, with one pass over the values;
+    the checks by step and value run on the others."""
     has_null = seq.isNull() | F.exists(seq, lambda r: r.isNull() | F.exists(r, lambda x: x.isNull()))
+    flat, width_each = F.flatten(seq), F.forall(seq, lambda r: F.size(r) == F.lit(width))
+    # compiled loops over the flat values; array_contains is null if a value is missing
+    clean = ~F.array_contains(flat, F.lit(float("nan"))) & ~F.array_contains(flat, F.lit(float("inf"))) \
+        & ~F.array_contains(flat, F.lit(float("-inf")))
+    valid = F.coalesce(clean & (F.size(seq) == F.lit(look_back)) & width_each, F.lit(False))
     w0 = F.size(F.element_at(seq, 1))
     ragged = ~F.forall(seq, lambda r: F.size(r) == w0)
     non_finite = F.exists(seq, lambda r: F.exists(r, _non_finite))
-    return (F.when(has_null, F.lit(NULL_VALUE))
+    return (F.when(valid & F.lit(look_back > 0), F.lit(None).cast("string"))
+             .when(has_null, F.lit(NULL_VALUE))
              .when(F.size(seq) == 0, F.lit(BAD_LENGTH))
              .when(ragged, F.lit(RAGGED))
              .when(F.size(seq) != F.lit(look_back), F.lit(BAD_LENGTH))

@@ -160,8 +160,13 @@ def windows_in_intervals(frame: DataFrame, time_col: str, intervals: dict, look_
 
 def scale_sequences(seq: Column, means: Sequence[Column], stds: Sequence[Column]) -> Column:
     """Standardise every step of ``array<array<double>>`` with per-feature
-    statistics (JVM higher-order functions)."""
+    statistics (JVM higher-order functions). A step of the expected width is
+    written out: the general form builds both statistics arrays for every value."""
     m = F.array(*means)
     s = F.array(*stds)
-    return F.transform(seq, lambda r: F.transform(r, lambda x, j: (x - m[j]) / s[j]))
 
+    def step(r: Column) -> Column:
+        known = F.array(*[(r[j] - means[j]) / stds[j] for j in range(len(means))])
+        return F.when(F.size(r) == len(means), known).otherwise(F.transform(r, lambda x, j: (x - m[j]) / s[j]))
+
+    return F.transform(seq, step)

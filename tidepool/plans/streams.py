@@ -34,6 +34,12 @@ def _landed(spark: SparkSession, df: DataFrame, name: str, time_col: str = "ts")
     return src, df.schema
 
 
+def batch_files(spark: SparkSession) -> int:
+    """Files of a micro-batch: two for every core, so that no core is idle and the
+    fixed costs of a batch are paid less often. Results do not depend on it."""
+    return max(8, 2 * spark.sparkContext.defaultParallelism)
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     src, schema = _landed(spark, mon.requests(spark, sf_dir), "requests")
     out = ingest_requests(spark, src, scratch_path(spark, "requests-sink"), scratch_path(spark, "ckpt"),
@@ -70,9 +76,11 @@ def stream_drift_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_last_n_by_model(spark: SparkSession, sf_dir: str, n: int = 100) -> DataFrame:
     """The newest n predictions of every model, from the state store."""
-    log = mon.prediction_log(spark, sf_dir)
+    # from the written requests: a filter on them would build every broken sequence again for each check
+    log = mon.prediction_log(spark, sf_dir, mon.validated_table(spark, sf_dir))
     src, schema = _landed(spark, log, "prediction-log")
-    return newest_per_key_stream(spark, src, scratch_path(spark, "ckpt"), schema, "model", n, ("ts", "id"))
+    return newest_per_key_stream(spark, src, scratch_path(spark, "ckpt"), schema, "model", n, ("ts", "id"),
+                                 files_per_batch=batch_files(spark))
 
 
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

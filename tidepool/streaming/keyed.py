@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from tidepool.streaming.jobs import file_stream
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PARTITIONS = "spark.sql.shuffle.partitions"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 LOWEST = -(1 << 63)
 STATE = "o0 long, o1 long, payload string"
@@ -67,6 +68,10 @@ def newest_per_key_stream(spark: SparkSession, source: str, checkpoint: str, sch
     columns (times, dates or integers; null is oldest); returns them with a
     ``rank`` (1 is the newest; equal records in the order of their contents).
 
+    The state has as many partitions as there are salts or cores, not more than
+    the session's shuffle has: every one costs a Python worker and a commit in
+    every batch, whether it has rows or not.
+
     A null key is a key of its own. The result does not depend on how the
     records are split into batches or on when they come; a restart over the
     same checkpoint goes on where the last run ended.
@@ -76,8 +81,9 @@ def newest_per_key_stream(spark: SparkSession, source: str, checkpoint: str, sch
     rows = stream.select(F.col(key).cast("string").alias("key"), first.alias("o0"), second.alias("o1"),
                          F.to_json(F.struct(*schema.fieldNames()), JSON).alias("payload"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("o0", "o1"), F.lit(salts)))
-    before = spark.conf.get(PROVIDER)
+    before = {c: spark.conf.get(c) for c in (PROVIDER, PARTITIONS)}
     spark.conf.set(PROVIDER, ROCKSDB)           # list state needs it
+    spark.conf.set(PARTITIONS, min(int(before[PARTITIONS]), max(salts, spark.sparkContext.defaultParallelism)))
     try:
         state = rows.groupBy("key", "salt").transformWithStateInPandas(
             NewestN(n), T.StructType([T.StructField("size", T.LongType())]), "Update", "None")
@@ -88,7 +94,8 @@ def newest_per_key_stream(spark: SparkSession, source: str, checkpoint: str, sch
             raise RuntimeError(str(q.exception()))
         held = spark.read.format("statestore").option("path", f"{checkpoint}/newest").option("stateVarName", "newest").load()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for c, value in before.items():
+            spark.conf.set(c, value)
     held = held.select("key.key", "list_element.*")
     newest = Window.partitionBy("key").orderBy(F.desc("o0"), F.desc("o1"), F.desc("payload"))     # salts * n rows at most
     held = held.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= n)
