@@ -145,3 +145,25 @@ def test_state_has_no_more_partitions_than_salts_or_cores(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     got = {r.numPartitions for r in spark.read.format("state-metadata").load(f"{ckpt}/newest").collect()}
     assert got == {max(2, spark.sparkContext.defaultParallelism)}
+
+
+def test_request_metrics_batches_use_the_cores(spark, monkeypatch):
+    import os
+
+    import pytest
+
+    from tidepool.plans import streams
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver tables not present")
+    seen = []
+
+    def run(*args, files_per_batch, **kw):
+        seen.append(files_per_batch)
+        return metrics_stream_by(*args, files_per_batch=files_per_batch, **kw)
+
+    monkeypatch.setattr(streams, "metrics_stream_by", run)
+    got = {r.model: r.n_predictions for r in streams.stream_request_metrics(spark, sf).collect()}
+    assert seen[0] >= 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(streams, "batch_files", lambda spark: 1)            # the batches do not matter
+    assert {r.model: r.n_predictions for r in streams.stream_request_metrics(spark, sf).collect()} == got and seen[1] == 1

@@ -126,7 +126,7 @@ def stream_request_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                *histogram("le", latency, mon.LATENCY_BOUNDS), gauge("last", F.col("prediction"), ("ts", "id")),
                counter("validation_errors", model.isNull())]
     out = metrics_stream_by(spark, src, scratch_path(spark, "metrics"), scratch_path(spark, "ckpt"), schema, ["model"],
-                            metrics, served, files_per_batch=2, compact_every=4)
+                            metrics, served, files_per_batch=batch_files(spark), compact_every=4)
     buckets = [m.name for m in metrics if m.name.startswith("le_")]
     no_latency = F.col("le_inf") == 0                    # a model without latencies has no histogram
     errors = out.agg(F.coalesce(F.sum("validation_errors"), F.lit(0)).alias("validation_errors"))     # one row
