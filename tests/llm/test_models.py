@@ -349,3 +349,12 @@ def test_interpolation_counts_codes_beyond_23_bits():
     for codes in (8, top + 1):      # packed, and as for a large slice
         got = list(zip(*(x.tolist() for x in _distinct(code, h, doc, codes))))
         assert got == [(*r, small.count(r)) for r in sorted(set(small))]
+
+
+def test_sorted_codes_travel_as_differences():
+    rng = np.random.default_rng(3)
+    codes = np.r_[np.sort(rng.integers(0, 1 << 20, 5000)), 7, 3].astype(np.uint32)      # copies come last, out of order
+    got, = interpolation.unpack(interpolation.pack(interpolation.steps(codes)))
+    assert (interpolation.restored(got) == codes).all()
+    assert len(interpolation.pack(interpolation.steps(codes))) < 0.7 * len(interpolation.pack(codes))
+    assert len(interpolation.restored(interpolation.steps(codes[:0]))) == 0

@@ -13,8 +13,8 @@ their rare word if one of the two is rare, else by the pair. A bucket then sees
 every occurrence of its pairs and of its rare words and can count both. Bigrams
 of two rare words go to the bucket of the second, with a copy to that of the
 first for its count, and meet the first word's count in a join; they are few.
-Buckets travel as packed columns: sorted codes in byte planes, a few bytes for
-each bigram.
+Buckets travel as packed columns: sorted codes as differences, in byte planes,
+a few bytes for each bigram.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 
     head = np.array([len(arrays), *[x for a in arrays for x in (a.itemsize, len(a))]], np.int64).tobytes()
     planes = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + planes)
+    return zstandard.ZstdCompressor(level=3).compress(head + planes)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
@@ -68,6 +68,16 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def steps(x: np.ndarray) -> np.ndarray:
+    """Differences of codes (modulo their width): sorted ones become small."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def restored(x: np.ndarray) -> np.ndarray:
+    """The codes that ``steps`` came from."""
+    return np.cumsum(x, dtype=x.dtype)
+
+
 def slices(batches) -> Iterator[pa.RecordBatch]:
     for part in by_bytes(batches, "_t"):
         for lo in range(0, part.num_rows, 1 << DOC_BITS):
@@ -162,7 +172,7 @@ def _deal(buckets: int, shared, total: int, types: int):
                 k = int((ww >= size).sum())
                 ww[ww >= size] = np.uint64(size) + both[:k].astype(np.uint64)
                 hh[hh >= size] = np.uint64(size) + both[k:].astype(np.uint64)
-                blobs.append(pack(name, hashed(mine), ww.astype(np.uint32), hh.astype(np.uint32), d[o].astype(np.uint16),
+                blobs.append(pack(name, hashed(mine), steps(ww.astype(np.uint32)), hh.astype(np.uint32), d[o].astype(np.uint16),
                                   n[o].astype(np.uint32), copy[o]))
             docs = part.num_rows
             c = np.where(rare, 0, counts[at])
@@ -209,7 +219,7 @@ def _counted(blobs: list[bytes], shared) -> dict[str, np.ndarray]:
     names_at = 0
     for blob in blobs:
         name, names, w, h, d, n, copy = unpack(blob)
-        w, h, d = w.astype(np.int64), h.astype(np.int64), d.astype(np.int64)
+        w, h, d = restored(w).astype(np.int64), h.astype(np.int64), d.astype(np.int64)
         w[w >= size] += names_at
         h[h >= size] += names_at
         key = int(name[0]) | d & (1 << DOC_BITS) - 1
