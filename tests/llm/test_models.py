@@ -358,3 +358,18 @@ def test_sorted_codes_travel_as_differences():
     assert (interpolation.restored(got) == codes).all()
     assert len(interpolation.pack(interpolation.steps(codes))) < 0.7 * len(interpolation.pack(codes))
     assert len(interpolation.restored(interpolation.steps(codes[:0]))) == 0
+
+
+def test_encoding_and_decoding_load_no_pandas():
+    import subprocess
+    import sys
+
+    code = "import sys, tidepool.llm.bpe; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code]).returncode == 0
+
+
+def test_decoding_nulls_slices_and_empty_lists(spark):
+    ranks = {b"a": 0, b"b": 1, b"\xff": 2}
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([[0, 1], None, [], [2, 2, 0]])], "i int, x array<int>")
+    got = [r.t for r in df.select("i", bpe.decode(F.col("x"), ranks).alias("t")).orderBy("i").collect()]
+    assert [None if t is None else bytes(t) for t in got] == [b"ab", None, b"", b"\xff\xffa"]

@@ -22,7 +22,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,9 +102,11 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     for piece, rank in ranks.items():
         pieces[rank] = piece
 
-    @F.pandas_udf("binary")
-    def joined(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: b"".join(map(pieces.__getitem__, x.tolist())), na_action="ignore")
+    @F.arrow_udf("binary")          # no pandas: the workers of a task's three Python steps live at a time
+    def joined(batch: pa.Array) -> pa.Array:
+        at, flat = batch.offsets.to_numpy(), batch.values.to_numpy(zero_copy_only=False)
+        texts = (b"".join(map(pieces.__getitem__, flat[lo:hi].tolist())) for lo, hi in zip(at, at[1:]))
+        return pa.array([x if ok else None for x, ok in zip(texts, batch.is_valid().to_pylist())], pa.binary())
 
     return joined(ids)
 
