@@ -373,3 +373,44 @@ def test_decoding_nulls_slices_and_empty_lists(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate([[0, 1], None, [], [2, 2, 0]])], "i int, x array<int>")
     got = [r.t for r in df.select("i", bpe.decode(F.col("x"), ranks).alias("t")).orderBy("i").collect()]
     assert [None if t is None else bytes(t) for t in got] == [b"ab", None, b"", b"\xff\xffa"]
+
+
+def test_plain_parts_split_as_the_pattern_does(encoding):
+    import regex
+
+    pattern = encoding[1]
+    split = bpe._Splitter(pattern)
+    parts = ["word", "Été,", "x", "straße).", "don't", "it's,", "'s", "a1", "", "naïve'", "ÿ×", "µm", "ªº", "a_b", "word\n", "漢字!", "ab́", "A…"]
+    assert [split.after_space(p) for p in parts] == [regex.findall(pattern, " " + p) for p in parts]
+    assert sum(split.plain(p) is not None for p in parts) >= 5
+    other = bpe._Splitter(r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}|\s+")      # no form that is known: always matched
+    assert not any(map(other.plain, parts)) and other.after_space("ab,c") == [" ab", ",c"]
+
+
+def test_shipped_dictionary_tells_words_of_one_hash_apart():
+    import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    words = ["the", " of", "é", "漢"]
+    h = np.array([xxh64_intdigest(w.encode(), 42) for w in words], np.uint64)
+    h[1] = xxh64_intdigest(b" zz", 42)      # as if both words had this hash
+    ids = [[1], [2, 3], [4], []]
+    known = bpe._Known(bpe._packed(pa.table({"h": h.view(np.int64), "b": pa.array([w.encode() for w in words], pa.binary()),
+                                             "ids": pa.array(ids, pa.list_(pa.int32()))})))
+    as_bytes = lambda x: np.array(x, "<i4").tobytes()
+    assert known.ids_of(["é", " zz", "no", "the", "漢"]) == [as_bytes([4]), None, None, as_bytes([1]), b""]
+
+
+def test_encoding_and_decoding_take_one_python_step_each(spark, encoding):
+    """Each step is a worker of its own beside the others of its task."""
+    ranks, pattern, _ = encoding
+    docs = spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")
+
+    def python_steps(plan):
+        names = [plan.nodeName()] if "Arrow" in plan.nodeName() else []
+        return names + [n for i in range(plan.children().size()) for n in python_steps(plan.children().apply(i))]
+
+    assert python_steps(Q.op7_bpe(spark, SF)._jdf.queryExecution().executedPlan()) == ["ArrowEvalPython", "MapInArrow"]
+    plan = bpe.encode(docs, ranks, pattern)._jdf.queryExecution()
+    assert python_steps(plan.executedPlan()) == ["MapInArrow"]
+    assert len(plan.toString()) < 200_000       # the driver keeps what describes a plan

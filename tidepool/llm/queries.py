@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +67,12 @@ def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    @F.pandas_udf("string")
-    def ids_sha256(ids: pd.Series) -> pd.Series:
-        import hashlib
+    @F.arrow_udf("string")          # as bpe.decode is, so one worker runs both
+    def ids_sha256(ids: pa.Array) -> pa.Array:
+        from hashlib import sha256
 
-        return ids.map(lambda x: hashlib.sha256(x.astype("<u4").tobytes()).hexdigest())
+        at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
+        return pa.array([sha256(flat[lo:hi]).hexdigest() for lo, hi in zip(at, at[1:])], pa.string())
 
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
