@@ -414,3 +414,13 @@ def test_encoding_and_decoding_take_one_python_step_each(spark, encoding):
     plan = bpe.encode(docs, ranks, pattern)._jdf.queryExecution()
     assert python_steps(plan.executedPlan()) == ["MapInArrow"]
     assert len(plan.toString()) < 200_000       # the driver keeps what describes a plan
+
+
+def test_dictionary_travels_compressed():
+    """The driver holds it several times over: as a table, as bytes and in a file."""
+    import pyarrow as pa
+
+    n = 20_000
+    words = pa.table({"h": np.arange(n), "b": pa.array([b" word%d" % i for i in range(n)], pa.binary()),
+                      "ids": pa.array([[i % 50_000, 7] for i in range(n)], pa.list_(pa.int32()))})
+    assert len(bpe._packed(words)) < 0.6 * words.nbytes

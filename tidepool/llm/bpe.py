@@ -176,23 +176,25 @@ def frequent_words(docs: DataFrame, text_col: str, pattern: str, n: int) -> Data
 
 
 def _packed(words: pa.Table) -> bytes:
-    """The dictionary as it travels: columns in the order of the words' hashes,
-    so neither the driver nor a task holds a Python object for each word."""
-    words = words.take(pa.array(np.argsort(words.column("h").to_numpy().view(np.uint64))))
+    """The dictionary as it travels: compressed columns, so neither the driver
+    nor a task holds a Python object for each word."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, words.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(words)
+        for part in words.to_batches():
+            out.write_batch(part)
     return sink.getvalue().to_pybytes()
 
 
 class _Known:
-    """The shipped dictionary."""
+    """The shipped dictionary, found by the sorted hashes of its words."""
 
     def __init__(self, data: bytes):
         words = pa.ipc.open_stream(data).read_all().combine_chunks()
-        chunk = lambda name: words.column(name).combine_chunks()
-        self.h = chunk("h").to_numpy().view(np.uint64)
-        self.b, self.ids = chunk("b"), chunk("ids")
+        column = lambda name: words.column(name).combine_chunks()
+        h = column("h").to_numpy().view(np.uint64)
+        self.order = np.argsort(h).astype(np.int32)
+        self.h = h[self.order]
+        self.b, self.ids = column("b"), column("ids")
 
     def ids_of(self, words: list[str]) -> list[bytes | None]:
         """Ids of each word; None: not in the dictionary."""
@@ -202,7 +204,7 @@ class _Known:
             return [None] * len(words)
         coded = [w.encode() for w in words]
         h = np.fromiter((xxh64_intdigest(w, 42) for w in coded), np.uint64, len(coded))
-        at = pa.array(np.minimum(np.searchsorted(self.h, h), len(self.h) - 1))
+        at = pa.array(self.order[np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)])
         same = pa.compute.equal(self.b.take(at), pa.array(coded, pa.binary()))
         lists = pa.compute.if_else(same, at, None)
         got = self.ids.take(lists)
@@ -301,6 +303,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     top = top.select(F.encode("w", "utf-8").alias("b")).repartition(48, "b")
     folded = top.select(F.xxhash64("b").alias("h"), "b", F.element_at(encode_words(F.array("b"), table), 1).alias("ids"))
     shared = spark.sparkContext.broadcast(_packed(folded.toArrow()))
+    pa.default_memory_pool().release_unused()       # the driver's
     keep = [c for c in docs.columns if c not in (text_col, "ids")]
     src = docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_t"))
     schema = [f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
