@@ -224,6 +224,25 @@ def test_substring_many_texts_of_one_id(spark):
                   key=repr) == plain_repeats(rows)
 
 
+@pytest.mark.parametrize("stage", [False, True])
+def test_substring_shuffles_texts_once(spark, stage):
+    """The last level and the cut read one shuffle of the texts."""
+    import corpus_pipeline as C
+    from tidepool.llm import queries as Q
+
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = C.cut_repeats(spark, table(spark, "documents"), SF) if stage else Q.op6_substring(spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert plan.count("ReusedExchange") == 1 and plan.count("documents.parquet") == 1
+
+
 # --- quality -------------------------------------------------------------------------
 
 def plain_counts(text):

@@ -142,13 +142,13 @@ def _resolve(doc: np.ndarray, ids: np.ndarray, nth: np.ndarray, start: np.ndarra
     return pa.RecordBatch.from_arrays(out, names=["h", "_id", "at"])
 
 
-def _scan(k: int, ladder: list[int], level: int, bits: int):
+def _scan(k: int, ladder: list[int], level: int, bits: int, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in by_bytes(batches, "_t"):
+        for part in by_bytes(batches, text):
             ids = part.column("_id").to_numpy()
             nth = part.column("_nth").to_numpy()
             survivors = part.column("_s").to_pylist() if level else None
-            found = list(_windows(part.column("_t").to_pylist(), survivors, k, ladder, level, bits))
+            found = list(_windows(part.column(text).to_pylist(), survivors, k, ladder, level, bits))
             if found:
                 doc, start, h, v = zip(*found)
                 yield _resolve(np.concatenate([np.full(len(s), d) for d, s in zip(doc, start)]), ids, nth,
@@ -203,21 +203,22 @@ def remove_repeats(docs: DataFrame, *, min_words: int = 13, id_col: str = "doc_i
     null text stays null. Rows with a null id count as the largest id. Rows
     that repeat an id are judged separately, each text by itself, and none of
     them is the smaller document of the other. Other columns pass
-    through; n_words and n_removed replace columns of the same name. The first
-    hash has ``bits`` bits; fewer make more candidates, never another result.
+    through; n_words and n_removed replace columns of the same name. If all of
+    them are read, one shuffle of ``docs`` serves the last level and the cut; a
+    column that is not read costs a second one. The first hash has ``bits`` bits; fewer make more candidates, never another result.
     """
     ladder = levels(min_words)
     docs, names = numbered(docs, ("n_words", "n_removed"))
     text = F.col(names[text_col])
     base = _told_apart(docs.withColumn("_id", order_id(F.col(names[id_col]))), text)
-    texts = base.select("_id", "_nth", text.alias("_t"))
     found = None
     for level in range(len(ladder)):
-        at = texts
-        if level:
-            at = texts.join(found, ["_id", "_nth"])
         last = level == len(ladder) - 1
-        rows = at.mapInArrow(_scan(min_words, ladder, level, bits), ROWS + ", v long" * last)
+        at = base.select("_id", "_nth", text)
+        if level:
+            # on the last level with every column: the texts are shuffled once for it and for the cut below
+            at = (base if last else at).join(found, ["_id", "_nth"])
+        rows = at.mapInArrow(_scan(min_words, ladder, level, bits, names[text_col]), ROWS + ", v long" * last)
         found = _repeated(rows, last).groupBy(
             "_id", F.shiftright("at", 32).cast("int").alias("_nth")).agg(
             F.collect_set(F.col("at").bitwiseAND(0x7FFFFFFF).cast("int")).alias("_s"))
