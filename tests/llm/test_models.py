@@ -424,3 +424,47 @@ def test_dictionary_travels_compressed():
     words = pa.table({"h": np.arange(n), "b": pa.array([b" word%d" % i for i in range(n)], pa.binary()),
                       "ids": pa.array([[i % 50_000, 7] for i in range(n)], pa.list_(pa.int32()))})
     assert len(bpe._packed(words)) < 0.6 * words.nbytes
+
+
+def test_distinct_parts_are_split_together(encoding):
+    """Plain parts, over a line's end as well, need no call of their own in Python."""
+    import pyarrow as pa
+    import regex
+
+    pattern = encoding[1]
+    plain = ["word", "Été,", "straße).", "end.\nNew", "a\nb,", "x'\ns"]
+    odd = ["don't", "'s", "a1", "", "ÿ×", "word\n", "漢字!", "a\nb\nc", "a\n'll", "(a\nb", "a\r\nb", "a\n1", "µ\nx"]
+    for form in (pattern, r"[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}|\s+", pattern.replace(r"|\s+(?!\S)", "")):
+        split = bpe._Splitter(form)
+        asked = []
+        split.find = lambda text, find=split.find: asked.append(text) or find(text)
+        words, codes, cuts = split.after_spaces(pa.array(plain + odd))
+        got = [words.take(pa.array(codes[lo:hi])).to_pylist() for lo, hi in zip(cuts, cuts[1:])]
+        assert got == [regex.findall(form, " " + x) for x in plain + odd]
+        assert form != pattern or asked == [" " + x for x in odd]
+        words, codes, cuts = split.after_spaces(pa.array([], pa.string()))
+        assert len(words) == len(codes) == 0 and cuts.tolist() == [0]
+
+
+def test_lost_words_stand_between_segments(encoding):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    ranks, pattern, reference = encoding
+    texts = ["lost", "the lost", None, "", "lost lost the", " the", "the  the", "of the, lost, of\nthe of", "lost", "the\x1c of \u2003the", "of"]
+    words = [" the", "the", " of", "of", ",", "\n", " "]
+    for known in (words, []):
+        shipped = pa.table({"b": pa.array([w.encode() for w in known], pa.binary()),
+                            "ids": pa.array([reference.encode_ordinary(w) for w in known], pa.list_(pa.int32()))})
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["_0", "_t"])
+        for limit in (8, 1 << 20):
+            run = bpe._lookup(pattern, SimpleNamespace(value=bpe._packed(shipped)), limit)
+            rows = [r for b in run([batch.slice(0, 3), batch.slice(3)]) for r in b.to_pylist()]
+            assert [r["_0"] for r in rows] == list(range(len(texts)))
+            for r, text in zip(rows, texts):
+                assert len(r["_segs"]) == len(r["_rest"]) + 1 and not set(r["_rest"]) & set(known)
+                ids = list(r["_segs"][0])
+                for word, more in zip(r["_rest"], r["_segs"][1:]):
+                    ids += reference.encode_ordinary(word) + more
+                assert ids == reference.encode_ordinary(text or "")
