@@ -468,3 +468,17 @@ def test_lost_words_stand_between_segments(encoding):
                 for word, more in zip(r["_rest"], r["_segs"][1:]):
                     ids += reference.encode_ordinary(word) + more
                 assert ids == reference.encode_ordinary(text or "")
+
+
+def test_no_node_of_a_plan_writes_out_the_ranks(spark, encoding):
+    """The driver keeps the description of each node of each run."""
+    ranks, pattern, _ = encoding
+    docs = spark.createDataFrame([(1, "ab cd")], "doc_id long, text string")
+
+    def longest(plan):      # as Spark describes nodes for its listeners
+        fields = int(spark.conf.get("spark.sql.debug.maxToStringFields"))
+        return max([len(plan.simpleString(fields)), *[longest(plan.children().apply(i)) for i in range(plan.children().size())]])
+
+    got = longest(bpe.encode(docs, ranks, pattern)._jdf.queryExecution().executedPlan())
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert got < 100_000, got

@@ -314,8 +314,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, text_col:
     its length.
     """
     spark: SparkSession = docs.sparkSession
-    # the literal stands in the descriptions of plans, which the driver keeps of each run
+    # the literal stands in the descriptions of plans and of their nodes, which the driver keeps of each run
     spark.conf.set("spark.sql.maxPlanStringLength", 100_000)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1)
     table = rank_table(ranks)
     top = frequent_words(docs, text_col, pattern, dictionary)
     top = top.select(F.encode("w", "utf-8").alias("b")).repartition(48, "b")
