@@ -482,3 +482,45 @@ def test_no_node_of_a_plan_writes_out_the_ranks(spark, encoding):
     got = longest(bpe.encode(docs, ranks, pattern)._jdf.queryExecution().executedPlan())
     spark.conf.unset("spark.sql.debug.maxToStringFields")
     assert got < 100_000, got
+
+
+def test_op7_batches_hold_few_bytes_of_long_texts(spark, encoding, tmp_path, monkeypatch):
+    """Workers that encode and decode live at a time: each holds a few MB, not 2,000 texts of any length."""
+    import uuid
+
+    import pyarrow as pa
+
+    _, _, reference = encoding
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    note = lambda kind, n, at=str(seen): open(f"{at}/{kind}-{uuid.uuid4().hex}-{n}", "x").close()
+    lookup, decode = bpe._lookup, bpe.decode
+
+    def noted_lookup(pattern, shared):
+        def watch(batches):
+            for b in batches:
+                note("encode", b.nbytes)
+                yield b
+
+        run = lookup(pattern, shared)
+        return lambda batches: run(watch(batches))
+
+    def noted_decode(ids, ranks):
+        @F.arrow_udf("array<int>")
+        def watch(batch: pa.Array) -> pa.Array:
+            note("decode", batch.nbytes)
+            return batch
+
+        return decode(watch(ids), ranks)
+
+    monkeypatch.setattr(bpe, "_lookup", noted_lookup)
+    monkeypatch.setattr(bpe, "decode", noted_decode)
+    texts = {i: f"text {i}:" + " the cat sat on it" * 2_200 for i in range(250)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in Q.op7_bpe(spark, str(tmp_path)).collect():
+        ids = reference.encode_ordinary(texts.pop(r.doc_id))
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    assert not texts
+    for kind in ("encode", "decode"):
+        held = [int(p.name.split("-")[-1]) for p in seen.glob(f"{kind}-*")]
+        assert sum(held) > 9 << 20 and max(held) < 3 << 20, (kind, held)

@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+def small_batches(spark: SparkSession, rows: int = 2_000, mb: int = 64) -> None:
     """Fewer rows in an Arrow batch, for queries that pass whole texts through
-    several Python stages: each stage of each task holds a batch."""
+    several Python stages: each stage of each task holds a batch. A batch of
+    ``mb`` MB takes no further row (64 is Spark's own bound)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
 
 
 def words(text: Column, separators: str = SPACE) -> Column:

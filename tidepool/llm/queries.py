@@ -74,7 +74,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         at, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
         return pa.array([sha256(flat[lo:hi]).hexdigest() for lo, hi in zip(at, at[1:])], pa.string())
 
-    small_batches(spark)
+    small_batches(spark, mb=2)      # the workers that encode and decode live at a time, however long the texts
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = bpe.load_ranks(rank_file())
     ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
